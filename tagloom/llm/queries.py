@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, packing, sharding, simhash, topk
+from . import ann, counts, lm, packing, quality, sharding, simhash, topk
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity and verdict."""
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "_quality.symbols", "_quality.perplexity", "_quality.threshold", "_quality.keep")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability under a model of nine tenths of the documents."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
@@ -47,13 +53,20 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and tokens."""
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_top_k": op2_top_k,
     "op3_simhash": op3_simhash,
     "op4_sharding": op4_sharding,
+    "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_nearest": op8_nearest,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
