@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, counts, lm, packing, quality, sharding, simhash, topk
+from . import ann, counts, lm, mixing, packing, quality, sharding, simhash, topk
 from .common import table
 
 
@@ -53,6 +53,17 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
 
 
+def domains_of(labels: DataFrame) -> DataFrame:
+    """doc_id, domain: toxic, junk or clean."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").when(F.col("quality") == 1, "clean").alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rate in a mixture of all tokens with little junk and toxic text."""
+    labelled = domains_of(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, {"clean": 0.97, "toxic": 0.02, "junk": 0.01})
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words and tokens."""
     return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -66,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_nearest": op8_nearest,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
