@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, counts, lm, mixing, packing, quality, sharding, simhash, topk
+from . import ann, counts, licenses, lm, mixing, packing, quality, sharding, simhash, topk
 from .common import table
+from .license_texts import TEMPLATES
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), held_out)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license template found in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest found to every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_lm_scoring": op6_lm_scoring,
+    "op7_licenses": op7_licenses,
     "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
