@@ -1,4 +1,8 @@
-"""A corpus pipeline in stages, each written as Parquet and read again by the next."""
+"""A corpus pipeline: quality classifier, near-duplicates, mixing, packing.
+
+Each stage takes documents and returns a DataFrame, which is written as Parquet and read
+again as the next one's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,50 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tagloom.llm import mixing, packing, quality, simhash
+from tagloom.llm.common import shared_dir, ship, table
+from tagloom.llm.queries import domains_of
+
+
+def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps."""
+    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter("_quality.keep").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Rows that repeat a doc_id count once. A group whose rows all lack a doc_id keeps one row.
+    """
+    found = simhash.near_duplicates(ship(spark) and docs)
+    kept = found.filter("doc_id <=> component_id").select("doc_id", "fingerprint").distinct()
+    kept = kept.groupBy("doc_id").agg(F.min("fingerprint").alias("_fingerprint")).select(F.col("doc_id").alias("_kept"))
+    own = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return own.withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mixture has them: toxic and junk text rarely, clean text at least once.
 
-from tagloom.llm import packing
-from tagloom.llm.common import shared_dir, table
+    Of the expected tokens 98% shall be clean, 1.5% toxic and 0.5% junk. The budget is what
+    gives a clean document a rate just above one.
+    """
+    light, domains = mixing.prepared(docs, domains_of(table(spark, sf_dir, "labels")))
+    if light is None:
+        return docs
+    weights = {"clean": 0.98, "toxic": 0.015, "junk": 0.005}
+    clean = f"_p{domains.index('clean')}" if "clean" in domains else "1"
+    budget = 1.02 * (light.agg(F.expr(f"sum(tokens * {clean})")).first()[0] or 0) / weights["clean"]
+    share = sum(weights[d] for d in domains)
+    rate = mixing.rates(light, len(domains), [budget * weights[d] / share for d in domains])
+    copies = mixing.finished(light, domains, rate).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0").groupBy("_id").agg(F.max("copies").alias("copies"))
+    own = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +62,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", clean_only),
+    ("near-duplicates", one_of_each),
+    ("mixing", mixed),
     ("packing", packed),
 ]
 
@@ -28,7 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to documents."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{k}"
