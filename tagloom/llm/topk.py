@@ -120,17 +120,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0,
 
         return pairs.mapInPandas(run, "query_id long, vec_id long, score long, q_block int, dim int")
 
-    def floors(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(frame["ids"].iloc[0], "<i8")
-        lowest = frame.dropna(subset=["query_id"]).groupby("query_id")["score"].agg(["size", "min"])
+    def floors(block: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        if not len(block):
+            return pd.DataFrame(columns=["block", "dim", "ids", "data", "floor"])
+        ids = np.frombuffer(block["ids"].iloc[0], "<i8")
+        lowest = first.groupby("query_id")["score"].agg(["size", "min"])
         kth = lowest[lowest["size"] >= k]["min"].reindex(ids).fillna(-np.inf).to_numpy("<f8")
-        return frame[["block", "dim", "ids", "data"]].iloc[:1].assign(floor=[kth.tobytes()])
+        return block[["block", "dim", "ids", "data"]].assign(floor=[kth.tobytes()])
 
     parts = max(1, -(-n // per_shard))
     home = met(shards, blocks, parts).filter(F.pmod(F.col("q_block"), F.lit(parts)) == F.col("block"))
     first = cut(found(home, False))
     # at most k rows a query of the block meet in a group
-    floored = blocks.join(first.select(F.col("q_block").alias("block"), "dim", "query_id", "score"), ["block", "dim"], "left")
-    floored = floored.groupBy("block", "dim").applyInPandas(floors, "block int, dim int, ids binary, data binary, floor binary")
+    tops = first.select(F.col("q_block").alias("block"), "dim", "query_id", "score")
+    floored = blocks.groupBy("block", "dim").cogroup(tops.groupBy("block", "dim")).applyInPandas(floors, "block int, dim int, ids binary, data binary, floor binary")
     others = met(shards, cut(floored), parts).filter(F.pmod(F.col("q_block"), F.lit(parts)) != F.col("block"))
     return best(first.unionByName(found(others, True)).select("query_id", "vec_id", "score"), k, F.desc("score"))
