@@ -30,7 +30,7 @@ class Vocabulary:
 
     known: dict[str, "Vocabulary"] = {}
 
-    def __init__(self, scores: dict[str, int], entries: int = 1_000_000):
+    def __init__(self, scores: dict[str, int], entries: int = 500_000):
         self.scores, self.entries, self.counts = scores, entries, {}
         self.longest = max(map(len, scores), default=1)
         self.missing = min(scores.values(), default=0) - 10 * UNIT

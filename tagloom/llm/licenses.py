@@ -36,7 +36,7 @@ def words(text: str) -> list[bytes]:
 class Hashes(dict):
     """32-bit hashes of words, kept up to ``entries`` words."""
 
-    entries = 1_000_000
+    entries = 500_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = h = xxhash.xxh32_intdigest(word, 0)

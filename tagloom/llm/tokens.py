@@ -60,7 +60,7 @@ class Encoder:
 
     known: dict[str, "Encoder"] = {}
 
-    def __init__(self, path: str, entries: int = 600_000):
+    def __init__(self, path: str, entries: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
