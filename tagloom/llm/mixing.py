@@ -3,7 +3,7 @@
 A table of labelled documents names their domains. Naive Bayes over words and a few surface
 features gives every document its chance of each domain: features are counted on at most
 ``sample_rows`` labelled documents, and the ``features`` that tell domains apart best are
-kept, so the model has a fixed size. Rates r >= 0, how often each document goes into the
+kept, so the model has a fixed size; those that a document has speak for or against a domain. Rates r >= 0, how often each document goes into the
 mixture, then minimise the squared gap between expected domain tokens, the sum of
 r * tokens * chance, and their targets, by projected gradient: each round sums over all
 documents (one row a round reaches the driver), moves every rate against the gradient in the
@@ -57,11 +57,12 @@ def membership(docs: DataFrame, labelled: DataFrame, sample_rows: int, features:
     mean = sum(F.col(f"n{k}") + 0.5 for k in range(len(domains))) / (sum(total.values()) + 1.0 * len(domains))
     apart = sum(total[d] * (r * F.ln(r / mean) + (1 - r) * F.ln((1 - r) / (1 - mean))) for d, r in zip(domains, rate))
     chosen = by.withColumn("_apart", apart).orderBy(F.desc("_apart"), "f").limit(features).collect()
-    log = {r["f"]: [float(np.log((r[f"n{k}"] + 0.5) / (total[d] + 1))) for k, d in enumerate(domains)] for r in chosen}
-    lack = {f: [float(np.log1p(-np.exp(x))) for x in own] for f, own in log.items()}
-    known = F.array(*[F.lit(f) for f in log])
-    base = [float(np.log(total[d])) + sum(own[k] for own in lack.values()) for k, d in enumerate(domains)]
-    gain = F.create_map(*[x for f in log for x in (F.lit(f), F.array(*[F.lit(a - b) for a, b in zip(log[f], lack[f])]))])
+    # what a document has counts, and what it lacks does not: short documents lack most words
+    odds = [[float(np.log((r[f"n{k}"] + 0.5) / (total[d] + 1))) for k, d in enumerate(domains)] for r in chosen]
+    gain = {r["f"]: [x - float(np.log(np.exp(own).mean())) for x in own] for r, own in zip(chosen, odds)}
+    known = F.array(*[F.lit(f) for f in gain])
+    base = [float(np.log(total[d])) for d in domains]
+    gain = F.create_map(*[x for f, own in gain.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in own]))])
     hits = F.transform(F.array_intersect(F.concat("_words", F.array(*surface())), known), lambda f: gain[f])
     zero = F.array(*[F.lit(b) for b in base])
     told = with_words.withColumn("_score", F.aggregate(hits, zero, lambda a, x: F.zip_with(a, x, lambda u, v: u + v)))
