@@ -1,10 +1,557 @@
-"""The registered queries of the library and their oracle SQL."""
+"""The library's registered queries over the driver's tables, and their DuckDB twins.
+
+The tables hold no postings, so these stand for them: an order with the distinct words of its
+parts' names as tags (company: market segment, role: priority, city: nation), a document as a
+posting's text (company: source, city: lang), an event as a capture.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .functions.constants import SECTIONS
+from .operators import dedup, evidence, graph, kb, match, normalize, project, resume, stats, tags, upsert
+from .plans.lineage import ship
+from .sources.pages import readable_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{sf}/{name}.parquet")
+
+
+def jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """job_id, tags, company, role, city: orders, those without lines too."""
+    words = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", F.explode(F.split("p_name", " ")).alias("w"))
+    tagged = words.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("w")).alias("tags"))
+    customers = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nations: 25 rows
+    own = table(spark, sf, "orders").join(tagged, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return own.select(F.col("o_orderkey").alias("job_id"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.col("c_mktsegment").alias("company"), F.col("o_orderpriority").alias("role"), F.col("n_name").alias("city"))
+
+
+JOBS = """WITH words AS (SELECT l_orderkey, unnest(string_split(p_name, ' ')) AS w FROM lineitem JOIN part ON l_partkey = p_partkey),
+tagged AS (SELECT l_orderkey, list_sort(list_distinct(list(w))) AS tags FROM words GROUP BY 1),
+jobs AS (SELECT o_orderkey AS job_id, coalesce(tags, []) AS tags, c_mktsegment AS company, o_orderpriority AS role, n_name AS city
+FROM orders LEFT JOIN tagged ON o_orderkey = l_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT job_id, company, role, city, unnest(tags) AS tag FROM jobs)"""
+
+
+@query("tag_stats", JOBS + """ SELECT tag, count(*) AS freq, count(DISTINCT job_id) AS covered_jobs, (SELECT count(DISTINCT job_id) FROM jobs) AS total_jobs,
+count(DISTINCT job_id) / (SELECT count(DISTINCT job_id) FROM jobs) AS coverage FROM t GROUP BY tag""")
+def tag_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.tag_stats(jobs(spark, sf), "tags").orderBy(F.desc("covered_jobs"), F.desc("freq"), "tag")
+
+
+@query("tag_stats_by_group", JOBS + """, n AS (SELECT company, count(DISTINCT job_id) AS total_jobs FROM jobs WHERE company IS NOT NULL GROUP BY 1)
+SELECT company, tag, count(*) AS freq, count(DISTINCT job_id) AS covered_jobs, any_value(total_jobs) AS total_jobs, count(DISTINCT job_id) / any_value(total_jobs) AS coverage
+FROM t JOIN n USING (company) GROUP BY company, tag""")
+def tag_stats_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.tag_stats(jobs(spark, sf), "tags", group="company").orderBy("company", F.desc("coverage"), F.desc("covered_jobs"), F.desc("freq"), "tag")
+
+
+@query("keyword_overview", """WITH p AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS adjective, string_split(p_name, ' ')[2] AS noun, p_brand AS brand, p_type AS kind FROM part),
+u AS (SELECT p_partkey, 'adjective' AS tag_type, adjective AS tag FROM p UNION ALL SELECT p_partkey, 'noun', noun FROM p UNION ALL SELECT p_partkey, 'brand', brand FROM p UNION ALL SELECT p_partkey, 'kind', kind FROM p)
+SELECT tag_type, tag, count(*) AS freq, count(DISTINCT p_partkey) AS covered_jobs FROM u GROUP BY 1, 2""")
+def keyword_overview(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.split("p_name", " ")
+    parts = table(spark, sf, "part").select("p_partkey", F.array(w[0]).alias("a"), F.array(w[1]).alias("b"), F.array("p_brand").alias("c"), F.array("p_type").alias("d"))
+    return stats.keyword_overview(parts, {"adjective": "a", "noun": "b", "brand": "c", "kind": "d"}, "p_partkey")
+
+
+@query("raw_keyword_stats", """WITH w AS (SELECT l_orderkey, unnest(string_split(p_name, ' ')) AS tag FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT tag, count(*) AS freq, count(DISTINCT l_orderkey) AS covered_jobs FROM w GROUP BY 1""")
+def raw_keyword_stats(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return stats.raw_keyword_stats(rows.select("l_orderkey", F.split("p_name", " ").alias("w")), "w", "l_orderkey")
+
+
+@query("value_distribution_topk", "SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+def value_distribution_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.value_counts(table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")), "n_name", 15)
+
+
+@query("category_share", "SELECT c_mktsegment AS value, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM customer GROUP BY 1")
+def category_share(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.shares(table(spark, sf, "customer"), "c_mktsegment")
+
+
+@query("company_mapping", """WITH s AS (SELECT n_name, s_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+d AS (SELECT n_name, s_name, min(s_suppkey) AS pos FROM s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY pos) AS k FROM d)
+SELECT s.n_name, count(DISTINCT s.s_suppkey) AS jobs, (SELECT count(*) FROM d WHERE d.n_name = s.n_name) AS raw_names,
+(SELECT string_agg(s_name, '、' ORDER BY k) FROM r WHERE r.n_name = s.n_name AND k <= 5) AS samples FROM s GROUP BY s.n_name""")
+def company_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return stats.mapping_table(rows, "n_name", "s_name", "s_suppkey", "s_suppkey")
+
+
+@query("global_filters", "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')")
+def global_filters(spark: SparkSession, sf: str) -> DataFrame:
+    return project.in_lists(table(spark, sf, "documents"), {"lang": ["en", "de"], "source": ["src1", "src2", "src3"], "text": []}).select("doc_id", "lang", "source")
+
+
+@query("detail_search", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licensed? under|released') OR regexp_matches(source, '(?i)licensed? under|released')")
+def detail_search(spark: SparkSession, sf: str) -> DataFrame:
+    return project.search(table(spark, sf, "documents"), "licensed? under|released", ["text", "source"]).select("doc_id")
+
+
+@query("tag_lookup_context", """WITH p AS (SELECT doc_id, text, instr(lower(text), 'that') AS p FROM documents)
+SELECT doc_id, CASE WHEN p > 0 THEN substr(text, greatest(p - 50, 1), p + 4 + 50 - greatest(p - 50, 1)) ELSE '' END AS context FROM p WHERE list_contains(string_split(lower(text), ' '), 'that')""")
+def tag_lookup_context(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("words", F.split(F.lower("text"), " "))
+    return project.tag_lookup(docs, "words", "that", "text", 50).select("doc_id", "context")
+
+
+@query("text_normalize", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]+>', ' ', 'g'), 'https?://[^\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g'),
+'[^\x{4e00}-\x{9fa5}a-zA-Z0-9+#.]+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS norm FROM documents""")
+def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.normalized("text").alias("norm"))
+
+
+@query("region_normalize", """SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN '北京' WHEN 1 THEN '上海' WHEN 2 THEN '深圳' WHEN 3 THEN '苏州' ELSE replace(n_name, '_', '-') END AS city FROM nation""")
+def region_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.element_at(F.array(F.lit("北京市"), F.lit("上海·浦东"), F.lit("深圳-南山/广州"), F.lit("江苏苏州工业园"), F.col("n_name")), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return table(spark, sf, "nation").select("n_nationkey", tx.region(raw).alias("city"))
+
+
+@query("tokenize_filter", r"""WITH n AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\x{4e00}-\x{9fa5}a-z0-9+#.]+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE NOT regexp_matches(text, '<|://'))
+SELECT doc_id, len(list_filter(w, lambda x: len(x) >= 2 AND x NOT IN ('the', 'of', 'and'))) AS n FROM n""")
+def tokenize_filter(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").filter("not text rlike '<|://'")
+    return docs.select("doc_id", F.size(tx.tokens("text", {"the", "of", "and"})).cast("long").alias("n"))
+
+
+WORDS = ["the", "of", "and", "with", "that", "this", "not", "was", "une", "der"]
+BOUND = "regexp_matches(lower(text), '(^|[^A-Za-z0-9_]){w}($|[^A-Za-z0-9_])')"
+
+
+@query("dictionary_tagging", "SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {BOUND.format(w=w)} THEN '{w}' END" for w in sorted([*WORDS, 'node.js'], key=lambda w: (-len(w), w))) + "], lambda x: x IS NOT NULL), ',') AS tags FROM documents")
+def dictionary_tagging(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.array_join(tags.found(F.col("text"), [*WORDS, "node.js"]), ",").alias("tags"))
+
+
+TRAITS = {"article": {"definite": ["the"], "indefinite": ["a"]}, "link": {"and": ["and"], "of": ["of", "with"]}}
+COUNT = "len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x = '{w}'))"
+TRAIT_SQL = "WITH r AS (" + " UNION ALL ".join(f"SELECT doc_id, source, lang, '{a}' AS l1, '{b}' AS l2, " + " + ".join(COUNT.format(w=w) for w in ws) + " AS hits FROM documents" for a, g in TRAITS.items() for b, ws in g.items()) + "), h AS (SELECT * FROM r WHERE hits > 0)"
+
+
+def trait_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return tags.traits(table(spark, sf, "documents"), TRAITS, "text", ["doc_id", "source", "lang"])
+
+
+@query("trait_table", TRAIT_SQL + " SELECT doc_id, source, lang, l1, l2, hits::INTEGER AS hits FROM h")
+def trait_table(spark: SparkSession, sf: str) -> DataFrame:
+    return trait_rows(spark, sf)
+
+
+@query("trait_summary", TRAIT_SQL + " SELECT l1, count(DISTINCT doc_id) AS jobs, sum(hits)::BIGINT AS hits FROM h GROUP BY 1")
+def trait_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.trait_summary(trait_rows(spark, sf), "doc_id")
+
+
+@query("trait_pivot_region", TRAIT_SQL + " SELECT lang, count(DISTINCT CASE WHEN l1 = 'article' THEN doc_id END) AS article, count(DISTINCT CASE WHEN l1 = 'link' THEN doc_id END) AS link FROM h GROUP BY 1")
+def trait_pivot_region(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.trait_pivot(trait_rows(spark, sf), "lang", ["article", "link"], "doc_id")
+
+
+@query("trait_pivot_company", TRAIT_SQL + """, b AS (SELECT source FROM h GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 15)
+SELECT source, count(DISTINCT CASE WHEN l1 = 'article' THEN doc_id END) AS article, count(DISTINCT CASE WHEN l1 = 'link' THEN doc_id END) AS link FROM h SEMI JOIN b USING (source) GROUP BY 1""")
+def trait_pivot_company(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.trait_pivot(trait_rows(spark, sf), "source", ["article", "link"], "doc_id", top=15)
+
+
+RULES = {"metal": ["bolt", "nut"], "round": ["ring", "widget"], "plain": ["red", "blue"]}
+
+
+@query("title_category", """SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' OR p_name LIKE '%nut%' THEN 'metal' WHEN p_name LIKE '%ring%' OR p_name LIKE '%widget%' THEN 'round'
+WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'plain' ELSE '其他' END AS category FROM part""")
+def title_category(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", normalize.category("p_name", RULES).alias("category"))
+
+
+@query("company_name_norm", """SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Supplier#' || lpad(s_suppkey::VARCHAR, 9, '0') WHEN 1 THEN '星辰' || s_suppkey WHEN 2 THEN '云图' ELSE '未知公司' END AS company FROM supplier""")
+def company_name_norm(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    raw = F.when(k % 4 == 0, F.concat("s_name", F.lit("（北京分公司）"))).when(k % 4 == 1, F.concat(F.lit("北京 星辰"), k.cast("string"), F.lit("科技有限公司｜招聘"))).when(k % 4 == 2, "云图智能 集团").otherwise(" ")
+    return table(spark, sf, "supplier").select("s_suppkey", normalize.company(raw, normalize.alias_map({"云图": ["云图智能集团"]})).alias("company"))
+
+
+@query("title_norm", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'AI产品经理' WHEN 1 THEN '大模型产品经理' WHEN 2 THEN '数据分析师' WHEN 3 THEN '未知职位' ELSE replace(p_name, ' ', '') END AS title FROM part""")
+def title_norm(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    raw = F.when(k % 5 == 0, "急聘ai/产品经理（双休）").when(k % 5 == 1, "LLM 产品经理-校招").when(k % 5 == 2, "高薪 BI 分析师").when(k % 5 == 3, "　").otherwise(F.col("p_name"))
+    return table(spark, sf, "part").select("p_partkey", normalize.title(raw).alias("title"))
+
+
+@query("rule_sections", """WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN '负责' || o_orderkey || '号智能客服落地' WHEN 1 THEN '' ELSE '节点管理' END AS duties, CASE k WHEN 0 THEN '熟悉Python' ELSE '' END AS wants,
+CASE k WHEN 0 THEN '智能客服落地' WHEN 1 THEN '' ELSE '节点管理' END AS rule_duties, CASE k WHEN 0 THEN 'Python' WHEN 1 THEN '' ELSE '节点管理' END AS rule_must FROM d""")
+def rule_sections(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    detail = F.when(k % 3 == 0, F.concat(F.lit("岗位职责：负责"), k.cast("string"), F.lit("号智能客服落地；任职要求: 熟悉Python 加分项：飞书"))).when(k % 3 == 1, "无").otherwise("工作内容　节点管理")
+    rows = tags.rule_profile(table(spark, sf, "orders").select("o_orderkey", detail.alias("detail")), "detail")
+    source = tx.repaired("detail")
+    return rows.select("o_orderkey", tx.section(source, *SECTIONS["responsibilities"]).alias("duties"), tx.section(source, *SECTIONS["requirements"]).alias("wants"), F.array_join("_rule_duties", ",").alias("rule_duties"), F.array_join("_rule_must", ",").alias("rule_must"))
+
+
+@query("tag_fusion", JOBS + """, f AS (SELECT job_id, list_transform(tags || [company], lambda x: CASE WHEN x = 'red' THEN 'crimson' ELSE x END) AS a FROM jobs)
+SELECT job_id, array_to_string(list_sort(list_distinct(a)), ',') AS fused FROM f""")
+def tag_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs(spark, sf).withColumn("more", F.array("company"))
+    out = tags.fuse(rows, {"hard": ["tags", "more"]}, {"hard": {"red": "crimson"}})
+    return out.select("job_id", F.array_join(F.array_sort("final_hard_tags"), ",").alias("fused"))
+
+
+NODES = ", c AS (SELECT tag AS id, count(*) AS n, count(DISTINCT job_id) AS jobs FROM t GROUP BY 1 ORDER BY n DESC, id LIMIT 12)"
+EDGES = NODES + """, e AS (SELECT a.tag AS src, b.tag AS dst, count(*) AS weight FROM t a JOIN t b ON a.job_id = b.job_id AND a.tag < b.tag
+WHERE a.tag IN (SELECT id FROM c) AND b.tag IN (SELECT id FROM c) GROUP BY 1, 2 HAVING count(*) >= 2)"""
+ENDS = EDGES + """, s AS (SELECT id, count(*) AS degree, sum(weight)::DOUBLE AS weighted_degree FROM (SELECT src AS id, weight FROM e UNION ALL SELECT dst, weight FROM e) GROUP BY 1)"""
+
+
+def network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.cooccurrence(jobs(spark, sf), "tags", top=12)
+
+
+@query("cooccurrence_nodes", JOBS + NODES + " SELECT id, n AS count, jobs AS coverage_jobs, jobs / (SELECT count(*) FROM jobs) AS coverage FROM c")
+def cooccurrence_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return network(spark, sf)[0]
+
+
+@query("cooccurrence_edges", JOBS + EDGES + " SELECT * FROM e")
+def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.top_edges(network(spark, sf)[1])
+
+
+@query("skill_combinations", JOBS + """ SELECT a.tag AS a, b.tag AS b, count(*) AS support, count(*) / (SELECT count(*) FROM jobs) AS rate FROM t a JOIN t b ON a.job_id = b.job_id AND a.tag < b.tag
+GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY support DESC, a, b LIMIT 20""")
+def skill_combinations(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.pair_support(jobs(spark, sf), "tags", 2, 20)
+
+
+@query("job_similarity_edges", JOBS + """, f AS (SELECT * FROM jobs ORDER BY job_id LIMIT 80),
+p AS (SELECT a.job_id AS src, b.job_id AS dst, list_sort(list_intersect(a.tags, b.tags)) AS common, len(a.tags) AS na, len(b.tags) AS nb FROM f a JOIN f b ON a.job_id < b.job_id)
+SELECT src, dst, (len(common) * 1000 // (na + nb - len(common)))::BIGINT AS permille, array_to_string(common, '、') AS shared FROM p WHERE len(common) > 0 AND len(common) / (na + nb - len(common)) >= 0.25""")
+def job_similarity_edges(spark: SparkSession, sf: str) -> DataFrame:
+    edges = graph.job_similarity(jobs(spark, sf), "tags", "job_id", [F.asc("job_id")])
+    exact = F.size(F.split("shared", "、"))
+    both = jobs(spark, sf).select("job_id", F.size("tags").alias("n"))
+    out = edges.join(both.select(F.col("job_id").alias("src"), F.col("n").alias("na")), "src").join(both.select(F.col("job_id").alias("dst"), F.col("n").alias("nb")), "dst")
+    return out.select("src", "dst", F.floor(exact * 1000 / (F.col("na") + F.col("nb") - exact)).cast("long").alias("permille"), "shared")
+
+
+BI = """, l AS (SELECT {left} AS l, count(*) AS n FROM jobs {where} GROUP BY 1 ORDER BY n DESC, l LIMIT {a}), b AS (SELECT tag, count(*) AS n FROM t WHERE {left} IN (SELECT l FROM l) GROUP BY 1 ORDER BY n DESC, tag LIMIT {b})
+SELECT '{p}::' || {left} AS src, 'tag::' || tag AS dst, count(*) AS weight FROM t WHERE {left} IN (SELECT l FROM l) AND tag IN (SELECT tag FROM b) GROUP BY 1, 2 HAVING count(*) >= 2"""
+
+
+@query("bipartite_edges", JOBS + BI.format(left="company", where="", a=20, b=10, p="company"))
+def bipartite_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.bipartite(jobs(spark, sf), "company", "tags", "company", 20, 10)[1]
+
+
+@query("role_tag_edges", JOBS + BI.format(left="role", where="WHERE len(tags) > 0", a=3, b=10, p="role"))
+def role_tag_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.bipartite(jobs(spark, sf), "role", "tags", "role", 3, 10, tagged_only=True)[1]
+
+
+@query("node_importance", JOBS + ENDS + " SELECT c.id, degree, weighted_degree, degree / (SELECT count(*) - 1 FROM c) AS centrality FROM c JOIN s USING (id)")
+def node_importance(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = network(spark, sf)
+    return graph.importance(nodes, edges).select("id", "degree", "weighted_degree", "centrality")
+
+
+@query("top_nodes", JOBS + ENDS + " SELECT id, weighted_degree FROM s ORDER BY weighted_degree DESC, id LIMIT 5")
+def top_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.top_nodes(graph.importance(*network(spark, sf)), 5).select("id", "weighted_degree")
+
+
+@query("graph_summary", JOBS + EDGES + """ SELECT (SELECT count(*) FROM c) AS nodes, (SELECT count(*) FROM e) AS edges, round(2 * (SELECT count(*) FROM e) / (SELECT count(*) FROM c), 2) AS avg_degree, 1::BIGINT AS components,
+round(2 * (SELECT count(*) FROM e) / ((SELECT count(*) FROM c) * ((SELECT count(*) FROM c) - 1)), 4) AS density""")
+def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.summary(*network(spark, sf))
+
+
+@query("communities", JOBS + ", r AS (SELECT company, role FROM jobs) SELECT DISTINCT 'c:' || company AS id, 'c:AUTOMOBILE' AS community FROM jobs")
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs(spark, sf).select(F.concat(F.lit("c:"), "company").alias("src"), F.concat(F.lit("r:"), "role").alias("dst")).distinct().withColumn("weight", F.lit(1))
+    nodes = rows.select(F.col("src").alias("id")).union(rows.select("dst")).distinct()
+    return graph.communities(nodes, rows).filter("id like 'c:%'")
+
+
+@query("effort_priority", JOBS + ENDS + """, k AS (SELECT c.id, degree, weighted_degree, jobs / (SELECT count(*) FROM jobs) AS coverage FROM c JOIN s USING (id))
+SELECT id, CASE WHEN v >= 18 THEN 'top' WHEN v >= 10 THEN 'high' WHEN v >= 6 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT id, 0.55 * weighted_degree + 0.25 * degree + 20 * coverage AS v FROM k)""")
+def effort_priority(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.effort_priority(graph.importance(*network(spark, sf))).select("id", "priority")
+
+
+@query("ego_subgraph", JOBS + EDGES + """, f AS (SELECT min(id) AS x FROM c), i AS (SELECT x AS id FROM f UNION SELECT dst FROM e, f WHERE src = x UNION SELECT src FROM e, f WHERE dst = x)
+SELECT src, dst, weight FROM e WHERE src IN (SELECT id FROM i) AND dst IN (SELECT id FROM i)""")
+def ego_subgraph(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = network(spark, sf)
+    first = nodes.agg(F.min("id")).first()[0]
+    return graph.ego(nodes, edges, first)[1] if first else edges
+
+
+@query("filtered_graph", JOBS + ENDS + """, k AS (SELECT id FROM s ORDER BY weighted_degree DESC, id LIMIT 6) SELECT src, dst, weight FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)""")
+def filtered_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.filtered(*network(spark, sf), least=1, most=6)[1]
+
+
+@query("high_coverage_tags", JOBS + " SELECT tag, count(DISTINCT job_id) AS rows, 'tags' AS columns, count(DISTINCT job_id) / (SELECT count(*) FROM jobs) AS coverage FROM t GROUP BY 1 HAVING count(DISTINCT job_id) / (SELECT count(*) FROM jobs) >= 0.3")
+def high_coverage_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.high_coverage_tags(jobs(spark, sf), ["tags"], "job_id", 0.3)
+
+
+@query("column_coverage", JOBS + """ SELECT 'tags' AS column_name, count(*) FILTER (len(tags) > 0) AS rows_with_tags, count(*) AS total_rows, count(*) FILTER (len(tags) > 0) / count(*) AS coverage, sum(len(tags))::BIGINT AS tags FROM jobs
+UNION ALL SELECT 'absent', 0, count(*), 0.0, 0 FROM jobs""")
+def column_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.column_coverage(jobs(spark, sf), ["tags", "absent"])
+
+
+@query("tag_diagnosis", JOBS + """ SELECT 'tags' AS column_name, CASE WHEN count(*) FILTER (len(tags) > 0) / count(*) >= 0.7 THEN 'high' ELSE 'medium' END AS advice FROM jobs UNION ALL SELECT 'absent', 'empty'""")
+def tag_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.diagnosis(jobs(spark, sf), ["tags", "absent"]).select("column_name", "advice")
+
+
+DIM = """WITH p AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), u AS (SELECT k, 'name' AS dim, a AS tag FROM p UNION ALL SELECT k, 'name', b FROM p UNION ALL SELECT k, 'second', b FROM p)"""
+
+
+def dims(spark: SparkSession, sf: str) -> DataFrame:
+    w = F.split("p_name", " ")
+    return table(spark, sf, "part").select("p_partkey", w.alias("name"), F.array(w[1]).alias("second"))
+
+
+@query("dimension_overlap", DIM + " SELECT tag, count(DISTINCT dim) AS dimensions, string_agg(DISTINCT dim, ',' ORDER BY dim) AS names, count(DISTINCT k) AS rows FROM u GROUP BY 1")
+def dimension_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.dimension_overlap(dims(spark, sf), {"name": "name", "second": "second"}, "p_partkey")
+
+
+@query("dimension_top", DIM + """, c AS (SELECT dim, tag, count(DISTINCT k) AS n FROM u GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY n DESC, tag)::INTEGER AS rank FROM c)
+SELECT dim, rank, tag, n, n / (SELECT count(*) FROM part) AS rate FROM r WHERE rank <= 5""")
+def dimension_top(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.top_by_dimension(dims(spark, sf), {"name": "name", "second": "second"}, "p_partkey", 5)
+
+
+EV = "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for w in WORDS[:6]) + """) v(tag)),
+d AS (SELECT doc_id, text, source, lang, tag FROM documents, w WHERE regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || tag || '($|[^A-Za-z0-9_])'))"""
+
+
+@query("evidence_table", EV + """ SELECT tag, count(*) AS freq, count(DISTINCT doc_id) AS jobs, count(DISTINCT source) AS companies, count(DISTINCT lang) AS roles, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM documents) AS coverage,
+count(DISTINCT source) / (SELECT count(DISTINCT source) FROM documents) AS company_coverage, 1.0::DOUBLE AS evidence_rate FROM d GROUP BY 1""")
+def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("tags", tags.found(F.col("text"), WORDS[:6])).withColumn("title", F.lit(""))
+    out = evidence.tag_evidence(docs, "tags", "text", "title", "source", "lang", "doc_id")
+    return out.select("tag", "freq", "jobs", "companies", "roles", "coverage", "company_coverage", "evidence_rate")
+
+
+@query("opportunity", """WITH d AS (SELECT lang, count(DISTINCT doc_id) AS jobs, count(DISTINCT source) AS companies FROM documents GROUP BY 1)
+SELECT lang AS role, jobs, companies, CASE WHEN least(jobs, 30) * 1.2 + least(companies, 20) * 1.3 + 27.5 >= 65 THEN '高' WHEN least(jobs, 30) * 1.2 + least(companies, 20) * 1.3 + 27.5 >= 45 THEN '中' ELSE '低' END AS priority FROM d""")
+def opportunity(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.opportunity(table(spark, sf, "documents"), "lang", "source", evidence.fresh_score(F.col("text")), "doc_id").select("role", "jobs", "companies", "priority")
+
+
+@query("fresh_jobs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 80 WHEN 1 THEN 8 WHEN 2 THEN 42 ELSE 50 END::INTEGER AS fresh_score, CASE o_orderkey % 4 WHEN 0 THEN '高' ELSE '低' END AS fresh_level FROM orders ORDER BY 2 DESC, 1 LIMIT 30""")
+def fresh_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, "接受应届").when(k % 4 == 1, "要求3年以上").when(k % 4 == 2, "1-2年").otherwise("")
+    return evidence.fresh_jobs(table(spark, sf, "orders").withColumn("t", text), F.col("t"), "o_orderkey").select("o_orderkey", "fresh_score", "fresh_level")
+
+
+@query("evidence_examples", """WITH d AS (SELECT doc_id, text, regexp_extract(lower(text), '^(.*?)(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])', 0, 's') AS m FROM documents WHERE regexp_matches(lower(text), '(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])'))
+SELECT doc_id FROM d ORDER BY doc_id LIMIT 5""")
+def evidence_examples(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("tags", tags.found(F.col("text"), WORDS))
+    return evidence.examples(docs, "tags", "that", "text", "doc_id").select("doc_id")
+
+
+@query("job_match", JOBS + """, h AS (SELECT job_id, company, role, city, tags, len(list_filter(tags, lambda x: x IN ('red', 'bolt', 'ring'))) AS m FROM jobs)
+SELECT job_id, CASE WHEN len(tags) = 0 THEN 30 ELSE (30 * m) // len(tags) END::INTEGER AS match_hard, 10::INTEGER AS match_soft, CASE WHEN role LIKE '1-%' THEN 14 ELSE 6 END::INTEGER AS match_direction, 8::INTEGER AS match_degree, 10::INTEGER AS match_experience,
+CASE WHEN city = 'NATION_3' OR contains(city, 'NATION_3') OR contains('NATION_3', city) THEN 5 ELSE 1 END::INTEGER AS match_city, 6::INTEGER AS match_fresh FROM h""")
+def job_match(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs(spark, sf).withColumns({"title_norm": F.lit(""), "category": F.lit(""), "direction": F.col("role"), "ordinal": F.col("job_id")})
+    out = match.match(rows, {"hard_skills": ["red", "bolt", "ring"], "roles": ["1-URGENT"], "cities": ["NATION_3"]}, ["tags"], [])
+    return out.select("job_id", "match_hard", "match_soft", "match_direction", "match_degree", "match_experience", "match_city", "match_fresh")
+
+
+@query("missing_skills", JOBS + """, h AS (SELECT job_id, role, city, list_filter(tags, lambda x: x NOT IN ('red', 'bolt', 'ring')) AS missing, tags FROM jobs),
+s AS (SELECT *, CASE WHEN len(tags) = 0 THEN 30 ELSE (30 * (len(tags) - len(missing))) // len(tags) END + CASE WHEN role LIKE '1-%' THEN 14 ELSE 6 END AS score FROM h ORDER BY score DESC, job_id LIMIT 20), m AS (SELECT unnest(list_slice(missing, 1, 10)) AS skill FROM s)
+SELECT skill, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, skill LIMIT 10""")
+def missing_skills(spark: SparkSession, sf: str) -> DataFrame:
+    rows = jobs(spark, sf).withColumns({"title_norm": F.lit(""), "category": F.lit(""), "direction": F.col("role"), "ordinal": F.col("job_id")}).drop("city")
+    ranked = match.match(rows, {"hard_skills": ["red", "bolt", "ring"], "roles": ["1-URGENT"]}, ["tags"], [])
+    return match.missing_counts(ranked, [F.desc("match_total"), F.asc("job_id")])
+
+
+EX = """WITH d AS (SELECT *, md5(text) AS h, count(*) OVER (PARTITION BY md5(text), lang) AS n FROM documents), g AS (SELECT *, dense_rank() OVER (ORDER BY h, lang) AS id FROM d WHERE n > 1)"""
+
+
+def exact_groups(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumns({"h": F.md5("text"), "captured_at": F.lit(None).cast("string"), "ordinal": F.col("doc_id")})
+    return dedup.exact(docs, ["h", "lang"], detail="text")
+
+
+@query("exact_dedup", EX + " SELECT d.doc_id, coalesce('EXACT_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0'), '') AS duplicate_group_id, d.n > 1 AS is_duplicate, row_number() OVER (PARTITION BY d.h, d.lang ORDER BY d.doc_id) = 1 AS duplicate_keep FROM d LEFT JOIN g ON d.doc_id = g.doc_id")
+def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_groups(spark, sf).select("doc_id", "duplicate_group_id", "is_duplicate", "duplicate_keep")
+
+
+@query("dedup_summary", EX + " SELECT count(*) AS total, (SELECT count(DISTINCT id) FROM g) AS groups, count(*) FILTER (n > 1) AS duplicates, (SELECT count(DISTINCT (h, lang)) FROM d) AS kept FROM d")
+def dedup_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.summary(exact_groups(spark, sf))
+
+
+@query("duplicate_groups", EX + " SELECT 'EXACT_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0') AS duplicate_group_id, count(DISTINCT doc_id) AS jobs, arg_min(source, doc_id) AS company, arg_min(lang, doc_id) AS title, 1.0::DOUBLE AS max_similarity FROM g GROUP BY id")
+def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.group_stats(exact_groups(spark, sf), "doc_id", "source", "lang")
+
+
+@query("keep_record", """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, length(o_orderpriority) DESC, o_orderkey) AS k FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE k = 1""")
+def keep_record(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").withColumn("at", F.col("o_orderdate").cast("string"))
+    return dedup.keep_one(rows, ["o_custkey"], captured="at", detail="o_orderpriority", order="o_orderkey").filter("duplicate_keep").select("o_custkey", "o_orderkey")
+
+
+@query("near_dedup")
+def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicates among the conversations' turns of one role and conversation; tested against brute force."""
+    rows = table(spark, sf, "conversations").withColumns({"ordinal": F.col("conv_id") * 1000 + F.col("turn"), "captured_at": F.lit(None).cast("string")})
+    return dedup.similar(rows, "text", ["conv_id", "role"]).select("ordinal", "duplicate_group_id", "duplicate_keep", "max_similarity_in_group")
+
+
+CAP = "WITH ev AS (SELECT *, user_id || ':' || event_type AS k FROM events), base AS (SELECT * FROM ev WHERE event_id % 2 = 0), new AS (SELECT * FROM ev WHERE event_id % 2 = 1), "
+
+
+def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two captures of the feed: the tables that are merged, together all of it."""
+    ev = table(spark, sf, "events").select("event_id", "value", F.concat_ws(":", "user_id", "event_type").alias("k"))
+    return ev.filter("event_id % 2 = 0"), ev.filter("event_id % 2 = 1")
+
+
+LAST = "(SELECT k, max(event_id) AS event_id FROM {t} GROUP BY 1)"
+
+
+@query("capture_merge_update", CAP + f"b AS {LAST.format(t='base')}, n AS {LAST.format(t='new')} SELECT k, event_id FROM n UNION ALL SELECT k, event_id FROM b WHERE k NOT IN (SELECT k FROM n)")
+def capture_merge_update(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.merge(*halves(spark, sf), "merge_update", "k", "event_id").select("k", "event_id")
+
+
+@query("capture_append_new", CAP + f"b AS {LAST.format(t='base')}, n AS {LAST.format(t='new')} SELECT k, event_id FROM b UNION ALL SELECT k, event_id FROM n WHERE k NOT IN (SELECT k FROM b)")
+def capture_append_new(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.merge(*halves(spark, sf), "append_new", "k", "event_id").select("k", "event_id")
+
+
+@query("capture_overwrite", CAP + f"n AS {LAST.format(t='new')} SELECT k, event_id FROM n")
+def capture_overwrite(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.merge(*halves(spark, sf), "overwrite", "k", "event_id").select("k", "event_id")
+
+
+@query("import_summary", CAP + """b AS (SELECT DISTINCT k FROM base), n AS (SELECT k, count(*) AS c FROM new GROUP BY 1)
+SELECT (SELECT count(*) FROM b) AS existing, (SELECT count(*) FROM new) AS imported, (SELECT count(*) FROM (SELECT k FROM b UNION SELECT k FROM n)) AS final, (SELECT count(*) FROM n WHERE k IN (SELECT k FROM b)) AS updated, (SELECT sum(c - 1)::BIGINT FROM n) AS duplicates""")
+def import_summary(spark: SparkSession, sf: str) -> DataFrame:
+    base, new = halves(spark, sf)
+    return upsert.import_summary(base, new, "k")
+
+
+@query("capture_status", CAP + "b AS (SELECT DISTINCT k FROM base) SELECT event_id, CASE WHEN k IN (SELECT k FROM b) THEN 'updated' ELSE 'created' END AS status FROM new")
+def capture_status(spark: SparkSession, sf: str) -> DataFrame:
+    base, new = halves(spark, sf)
+    return upsert.status(base, new, "k").select("event_id", "status")
+
+
+@query("row_key", "SELECT page_id, CASE WHEN url <> '' THEN 'url:' || url ELSE 'hash:' || md5('|||') END AS key FROM pages")
+def row_key(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").withColumnRenamed("url", "page_url")
+    return pages.select("page_id", upsert.row_key(pages).alias("key"))
+
+
+@query("vector_topk", """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS c FROM embeddings, q)
+SELECT vec_id FROM s ORDER BY round(c, 4) DESC, vec_id LIMIT 5""")
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    store = table(spark, sf, "embeddings")
+    q = store.filter("vec_id = 0").select("embedding").first()
+    return kb.search(store, list(q[0]) if q else [0.0], "vec_id").select("vec_id")
+
+
+@query("evidence_by_type", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items FROM r GROUP BY 1")
+def evidence_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").cast("string").alias("item"))
+    return kb.by_kind(rows, "label", "item", "vec_id").select("label", F.array_join("items", ",").alias("items"))
+
+
+@query("chunks_fixed", """WITH s AS (SELECT doc_id, regexp_replace(text, '^[\\s\\x{00a0}\\x{3000}]+|[\\s\\x{00a0}\\x{3000}]+$', '', 'g') AS t FROM documents), c AS (SELECT doc_id, unnest(generate_series(1, greatest(len(t), 1), 780)) AS i, t FROM s)
+SELECT doc_id, count(*) AS chunks, sum(len(trim(substr(t, i, 900), ' ')))::BIGINT AS chars FROM c WHERE len(trim(substr(t, i, 900), ' ')) >= 80 GROUP BY 1""")
+def chunks_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(kb.windows("text")).alias("c"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("c")).cast("long").alias("chars"))
+
+
+@query("chunks_paragraph")
+def chunks_paragraph(spark: SparkSession, sf: str) -> DataFrame:
+    return kb.chunks(table(spark, sf, "documents"))
+
+
+@query("keyword_retrieval", """SELECT doc_id, (contains(lower(text), 'license')::INT + contains(lower(text), 'that')::INT + contains(lower(text), 'under')::INT)::INTEGER AS score FROM documents ORDER BY 2 DESC, 1 LIMIT 8""")
+def keyword_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    return match.retrieve(table(spark, sf, "documents"), "text", "license that under x", "doc_id").select("doc_id", "score")
+
+
+@query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def html_title(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", tx.html_title("html").alias("title"))
+
+
+@query("html_text")
+def html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", readable_text("html").alias("text"))
+
+
+@query("resume_fields")
+def resume_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return resume.fields(table(spark, sf, "conversations"), "text").select("conv_id", "turn", resume.profile().alias("profile"))
+
+
+@query("stream_upsert", "SELECT user_id || ':' || event_type AS k, max(event_id) AS event_id FROM events GROUP BY 1")
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed replayed as a stream and merged by key; the snapshot equals the batch result."""
+    import uuid
+
+    from .plans.lineage import shared_dir
+    from .streaming.capture import snapshot, upsert_batches
+
+    schema = table(spark, sf, "events").schema
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    feed = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet").withColumn("k", F.concat_ws(":", "user_id", "event_type"))
+    upsert_batches(feed.select("k", "event_id"), f"{root}/table", "k", "event_id", f"{root}/log").awaitTermination()
+    return snapshot(spark, f"{root}/table").select("k", "event_id")
+
+
+@query("table_signature", "SELECT count(*) AS n FROM orders")
+def table_signature(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.signature(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"]).select("n")
+
+
+@query("latest_capture", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+def latest_capture(spark: SparkSession, sf: str) -> DataFrame:
+    return upsert.last_of(table(spark, sf, "events"), ["user_id"], "event_id").select("user_id", "event_id")
+
+
+@query("share_window", "SELECT n_name, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def share_window(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
