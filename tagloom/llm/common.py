@@ -1,67 +1,14 @@
-"""What the operators of this package share: worker import path, shared tables, query input."""
+"""What the operators of this package share: query input, and the library's lineage helpers."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it.
-
-    On a cluster whose machines do not hold the repository at the same path,
-    submit it with ``--py-files``; the path added here is then ignored.
-    """
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
-    return spark
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    sc = spark.sparkContext
-    set_to = sc.getConf().get("spark.checkpoint.dir", None)
-    if set_to:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(set_to)
-        return set_to
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = tempfile.mkdtemp(prefix="tagloom-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        sc.setCheckpointDir(f"file://{own}")
-    return sc._jsc.sc().getCheckpointDir().get()
+from ..plans.lineage import cut, saved, shared_dir, ship
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Write a Parquet table to the shared folder and read it back: column-pruned, compressed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "saved", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table by the path that Spark's readers open."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_of(df: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id and the text, null text read as empty; other columns go."""
-    return df.select("doc_id", F.coalesce(F.col(column), F.lit("")).alias("text"))

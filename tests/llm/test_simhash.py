@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tagloom.llm import simhash
-from tagloom.llm.components import components
+from tagloom.plans.components import components
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, part int"
 
