@@ -17,7 +17,11 @@ EXTENSIONS = (".csv", ".xlsx", ".xls", ".json")
 
 
 def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
-    """A CSV of quoted, maybe many-lined cells, all as strings, in the first encoding that reads it without damage."""
+    """A CSV of quoted, maybe many-lined cells, all as strings, in the first encoding that reads it without damage.
+
+    Chinese encodings need the session's setting for all of Java's character sets, which is switched on.
+    """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for encoding in encodings:
         df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding)
         df = df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
