@@ -20,21 +20,24 @@ from .common import cut
 
 
 def words(text: str) -> Column:
-    """Blank-separated words in lower case, without ASCII punctuation at the ends."""
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s.,;:()\"]+"), lambda w: w != "")
+    """Words in lower case, parted by blanks, line ends and marks of the sentence."""
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s.,;:()\"]+"), "")
+
+
+#: Characters that the surface features count, each kind by one sign.
+KINDS = {"!": "!#$%&*|<>{}=@~^\\/_", "0": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def signs(text: str) -> Column:
+    """The text with one sign for all characters of a kind: one pass, after which counting is cheap."""
+    return F.translate(F.coalesce(F.col(text), F.lit("")), "".join(KINDS.values()), "".join(k * len(v) for k, v in KINDS.items()))
 
 
 def surface() -> list[Column]:
-    """Features that are no words: shares of punctuation, digits, capitals and repeats, in steps."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.length(text) + 1
-    share = lambda chars: (size - 1 - F.length(F.translate(text, chars, ""))) / size
-    kinds = {
-        "#marks": share("!#$%&*|<>{}=@~^\\/_"),
-        "#digits": share("0123456789"),
-        "#capitals": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "#distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)),
-    }
+    """Features that are no words: shares of marks, digits, capitals and distinct words, in steps."""
+    size = F.length("_signs") + 1
+    share = lambda sign: (F.length("_signs") - F.length(F.replace(F.col("_signs"), F.lit(sign), F.lit("")))) / size
+    kinds = {"#marks": share("!"), "#digits": share("0"), "#capitals": share("A"), "#distinct": F.size("_set") / F.greatest(F.size("_words"), F.lit(1))}
     return [F.concat(F.lit(name), F.least(F.floor(c * 20), F.lit(20)).cast("string")) for name, c in kinds.items()]
 
 
@@ -45,9 +48,9 @@ def membership(docs: DataFrame, labelled: DataFrame, sample_rows: int, features:
     """
     labelled = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("_domain"), F.max("domain").alias("_other")).filter("_domain = _other")
     labelled = labelled.select("doc_id", "_domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    with_words = docs.withColumn("_words", words("text"))
+    with_words = docs.withColumns({"_words": words("text"), "_signs": signs("text")}).withColumn("_set", F.array_distinct("_words"))
     sample = with_words.join(F.broadcast(labelled), "doc_id")  # at most sample_rows ids
-    seen = cut(sample.select("_domain", F.array_distinct(F.concat("_words", F.array(*surface()))).alias("_f")))
+    seen = cut(sample.select("_domain", F.concat("_set", F.array(*surface())).alias("_f")))
     total = {r["_domain"]: r["count"] for r in seen.groupBy("_domain").count().collect()}
     domains = sorted(total)
     if not domains:
@@ -63,7 +66,7 @@ def membership(docs: DataFrame, labelled: DataFrame, sample_rows: int, features:
     known = F.array(*[F.lit(f) for f in gain])
     base = [float(np.log(total[d])) for d in domains]
     gain = F.create_map(*[x for f, own in gain.items() for x in (F.lit(f), F.array(*[F.lit(v) for v in own]))])
-    hits = F.transform(F.array_intersect(F.concat("_words", F.array(*surface())), known), lambda f: gain[f])
+    hits = F.transform(F.array_intersect(F.concat("_set", F.array(*surface())), known), lambda f: gain[f])
     zero = F.array(*[F.lit(b) for b in base])
     told = with_words.withColumn("_score", F.aggregate(hits, zero, lambda a, x: F.zip_with(a, x, lambda u, v: u + v)))
     top = F.array_max("_score")
