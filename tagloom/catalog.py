@@ -295,7 +295,7 @@ def communities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("effort_priority", JOBS + ENDS + """, k AS (SELECT c.id, degree, weighted_degree, jobs / (SELECT count(*) FROM jobs) AS coverage FROM c JOIN s USING (id))
-SELECT id, CASE WHEN v >= 18 THEN 'top' WHEN v >= 10 THEN 'high' WHEN v >= 6 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT id, 0.55 * weighted_degree + 0.25 * degree + 20 * coverage AS v FROM k)""")
+SELECT id, CASE WHEN v >= 18 THEN '必修核心' WHEN v >= 10 THEN '方向强化' WHEN v >= 6 THEN '加分项' ELSE '观察项' END AS priority FROM (SELECT id, 0.55 * weighted_degree + 0.25 * degree + 20 * coverage AS v FROM k)""")
 def effort_priority(spark: SparkSession, sf: str) -> DataFrame:
     return graph.effort_priority(graph.importance(*network(spark, sf))).select("id", "priority")
 
@@ -324,7 +324,7 @@ def column_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return stats.column_coverage(jobs(spark, sf), ["tags", "absent"])
 
 
-@query("tag_diagnosis", JOBS + """ SELECT 'tags' AS column_name, CASE WHEN count(*) FILTER (len(tags) > 0) / count(*) >= 0.7 THEN 'high' ELSE 'medium' END AS advice FROM jobs UNION ALL SELECT 'absent', 'empty'""")
+@query("tag_diagnosis", JOBS + """ SELECT 'tags' AS column_name, CASE WHEN count(*) FILTER (len(tags) > 0) / count(*) >= 0.7 THEN 'high' ELSE 'medium' END AS advice FROM jobs UNION ALL SELECT 'absent', 'low'""")
 def tag_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     return stats.diagnosis(jobs(spark, sf), ["tags", "absent"]).select("column_name", "advice")
 

@@ -100,7 +100,7 @@ def effort_priority(nodes: DataFrame) -> DataFrame:
     """nodes (with importance and coverage) with priority_score and priority."""
     score = F.bround(F.col("weighted_degree") * 0.55 + F.col("degree") * 0.25 + F.col("coverage") * 100 * 0.20, 3)
     out = nodes.withColumn("priority_score", score)
-    return out.withColumn("priority", F.when(score >= 18, "top").when(score >= 10, "high").when(score >= 6, "medium").otherwise("low"))
+    return out.withColumn("priority", F.when(score >= 18, "必修核心").when(score >= 10, "方向强化").when(score >= 6, "加分项").otherwise("观察项"))
 
 
 def top_nodes(nodes: DataFrame, n: int) -> DataFrame:

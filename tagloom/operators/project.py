@@ -166,3 +166,18 @@ def merged_tags(df: DataFrame, sources: list[str], target: str, stop: list[str]
     drop = [*stop, *too_common]
     union = F.array_distinct(F.concat(F.array().cast("array<string>"), *[F.coalesce(c, F.array().cast("array<string>")) for c in sources if c in df.columns]))
     return df.withColumn(target, F.filter(union, lambda x: ~x.isin(drop)) if drop else union)
+
+
+#: Columns that may hold a posting's address, in order.
+LINKS = ["详情链接", "岗位链接", "职位链接", "url", "URL", "link", "Link"]
+
+
+def external_link(df: DataFrame) -> Column:
+    """The first filled address column's value, else ""."""
+    have = [c for c in ("detail_url", *LINKS) if c in df.columns]
+    return F.coalesce(*[F.when(safe(c) != "", safe(c)) for c in have], F.lit(""))
+
+
+def importable(df: DataFrame, identity: list[str] = ("title", "company", "city", "detail", "detail_url", "page_url")) -> tuple[bool, list[str]]:
+    """Whether any identity column is there, and which required ones lack."""
+    return any(c in df.columns for c in identity), missing_columns(df)

@@ -91,9 +91,9 @@ def column_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def diagnosis(df: DataFrame, columns: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
-    """Coverage with a band: empty, low, medium or high."""
+    """Coverage with a band: low, medium or high."""
     c = F.col("coverage")
-    return column_coverage(df, columns).withColumn("advice", F.when(c == 0, "empty").when(c < low, "low").when(c < high, "medium").otherwise("high"))
+    return column_coverage(df, columns).withColumn("advice", F.when(c < low, "low").when(c < high, "medium").otherwise("high"))
 
 
 def best_tag_column(df: DataFrame, candidates: list[str]) -> str | None:
