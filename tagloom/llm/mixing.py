@@ -75,25 +75,50 @@ def membership(docs: DataFrame, labelled: DataFrame, sample_rows: int, features:
     return told.select(*docs.columns, "_words", *[(F.col("_raised")[k] / whole).alias(f"_p{k}") for k in range(len(domains))]), domains
 
 
-def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 60, tolerance: float = 1e-6) -> Column:
-    """The rate of each row, from columns tokens, _p0, _p1, ...; targets: tokens wanted of each domain."""
+def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+    """light (tokens, _p0, _p1, ...) with rate; targets: tokens wanted of each domain.
+
+    A round takes the whole step of the metric, or a half or quarter of it, if that brings
+    the gap down by a tenth, else the plain gradient's. Ends when the targets are met, or when
+    three rounds bring the gap down by less than a thousandth each, as of targets that no
+    rates can reach. The rates are checkpointed every few rounds, so the plan stays small.
+    """
     p = [F.col(f"_p{k}") for k in range(domains)]
-    n = F.col("tokens").cast("double")
-    rate = F.lit(1.0)
+    n, rate = F.col("tokens").cast("double"), F.col("rate")
+    live = (rate > 0).cast("double")
+    sums = [F.sum(rate * n * x) for x in p] + [F.sum(live * n * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]
     wanted = np.array(targets)
-    for _ in range(rounds):
-        live = (rate > 0).cast("double")
-        sums = [F.sum(rate * n * x) for x in p] + [F.sum(live * n * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]
-        got = [float(x or 0) for x in light.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        gap = np.array(got[:domains]) - wanted
-        if np.abs(gap).max() <= tolerance * max(wanted.sum(), 1.0):
-            break
+
+    def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The gap to the targets, and the metric: expected tokens of two domains at once, over rates above zero."""
+        got = [float(x or 0) for x in df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         metric = np.zeros((domains, domains))
         metric[np.triu_indices(domains)] = got[domains:]
-        metric = metric + np.triu(metric, 1).T
-        move = np.linalg.lstsq(metric + np.eye(domains) * 1e-9 * max(np.trace(metric), 1e-9), gap, rcond=None)[0]
-        rate = F.greatest(F.lit(0.0), rate - sum(F.lit(float(m)) * x for m, x in zip(move, p)))
-    return rate
+        return np.array(got[:domains]) - wanted, metric + np.triu(metric, 1).T
+
+    def moved(df: DataFrame, by: np.ndarray) -> DataFrame:
+        return df.withColumn("rate", F.greatest(F.lit(0.0), rate - sum(F.lit(float(m)) * x for m, x in zip(by, p))))
+
+    now = light.withColumn("rate", F.lit(1.0))
+    gap, metric = totals(now)
+    slow = steps = 0
+    for _ in range(rounds):
+        if np.abs(gap).max() <= tolerance * max(wanted.sum(), 1.0) or slow >= 3:
+            break
+        whole = np.linalg.lstsq(metric + np.eye(domains) * 1e-9 * max(np.trace(metric), 1e-9), gap, rcond=None)[0]
+        plain = gap / max(np.linalg.eigvalsh(metric)[-1], 1e-9)  # always downhill
+        for by in (whole, whole / 2, whole / 4, plain):
+            there = moved(now, by)
+            new_gap, new_metric = totals(there)
+            if np.linalg.norm(new_gap) < 0.9 * np.linalg.norm(gap):
+                break
+        if np.linalg.norm(new_gap) >= np.linalg.norm(gap):
+            break
+        slow = slow + 1 if np.linalg.norm(new_gap) > 0.999 * np.linalg.norm(gap) else 0
+        now, gap, metric, steps = there, new_gap, new_metric, steps + 1
+        if steps % cut_every == 0:
+            now = cut(now)
+    return now
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float | None = None, sample_rows: int = 20_000, features: int = 256, seed: int = 11) -> DataFrame:
@@ -112,8 +137,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget:
         return docs.sparkSession.createDataFrame([], "doc_id long, tokens long, domains array<struct<domain:string,chance:double>>, rate double, copies long")
     total = light.agg(F.sum("tokens")).first()[0] or 0
     share = sum(weights.get(d, 0.0) for d in domains) or 1.0
-    rate = rates(light, len(domains), [(budget if budget is not None else total) * weights.get(d, 0.0) / share for d in domains])
-    return finished(light, domains, rate, seed)
+    return finished(rates(light, len(domains), [(budget if budget is not None else total) * weights.get(d, 0.0) / share for d in domains]), domains, seed)
 
 
 def prepared(docs: DataFrame, labelled: DataFrame, sample_rows: int = 20_000, features: int = 256) -> tuple[DataFrame | None, list[str]]:
@@ -125,8 +149,7 @@ def prepared(docs: DataFrame, labelled: DataFrame, sample_rows: int = 20_000, fe
     return cut(told.select("doc_id", F.size("_words").cast("long").alias("tokens"), *[f"_p{k}" for k in range(len(domains))])), domains
 
 
-def finished(light: DataFrame, domains: list[str], rate: Column, seed: int = 11) -> DataFrame:
+def finished(rated: DataFrame, domains: list[str], seed: int = 11) -> DataFrame:
     chances = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"_p{k}").alias("chance")) for k, d in enumerate(domains)])
     part = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rated = light.select("doc_id", "tokens", chances.alias("domains"), rate.alias("rate"))
-    return rated.withColumn("copies", F.floor(F.col("rate") + part).cast("long"))
+    return rated.select("doc_id", "tokens", chances.alias("domains"), "rate").withColumn("copies", F.floor(F.col("rate") + part).cast("long"))

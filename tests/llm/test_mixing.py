@@ -22,7 +22,8 @@ def test_rates(spark, share):
     n = rng.integers(1, 500, 300)
     light = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "tokens long, _p0 double, _p1 double, _p2 double")
     wanted = [float(n.sum() * s) for s in share]
-    got = np.array([r[0] for r in light.select(mixing.rates(light, 3, wanted)).collect()])
+    rows = mixing.rates(light, 3, wanted).collect()
+    got, n, p = np.array([r["rate"] for r in rows]), np.array([r["tokens"] for r in rows]), np.array([[r["_p0"], r["_p1"], r["_p2"]] for r in rows])
     assert (got >= 0).all()
     slow = plain_rates(n, p, np.array(wanted))
     gap = lambda r: np.abs((r * n) @ p - wanted).max()
