@@ -38,20 +38,21 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture has them: toxic and junk text rarely, clean text at least once.
+    """The documents as often as the mixture has them: less toxic and junk text, clean text at least once.
 
-    Of the expected tokens 94% shall be clean, 5% toxic and 1% junk; clean text has some chance to
-    be toxic, so lower targets could only be met by dropping it. The budget is what
-    gives a document a rate of 1.2 if it is surely clean, so that one told clean with some doubt still has 1.
+    A document that is more likely clean than not has a rate of one or more: the fit may only
+    raise it. Expected clean tokens shall be 1.1 times what they are, and to them go at most 5%
+    toxic and 1% junk tokens; a domain that has less is not raised beyond the same factor.
     """
     light, domains = mixing.prepared(docs, domains_of(table(spark, sf_dir, "labels")))
     if light is None:
         return docs
-    weights = {"clean": 0.94, "toxic": 0.05, "junk": 0.01}
-    clean = f"_p{domains.index('clean')}" if "clean" in domains else "1"
-    budget = 1.2 * (light.agg(F.expr(f"sum(tokens * {clean})")).first()[0] or 0) / weights["clean"]
-    share = sum(weights[d] for d in domains)
-    rated = mixing.rates(light, len(domains), [budget * weights[d] / share for d in domains])
+    factor, shares = 1.1, {"clean": 0.94, "toxic": 0.05, "junk": 0.01}
+    held = dict(zip(domains, light.agg(*[F.sum(F.col("tokens") * F.col(f"_p{k}")) for k in range(len(domains))]).first()))
+    clean = factor * (held.get("clean") or 0.0)
+    wanted = [clean if d == "clean" else min(factor * (held[d] or 0.0), clean * shares[d] / shares["clean"]) for d in domains]
+    least = F.when(F.col(f"_p{domains.index('clean')}") >= 0.5, 1.0).otherwise(0.0) if "clean" in domains else None
+    rated = mixing.rates(light, len(domains), wanted, least=least)
     copies = mixing.finished(rated, domains).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0").groupBy("_id").agg(F.max("copies").alias("copies"))
     own = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)

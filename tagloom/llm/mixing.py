@@ -75,9 +75,10 @@ def membership(docs: DataFrame, labelled: DataFrame, sample_rows: int, features:
     return told.select(*docs.columns, "_words", *[(F.col("_raised")[k] / whole).alias(f"_p{k}") for k in range(len(domains))]), domains
 
 
-def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, cut_every: int = 5) -> DataFrame:
+def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, cut_every: int = 5, least: Column | None = None) -> DataFrame:
     """light (tokens, _p0, _p1, ...) with rate; targets: tokens wanted of each domain.
 
+    ``least`` is a row's lowest rate, from 0 to 1; 0 if None.
     A round takes the whole step of the metric, or a half or quarter of it, if that brings
     the gap down by a tenth, else the plain gradient's. Ends when the targets are met, or when
     three rounds bring the gap down by less than a thousandth each, as of targets that no
@@ -85,19 +86,20 @@ def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 40
     """
     p = [F.col(f"_p{k}") for k in range(domains)]
     n, rate = F.col("tokens").cast("double"), F.col("rate")
-    live = (rate > 0).cast("double")
+    least = F.lit(0.0) if least is None else least
+    live = (rate > least).cast("double")
     sums = [F.sum(rate * n * x) for x in p] + [F.sum(live * n * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]
     wanted = np.array(targets)
 
     def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The gap to the targets, and the metric: expected tokens of two domains at once, over rates above zero."""
+        """The gap to the targets, and the metric: expected tokens of two domains at once, over rates above the least."""
         got = [float(x or 0) for x in df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         metric = np.zeros((domains, domains))
         metric[np.triu_indices(domains)] = got[domains:]
         return np.array(got[:domains]) - wanted, metric + np.triu(metric, 1).T
 
     def moved(df: DataFrame, by: np.ndarray) -> DataFrame:
-        return df.withColumn("rate", F.greatest(F.lit(0.0), rate - sum(F.lit(float(m)) * x for m, x in zip(by, p))))
+        return df.withColumn("rate", F.greatest(least, rate - sum(F.lit(float(m)) * x for m, x in zip(by, p))))
 
     now = light.withColumn("rate", F.lit(1.0))
     gap, metric = totals(now)
