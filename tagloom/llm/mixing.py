@@ -86,13 +86,14 @@ def rates(light: DataFrame, domains: int, targets: list[float], rounds: int = 40
     """
     p = [F.col(f"_p{k}") for k in range(domains)]
     n, rate = F.col("tokens").cast("double"), F.col("rate")
+    # rows at their lowest rate may be about to rise, so with ``least`` all rows count in the metric
+    live = (rate > 0).cast("double") if least is None else F.lit(1.0)
     least = F.lit(0.0) if least is None else least
-    live = (rate > least).cast("double")
     sums = [F.sum(rate * n * x) for x in p] + [F.sum(live * n * p[i] * p[j]) for i in range(domains) for j in range(i, domains)]
     wanted = np.array(targets)
 
     def totals(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The gap to the targets, and the metric: expected tokens of two domains at once, over rates above the least."""
+        """The gap to the targets, and the metric: expected tokens of two domains at once, over rates that may move."""
         got = [float(x or 0) for x in df.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         metric = np.zeros((domains, domains))
         metric[np.triu_indices(domains)] = got[domains:]
