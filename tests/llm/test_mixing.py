@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.llm import mixing
 
@@ -49,3 +50,16 @@ def test_mix(spark):
     right = sum((told[i]["a"] > 0.5) == bool(i % 4) for i in range(1, 400, 2))
     assert right >= 195
     assert mixing.mix(docs.limit(0), labelled, {"a": 1.0}).count() == 0
+
+
+def test_lowest_rates(spark):
+    rng = np.random.default_rng(9)
+    p = rng.dirichlet([0.3, 0.1, 0.1], 200)
+    n = rng.integers(1, 300, 200)
+    light = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "tokens long, _p0 double, _p1 double, _p2 double")
+    held = (p * n[:, None]).sum(0)
+    wanted = [float(1.1 * held[0]), float(0.3 * held[1]), float(0.3 * held[2])]
+    rows = mixing.rates(light, 3, wanted, least=F.when(F.col("_p0") >= 0.5, 1.0).otherwise(0.0)).collect()
+    assert all(r["rate"] >= (1 if r["_p0"] >= 0.5 else 0) for r in rows)
+    got = [sum(r["rate"] * r["tokens"] * r[f"_p{k}"] for r in rows) for k in range(3)]
+    assert np.linalg.norm(np.array(got) - wanted) < 0.5 * np.linalg.norm(held - wanted)
