@@ -1,22 +1,21 @@
 """Language-model scoring of whole texts by a weighted backoff automaton.
 
-Tokens are words and one end. Single tokens are counted whole and sharded by token. As a
-vocabulary has no bound it is never broadcast: texts are hashed into blocks of about 12 MB,
-each block's distinct tokens meet the corpus counts in a shuffle, and every block gets back
-the counts of its own tokens only: the arcs of the automaton's root.
-
-Contexts are learned for tokens that are at least ``word_share`` of all N, at most
-1 / word_share of them; their pairs and triples that are at least ``arc_share`` of N, at
-most 1 / arc_share an order, become arcs. These shares bound what is broadcast, at every
-size alike. Each order is discounted and interpolated with the next lower one; what a state
-lacks goes down its failure arc, whose weight is the mass left over, so a state's
-probabilities add up to one whatever is pruned. Unseen tokens are one class.
+Tokens are words and one end. Texts are hashed into blocks of about 12 MB. Words, and the
+pairs and triples of words, are counted whole in the cluster, sharded by what is counted:
+each block's distinct ones meet the corpus counts in a shuffle, and every block gets back
+only the counts of its own. Nothing that grows with the input is broadcast, and no share of
+the corpus bounds what is learned.
+
+A pair or triple counted at least ``least`` times is an arc; that is a fixed count at every
+size. The arcs' words, and a triple's pairs, are counted as often, so leaving out words below
+it loses no arc. Each order is discounted and interpolated with the next lower one; what a
+state lacks goes down its failure arc, whose weight is the mass left over, so a state's
+probabilities add up to one. Unseen tokens are one class.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,120 +60,119 @@ class Unigrams:
 
 @dataclass
 class Automaton:
-    """arcs[state * width + token] = (log10 weight, next state); root is state 0.
+    """A block's part of the automaton; states are the root, words and pairs, arcs lie in sorted arrays.
 
-    ids: of tokens that contexts know; home: the state after such a token at the root.
+    Words are numbered by place. one: their weights at the root; pairs: a * words + b; triples:
+    place of the pair * words + c; two and three: probabilities of the arcs. left: what a
+    state's failure arc carries, below zero where a word or pair is no state.
     """
 
-    ids: dict[bytes, int]
-    width: int
-    arcs: dict[int, tuple[float, int]]
-    fail: list[int]
-    weight: list[float]
-    home: list[int]
-    start: int
-
-    def traverse(self, words: list[bytes], root: dict[bytes, float]) -> float:
-        """log10 probability of a text, one pass from left to right; root: weights of its tokens there."""
-        state, total, ids, arcs, width, fail, weight = self.start, 0.0, self.ids, self.arcs, self.width, self.fail, self.weight
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-                total += root[w]
-                continue
-            while state:
-                arc = arcs.get(state * width + i)
-                if arc:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                total += weight[state]
-                state = fail[state]
-            else:
-                total += root[w]
-                state = self.home[i]
-        return total
-
-
-def built(words: list[tuple[bytes, int]], pairs: dict[int, int], triples: dict[int, int], unigrams: Unigrams, taken: float = 0.75) -> Automaton:
-    """words: frequent tokens with counts; pairs and triples: counts by joined token numbers."""
-    width = max(len(words), 1)
-    ids = {w: i for i, (w, _) in enumerate(words)}
-    one = unigrams.prob(np.array([c for _, c in words], np.int64)) if words else np.zeros(0)
-    names = {(): 0} | {(u,): k + 1 for k, u in enumerate(sorted({p // width for p in pairs}))}
-    for p in sorted({t // width for t in triples}):
-        names[p // width, p % width] = len(names)
-    fail, left = [0] * len(names), [1.0] * len(names)
-    prob: dict[int, float] = {}
-    for (h, s) in list(names.items()):
-        if h:
-            fail[s] = names.get(h[1:], 0)
-    for found, of in ((pairs, lambda p: ((p // width,), p % width, words[p // width][1])), (triples, lambda t: (divmod(t // width, width), t % width, pairs[t // width]))):
-        for key, c in found.items():  # the discounted part, then what is left
-            h, w, n = of(key)
-            s = names[h]
-            prob[s * width + w] = (c - taken) / n
-            left[s] -= (c - taken) / n
-        for key in found:
-            h, w, _ = of(key)
-            s = names[h]
-            lower = prob.get(fail[s] * width + w) if fail[s] else one[w]
-            if lower is None:
-                lower = left[fail[s]] * one[w]
-            prob[s * width + w] += left[s] * lower
-    def after(h: tuple[int, ...], w: int) -> int:
-        return names.get((*h[-1:], w), names.get((w,), 0))
-
-    of_state = {s: h for h, s in names.items()}
-    arcs = {key: (float(np.log10(p)), after(of_state[key // width], key % width)) for key, p in prob.items()}
-    weight = [float(np.log10(max(x, 1e-12))) for x in left]
-    home = [after((), i) for i in range(len(words))]
-    return Automaton(ids, width, arcs, fail, weight, home, home[ids[b"\n"]] if b"\n" in ids else 0)
-
-
-def contexts(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """size (2 or 3), gram, n: pairs and triples of known tokens in docs, the end standing before each text."""
-    width, first = len(ids), ids.get(b"\n", -1)
-    given = docs.sparkSession.sparkContext.broadcast(ids)  # at most 1 / word_share tokens
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, size = given.value, [], 0
-
-        def out() -> Iterator[pd.DataFrame]:
-            x = np.array([i for part in held for i in part], np.int64)
-            for k in (2, 3):
-                if len(x) < k:
-                    continue
-                cols = [x[j : len(x) - k + 1 + j] for j in range(k)]
-                sound = np.all([c >= 0 for c in cols], axis=0) & np.all([c != first for c in cols[1:-1]], axis=0)
-                key = cols[0][sound]
-                for c in cols[1:]:
-                    key = key * width + c[sound]
-                g, n = np.unique(key, return_counts=True)
-                yield pd.DataFrame({"size": k, "gram": g, "n": n})
-
-        for frame in frames:
-            for t in frame["text"]:
-                held.append([-1, first, *[known.get(w, -1) for w in tokens(t)]])
-                size += len(held[-1])
-                if size > 2_000_000:
-                    yield from out()
-                    held, size = [], 0
-        yield from out()
-
-    return docs.select("text").mapInPandas(run, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
-
-
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 12_000_000, word_share: float = 2.0**-15, arc_share: float = 2.0**-19) -> DataFrame:
+    one: np.ndarray
+    pairs: np.ndarray
+    two: np.ndarray
+    triples: np.ndarray
+    three: np.ndarray
+    left_one: np.ndarray
+    left_two: np.ndarray
+
+    def traverse(self, x: np.ndarray) -> np.ndarray:
+        """log10 probability at every place of x, in which -1 and the end stand before each text.
+
+        The state before a token is the longest context that is a state, as each arc's words
+        end in an arc of the lower order; so all places are traversed at once.
+        """
+        width, log = len(self.one), lambda p: np.log10(np.maximum(p, 1e-12))
+        before = np.r_[-1, x[:-1]]
+        pair = place(self.pairs, np.where((before >= 0) & (x >= 0), before * width + x, -1))
+        state = np.r_[-1, pair[:-1]]
+        held = (state >= 0) & (x >= 0)
+        held[held] = self.left_two[state[held]] >= 0
+        triple = place(self.triples, np.where(held, state * width + x, -1))
+        out, open_ = np.zeros(len(x)), x >= 0
+        hit = triple >= 0
+        out[hit] = np.log10(self.three[triple[hit]])
+        out[held & ~hit] = log(self.left_two[state[held & ~hit]])
+        open_ &= ~hit
+        held = open_ & (before >= 0)
+        held[held] = self.left_one[before[held]] >= 0
+        hit = held & (pair >= 0)
+        out[hit] += np.log10(self.two[pair[hit]])
+        out[held & ~hit] += log(self.left_one[before[held & ~hit]])
+        open_ &= ~hit
+        out[open_] += np.log10(self.one[x[open_]])
+        return out
+
+
+def place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each of wanted is in the sorted array known, or -1."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def built(ids: np.ndarray, c: np.ndarray, arcs: pd.DataFrame, unigrams: Unigrams, taken: float = 0.75) -> Automaton:
+    """ids, c: a block's words and counts; arcs: a, b, c (-1: none) by id with n, s and d: of what follows, counts and kinds."""
+    width, one, order = max(len(ids), 1), unigrams.prob(c), np.argsort(ids)
+    cols = [arcs[k].to_numpy() for k in "abc"]
+    cols = [np.where(k >= 0, order[np.minimum(np.searchsorted(ids, k, sorter=order), len(ids) - 1)], -1) for k in cols]
+    n, s, d = (arcs[k].to_numpy().astype(float) for k in "nsd")
+    size = (cols[1] >= 0).astype(int) + (cols[2] >= 0) + 1
+    left_one = np.full(len(ids), -1.0)
+    at = np.flatnonzero((size == 1) & (d > 0))
+    left_one[cols[0][at]] = np.maximum(1 - (s[at] - taken * d[at]) / c[cols[0][at]], 0)
+    at = np.flatnonzero(size == 2)
+    at = at[np.argsort(cols[0][at] * width + cols[1][at])]
+    first, last = cols[0][at], cols[1][at]
+    pairs, held = first * width + last, n[at]
+    two = (held - taken) / c[first] + left_one[first] * one[last]
+    left_two = np.where(d[at] > 0, np.maximum(1 - (s[at] - taken * d[at]) / held, 0), -1.0)
+    at = np.flatnonzero(size == 3)
+    state = place(pairs, cols[0][at] * width + cols[1][at])
+    turn = np.argsort(state * width + cols[2][at])
+    at, state = at[turn], state[turn]
+    lower = two[place(pairs, cols[1][at] * width + cols[2][at])]
+    three = (n[at] - taken) / held[state] + left_two[state] * lower
+    return Automaton(one, pairs, two, state * width + cols[2][at], three, left_one, left_two)
+
+
+def numbered(texts: pd.Series, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in a row as words' numbers, -1 and the end before each; where each begins. Other words are -1."""
+    first, get = words.get(b"\n", -1), words.get
+    parts = [np.array([-1, first, *[get(w, -1) for w in tokens(t)]], np.int64) for t in texts]
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def grams(frame: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    """block, a, b, c, n: a block's words, pairs and triples, by words' ids, -1 for none; n counts those of rows that are learned."""
+    ids, width = words["id"].to_numpy(), len(words)
+    given = {w: i for i, w in enumerate(words["word"])}
+    if not len(frame) or not width:
+        return pd.DataFrame({"block": np.zeros(0, np.int32), **{k: np.zeros(0, np.int64) for k in "abcn"}})
+    x, starts = numbered(frame["text"], given)
+    learned = np.repeat(~frame["held_out"].to_numpy(bool), np.diff(starts)).astype(float)
+    none = lambda n: np.full(n, -1)
+    at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0)) + 1
+    two, which = np.unique(x[at - 1] * width + x[at], return_inverse=True)
+    out = [(ids, none(width), none(width), np.ones(width)), (ids[two // width], ids[two % width], none(len(two)), np.bincount(which, learned[at], len(two)))]
+    pair = none(len(x))
+    pair[at] = which
+    at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0) & (x[:-1] != given.get(b"\n", -1))) + 1
+    three, which = np.unique(pair[at - 1] * width + x[at], return_inverse=True)
+    head = two[three // width]
+    out.append((ids[head // width], ids[head % width], ids[three % width], np.bincount(which, learned[at], len(three))))
+    a, b, c, n = (np.concatenate(k) for k in zip(*out))
+    return pd.DataFrame({"block": frame["block"].iloc[0], "a": a, "b": b, "c": c, "n": n.astype(np.int64)})
+
+
+def score(docs: DataFrame, held_out: Column, block_bytes: int = 12_000_000, least: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     base_score is the baseline of token frequencies, 0.1 added to each. Rows where
     ``held_out`` holds are scored but not learned from. A null text is empty and has its end
     token. Null and repeated doc_ids are rows like others; an empty table gives no rows;
-    other columns are ignored. Without training rows every token is the unseen class, whose
+    other columns are ignored. ``least`` is how often a pair or triple must be counted to be an
+    arc. Without training rows every token is the unseen class, whose
     probability is one.
     """
     spark = ship(docs.sparkSession)
@@ -188,33 +186,46 @@ def score(docs: DataFrame, held_out: Column, block_bytes: int = 12_000_000, word
         n = Counter()
         for t, held in zip(frame["text"], frame["held_out"]):
             n.update(tokens(t) if not held else dict.fromkeys(tokens(t), 0))
-        return pd.DataFrame({"block": frame["block"].iloc[0], "word": list(n), "n": np.fromiter(n.values(), np.int64, len(n))})
-
-    own = saved(placed.groupBy("block").applyInPandas(words, "block int, word binary, n long"))
-    known = saved(own.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"))
+        block, own = frame["block"].iloc[0], sorted(n)
+        return pd.DataFrame({"block": block, "word": own, "n": np.fromiter(map(n.__getitem__, own), np.int64, len(own)), "row": (int(block) << 32) + np.arange(len(own))})
+
+    own = placed.groupBy("block").applyInPandas(words, "block int, word binary, n long, row long")
+    every = Window.partitionBy("word")  # a row a block and word
+    own = own.select("block", "word", "row", F.sum("n").over(every).alias("c"), F.min("row").over(every).alias("id"))
+    own = saved(own.select("block", "word", "c", "id", (F.col("row") == F.col("id")).alias("first")))
+    known = own.filter("first and c > 0")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     unigrams = Unigrams.of(total, distinct, dict(known.filter("c <= 4").groupBy("c").count().collect()))
-    frequent = [(bytes(r["word"]), r["c"]) for r in known.filter(F.col("c") >= word_share * total).collect()]
-    frequent.sort(key=lambda x: (-x[1], x[0]))
-    grams = contexts(placed.filter("not held_out"), {w: i for i, (w, _) in enumerate(frequent)}).filter(F.col("n") >= F.greatest(F.lit(2), F.lit(arc_share * total)))
-    kept = {2: {}, 3: {}}
-    for r in grams.collect():  # at most 1 / arc_share an order
-        kept[r["size"]][r["gram"]] = r["n"]
-    automaton = spark.sparkContext.broadcast(built(frequent, kept[2], {t: n for t, n in kept[3].items() if t // len(frequent) in kept[2]}, unigrams))
-    counts = own.select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"))  # a row a block and word
+
+    often = own.filter(F.col("c") >= least).select("block", "word", "id")
+    given = placed.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(grams, "block int, a long, b long, c long, n long")
+    every = Window.partitionBy("a", "b", "c")  # a row a block
+    arcs = given.select("block", "a", "b", "c", F.sum("n").over(every).alias("n"), (F.min("block").over(every) == F.col("block")).alias("first"))
+    arcs = saved(arcs.filter((F.col("n") >= least) | (F.col("b") < 0)))
+    prefix = F.when(F.col("c") >= 0, F.col("b")).otherwise(-1).alias("b")
+    follow = arcs.filter("first and b >= 0").groupBy("a", prefix).agg(F.sum("n").alias("s"), F.count("*").alias("d"))
+    states = arcs.filter("c < 0").join(follow.hint("shuffle_hash"), ["a", "b"], "left").fillna(0, ["s", "d"]).filter("b >= 0 or d > 0")
+    zero = F.lit(0).cast("long")
+    cols = ["block", F.lit(None).cast("binary").alias("word"), "a", "b", "c", "n"]
+    arcs = states.select(*cols, "s", "d").union(arcs.filter("c >= 0").select(*cols, zero.alias("s"), zero.alias("d")))
+    none = [F.lit(k).cast("long").alias(name) for name, k in (("b", -1), ("c", -1))]
+    counts = own.select("block", "word", F.col("id").alias("a"), *none, F.col("c").alias("n"), zero.alias("s"), zero.alias("d")).union(arcs)
 
     def scored(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        c = counts["c"].to_numpy()
-        known = counts["word"].tolist()
-        base = dict(zip(known, np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))).tolist()))
-        seen = dict(zip(known, (c > 0).tolist()))
-        root = dict(zip(known, np.log10(unigrams.prob(c)).tolist()))
-        walk, rows = automaton.value.traverse, []
-        for t in map(tokens, frame["text"]):
-            rows.append((len(t), sum(map(seen.__getitem__, t)), sum(map(base.__getitem__, t)), walk(t, root)))
+        single = counts["word"].notna().to_numpy()
+        words, arcs = counts[single], counts[~single]
+        c = words["n"].to_numpy()
+        x, starts = numbered(frame["text"], {w: i for i, w in enumerate(words["word"])})
+        token = np.ones(len(x), bool)
+        token[starts[:-1]] = token[starts[:-1] + 1] = False
+        text = np.repeat(np.arange(len(frame)), np.diff(starts))[token]
+        walked = built(words["a"].to_numpy(), c, arcs, unigrams).traverse(x)[token]
+        own = c[x[token]]
+        add = lambda v: np.bincount(text, v, len(frame))
         out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"]}).reset_index(drop=True)
-        out[["n_tokens", "n_known", "base_score", "score"]] = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score"])
-        out.insert(4, "train_tokens", total)
+        out["n_tokens"], out["n_known"] = np.diff(starts) - 2, add(own > 0).astype(np.int64)
+        out["train_tokens"] = total
+        out["base_score"], out["score"] = add(np.log10((own + 0.1) / (total + 0.1 * (distinct + 1)))), add(walked)
         return out
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
