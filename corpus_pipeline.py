@@ -13,8 +13,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm import mixing, packing, quality, simhash
-from tagloom.llm.common import shared_dir, ship, table
+from tagloom.llm import mixing, packing, quality, similar
+from tagloom.llm.common import cut, shared_dir, ship, table
 from tagloom.llm.queries import domains_of
 
 
@@ -25,13 +25,13 @@ def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id.
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id.
 
     Rows that repeat a doc_id count once. A group whose rows all lack a doc_id keeps one row.
     """
-    found = simhash.near_duplicates(ship(spark) and docs)
-    kept = found.filter("doc_id <=> component_id").select("doc_id", "fingerprint").distinct()
-    kept = kept.groupBy("doc_id").agg(F.min("fingerprint").alias("_fingerprint")).select(F.col("doc_id").alias("_kept"))
+    grouped = cut(similar.groups(ship(spark) and docs))
+    light = docs.select(similar.text_key().alias("key"), "doc_id").join(grouped.hint("shuffle_hash"), "key")
+    kept = light.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
     own = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
     turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     return own.withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").select(docs.columns)
