@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import mixing, packing, quality, similar
@@ -25,16 +25,21 @@ def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id.
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest doc_id.
 
-    Rows that repeat a doc_id count once. A group whose rows all lack a doc_id keeps one row.
+    Rows are decided on by their texts, so different texts that share a doc_id, or lack one,
+    are groups of their own. A row without doc_id stays only where its group has no other;
+    equal rows count once.
     """
     grouped = cut(similar.groups(ship(spark) and docs))
     light = docs.select(similar.text_key().alias("key"), "doc_id").join(grouped.hint("shuffle_hash"), "key")
-    kept = light.groupBy("root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    own = docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return own.withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").select(docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = light.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias("_kept"), F.col("least.key").alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (similar.text_key() == F.col("_key"))
+    own = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    # summed up before the shuffle, however many rows are the same
+    one = own.groupBy("doc_id", similar.text_key().alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

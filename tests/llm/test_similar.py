@@ -43,3 +43,13 @@ def test_groups_of_exact_similarity(spark):
     got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(label))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_rows_are_decided_on_by_text(spark):
+    """Null and shared doc_ids do not make different texts one document."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(30)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (None, d), (3, c + " more"), (5, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    want = [(None, a), (None, b), (3, c + " more"), (5, d)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((i or 0, t) for i, t in want)
