@@ -64,3 +64,10 @@ def test_oracle(spark, name):
     want = con.sql(catalog.ORACLES[name]).df()
     plain = lambda d: sorted(tuple(str(round(x, 9) if isinstance(x, float) else x) for x in r) for r in d[sorted(got.columns)].itertuples(index=False))
     assert plain(got) == plain(want)
+
+
+def test_whole_pages_are_read(spark):
+    html = "".join(f"<p>paragraph {i} that is long enough to stay</p>" for i in range(2000))
+    text = spark.createDataFrame([(html,)], "html string").select(pages.readable_text("html")).first()[0]
+    assert len(text) > 60_000 and text.endswith("paragraph 1999 that is long enough to stay")
+    assert pages.readable(html, 20_000) == text[:20_000]
