@@ -127,32 +127,42 @@ class Index:
         return found
 
     def verified(self, own: list[bytes], width: int, t: int, window: int) -> list[tuple[float, int, int]]:
-        """(containment, first word, end) of places as long as the template that hold enough of it, within the window and half of one on both sides."""
+        """(containment, first word, end) of places of any length that hold enough of the template, within the window and half of one on both sides."""
         half, made = width // 2, self.by_width[width][t]
         a, b = max(0, (window - 1) * half), min(len(own), (window + 3) * half)
         at = [(i, s) for i in range(a, b - SHINGLE + 1) if (s := tuple(own[i : i + SHINGLE])) in made.shingles]
-        out = []
-        for i, _ in at:
-            held = [(j, s) for j, s in at if i <= j < i + len(made.words)]
-            share = len({s for _, s in held}) / len(made.shingles)
-            if share >= self.contain:
-                out.append((share, i, held[-1][0] + SHINGLE))
+        out, least = [], self.contain * len(made.shingles)
+        for k, (i, _) in enumerate(at):
+            held = set()
+            for j, s in at[k:]:
+                if s not in held:
+                    held.add(s)
+                    if len(held) >= least:
+                        out.append((len(held) / len(made.shingles), i, j + SHINGLE))
+            if len(held) < least:  # nor does a later start hold enough
+                break
         return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(template, containment, first word, end) of matches; of overlapping ones of a template the best, then first."""
+        """(template, containment, first word, end) of matches; places no longer than the template go first, then the best, shortest, first; each then widens to what holds more, short of the others."""
         own = words(text)
         best: dict[str, list[tuple[float, int, int]]] = {}
         for width, t, window in self.retrieved(shingles(own)):
             for share, a, b in self.verified(own, width, t, window):
                 best.setdefault(self.by_width[width][t].name, []).append((-share, a, b))
-        out = []
+        out, sizes = [], {t.name: len(t.words) for ts in self.by_width.values() for t in ts}
         for name, found in best.items():
-            taken: list[tuple[int, int]] = []
-            for share, a, b in sorted(set(found)):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append((name, -share, a, b))
+            spans = sorted(set(found), key=lambda x: (x[2] - x[1] > sizes[name], x[0], x[2] - x[1], x[1]))
+            taken: list[tuple[float, int, int]] = []
+            apart = lambda x, others: all(x[2] <= y[1] or x[1] >= y[2] for y in others)
+            for x in spans:
+                if apart(x, taken):
+                    taken.append(x)
+            for k, y in enumerate(taken):
+                others = taken[:k] + taken[k + 1 :]
+                wider = [x for x in spans if x[1] <= y[1] and y[2] <= x[2] and apart(x, others)]
+                taken[k] = min(wider, key=lambda x: (x[0], x[2] - x[1], x[1]))
+            out += [(name, -share, a, b) for share, a, b in taken]
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 

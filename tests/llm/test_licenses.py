@@ -45,3 +45,21 @@ def test_places(spark):
     n = len(licenses.words(TEMPLATES["isc"]))
     got = [(r["first_word"], r["end_word"], r["containment"]) for r in licenses.scan(docs, TEMPLATES).collect() if r["license"] == "isc"]
     assert len(got) == 2 and got[0][2] == 1.0 and got[0][0] == 2 and got[1][1] == 2 * n + 3
+
+
+def test_words_put_in(spark):
+    """Seven words in the middle leave 0.87 of isc's shingles; the rest of it lies beyond the template's length."""
+    w = TEMPLATES["isc"].split()
+    text = " ".join(["before"] * 9 + w[: len(w) // 2] + [f"in{i}" for i in range(7)] + w[len(w) // 2 :] + ["after"] * 9)
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), TEMPLATES).collect()
+    made = licenses.template("isc", TEMPLATES["isc"])
+    got = [(r["containment"], r["first_word"], r["end_word"]) for r in found if r["license"] == "isc"]
+    assert got == [((len(made.shingles) - 4) / len(made.shingles), 9, 9 + len(made.words) + 7)]
+
+
+def test_damaged_neighbours_stay_two(spark):
+    """Two copies that lack different words are two matches, not one that holds all."""
+    w = TEMPLATES["isc"].split()
+    text = " ".join([*w[3:], "between", *w[:-3]])
+    found = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), TEMPLATES).collect()
+    assert len([r for r in found if r["license"] == "isc"]) == 2
