@@ -71,3 +71,10 @@ def test_whole_pages_are_read(spark):
     text = spark.createDataFrame([(html,)], "html string").select(pages.readable_text("html")).first()[0]
     assert len(text) > 60_000 and text.endswith("paragraph 1999 that is long enough to stay")
     assert pages.readable(html, 20_000) == text[:20_000]
+
+
+def test_tokenize_filter_keeps_every_document(spark, tmp_path):
+    rows = [(1, "plain words here"), (2, "<b>bold</b> words"), (3, "see https://x.org/a now"), (4, None), (5, "a < b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n"] for r in catalog.QUERIES["tokenize_filter"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 0}
