@@ -1,34 +1,51 @@
 """Language-model scoring of whole texts by a weighted backoff automaton.
 
-Tokens are words and one end. Texts are hashed into blocks of about 12 MB. Words, and the
-pairs and triples of words, are counted whole in the cluster, sharded by what is counted:
-each block's distinct ones meet the corpus counts in a shuffle, and every block gets back
-only the counts of its own. Nothing that grows with the input is broadcast, and no share of
-the corpus bounds what is learned.
-
-A pair or triple counted at least ``least`` times is an arc; that is a fixed count at every
-size. The arcs' words, and a triple's pairs, are counted as often, so leaving out words below
-it loses no arc. Each order is discounted and interpolated with the next lower one; what a
-state lacks goes down its failure arc, whose weight is the mass left over, so a state's
-probabilities add up to one. Unseen tokens are one class.
+Tokens are words and one end. The states are the root, every word and every pair of words
+that is counted at least twice; an arc reads a token that was counted after its state, and
+what was not goes down the state's failure arc to the next shorter one. Counts are smoothed
+by a hierarchy of Dirichlet priors: after a state h counted n(h) times a token has chance
+(n(h w) + m P(w | shorter h)) / (n(h) + m), so the failure arc weighs m / (n(h) + m) and a
+state's chances add up to one. At the root, counts of 1, 2 and more are discounted and what
+that leaves is the chance of a token never seen. No word, pair or triple is dropped for
+being rare, at any size.
+
+Texts are tokenised once, in blocks of about ``block_tokens`` tokens, and stored as numbers.
+Words, pairs and triples have 64-bit hash keys; those of pairs and triples are cut to twice
+the bits of the number of tokens, so that hardly one pair of keys in a corpus is the same by
+accident. A block sends its distinct keys with their counts, sorted and written as
+differences, to shards that hold a range of keys each; a shard adds up and answers with the
+totals alone, in the order of the keys, which the block knows. So no n-gram travels back, a
+frequent one is a number a block, and nothing that grows with the input is broadcast.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, ship
 
+END = b"\n"
+#: Multipliers and shifts of a well-known 64-bit finaliser, and the odd number that joins keys.
+U = np.uint64
+FIRST, SECOND, JOIN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
+#: Orders are told apart by the high part of a shard's number.
+ORDER = 1 << 40
+PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
 
 def tokens(text: str) -> list[bytes]:
     """Words with A-Z in lower case, then one end."""
-    return [*text.encode("utf-8", "surrogatepass").lower().split(), b"\n"]
+    return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -37,9 +54,37 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-@dataclass
-class Unigrams:
-    """The root's weights."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * FIRST
+    x = (x ^ (x >> U(27))) * SECOND
+    return x ^ (x >> U(31))
+
+
+def shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed; the first byte is how many planes there are."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + PACK.compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def grown(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(UNPACK.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+class Numbers(dict):
+    """Words' numbers in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@dataclass(frozen=True)
+class Root:
+    """The weights of the state without context; a count of zero is the unseen token's."""
 
     total: int
     distinct: int
@@ -47,186 +92,227 @@ class Unigrams:
     left: float
 
     @classmethod
-    def of(cls, total: int, distinct: int, seen: dict[int, int]) -> "Unigrams":
-        d = discounts(*(seen.get(i, 0) for i in (1, 2, 3, 4)))
-        n1, n2 = seen.get(1, 0), seen.get(2, 0)
-        mass = d[0] * n1 + d[1] * n2 + d[2] * (distinct - n1 - n2)
-        return cls(total, distinct, d, mass / total if total else 1.0)
+    def of(cls, total: int, distinct: int, seen: list[int]) -> "Root":
+        """seen: how many words were counted one to four times."""
+        d, (n1, n2) = discounts(*seen), seen[:2]
+        return cls(total, distinct, d, (d[0] * n1 + d[1] * n2 + d[2] * (distinct - n1 - n2)) / total if total else 1.0)
 
     def prob(self, c: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.taken])[np.minimum(c, 3)]
-        return np.maximum(c - d, 0) / max(self.total, 1) + self.left / (self.distinct + 1)
+        return np.where(c > 0, (c - d) / max(self.total, 1), self.left)
 
 
 @dataclass
-class Automaton:
-    """A block's part of the automaton; states are the root, words and pairs, arcs lie in sorted arrays.
+class Block:
+    """Texts in a row as words' numbers, an end before each; words: the numbers' hashes."""
 
-    Words are numbered by place. one: their weights at the root; pairs: a * words + b; triples:
-    place of the pair * words + c; two and three: probabilities of the arcs. left: what a
-    state's failure arc carries, below zero where a word or pair is no state.
-    """
+    x: np.ndarray
+    starts: np.ndarray
+    words: np.ndarray
+    learned: np.ndarray
 
-    one: np.ndarray
-    pairs: np.ndarray
-    two: np.ndarray
-    triples: np.ndarray
-    three: np.ndarray
-    left_one: np.ndarray
-    left_two: np.ndarray
-
-    def traverse(self, x: np.ndarray) -> np.ndarray:
-        """log10 probability at every place of x, in which -1 and the end stand before each text.
-
-        The state before a token is the longest context that is a state, as each arc's words
-        end in an arc of the lower order; so all places are traversed at once.
-        """
-        width, log = len(self.one), lambda p: np.log10(np.maximum(p, 1e-12))
-        before = np.r_[-1, x[:-1]]
-        pair = place(self.pairs, np.where((before >= 0) & (x >= 0), before * width + x, -1))
-        state = np.r_[-1, pair[:-1]]
-        held = (state >= 0) & (x >= 0)
-        held[held] = self.left_two[state[held]] >= 0
-        triple = place(self.triples, np.where(held, state * width + x, -1))
-        out, open_ = np.zeros(len(x)), x >= 0
-        hit = triple >= 0
-        out[hit] = np.log10(self.three[triple[hit]])
-        out[held & ~hit] = log(self.left_two[state[held & ~hit]])
-        open_ &= ~hit
-        held = open_ & (before >= 0)
-        held[held] = self.left_one[before[held]] >= 0
-        hit = held & (pair >= 0)
-        out[hit] += np.log10(self.two[pair[hit]])
-        out[held & ~hit] += log(self.left_one[before[held & ~hit]])
+    @classmethod
+    def read(cls, row) -> "Block":
+        sizes = grown(row.sizes).astype(np.int64)
+        return cls(grown(row.x).astype(np.int64), np.cumsum(np.r_[0, sizes]), grown(row.words), grown(row.held) == 0)
+
+    def keys(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of pairs and of triples: the places whose token ends one, and its keys."""
+        size = len(self.x)
+        first = np.zeros(size + 2, bool)
+        first[self.starts[:-1]] = True
+        at2 = np.flatnonzero(~first[:size])
+        h = self.words[self.x]
+        pair = np.zeros(size, np.uint64)
+        pair[1:] = mixed(h[:-1] * JOIN + h[1:])
+        second = np.zeros(size + 2, bool)
+        second[self.starts[:-1] + 1] = True
+        at3 = np.flatnonzero(~first[:size] & ~second[:size])
+        return [(at2, pair[at2]), (at3, mixed(pair[at3 - 1] * JOIN + h[at3] + U(1)))]
+
+    def weight(self) -> np.ndarray:
+        """1 at the places of texts that are learned from."""
+        return np.repeat(self.learned, np.diff(self.starts)).astype(float)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and which of them each key is."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return own[new], which
+
+
+@dataclass(frozen=True)
+class Shards:
+    """2 ** power ranges of keys of ``bits`` bits."""
+
+    order: int
+    bits: int
+    power: int
+
+    def cut(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> U(64 - self.bits)
+
+    def asked(self, block: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        """A block's sorted distinct keys and their counts, a row a shard."""
+        width = self.bits - self.power
+        own = (keys >> U(width)).astype(np.int64)
+        ends = np.searchsorted(own, np.arange((1 << self.power) + 1))
+        rows = []
+        for s in np.unique(own):
+            a, b = ends[s], ends[s + 1]
+            low = keys[a:b] - (U(int(s)) << U(width))
+            rows.append((self.order * ORDER + int(s), block, shrunk(np.diff(low, prepend=U(0))), shrunk(n[a:b])))
+        return pd.DataFrame(rows, columns=["shard", "block", "keys", "n"])
+
+
+ASKED = "shard long, block long, keys binary, n binary"
+ANSWERED = "block long, shard long, totals binary, seen array<long>"
+
+
+def answered(frame: pd.DataFrame) -> pd.DataFrame:
+    """A shard's totals for each block, in the order of the block's keys; seen: distinct keys counted, and counted one to four times."""
+    frame = frame.sort_values("block")
+    keys = [np.cumsum(grown(k), dtype=np.uint64) for k in frame["keys"]]
+    n = np.concatenate([grown(c) for c in frame["n"]]).astype(float)
+    each, which = distinct(np.concatenate(keys))
+    total = np.bincount(which, n, len(each)).astype(np.int64)
+    seen = [[int((total > 0).sum()), *np.bincount(np.minimum(total, 5), minlength=6)[1:5].tolist()], *[None] * (len(keys) - 1)]
+    parts = np.split(total[which], np.cumsum([len(k) for k in keys])[:-1])
+    return pd.DataFrame({"block": frame["block"].to_numpy(), "shard": frame["shard"].to_numpy(), "totals": [shrunk(p) for p in parts], "seen": seen})
+
+
+def totals(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("shard").applyInPandas(answered, ANSWERED)
+
+
+def walked(block: Block, c: np.ndarray, n2: np.ndarray, n3: np.ndarray, root: Root, prior: tuple[float, float], least: int = 2) -> np.ndarray:
+    """log10 probability at every place. c: counts of words; n2, n3: of the pair and triple that end at a place, -1 for none.
+
+    The state before a token is the longest of pair, word and root that is a state, and a
+    state's shorter one is the state that the same places have one order lower; so all places
+    are walked at once, down the failure arcs as far as each needs to go.
+    """
+    own, before = c[block.x], np.r_[0, c[block.x[:-1]]]
+    low = root.prob(own)
+    states = [(np.where(n2 >= 0, before, 0), n2, prior[0]), (np.where(n3 >= 0, np.r_[0, np.maximum(n2[:-1], 0)], 0), n3, prior[1])]
+    arcs = []
+    for held, n, m in states:  # chances of the arcs, each with its share of the lower order's
+        is_state = held >= least
+        low = np.where(is_state, (np.maximum(n, 0) + m * low) / (held + m), low)
+        arcs.append((is_state, n > 0, low, m / (held + m)))
+    out, open_ = np.zeros(len(own)), n2 >= 0
+    for is_state, has_arc, chance, fails in arcs[::-1]:
+        hit = open_ & is_state & has_arc
+        out[hit] += np.log10(chance[hit])
         open_ &= ~hit
-        out[open_] += np.log10(self.one[x[open_]])
-        return out
-
-
-def place(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each of wanted is in the sorted array known, or -1."""
-    if not len(known):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, at, -1)
-
-
-def built(ids: np.ndarray, c: np.ndarray, arcs: pd.DataFrame, unigrams: Unigrams, taken: float = 0.75) -> Automaton:
-    """ids, c: a block's words and counts; arcs: a, b, c (-1: none) by id with n, s and d: of what follows, counts and kinds."""
-    width, one, order = max(len(ids), 1), unigrams.prob(c), np.argsort(ids)
-    cols = [arcs[k].to_numpy() for k in "abc"]
-    cols = [np.where(k >= 0, order[np.minimum(np.searchsorted(ids, k, sorter=order), len(ids) - 1)], -1) for k in cols]
-    n, s, d = (arcs[k].to_numpy().astype(float) for k in "nsd")
-    size = (cols[1] >= 0).astype(int) + (cols[2] >= 0) + 1
-    left_one = np.full(len(ids), -1.0)
-    at = np.flatnonzero((size == 1) & (d > 0))
-    left_one[cols[0][at]] = np.maximum(1 - (s[at] - taken * d[at]) / c[cols[0][at]], 0)
-    at = np.flatnonzero(size == 2)
-    at = at[np.argsort(cols[0][at] * width + cols[1][at])]
-    first, last = cols[0][at], cols[1][at]
-    pairs, held = first * width + last, n[at]
-    two = (held - taken) / c[first] + left_one[first] * one[last]
-    left_two = np.where(d[at] > 0, np.maximum(1 - (s[at] - taken * d[at]) / held, 0), -1.0)
-    at = np.flatnonzero(size == 3)
-    state = place(pairs, cols[0][at] * width + cols[1][at])
-    turn = np.argsort(state * width + cols[2][at])
-    at, state = at[turn], state[turn]
-    lower = two[place(pairs, cols[1][at] * width + cols[2][at])]
-    three = (n[at] - taken) / held[state] + left_two[state] * lower
-    return Automaton(one, pairs, two, state * width + cols[2][at], three, left_one, left_two)
-
-
-def numbered(texts: pd.Series, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in a row as words' numbers, -1 and the end before each; where each begins. Other words are -1."""
-    first, get = words.get(b"\n", -1), words.get
-    parts = [np.array([-1, first, *[get(w, -1) for w in tokens(t)]], np.int64) for t in texts]
-    return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
-
-
-def grams(frame: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """block, a, b, c, n: a block's words, pairs and triples, by words' ids, -1 for none; n counts those of rows that are learned."""
-    ids, width = words["id"].to_numpy(), len(words)
-    given = {w: i for i, w in enumerate(words["word"])}
-    if not len(frame) or not width:
-        return pd.DataFrame({"block": np.zeros(0, np.int32), **{k: np.zeros(0, np.int64) for k in "abcn"}})
-    x, starts = numbered(frame["text"], given)
-    learned = np.repeat(~frame["held_out"].to_numpy(bool), np.diff(starts)).astype(float)
-    none = lambda n: np.full(n, -1)
-    at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0)) + 1
-    two, which = np.unique(x[at - 1] * width + x[at], return_inverse=True)
-    out = [(ids, none(width), none(width), np.ones(width)), (ids[two // width], ids[two % width], none(len(two)), np.bincount(which, learned[at], len(two)))]
-    pair = none(len(x))
-    pair[at] = which
-    at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0) & (x[:-1] != given.get(b"\n", -1))) + 1
-    three, which = np.unique(pair[at - 1] * width + x[at], return_inverse=True)
-    head = two[three // width]
-    out.append((ids[head // width], ids[head % width], ids[three % width], np.bincount(which, learned[at], len(three))))
-    a, b, c, n = (np.concatenate(k) for k in zip(*out))
-    return pd.DataFrame({"block": frame["block"].iloc[0], "a": a, "b": b, "c": c, "n": n.astype(np.int64)})
-
-
-def score(docs: DataFrame, held_out: Column, block_bytes: int = 12_000_000, least: int = 2) -> DataFrame:
+        down = open_ & is_state
+        out[down] += np.log10(fails[down])
+    out[open_] += np.log10(root.prob(own[open_]))
+    return out
+
+
+def blocked(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """docs (doc_id, none, text, held_out) tokenised, a row a block of texts in the order they are read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, turn, held = TaskContext.get().partitionId(), 0, []
+        numbers, size = Numbers(), 0
+
+        def out() -> pd.DataFrame:
+            ends, sizes = numbers[END], [len(t) + 1 for *_, t in held]
+            x = np.concatenate([y for *_, t in held for y in ([ends], t)])
+            learned = np.concatenate([t for *_, h, t in held if not h] or [np.zeros(0, np.uint32)])
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+            arrays = {"ids": np.array([d for d, *_ in held], np.int64).view(np.uint64), "none": np.array([k for _, k, *_ in held]), "held": np.array([h for _, _, h, _ in held])}
+            arrays |= {"sizes": np.array(sizes), "x": x, "words": words, "counts": np.bincount(learned, minlength=len(numbers))}
+            return pd.DataFrame({"block": [part << 32 | turn], "learned": [len(learned)], **{k: [shrunk(v)] for k, v in arrays.items()}})
+
+        for frame in frames:
+            for d, none, h, t in zip(frame["doc_id"], frame["none"], frame["held_out"], frame["text"]):
+                own = tokens(t)
+                held.append((d, none, h, np.fromiter(map(numbers.__getitem__, own), np.uint32, len(own))))
+                size += len(own)
+                if size >= block_tokens:
+                    yield out()
+                    turn, held, size, numbers = turn + 1, [], 0, Numbers()
+        if held:
+            yield out()
+
+    return docs.mapInPandas(run, "block long, learned long, ids binary, none binary, held binary, sizes binary, x binary, words binary, counts binary")
+
+
+def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = (2000.0, 50.0), block_tokens: int = 1 << 21, shard_keys: int = 1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     base_score is the baseline of token frequencies, 0.1 added to each. Rows where
-    ``held_out`` holds are scored but not learned from. A null text is empty and has its end
-    token. Null and repeated doc_ids are rows like others; an empty table gives no rows;
-    other columns are ignored. ``least`` is how often a pair or triple must be counted to be an
-    arc. Without training rows every token is the unseen class, whose
-    probability is one.
+    ``held_out`` holds are scored but not learned from; where it is null they are learned from.
+    A null text is empty and has its end token. Null and repeated doc_ids are rows like others,
+    and so are repeated rows; an empty table gives no rows; other columns are ignored. Without
+    training rows every token is the unseen one, whose probability is one. ``prior`` has the
+    weights m of the shorter state after a word and after a pair. Blocks and shards hold about
+    ``block_tokens`` and ``shard_keys``, or more: where a block's part for a shard would be
+    under a thousand keys both grow, with the square root of the corpus.
     """
     spark = ship(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    text = F.coalesce("text", F.lit(""))
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-    def words(frame: pd.DataFrame) -> pd.DataFrame:
-        n = Counter()
-        for t, held in zip(frame["text"], frame["held_out"]):
-            n.update(tokens(t) if not held else dict.fromkeys(tokens(t), 0))
-        block, own = frame["block"].iloc[0], sorted(n)
-        return pd.DataFrame({"block": block, "word": own, "n": np.fromiter(map(n.__getitem__, own), np.int64, len(own)), "row": (int(block) << 32) + np.arange(len(own))})
-
-    own = placed.groupBy("block").applyInPandas(words, "block int, word binary, n long, row long")
-    every = Window.partitionBy("word")  # a row a block and word
-    own = own.select("block", "word", "row", F.sum("n").over(every).alias("c"), F.min("row").over(every).alias("id"))
-    own = saved(own.select("block", "word", "c", "id", (F.col("row") == F.col("id")).alias("first")))
-    known = own.filter("first and c > 0")
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    unigrams = Unigrams.of(total, distinct, dict(known.filter("c <= 4").groupBy("c").count().collect()))
-
-    often = own.filter(F.col("c") >= least).select("block", "word", "id")
-    given = placed.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(grams, "block int, a long, b long, c long, n long")
-    every = Window.partitionBy("a", "b", "c")  # a row a block
-    arcs = given.select("block", "a", "b", "c", F.sum("n").over(every).alias("n"), (F.min("block").over(every) == F.col("block")).alias("first"))
-    arcs = saved(arcs.filter((F.col("n") >= least) | (F.col("b") < 0)))
-    prefix = F.when(F.col("c") >= 0, F.col("b")).otherwise(-1).alias("b")
-    follow = arcs.filter("first and b >= 0").groupBy("a", prefix).agg(F.sum("n").alias("s"), F.count("*").alias("d"))
-    states = arcs.filter("c < 0").join(follow.hint("shuffle_hash"), ["a", "b"], "left").fillna(0, ["s", "d"]).filter("b >= 0 or d > 0")
-    zero = F.lit(0).cast("long")
-    cols = ["block", F.lit(None).cast("binary").alias("word"), "a", "b", "c", "n"]
-    arcs = states.select(*cols, "s", "d").union(arcs.filter("c >= 0").select(*cols, zero.alias("s"), zero.alias("d")))
-    none = [F.lit(k).cast("long").alias(name) for name, k in (("b", -1), ("c", -1))]
-    counts = own.select("block", "word", F.col("id").alias("a"), *none, F.col("c").alias("n"), zero.alias("s"), zero.alias("d")).union(arcs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.col("doc_id").cast("long")
+    placed = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("none"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
+    around = (placed.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1) // 5  # tokens, about
+    least = int(32 * math.sqrt(around))
+    blocks = saved(blocked(placed, max(block_tokens, least)))
+    learned = blocks.agg(F.sum("learned")).first()[0] or 0
+    power = max(2, math.ceil(math.log2(max(1, around / max(shard_keys, least)))))
+    bits = min(64, 2 * max(around, 2).bit_length() + 2)
+    by_order = [Shards(0, 64, max(0, power - 2)), Shards(1, bits, power), Shards(2, bits, power)]
+
+    def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                words, n = grown(row.words), grown(row.counts)
+                order = np.argsort(words)
+                yield by_order[0].asked(row.block, words[order], n[order])
+
+    def grams_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples():
+                block = Block.read(row)
+                weight = block.weight()
+                for shards, (at, keys) in zip(by_order[1:], block.keys()):
+                    each, which = distinct(shards.cut(keys))
+                    yield shards.asked(row.block, each, np.bincount(which, weight[at], len(each)).astype(np.int64))
+
+    words = saved(totals(blocks.select("block", "words", "counts").mapInPandas(words_of, ASKED)))
+    found = words.select(*[F.coalesce(F.sum(F.col("seen")[k]), F.lit(0)) for k in range(5)]).first()
+    root = Root.of(learned, found[0], list(found[1:]))
+    grams = totals(blocks.select("block", "held", "sizes", "x", "words").mapInPandas(grams_of, ASKED))
 
     def scored(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        single = counts["word"].notna().to_numpy()
-        words, arcs = counts[single], counts[~single]
-        c = words["n"].to_numpy()
-        x, starts = numbered(frame["text"], {w: i for i, w in enumerate(words["word"])})
-        token = np.ones(len(x), bool)
-        token[starts[:-1]] = token[starts[:-1] + 1] = False
-        text = np.repeat(np.arange(len(frame)), np.diff(starts))[token]
-        walked = built(words["a"].to_numpy(), c, arcs, unigrams).traverse(x)[token]
-        own = c[x[token]]
-        add = lambda v: np.bincount(text, v, len(frame))
-        out = pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["held_out"]}).reset_index(drop=True)
-        out["n_tokens"], out["n_known"] = np.diff(starts) - 2, add(own > 0).astype(np.int64)
-        out["train_tokens"] = total
-        out["base_score"], out["score"] = add(np.log10((own + 0.1) / (total + 0.1 * (distinct + 1)))), add(walked)
-        return out
+        row = next(frame.itertuples())
+        block = Block.read(row)
+        counts = counts.sort_values("shard")
+        order = counts["shard"].to_numpy() // ORDER
+        told = [np.concatenate([np.zeros(0, np.uint64), *map(grown, counts["totals"][order == k])]).astype(np.int64) for k in range(3)]
+        c = np.empty(len(block.words), np.int64)
+        c[np.argsort(block.words)] = told[0]
+        by_place = []
+        for shards, n, (at, keys) in zip(by_order[1:], told[1:], block.keys()):
+            by_place.append(np.full(len(block.x), -1))
+            by_place[-1][at] = n[distinct(shards.cut(keys))[1]]
+        value = walked(block, c, *by_place, root, prior)
+        token = by_place[0] >= 0
+        seen = c[block.x]
+        base = np.log10((seen + 0.1) / (root.total + 0.1 * (root.distinct + 1)))
+        add = lambda v: np.add.reduceat(np.where(token, v, 0), block.starts[:-1])
+        ids = pd.array(grown(row.ids).view(np.int64), dtype="Int64")
+        ids[grown(row.none) == 1] = pd.NA
+        out = {"doc_id": ids, "held_out": ~block.learned, "n_tokens": np.diff(block.starts) - 1, "n_known": add(seen > 0).astype(np.int64), "train_tokens": root.total}
+        return pd.DataFrame({**out, "base_score": add(base), "score": add(value)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(counts.groupBy("block")).applyInPandas(scored, schema)
+    answers = words.select("block", "shard", "totals").union(grams.select("block", "shard", "totals"))
+    given = blocks.select("block", "ids", "none", "held", "sizes", "x", "words")
+    return given.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
