@@ -54,3 +54,15 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """df stored in the warehouse, bucketed by key, and the table's name: grouping by the key needs no shuffle of it."""
+    spark, name = df.sparkSession, f"tagloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(min(buckets, 100_000), key).saveAsTable(name)
+    return spark.table(name), name
+
+
+def dropped(name: str, spark: SparkSession | None = None) -> None:
+    """Remove a table that bucketed() stored."""
+    (spark or SparkSession.active()).sql(f"DROP TABLE IF EXISTS {name}")
