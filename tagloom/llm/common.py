@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import cut, saved, shared_dir, ship
+from ..plans.lineage import bucketed, cut, dropped, saved, shared_dir, ship
 
-__all__ = ["cut", "saved", "shared_dir", "ship", "table"]
+__all__ = ["bucketed", "cut", "dropped", "saved", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -9,10 +9,10 @@ state's chances add up to one. At the root, counts of 1, 2 and more are discount
 that leaves is the chance of a token never seen. No word, pair or triple is dropped for
 being rare, at any size.
 
-Texts are tokenised once, in blocks of about ``block_tokens`` tokens, and stored as numbers.
-Words, pairs and triples have 64-bit hash keys; those of pairs and triples are cut to twice
-the bits of the number of tokens, so that hardly one pair of keys in a corpus is the same by
-accident. A block sends its distinct keys with their counts, sorted and written as
+Texts are tokenised once, in blocks of about ``block_tokens`` tokens, and stored as numbers
+in a table bucketed by block, so they are never shuffled. Words, pairs and triples have hash
+keys of twice the bits of the number of tokens, so that less than one pair of keys in a
+corpus is expected to be the same by accident. A block sends its distinct keys with their counts, sorted and written as
 differences, to shards that hold a range of keys each; a shard adds up and answers with the
 totals alone, in the order of the keys, which the block knows. So no n-gram travels back, a
 frequent one is a number a block, and nothing that grows with the input is broadcast.
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, ship
+from .common import bucketed, dropped, saved, ship
 
 END = b"\n"
 #: Multipliers and shifts of a well-known 64-bit finaliser, and the odd number that joins keys.
@@ -40,6 +40,8 @@ U = np.uint64
 FIRST, SECOND, JOIN = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15)
 #: Orders are told apart by the high part of a shard's number.
 ORDER = 1 << 40
+#: Places walked at a time.
+SEGMENT = 1 << 18
 PACK, UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -114,35 +116,36 @@ class Block:
     @classmethod
     def read(cls, row) -> "Block":
         sizes = grown(row.sizes).astype(np.int64)
-        return cls(grown(row.x).astype(np.int64), np.cumsum(np.r_[0, sizes]), grown(row.words), grown(row.held) == 0)
-
-    def keys(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of pairs and of triples: the places whose token ends one, and its keys."""
-        size = len(self.x)
-        first = np.zeros(size + 2, bool)
-        first[self.starts[:-1]] = True
-        at2 = np.flatnonzero(~first[:size])
+        return cls(grown(row.x).astype(np.uint32), np.cumsum(np.r_[0, sizes]), grown(row.words), grown(row.held) == 0)
+
+    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of pairs, then of triples: at which places a token ends one, and the keys there."""
+        ends = np.ones(len(self.x) + 1, bool)
         h = self.words[self.x]
-        pair = np.zeros(size, np.uint64)
-        pair[1:] = mixed(h[:-1] * JOIN + h[1:])
-        second = np.zeros(size + 2, bool)
-        second[self.starts[:-1] + 1] = True
-        at3 = np.flatnonzero(~first[:size] & ~second[:size])
-        return [(at2, pair[at2]), (at3, mixed(pair[at3 - 1] * JOIN + h[at3] + U(1)))]
+        key = h.copy()
+        for before in range(2):
+            ends[self.starts[:-1] + before] = False
+            key[1:] = mixed(key[:-1] * JOIN + h[1:] + U(before))
+            yield ends[:-1], key[ends[:-1]]
 
-    def weight(self) -> np.ndarray:
-        """1 at the places of texts that are learned from."""
-        return np.repeat(self.learned, np.diff(self.starts)).astype(float)
+    def learning(self) -> np.ndarray:
+        """Which places are of texts that are learned from."""
+        return np.repeat(self.learned, np.diff(self.starts))
 
 
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and which of them each key is."""
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys, where in it each distinct key begins, and the sorted distinct keys."""
     order = np.argsort(keys)
     own = keys[order]
-    new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return own[new], which
+    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+    return order, begins, own[begins]
+
+
+def spread(order: np.ndarray, begins: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of the distinct keys at the places of all keys."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.r_[begins, len(order)]))
+    return out
 
 
 @dataclass(frozen=True)
@@ -177,11 +180,11 @@ def answered(frame: pd.DataFrame) -> pd.DataFrame:
     """A shard's totals for each block, in the order of the block's keys; seen: distinct keys counted, and counted one to four times."""
     frame = frame.sort_values("block")
     keys = [np.cumsum(grown(k), dtype=np.uint64) for k in frame["keys"]]
-    n = np.concatenate([grown(c) for c in frame["n"]]).astype(float)
-    each, which = distinct(np.concatenate(keys))
-    total = np.bincount(which, n, len(each)).astype(np.int64)
+    order, begins, each = distinct(np.concatenate(keys))
+    n = np.concatenate([grown(c) for c in frame["n"]]).astype(np.int64)[order]
+    total = np.add.reduceat(n, begins) if len(n) else n
     seen = [[int((total > 0).sum()), *np.bincount(np.minimum(total, 5), minlength=6)[1:5].tolist()], *[None] * (len(keys) - 1)]
-    parts = np.split(total[which], np.cumsum([len(k) for k in keys])[:-1])
+    parts = np.split(spread(order, begins, total), np.cumsum([len(k) for k in keys])[:-1])
     return pd.DataFrame({"block": frame["block"].to_numpy(), "shard": frame["shard"].to_numpy(), "totals": [shrunk(p) for p in parts], "seen": seen})
 
 
@@ -189,34 +192,31 @@ def totals(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInPandas(answered, ANSWERED)
 
 
-def walked(block: Block, c: np.ndarray, n2: np.ndarray, n3: np.ndarray, root: Root, prior: tuple[float, float], least: int = 2) -> np.ndarray:
-    """log10 probability at every place. c: counts of words; n2, n3: of the pair and triple that end at a place, -1 for none.
+def walked(c: np.ndarray, before: np.ndarray, n2: np.ndarray, before2: np.ndarray, n3: np.ndarray, root: Root, prior: tuple[float, float], least: int = 2) -> np.ndarray:
+    """log10 probability at places, from counts: c of the token, n2 and n3 of the pair and triple that end there (-1: none), before and before2 of the word and pair that end one place earlier.
 
     The state before a token is the longest of pair, word and root that is a state, and a
-    state's shorter one is the state that the same places have one order lower; so all places
+    state's shorter one is the state that the same place has one order lower; so all places
     are walked at once, down the failure arcs as far as each needs to go.
     """
-    own, before = c[block.x], np.r_[0, c[block.x[:-1]]]
-    low = root.prob(own)
-    states = [(np.where(n2 >= 0, before, 0), n2, prior[0]), (np.where(n3 >= 0, np.r_[0, np.maximum(n2[:-1], 0)], 0), n3, prior[1])]
-    arcs = []
-    for held, n, m in states:  # chances of the arcs, each with its share of the lower order's
+    low, arcs = root.prob(c), []
+    for held, n, m in ((np.where(n2 >= 0, before, 0), n2, prior[0]), (np.where(n3 >= 0, before2, 0), n3, prior[1])):
         is_state = held >= least
         low = np.where(is_state, (np.maximum(n, 0) + m * low) / (held + m), low)
         arcs.append((is_state, n > 0, low, m / (held + m)))
-    out, open_ = np.zeros(len(own)), n2 >= 0
+    out, open_ = np.zeros(len(c)), n2 >= 0
     for is_state, has_arc, chance, fails in arcs[::-1]:
         hit = open_ & is_state & has_arc
         out[hit] += np.log10(chance[hit])
         open_ &= ~hit
         down = open_ & is_state
         out[down] += np.log10(fails[down])
-    out[open_] += np.log10(root.prob(own[open_]))
+    out[open_] += np.log10(root.prob(c[open_]))
     return out
 
 
-def blocked(docs: DataFrame, block_tokens: int) -> DataFrame:
-    """docs (doc_id, none, text, held_out) tokenised, a row a block of texts in the order they are read."""
+def blocked(docs: DataFrame, block_tokens: int, bits: int) -> DataFrame:
+    """docs (doc_id, none, text, held_out) tokenised, a row a block of texts in the order they are read; words have keys of ``bits`` bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, turn, held = TaskContext.get().partitionId(), 0, []
@@ -226,7 +226,7 @@ def blocked(docs: DataFrame, block_tokens: int) -> DataFrame:
             ends, sizes = numbers[END], [len(t) + 1 for *_, t in held]
             x = np.concatenate([y for *_, t in held for y in ([ends], t)])
             learned = np.concatenate([t for *_, h, t in held if not h] or [np.zeros(0, np.uint32)])
-            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), np.uint64, len(numbers))
+            words = np.fromiter((xxhash.xxh64_intdigest(w) >> 64 - bits for w in numbers), np.uint64, len(numbers))
             arrays = {"ids": np.array([d for d, *_ in held], np.int64).view(np.uint64), "none": np.array([k for _, k, *_ in held]), "held": np.array([h for _, _, h, _ in held])}
             arrays |= {"sizes": np.array(sizes), "x": x, "words": words, "counts": np.bincount(learned, minlength=len(numbers))}
             return pd.DataFrame({"block": [part << 32 | turn], "learned": [len(learned)], **{k: [shrunk(v)] for k, v in arrays.items()}})
@@ -245,29 +245,10 @@ def blocked(docs: DataFrame, block_tokens: int) -> DataFrame:
     return docs.mapInPandas(run, "block long, learned long, ids binary, none binary, held binary, sizes binary, x binary, words binary, counts binary")
 
 
-def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = (2000.0, 50.0), block_tokens: int = 1 << 21, shard_keys: int = 1 << 21) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
-    base_score is the baseline of token frequencies, 0.1 added to each. Rows where
-    ``held_out`` holds are scored but not learned from; where it is null they are learned from.
-    A null text is empty and has its end token. Null and repeated doc_ids are rows like others,
-    and so are repeated rows; an empty table gives no rows; other columns are ignored. Without
-    training rows every token is the unseen one, whose probability is one. ``prior`` has the
-    weights m of the shorter state after a word and after a pair. Blocks and shards hold about
-    ``block_tokens`` and ``shard_keys``, or more: where a block's part for a shard would be
-    under a thousand keys both grow, with the square root of the corpus.
-    """
-    spark = ship(docs.sparkSession)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = F.col("doc_id").cast("long")
-    placed = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("none"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
-    around = (placed.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1) // 5  # tokens, about
-    least = int(32 * math.sqrt(around))
-    blocks = saved(blocked(placed, max(block_tokens, least)))
+def scored(blocks: DataFrame, by_order: list[Shards], prior: tuple[float, float]) -> DataFrame:
+    """The result for tokenised blocks, stored."""
     learned = blocks.agg(F.sum("learned")).first()[0] or 0
-    power = max(2, math.ceil(math.log2(max(1, around / max(shard_keys, least)))))
-    bits = min(64, 2 * max(around, 2).bit_length() + 2)
-    by_order = [Shards(0, 64, max(0, power - 2)), Shards(1, bits, power), Shards(2, bits, power)]
 
     def words_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -280,39 +261,74 @@ def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = (2000.
         for frame in frames:
             for row in frame.itertuples():
                 block = Block.read(row)
-                weight = block.weight()
+                learning = block.learning()
                 for shards, (at, keys) in zip(by_order[1:], block.keys()):
-                    each, which = distinct(shards.cut(keys))
-                    yield shards.asked(row.block, each, np.bincount(which, weight[at], len(each)).astype(np.int64))
+                    order, begins, each = distinct(shards.cut(keys))
+                    n = learning[at][order].astype(np.int32)
+                    yield shards.asked(row.block, each, np.add.reduceat(n, begins) if len(n) else n)
 
     words = saved(totals(blocks.select("block", "words", "counts").mapInPandas(words_of, ASKED)))
     found = words.select(*[F.coalesce(F.sum(F.col("seen")[k]), F.lit(0)) for k in range(5)]).first()
     root = Root.of(learned, found[0], list(found[1:]))
     grams = totals(blocks.select("block", "held", "sizes", "x", "words").mapInPandas(grams_of, ASKED))
 
-    def scored(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    def walk(frame: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         row = next(frame.itertuples())
         block = Block.read(row)
         counts = counts.sort_values("shard")
-        order = counts["shard"].to_numpy() // ORDER
-        told = [np.concatenate([np.zeros(0, np.uint64), *map(grown, counts["totals"][order == k])]).astype(np.int64) for k in range(3)]
+        kind = counts["shard"].to_numpy() // ORDER
+        told = lambda k: np.concatenate([np.zeros(0, np.uint64), *map(grown, counts["totals"][kind == k])]).astype(np.int64)
         c = np.empty(len(block.words), np.int64)
-        c[np.argsort(block.words)] = told[0]
+        c[np.argsort(block.words)] = told(0)
         by_place = []
-        for shards, n, (at, keys) in zip(by_order[1:], told[1:], block.keys()):
+        for k, (at, keys) in enumerate(block.keys(), 1):
+            order, begins, _ = distinct(by_order[k].cut(keys))
             by_place.append(np.full(len(block.x), -1))
-            by_place[-1][at] = n[distinct(shards.cut(keys))[1]]
-        value = walked(block, c, *by_place, root, prior)
-        token = by_place[0] >= 0
-        seen = c[block.x]
-        base = np.log10((seen + 0.1) / (root.total + 0.1 * (root.distinct + 1)))
+            by_place[-1][at] = spread(order, begins, told(k))
+        n2, n3 = by_place
+        token, value, base, known = n2 >= 0, *(np.zeros(len(block.x)) for _ in range(2)), np.zeros(len(block.x), bool)
+        for a in range(0, len(block.x), SEGMENT):
+            b = min(a + SEGMENT, len(block.x))
+            own, last = c[block.x[a:b]], slice(max(a - 1, 0), b - 1)
+            before, before2 = (np.r_[np.zeros(int(a == 0), np.int64), v] for v in (c[block.x[last]], np.maximum(n2[last], 0)))
+            value[a:b] = walked(own, before, n2[a:b], before2, n3[a:b], root, prior)
+            base[a:b] = np.log10((own + 0.1) / (root.total + 0.1 * (root.distinct + 1)))
+            known[a:b] = own > 0
         add = lambda v: np.add.reduceat(np.where(token, v, 0), block.starts[:-1])
         ids = pd.array(grown(row.ids).view(np.int64), dtype="Int64")
         ids[grown(row.none) == 1] = pd.NA
-        out = {"doc_id": ids, "held_out": ~block.learned, "n_tokens": np.diff(block.starts) - 1, "n_known": add(seen > 0).astype(np.int64), "train_tokens": root.total}
+        out = {"doc_id": ids, "held_out": ~block.learned, "n_tokens": np.diff(block.starts) - 1, "n_known": add(known), "train_tokens": root.total}
         return pd.DataFrame({**out, "base_score": add(base), "score": add(value)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers = words.select("block", "shard", "totals").union(grams.select("block", "shard", "totals"))
     given = blocks.select("block", "ids", "none", "held", "sizes", "x", "words")
-    return given.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
+    return saved(given.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(walk, schema))
+
+
+def score(docs: DataFrame, held_out: Column, prior: tuple[float, float] = (2000.0, 50.0), block_tokens: int = 3 << 19, shard_keys: int = 1 << 21) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    base_score is the baseline of token frequencies, 0.1 added to each. Rows where
+    ``held_out`` holds are scored but not learned from; where it is null they are learned from.
+    A null text is empty and has its end token. Null and repeated doc_ids are rows like others,
+    and so are repeated rows; an empty table gives no rows; other columns are ignored. Without
+    training rows every token is the unseen one, whose probability is one. ``prior`` has the
+    weights m of the shorter state after a word and after a pair. Blocks and shards hold about
+    ``block_tokens`` and ``shard_keys``, or more: where a block's part for a shard would be
+    under a thousand keys both grow, with the square root of the corpus.
+    """
+    spark = ship(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.col("doc_id").cast("long")
+    placed = docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("none"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text.alias("text"))
+    around = (placed.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 1) // 5  # tokens, about
+    least = int(32 * math.sqrt(around))
+    bits = min(64, max(40, 2 * around.bit_length()))
+    per_block = max(block_tokens, least)
+    power = max(2, math.ceil(math.log2(max(1, around / max(shard_keys, least)))))
+    blocks, name = bucketed(blocked(placed, per_block, bits), "block", max(1, around // per_block))
+    try:
+        return scored(blocks, [Shards(0, bits, max(0, power - 2)), Shards(1, bits, power), Shards(2, bits, power)], prior)
+    finally:
+        dropped(name)
