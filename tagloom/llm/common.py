@@ -6,9 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.lineage import bucketed, cut, dropped, saved, shared_dir, ship
 
-__all__ = ["bucketed", "cut", "dropped", "saved", "shared_dir", "ship", "table"]
+__all__ = ["bucketed", "cut", "dropped", "free", "saved", "shared_dir", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table by the path that Spark's readers open."""
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

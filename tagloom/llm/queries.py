@@ -38,7 +38,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity and verdict."""
-    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged, _ = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id", "lang"])
     return judged.select("doc_id", "lang", "_quality.symbols", "_quality.perplexity", "_quality.threshold", "_quality.keep")
 
 

@@ -192,7 +192,8 @@ def links(fps: DataFrame, bits: int = 3, largest: int = 2048) -> DataFrame:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.element_at(own, F.col("part") + 1)))
         counts = cut(rows.groupBy("part", "key").count().filter("count > 1"))
         rows = rows.join(counts, ["part", "key"])
-        fit = rows.filter(F.col("count") <= largest).select("part", "key", "fp", gray_rank("fp").alias("rank"))
+        # in the last level 12 bits at most are open, so a node is small whatever it holds
+        fit = (rows if level == 6 else rows.filter(F.col("count") <= largest)).select("part", "key", "fp", gray_rank("fp").alias("rank"))
         n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fit = fit.repartition(n, "part", "key").sortWithinPartitions("part", "key", F.shiftrightunsigned("rank", 1), "rank")
         found.append(fit.select("part", "key", "fp").mapInPandas(run, "a long, b long"))

@@ -63,3 +63,13 @@ def test_lowest_rates(spark):
     assert all(r["rate"] >= (1 if r["_p0"] >= 0.5 else 0) for r in rows)
     got = [sum(r["rate"] * r["tokens"] * r[f"_p{k}"] for r in rows) for k in range(3)]
     assert np.linalg.norm(np.array(got) - wanted) < 0.5 * np.linalg.norm(held - wanted)
+
+
+def test_labels_and_their_lack(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} the", "x") for i in range(60)] + [(None, "a1 the", "y")], "doc_id long, text string, _also string")
+    labelled = spark.createDataFrame([(i, "odd" if i % 2 else "even") for i in range(40)], "doc_id long, domain string")
+    light, domains = mixing.prepared(docs, labelled)
+    assert domains == ["even", "odd"] and light.count() == 61
+    assert all(r[f"_p{r['doc_id'] % 2}"] == 1.0 for r in light.collect() if r["doc_id"] is not None and r["doc_id"] < 40)
+    none = mixing.mix(docs, labelled.limit(0), {"odd": 1.0}).collect()
+    assert len(none) == 61 and all(r["rate"] == 1.0 and r["copies"] == 1 for r in none)
