@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import mixing, packing, quality, similar
-from tagloom.llm.common import cut, shared_dir, ship, table
+from tagloom.llm.common import cut, free, shared_dir, ship, table
 from tagloom.llm.queries import domains_of
 
 
 def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("_quality.keep").select(docs.columns)
+    judged, verdict = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return judged.filter(F.col(verdict)["keep"]).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,33 +34,33 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     grouped = cut(similar.groups(ship(spark) and docs))
     light = docs.select(similar.text_key().alias("key"), "doc_id").join(grouped.hint("shuffle_hash"), "key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    kept = light.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias("_kept"), F.col("least.key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (similar.text_key() == F.col("_key"))
+    own_id, own_key, row = (free(docs, c) for c in ("_kept", "_key", "_row"))
+    kept = light.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias(own_id), F.col("least.key").alias(own_key))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (similar.text_key() == F.col(own_key))
     own = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
     # summed up before the shuffle, however many rows are the same
-    one = own.groupBy("doc_id", similar.text_key().alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return one.select("_row.*")
+    one = own.groupBy("doc_id", similar.text_key().alias(own_key)).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture has them: less toxic and junk text, clean text at least once.
+    """The documents as often as a mixture of clean text alone has them.
 
-    A document that is more likely clean than not has a rate of one or more: the fit may only
-    raise it. Expected clean tokens shall be 1.1 times what they are, and to them go at most 5%
-    toxic and 1% junk tokens; a domain that has less is not raised beyond the same factor.
+    Targets are all expected clean tokens, and none of toxic and junk text. A document that is
+    more likely clean than not has a rate of one or more: the fit may only raise it, by what
+    it takes to make good for clean tokens expected in documents left out. A labelled document
+    has its label as its chance. Without labels all documents stay.
     """
-    light, domains = mixing.prepared(docs, domains_of(table(spark, sf_dir, "labels")))
-    if light is None:
+    light, domains = mixing.prepared(docs, domains_of(table(spark, sf_dir, "labels")), also=similar.text_key())
+    if light is None or "clean" not in domains:
         return docs
-    factor, shares = 1.1, {"clean": 0.94, "toxic": 0.05, "junk": 0.01}
-    held = dict(zip(domains, light.agg(*[F.sum(F.col("tokens") * F.col(f"_p{k}")) for k in range(len(domains))]).first()))
-    clean = factor * (held.get("clean") or 0.0)
-    wanted = [clean if d == "clean" else min(factor * (held[d] or 0.0), clean * shares[d] / shares["clean"]) for d in domains]
-    least = F.when(F.col(f"_p{domains.index('clean')}") >= 0.5, 1.0).otherwise(0.0) if "clean" in domains else None
-    rated = mixing.rates(light, len(domains), wanted, least=least)
-    copies = mixing.finished(rated, domains).select(F.col("doc_id").alias("_id"), "copies").filter("copies > 0").groupBy("_id").agg(F.max("copies").alias("copies"))
-    own = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    clean = F.col(f"_p{domains.index('clean')}")
+    held = light.agg(F.sum(F.col("tokens") * clean)).first()[0] or 0.0
+    rated = mixing.rates(light, len(domains), [held if d == "clean" else 0.0 for d in domains], least=F.when(clean >= 0.5, 1.0).otherwise(0.0))
+    own_id, own_key, number, copy = (free(docs, c) for c in ("_id", "_key", "_copies", "_copy"))
+    copies = mixing.finished(rated, domains).filter("copies > 0").groupBy(F.col("doc_id").alias(own_id), F.col("_also").alias(own_key)).agg(F.max("copies").alias(number))
+    own = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(own_id)) & (similar.text_key() == F.col(own_key)))
+    return own.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(number)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
