@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.lineage import bucketed, cut, dropped, saved, shared_dir, ship
 
-__all__ = ["bucketed", "cut", "dropped", "free", "saved", "shared_dir", "ship", "table"]
+__all__ = ["bucketed", "cut", "dropped", "free", "saved", "shared_dir", "ship", "table", "whole_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,3 +21,9 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def whole_ids(docs: DataFrame) -> DataFrame:
+    """doc_id (0 for null), none (whether it is null), text: a column with nulls would reach pandas as floats, which lose large ids."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(0)).alias("doc_id"), own.isNull().alias("none"), F.col("text").cast("string").alias("text"))

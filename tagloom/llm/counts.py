@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, whole_ids
 
 MARK = "▁"
 UNIT = 1 << 20
@@ -105,6 +105,6 @@ def token_counts(docs: DataFrame, vocabulary: str, block: int = 4096) -> DataFra
             for at in range(0, len(frame), block):
                 part = frame.iloc[at : at + block]
                 words, tokens = pieces.count([t if isinstance(t, str) else "" for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_words": words, "n_tokens": tokens})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").mask(part["none"]).to_numpy(), "n_words": words, "n_tokens": tokens})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return whole_ids(docs).mapInPandas(run, "doc_id long, n_words long, n_tokens long")

@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, whole_ids
 
 SHINGLE = 5
 #: Lower-case letters for A-Z; what is no letter, digit or byte of a longer character parts words.
@@ -179,8 +179,8 @@ def scan(docs: DataFrame, templates: dict[str, str], bands: int = 32, contain: f
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(None if pd.isna(d) else int(d), *m) for d, t in zip(frame["doc_id"], frame["text"]) if isinstance(t, str) for m in index.value.scan(t)]
+            rows = [(None if none else int(d), *m) for d, none, t in zip(frame["doc_id"], frame["none"], frame["text"]) if isinstance(t, str) for m in index.value.scan(t)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "containment", "first_word", "end_word"])
             yield out.astype({"doc_id": "Int64", "containment": float, "first_word": "int64", "end_word": "int64"})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, license string, containment double, first_word long, end_word long")
+    return whole_ids(docs).mapInPandas(run, "doc_id long, license string, containment double, first_word long, end_word long")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, whole_ids
 from .tokens import Encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -177,14 +177,14 @@ def packed(docs: Iterable[tuple[object, np.ndarray]], window: int, block_tokens:
         if rows:
             frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             frame["doc_id"] = frame["doc_id"].astype("Int64")
-            for at in range(0, len(frame), 4096):
-                yield frame.iloc[at : at + 4096]
+            for at in range(0, len(frame), 512):
+                yield frame.iloc[at : at + 512]
 
     for doc_id, ids in docs:
         held[key] = (doc_id, ids)
         batch.append((key, len(ids)))
         key += 1
-        n += len(ids)
+        n += len(ids) + 16  # an empty document has its costs too
         if n >= block_tokens:
             packer.block(batch)
             batch, n = [], 0
@@ -194,7 +194,7 @@ def packed(docs: Iterable[tuple[object, np.ndarray]], window: int, block_tokens:
     yield from emit()
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, block_tokens: int = 1 << 21) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, block_tokens: int = 1 << 19) -> DataFrame:
     """Pack documents into sequences of at most ``window`` tokens without padding.
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names. A null
@@ -211,9 +211,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1,
         def documents() -> Iterator[tuple[object, np.ndarray]]:
             for frame in frames:
                 texts = [t if isinstance(t, str) else "" for t in frame["text"]]
-                for doc_id, ids in zip(frame["doc_id"], encoder.encode(texts, end_id)):
-                    yield (None if pd.isna(doc_id) else int(doc_id)), ids
+                for doc_id, none, ids in zip(frame["doc_id"], frame["none"], encoder.encode(texts, end_id)):
+                    yield (None if none else int(doc_id)), ids
 
         yield from packed(documents(), window, block_tokens, TaskContext.get().partitionId() << 40)
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, SCHEMA)
+    return whole_ids(docs).mapInPandas(run, SCHEMA)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, ship, whole_ids
 from ..plans.components import components
 
 ALL = (1 << 64) - 1
@@ -53,9 +53,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.array([fingerprint(t if isinstance(t, str) else "", shingle) for t in frame["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").mask(frame["none"]), "fp": fps.view(np.int64)})
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return whole_ids(docs).mapInPandas(run, "doc_id long, fp long")
 
 
 def part_masks(levels: int) -> list[list[int]]:

@@ -1,10 +1,11 @@
-"""Token ids of whole texts with a word cache.
-
-The tokenizer drops white space and never joins across it, so a text's ids are those of its
-blank-separated chunks in order. Each distinct chunk is encoded once while it stays cached.
-Chunks of printable ASCII and precomposed Latin letters need no normalising beyond lower
-case: they are split here and only their parts go to the merge model. Any other chunk goes
-through the whole tokenizer.
+"""Token ids of whole texts with a cache of parts.
+
+Texts of printable ASCII, precomposed Latin letters, blanks and line ends need no normalising
+beyond lower case: they are split here into parts, and each distinct part goes to the merge
+model once while it stays cached. The tokenizer drops white space and never joins across it,
+so any other text is taken chunk by blank-separated chunk: plain ones likewise, the rest
+through the whole tokenizer. Parts and chunks of over ``LONG`` characters are not cached, so
+the caches are bounded in bytes.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ import numpy as np
 #: Characters that the fast path takes: printable ASCII, Latin letters that are in normal form C
 #: and have a lower case of one character.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ɏ]+")
-#: The vocabulary's pattern of parts, for the characters of PLAIN.
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^a-zÀ-ÖØ-öø-ɏ0-9]+")
+PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-įı-ɏ \n]*")
+#: The vocabulary's pattern of parts, for the characters of PLAIN_TEXT.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ɏ]+|[0-9]|[^\\sa-zÀ-ÖØ-öø-ɏ0-9]+")
+LONG = 64
 
 
 def byte_letters() -> list[str]:
@@ -73,7 +76,9 @@ class Encoder:
         class Parts(dict):
             def __missing__(self, part: str) -> bytes:
                 ids = merged((part[:-1].translate(inner) + final[part[-1]]).encode())
-                out = self[part] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+                out = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+                if len(part) <= LONG:
+                    self[part] = out
                 return out
 
         parts = Parts()
@@ -87,10 +92,11 @@ class Encoder:
                     ids = parts[low] if low.isalpha() else b"".join([parts[p] for p in PARTS.findall(low)])
                 else:
                     ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-                chunks[chunk] = ids
+                if len(chunk) <= LONG:
+                    chunks[chunk] = ids
                 return ids
 
-        self.parts, self.chunks = parts, Chunks()
+        self.parts, self.chunks, self.special = parts, Chunks(), special
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -101,9 +107,12 @@ class Encoder:
 
     def encode(self, texts: list[str], end_id: int | None = None) -> Iterator[np.ndarray]:
         tail = b"" if end_id is None else np.uint32(end_id).tobytes()
-        chunks = self.chunks
+        chunks, part, special = self.chunks, self.parts.__getitem__, self.special
         for text in texts:
             if len(chunks) > self.entries or len(self.parts) > self.entries:
                 chunks.clear()
                 self.parts.clear()
-            yield np.frombuffer(b"".join([chunks[c] for c in text.replace("\n", " ").split(" ")]) + tail, "<u4")
+            if PLAIN_TEXT.fullmatch(text) and not ("<" in text and any(s in text for s in special)):
+                yield np.frombuffer(b"".join([*map(part, PARTS.findall(text.lower())), tail]), "<u4")
+            else:
+                yield np.frombuffer(b"".join([*map(chunks.__getitem__, text.replace("\n", " ").split(" ")), tail]), "<u4")
