@@ -196,7 +196,7 @@ def links(fps: DataFrame, bits: int = 3, largest: int = 2048) -> DataFrame:
         fit = (rows if level == 6 else rows.filter(F.col("count") <= largest)).select("part", "key", "fp", gray_rank("fp").alias("rank"))
         n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         fit = fit.repartition(n, "part", "key").sortWithinPartitions("part", "key", F.shiftrightunsigned("rank", 1), "rank")
-        found.append(fit.select("part", "key", "fp").mapInPandas(run, "a long, b long"))
+        found.append(cut(fit.select("part", "key", "fp").mapInPandas(run, "a long, b long")))
         if level == 6 or counts.filter(F.col("count") > largest).isEmpty():
             break
         rows = cut(rows.filter(F.col("count") > largest).select("part", "fp"))

@@ -3,9 +3,10 @@
 The Gray-order index of SimHash fingerprints (see simhash) finds most copies: each text meets
 one that it links to at 3 or fewer bits. But a pair of similarity 0.8 differs in some ten of 64
 bits, far beyond what an index by parts can search, so bands of minima retrieve the rest: a
-text's signature is 40 bands of 5, and two texts of similarity J share a band but with chance
-(1 - J^5)^40, at J = 0.8 about one in eight million missed, above it fewer. What is
-retrieved is a link only if the shingles, compared themselves, are similar enough. First each
+text's signature is 40 bands of 5. Two texts of similarity J share a band with chance J^5, so at
+J = 0.8 they share 13 of 40 in the mean, and fewer than 3 with chance 3e-5, above it far less. What is
+retrieved is a link only if the shingles, compared themselves, are similar enough; sets whose
+sizes alone rule that out are not compared. First each
 text meets its neighbours in the index and the least of each bucket; what that connects is one
 group, and of the other pairs of a bucket only those across groups are compared after that, so
 many variants of a text are not compared all with all. Candidates are joined, not gathered:
@@ -26,6 +27,8 @@ from . import simhash
 from .common import cut, saved, ship
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
+#: Bands that a pair across groups must share to be compared: at J = 0.8 it shares 13 of 40, and under 3 with chance 3e-5.
+SHARED = 3
 RNG = np.random.default_rng(29)
 ODD = (RNG.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 ADD = RNG.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
@@ -71,14 +74,16 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.array([simhash.fingerprint(t, SHINGLE) for t in frame["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": frame["key"], "fp": fps, "bands": [bands(shingles(t)).tolist() for t in frame["text"]]})
-
-    prints = saved(texts.mapInPandas(signed, "key string, fp long, bands array<long>").groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    fps = cut(prints.groupBy("fp").agg(F.min("key").alias("a")))
-    same = prints.select("fp", F.col("key").alias("b")).join(fps, "fp").filter("a <> b").select("a", "b")
-    near = simhash.links(fps.select("fp")).toDF("x", "y").join(fps.toDF("x", "a"), "x").join(fps.toDF("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = prints.select("key", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter("n > 1").select("band", "least")
+            sets = [shingles(t) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "fp": fps, "size": [len(s) for s in sets], "bands": [bands(s).tolist() for s in sets]})
+
+    prints = saved(texts.mapInPandas(signed, "key string, fp long, size long, bands array<long>").groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
+    fps = cut(prints.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("least")))
+    same = prints.join(fps, "fp").select(F.col("least.key").alias("a"), F.col("key").alias("b"), F.col("least.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
+    near = cut(simhash.links(fps.select("fp")).toDF("x", "y"))
+    near = near.join(fps.toDF("x", "s"), "x").join(fps.toDF("y", "t"), "y").select(F.least("s.key", "t.key").alias("a"), F.greatest("s.key", "t.key").alias("b"), F.col("s.size").alias("m"), F.col("t.size").alias("n"))
+    rows = prints.select("key", "size", F.explode("bands").alias("band"))
+    full = rows.groupBy("band").agg(F.count("*").alias("count"), F.min(F.struct("key", "size")).alias("least")).filter("count > 1").select("band", "least")
     rows = cut(rows.join(full, "band"))
 
     def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,19 +91,24 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             near = np.array([jaccard(shingles(s), shingles(t)) >= similarity for s, t in zip(frame["s"], frame["t"])], bool)
             yield frame.loc[near, ["a", "b"]]
 
+    # sets of which one is too much smaller cannot be similar enough, whatever they share
+    may_be = F.least("m", "n") >= similarity * F.greatest("m", "n")
+
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
+        """Those of distinct pairs (a, b) that are similar enough."""
+        pairs = cut(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         held = saved(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
         both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
         return cut(both.mapInPandas(checked, "a string, b string"))
 
-    found = links(rows.filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).union(same).union(near))
+    star = rows.select(F.col("least.key").alias("a"), F.col("key").alias("b"), F.col("least.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
+    found = links(star.union(same).union(near).filter(may_be).select("a", "b").distinct())
     first = components(found)
-    rooted = rows.select("band", "key").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = rows.select("band", "key", "size").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    rooted = cut(rooted.join(mixed, "band"))
-    left, right = rooted.toDF("band", "a", "x"), rooted.toDF("band", "b", "y")
-    across = left.join(right, "band").filter("x < y").select("a", "b")
+    rooted = cut(rooted.join(mixed, "band").select("band", "key", "size", "root"))
+    left, right = rooted.toDF("band", "a", "m", "x"), rooted.toDF("band", "b", "n", "y")
+    across = left.join(right, "band").filter("x < y").filter(may_be).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
     reached = components(found.union(links(across)))
     return prints.select("key").join(reached.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
