@@ -1,6 +1,6 @@
 """Exact top-k by inner product: ball-tree branch and bound in each shard.
 
-Rows are hashed into shards of about 4,096, queries into blocks of about 1,024. A shard's
+Rows are hashed into shards of about 16,384, queries into blocks of about 1,024. A shard's
 ball tree halves its rows at the median of their widest direction; a node has a centre c
 and a radius r, and no row below it can score more than q.c + |q| r with a query q. A block
 of queries walks the tree of a shard: nodes in falling order of that bound, and none whose
@@ -12,15 +12,13 @@ found there come with the block as its floor when it meets all the others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .vectors import best, merged, met, packed, unpack, valid
+from .vectors import TURN, best, merged, met, own_places, packed, unpack, valid
 
 NONE = -np.iinfo(np.int64).max  # can be negated
 
@@ -46,14 +44,16 @@ class BallTree:
             bounds = halves
 
 
-def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and scores of each query, ids -1 where there are fewer or none reaches the floor.
+def search(q: np.ndarray, own: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray, leaf: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and scores of each query, ids -1 where there are fewer or none reaches the floor; own: the row that is the query itself, or -1.
 
     Vectors hold whole numbers. Products are exact in float64 below 2**53, and beyond that are
     taken in integers.
     """
     tree = BallTree(x, leaf)
-    x, x_ids = x[tree.order], x_ids[tree.order]
+    place = np.empty(len(x) + 1, np.int64)
+    place[tree.order], place[-1] = np.arange(len(x)), -1
+    x, x_ids, own = x[tree.order], x_ids[tree.order], place[own]
     small = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] < 2**52
     if not small:
         q_exact, x_exact = q.astype(np.int64), x.astype(np.int64)
@@ -82,7 +82,7 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
         for node in np.unique(at):
             rows, (a, b) = open_[at == node], leaves[node]
             s = (q[rows] @ x[a:b].T).astype(np.int64) if small else q_exact[rows] @ x_exact[a:b].T
-            s = np.where(x_ids[a:b] == q_ids[rows, None], NONE, s)
+            s = np.where(np.arange(a, b) == own[rows, None], NONE, s)
             better = s.max(1) >= scores[rows, -1]
             rows, s = rows[better], s[better]
             near = np.broadcast_to(x_ids[a:b], s.shape)
@@ -92,47 +92,50 @@ def search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k
     return ids, scores
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, per_shard: int = 4096, per_block: int = 1024) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0, per_shard: int = 16_384, per_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of greatest inner product for each query.
 
     Both tables have vec_id and embedding; components become floor(scale * component) as
-    double, and scores are exact. A query's own vec_id is no candidate. Ties go to the
-    smaller vec_id; with fewer candidates all are returned. Vectors that are null, empty or
-    hold null or non-finite components take no part, nor do rows without vec_id; of rows
-    that repeat a vec_id the one with the greatest vector counts. Vectors of other lengths
-    only meet their like. Empty tables give no rows.
+    double, and scores are exact. A query's own row is no candidate; other rows with its
+    vec_id are, and are queries of their own if they have another vector (rows equal in both are
+    asked once, and are candidates as often as they occur). Ties go to the smaller vec_id; with fewer
+    candidates all are returned. Vectors that are null, empty or hold null or non-finite
+    components take no part, nor do rows without vec_id. Vectors of other lengths only meet
+    their like. Empty tables give no rows.
     """
     ship(vectors.sparkSession)
-    whole = lambda df: valid(df).select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    rows, asked = cut(whole(vectors)), cut(whole(queries))
+    whole = lambda df: valid(df, k, lambda x: F.floor(x * scale).cast("double"))
+    rows, asked = cut(whole(vectors)), cut(whole(queries).filter("copy = 0"))
     n, m = rows.count(), asked.count()
     shards, blocks = cut(packed(rows, per_shard, n, 1)), cut(packed(asked, per_block, m, 2))
+    parts, turns = max(1, -(-n // per_shard)), max(1, -(-m // (per_block * TURN)))
+
+    def found(blocks: DataFrame, which: Column) -> DataFrame:
+        def run(shard, block) -> pd.DataFrame:
+            (x_ids, copies, x), (q_ids, _, q) = unpack(shard), unpack(block)
+            floor = np.frombuffer(block.floor, "<f8") if hasattr(block, "floor") else np.full(len(q), -np.inf)
+            ids, scores = search(q, own_places(q_ids, q, x_ids, copies, x), x, x_ids, k, floor)
+            keep = (scores != NONE).ravel()
+            key = (int(block.q_block) << 32) + np.arange(len(q_ids))
+            return pd.DataFrame({"query_id": np.repeat(q_ids, k)[keep], "q_key": np.repeat(key, k)[keep], "vec_id": ids.ravel()[keep], "score": scores.ravel()[keep], "q_block": block.q_block, "dim": block.dim})
 
-    def found(pairs: DataFrame, with_floor: bool) -> DataFrame:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for row in frame.itertuples():
-                    (x_ids, x), (q_ids, q) = unpack(row.ids, row.data), unpack(row.q_ids, row.q_data)
-                    floor = np.frombuffer(row.q_floor, "<f8") if with_floor else np.full(len(q), -np.inf)
-                    ids, scores = search(q, q_ids, x, x_ids, k, floor)
-                    keep = (scores != NONE).ravel()
-                    yield pd.DataFrame({"query_id": np.repeat(q_ids, k)[keep], "vec_id": ids.ravel()[keep], "score": scores.ravel()[keep], "q_block": row.q_block, "dim": row.dim})
+        return met(shards, blocks, parts, turns, run, "query_id long, q_key long, vec_id long, score long, q_block int, dim int", which)
 
-        return pairs.mapInPandas(run, "query_id long, vec_id long, score long, q_block int, dim int")
+    columns = blocks.columns
 
     def floors(block: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         if not len(block):
-            return pd.DataFrame(columns=["block", "dim", "ids", "data", "floor"])
-        ids = np.frombuffer(block["ids"].iloc[0], "<i8")
-        lowest = first.groupby("query_id")["score"].agg(["size", "min"])
-        kth = lowest[lowest["size"] >= k]["min"].reindex(ids).fillna(-np.inf).to_numpy("<f8")
-        return block[["block", "dim", "ids", "data"]].assign(floor=[kth.tobytes()])
-
-    parts = max(1, -(-n // per_shard))
-    home = met(shards, blocks, parts).filter(F.pmod(F.col("q_block"), F.lit(parts)) == F.col("block"))
-    first = cut(found(home, False))
+            return pd.DataFrame(columns=[*columns, "floor"])
+        row = next(block.itertuples())
+        lowest = first.groupby("q_key")["score"].agg(["size", "min"])
+        key = (int(row.block) << 32) + np.arange(len(row.ids) // 8)
+        kth = lowest[lowest["size"] >= k]["min"].reindex(key).fillna(-np.inf).to_numpy("<f8")
+        return block[columns].assign(floor=[kth.tobytes()])
+
+    home = F.pmod(F.col("q_block"), F.lit(parts)) == F.col("block")
+    first = cut(found(blocks, home))
     # at most k rows a query of the block meet in a group
-    tops = first.select(F.col("q_block").alias("block"), "dim", "query_id", "score")
-    floored = blocks.groupBy("block", "dim").cogroup(tops.groupBy("block", "dim")).applyInPandas(floors, "block int, dim int, ids binary, data binary, floor binary")
-    others = met(shards, cut(floored), parts).filter(F.pmod(F.col("q_block"), F.lit(parts)) != F.col("block"))
-    return best(first.unionByName(found(others, True)).select("query_id", "vec_id", "score"), k, F.desc("score"))
+    tops = first.select(F.col("q_block").alias("block"), "dim", "q_key", "score")
+    floored = blocks.groupBy("block", "dim").cogroup(tops.groupBy("block", "dim")).applyInPandas(floors, "block int, dim int, ids binary, copies binary, data binary, floor binary")
+    others = found(cut(floored), ~home)
+    return best(first.union(others).select("query_id", "q_key", "vec_id", "score"), k, F.desc("score"))

@@ -2,64 +2,92 @@
 
 from __future__ import annotations
 
-
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Blocks of queries that meet a shard at a time.
+TURN = 16
 
 
+def valid(vectors: DataFrame, k: int, change: Callable[[Column], Column] | None = None, zeros: bool = True) -> DataFrame:
+    """vec_id, v (array<double>), copy of vectors without null or non-finite components.
 
-def valid(vectors: DataFrame, zeros: bool = True) -> DataFrame:
-    """vec_id, v (array<double>) of vectors without null or non-finite components, one row a vec_id.
-
-    Null vec_ids and empty vectors go, and with ``zeros`` False all-zero vectors. Of rows that
-    repeat a vec_id the one with the greatest vector counts.
+    Null vec_ids and empty vectors go, and with ``zeros`` False all-zero vectors. ``change`` is
+    applied to each component. Rows that repeat both are counted before they are shuffled, and
+    numbered by copy from 0 to ``k``: more of them cannot matter to k results.
     """
     v = F.col("embedding").cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0)
     if not zeros:
         sound &= F.exists(v, lambda x: x != 0)
-    return vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(sound).groupBy("vec_id").agg(F.max("v").alias("v"))
+    rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(sound)
+    if change:
+        rows = rows.select("vec_id", F.transform("v", change).alias("v"))
+    counted = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("copy"))
 
 
 def packed(rows: DataFrame, per_block: int, count: int, seed: int) -> DataFrame:
-    """block, ids, data, dim: rows (vec_id, v) hashed into blocks of about ``per_block``, vectors as float64 bytes.
+    """block, dim, ids, copies, data: rows (vec_id, v, copy) hashed into blocks of about ``per_block``, vectors as float64 bytes.
 
     A block is a bounded number of rows whatever the input; vectors of other lengths go to blocks of their own.
     """
     blocks = max(1, -(-count // per_block))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("vec_id")
+        frame = frame.sort_values(["vec_id", "copy"], kind="stable")
         v = np.stack(frame["v"].to_numpy()).astype("<f8")
-        return pd.DataFrame({"block": [frame["block"].iloc[0]], "dim": [v.shape[1]], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "data": [v.tobytes()]})
+        return pd.DataFrame({"block": [frame["block"].iloc[0]], "dim": [v.shape[1]], "ids": [frame["vec_id"].to_numpy("<i8").tobytes()], "copies": [frame["copy"].to_numpy("<i4").tobytes()], "data": [v.tobytes()]})
+
+    placed = rows.select(F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), "vec_id", "v", "copy")
+    return placed.groupBy("block", "dim").applyInPandas(run, "block int, dim int, ids binary, copies binary, data binary")
+
 
-    placed = rows.select(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), "vec_id", "v")
-    return placed.groupBy("block", "dim").applyInPandas(run, "block int, dim int, ids binary, data binary")
+def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, copies, vectors of a block."""
+    ids = np.frombuffer(row.ids, "<i8")
+    return ids, np.frombuffer(row.copies, "<i4"), np.frombuffer(row.data, "<f8").reshape(len(ids), -1)
 
 
-def unpack(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, "<i8")
-    return i, np.frombuffer(data, "<f8").reshape(len(i), -1)
+def own_places(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which row each query itself is, -1 if it is not among them: the first of those with its id and vector."""
+    first = np.flatnonzero(copies == 0)
+    first = first[np.argsort(x_ids[first], kind="stable")]
+    low, high = (np.searchsorted(x_ids[first], q_ids, side) for side in ("left", "right"))
+    out = np.full(len(q_ids), -1)
+    for r in np.flatnonzero(high > low):
+        same = [i for i in first[low[r] : high[r]] if (x[i] == q[r]).all()]
+        out[r] = same[0] if same else -1
+    return out
 
 
-def met(shards: DataFrame, blocks: DataFrame, parts: int) -> DataFrame:
-    """Every shard with every block of queries of its dimension, one row a pair.
+def met(shards: DataFrame, blocks: DataFrame, parts: int, turns: int, search: Callable, schema: str, which: Column | None = None) -> DataFrame:
+    """search(shard, block) over every shard and block of queries of its dimension, or ``which`` of the pairs (columns block, q_block).
 
-    Blocks go once to each of ``parts`` groups of shards: a stated query set against all
-    rows, in blocks.
+    A stated query set against all rows, in blocks: a task has one shard and at most some
+    ``TURN`` blocks at a time, whatever the number of either.
     """
-    left = shards.withColumn("part", F.pmod(F.col("block"), F.lit(parts)))
-    right = blocks.select("dim", *[F.col(c).alias(f"q_{c}") for c in blocks.columns if c != "dim"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return left.join(right.hint("shuffle_hash"), ["part", "dim"]).drop("part")
+    left = shards.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = blocks.withColumnRenamed("block", "q_block").withColumn("turn", F.pmod(F.xxhash64("q_block"), F.lit(turns)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    if which is not None:
+        right = right.filter(which)
+    names = [c.split()[0] for c in schema.split(", ")]
 
+    def run(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [search(s, b) for s in shard.itertuples() for b in asked.itertuples()]
+        return pd.concat(found, ignore_index=True)[names] if found else pd.DataFrame(columns=names)
 
-def best(found: DataFrame, k: int, order: F.Column) -> DataFrame:
-    """query_id, rank, vec_id, score: the first k of each query, ties to the smaller vec_id."""
-    w = Window.partitionBy("query_id").orderBy(order, "vec_id")
+    keys = ["block", "dim", "turn"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def best(found: DataFrame, k: int, order: Column) -> DataFrame:
+    """query_id, rank, vec_id, score: the first k of each query (q_key), ties to the smaller vec_id."""
+    w = Window.partitionBy("q_key").orderBy(order, "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -69,5 +97,3 @@ def merged(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new_scores:
     all_ids, all_scores = np.concatenate([ids, new_ids], 1), np.concatenate([scores, new_scores], 1)
     order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
     return np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
-
-
