@@ -181,6 +181,7 @@ def scan(docs: DataFrame, templates: dict[str, str], bands: int = 32, contain: f
         for frame in frames:
             rows = [(None if none else int(d), *m) for d, none, t in zip(frame["doc_id"], frame["none"], frame["text"]) if isinstance(t, str) for m in index.value.scan(t)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "containment", "first_word", "end_word"])
-            yield out.astype({"doc_id": "Int64", "containment": float, "first_word": "int64", "end_word": "int64"})
+            out["doc_id"] = pd.array([r[0] for r in rows], "Int64")
+            yield out.astype({"containment": float, "first_word": "int64", "end_word": "int64"})
 
     return whole_ids(docs).mapInPandas(run, "doc_id long, license string, containment double, first_word long, end_word long")

@@ -176,7 +176,7 @@ def packed(docs: Iterable[tuple[object, np.ndarray]], window: int, block_tokens:
             del held[k]
         if rows:
             frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            frame["doc_id"] = pd.array([r[0] for r in rows], "Int64")
             for at in range(0, len(frame), 512):
                 yield frame.iloc[at : at + 512]
 
