@@ -4,19 +4,27 @@ A record's key is hashed into one of ``slots`` virtual slots, a number that neve
 Bytes and rows are aggregated by slot (partial sums before the shuffle, one row a slot on
 the driver), and a map gives each slot its shard. Rebalancing edits the map: only slots
 move, and every edit is a new version that is stored beside the older ones.
+
+A slot that holds more than a hundredth of a shard, as of a key that many records share or
+lack, is dealt out: its records go to slots by a hash of key, text and place, so no key is
+too large for the shards to be equal.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from bisect import bisect_right, insort
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shared_dir
 
 SLOTS = 1 << 14
+#: Of a shard's mean size: slots above it are dealt out.
+HOT = 0.01
 
 
 @dataclass(frozen=True)
@@ -34,6 +42,11 @@ class SlotMap:
         return out
 
 
+def even_map(shards: int, slots: int = SLOTS) -> SlotMap:
+    """Version 1 before anything is known of the records: slots in turn."""
+    return SlotMap(1, shards, tuple(s % shards for s in range(slots)))
+
+
 def first_map(size_of: dict[int, int], shards: int, slots: int = SLOTS) -> SlotMap:
     """Version 1: slots by falling size, each to the shard with the fewest bytes, then slots."""
     heap = [(0, 0, s) for s in range(shards)]
@@ -48,7 +61,8 @@ def first_map(size_of: dict[int, int], shards: int, slots: int = SLOTS) -> SlotM
 def rebalanced(old: SlotMap, size_of: dict[int, int], shards: int | None = None, slack: float = 0.01) -> SlotMap:
     """The next version, for other sizes or another number of shards.
 
-    Slots leave shards that are gone or hold over (1 + slack) of the mean; all others stay.
+    Slots leave shards that are gone or hold over (1 + slack) of the mean, and then go from
+    the fullest shard to the emptiest as long as that brings them together; all others stay.
     """
     shards = shards or old.shards
     shard_of, mean = list(old.shard_of), sum(size_of.values()) / shards
@@ -72,9 +86,32 @@ def rebalanced(old: SlotMap, size_of: dict[int, int], shards: int | None = None,
         at, shard = heapq.heappop(heap)
         shard_of[slot] = shard
         heapq.heappush(heap, (at + size_of.get(slot, 0), shard))
+    levelled(shard_of, size_of, shards, mean * slack)
     return SlotMap(old.version + 1, shards, tuple(shard_of))
 
 
+def levelled(shard_of: list[int], size_of: dict[int, int], shards: int, spread: float) -> None:
+    """Move single slots from the fullest shard to the emptiest, each nearest to half their difference, until they are within ``spread``."""
+    held = [[] for _ in range(shards)]
+    for slot, size in size_of.items():
+        if size:
+            insort(held[shard_of[slot]], (size, slot))
+    load = [sum(size for size, _ in h) for h in held]
+    for _ in range(64 * shards):
+        full, empty = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        gap = load[full] - load[empty]
+        at = bisect_right(held[full], (gap / 2, len(shard_of)))
+        near = [x for x in held[full][max(at - 1, 0) : at + 1] if x[0] < gap]
+        if gap <= spread or not near:
+            break
+        size, slot = min(near, key=lambda x: abs(x[0] - gap / 2))
+        held[full].remove((size, slot))
+        insort(held[empty], (size, slot))
+        shard_of[slot] = empty
+        load[full] -= size
+        load[empty] += size
+
+
 def map_table(spark: SparkSession, slot_map: SlotMap) -> DataFrame:
     """version, shards, slot, shard: at most as many rows as there are slots."""
     rows = [(slot_map.version, slot_map.shards, slot, shard) for slot, shard in enumerate(slot_map.shard_of)]
@@ -105,25 +142,39 @@ def slot_sizes(records: DataFrame, size: str) -> dict[int, tuple[int, int]]:
     return {r["virtual_slot"]: (r["b"], r["n"]) for r in rows}
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, position, map_version of every document.
 
     size: UTF-8 bytes of the text (null: none) plus 8. Documents are hashed by doc_id, so
-    equal texts spread like others and no group is hot; a null doc_id has a slot of its own
-    like any value. Positions count from 0 within a shard without gaps. Repeated rows are
-    rows like others; an empty table gives no rows; other columns are ignored. Without
-    ``slot_map`` the first map is drawn up from the sizes found.
+    equal texts spread like others; ids that many rows share, or lack, are dealt out where
+    they make a slot hot. Positions count from 0 within a shard without gaps. Repeated rows are
+    rows like others; an empty table gives no rows; other columns are ignored. The map is
+    stored under ``path``, a new folder of the shared one if None: where there is none yet,
+    version 1 is the even map; the newest is edited for the sizes found, stored as the next
+    version, loaded, and documents are placed by it.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     light = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     light = cut(slotted(light, "doc_id", slots))
     found = slot_sizes(light, "size")
-    slot_map = slot_map or first_map({s: b for s, (b, _) in found.items()}, shards, slots)
+    most = HOT * sum(b for b, _ in found.values()) / shards
+    hot = [s for s, (b, n) in found.items() if b > most and n > 1]  # at most shards / HOT
+    if hot:
+        dealt = F.pmod(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+        light = cut(light.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot), dealt).otherwise(F.col("virtual_slot"))))
+        found = slot_sizes(light, "size")
+    known = path is not None
+    path = path or f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    if not known:
+        store_map(spark, even_map(shards, slots), path)
+    store_map(spark, rebalanced(load_map(spark, path), {s: b for s, (b, _) in found.items()}, shards), path)
+    slot_map = load_map(spark, path)
     base, at = [], [0] * slot_map.shards
     for slot, to in enumerate(slot_map.shard_of):
         base.append((slot, to, at[to]))
         at[to] += found.get(slot, (0, 0))[1]
-    where = docs.sparkSession.createDataFrame(base, "virtual_slot int, shard int, base long")
+    where = spark.createDataFrame(base, "virtual_slot int, shard int, base long")
     row = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))
     return (
         light.withColumn("row", row)

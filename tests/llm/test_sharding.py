@@ -38,3 +38,30 @@ def test_map_versions(spark, tmp_path):
     for m in (one, two, three):
         sharding.store_map(spark, m, path)
     assert sharding.load_map(spark, path) == three and sharding.load_map(spark, path, 1) == one
+
+
+def test_hot_keys_are_dealt_out(spark):
+    """2,000 rows without an id, all the same, and 500 that share one: shards stay within a hundredth."""
+    rows = [(None, "same text")] * 2000 + [(7, "shared " * (i % 9)) for i in range(500)] + [(i, "x" * (i % 40)) for i in range(10_000, 22_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect()
+    load, count = Counter(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+    mean = sum(load.values()) / 24
+    assert len(got) == len(rows) and max(load.values()) < 1.01 * mean and min(load.values()) > 0.99 * mean
+    assert {s: sorted(r["position"] for r in got if r["shard"] == s) for s in count} == {s: list(range(n)) for s, n in count.items()}
+    assert {r["map_version"] for r in got} == {2}
+
+
+def test_an_edited_map_is_kept(spark, tmp_path):
+    """A second run edits the stored map: few slots move, and the older versions stay."""
+    docs = spark.createDataFrame([(i, "x" * (i % 90)) for i in range(20_000)], "doc_id long, text string")
+    path = str(tmp_path / "map")
+    sharding.store_map(spark, sharding.even_map(8), path)
+    one = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 8, path=path).collect()}
+    two = {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard(docs, 9, path=path).collect()}
+    assert {v for _, v in two.values()} == {3}
+    moved = [d for d in one if one[d] != two[d][0]]
+    assert len(moved) < 0.15 * len(one)
+    assert [sharding.load_map(spark, path, v).shards for v in (1, 2, 3)] == [8, 8, 9]
