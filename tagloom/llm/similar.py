@@ -74,8 +74,8 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = np.array([simhash.fingerprint(t, SHINGLE) for t in frame["text"]], np.uint64).view(np.int64)
-            sets = [shingles(t) for t in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"], "fp": fps, "size": [len(s) for s in sets], "bands": [bands(s).tolist() for s in sets]})
+            each = [(len(own), bands(own)) for own in map(shingles, frame["text"])]  # one text's shingles at a time
+            yield pd.DataFrame({"key": frame["key"], "fp": fps, "size": [n for n, _ in each], "bands": [b for _, b in each]})
 
     prints = saved(texts.mapInPandas(signed, "key string, fp long, size long, bands array<long>").groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
     fps = cut(prints.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("least")))
