@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import discarded, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,21 +19,25 @@ def components(edges: DataFrame) -> DataFrame:
     with very many edges needs no task of its own. Null ends, loops and repeated edges are
     left out.
     """
-    edges = cut(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, paths = edges.sparkSession, []
+    keep = lambda df: saved(df, paths)
+    edges = keep(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found, turn = None, 0
     while not edges.isEmpty():
         turn += 1
         of = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.select("a", "b").union(edges.select("b", "a"))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least(of("a"), of("b"))).alias("least")).select("node", F.col("least.to").alias("to")))
+        step = keep(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least(of("a"), of("b"))).alias("least")).select("node", F.col("least.to").alias("to")))
         if found is None:
             found = step
         else:
-            found = cut(found.withColumnRenamed("to", "mid").join(step.withColumnRenamed("node", "mid"), "mid", "left").select("node", F.coalesce("to", "mid").alias("to")))
+            found = keep(found.withColumnRenamed("to", "mid").join(step.withColumnRenamed("node", "mid"), "mid", "left").select("node", F.coalesce("to", "mid").alias("to")))
         for end in ("a", "b"):
             edges = edges.join(step.select(F.col("node").alias(end), F.col("to").alias(f"{end}_to")), end).drop(end).withColumnRenamed(f"{end}_to", end)
-        edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     low = found.groupBy("to").agg(F.min("node").alias("root"))
-    return found.join(low, "to").select("node", "root")
+    out = saved(found.join(low, "to").select("node", "root"))
+    discarded(spark, paths)
+    return out

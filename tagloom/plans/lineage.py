@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(set_to)
         return set_to
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tagloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(f"file://{own}")
@@ -48,14 +50,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: column-pruned, compressed."""
+def saved(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: column-pruned, compressed, of known size.
+
+    ``paths`` gets the folder, for discarded(). A checkpoint keeps the size that its plan was
+    estimated at, which joins multiply; in a loop of joins that number doubles its digits every
+    round until the driver has no room for it, so loops go through here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tagloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that saved() wrote and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> tuple[DataFrame, str]:
     """df stored in the warehouse, bucketed by key, and the table's name: grouping by the key needs no shuffle of it."""
     spark, name = df.sparkSession, f"tagloom_{uuid.uuid4().hex}"
