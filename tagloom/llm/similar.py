@@ -7,8 +7,8 @@ text's signature is 40 bands of 5. Two texts of similarity J share a band with c
 J = 0.8 they share 13 of 40 in the mean, and fewer than 3 with chance 3e-5, above it far less. What is
 retrieved is a link only if the shingles, compared themselves, are similar enough; sets whose
 sizes alone rule that out are not compared. First each
-text meets its neighbours in the index and the least of each bucket; what that connects is one
-group, and of the other pairs of a bucket only those across groups are compared after that, so
+text meets its neighbours in the index and, of each of its buckets, the text that shares most
+buckets, as a group's common origin does; what that connects is one group, and of the other pairs of a bucket only those across groups are compared after that, so
 many variants of a text are not compared all with all. Candidates are joined, not gathered:
 no bucket is one task's, and none is capped.
 """
@@ -83,8 +83,11 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     near = cut(simhash.links(fps.select("fp")).toDF("x", "y"))
     near = near.join(fps.toDF("x", "s"), "x").join(fps.toDF("y", "t"), "y").select(F.least("s.key", "t.key").alias("a"), F.greatest("s.key", "t.key").alias("b"), F.col("s.size").alias("m"), F.col("t.size").alias("n"))
     rows = prints.select("key", "size", F.explode("bands").alias("band"))
-    full = rows.groupBy("band").agg(F.count("*").alias("count"), F.min(F.struct("key", "size")).alias("least")).filter("count > 1").select("band", "least")
-    rows = cut(rows.join(full, "band"))
+    full = rows.groupBy("band").agg(F.count("*").alias("count")).filter("count > 1")
+    rows = saved(rows.join(full, "band"))
+    # a text that shares most buckets is the likeliest that others were changed from
+    shared = rows.groupBy("key").agg(F.sum("count").alias("shared"))
+    middle = rows.join(shared, "key").groupBy("band").agg(F.max(F.struct("shared", "key", "size")).alias("middle"))
 
     def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -96,18 +99,18 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that are similar enough."""
-        pairs = cut(pairs)
+        pairs = saved(pairs)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         held = saved(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
         both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
         return cut(both.mapInPandas(checked, "a string, b string"))
 
-    star = rows.select(F.col("least.key").alias("a"), F.col("key").alias("b"), F.col("least.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
+    star = rows.join(middle, "band").select(F.col("middle.key").alias("a"), F.col("key").alias("b"), F.col("middle.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
     found = links(star.union(same).union(near).filter(may_be).select("a", "b").distinct())
     first = components(found)
     rooted = rows.select("band", "key", "size").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    rooted = cut(rooted.join(mixed, "band").select("band", "key", "size", "root"))
+    rooted = saved(rooted.join(mixed, "band").select("band", "key", "size", "root"))
     left, right = rooted.toDF("band", "a", "m", "x"), rooted.toDF("band", "b", "n", "y")
     across = left.join(right, "band").filter("x < y").filter(may_be).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
     reached = components(found.union(links(across)))
