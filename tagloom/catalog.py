@@ -131,7 +131,8 @@ def region_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", tx.region(raw).alias("city"))
 
 
-@query("tokenize_filter", r"""WITH n AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\x{4e00}-\x{9fa5}a-z0-9+#.]+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE NOT regexp_matches(text, '<|://'))
+@query("tokenize_filter", r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '<[^>]+>', ' ', 'g'), 'https?://[^\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g') AS text FROM documents),
+n AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[^\x{4e00}-\x{9fa5}a-z0-9+#.]+', ' ', 'g'), ' '), ' ') AS w FROM c)
 SELECT doc_id, len(list_filter(w, lambda x: len(x) >= 2 AND x NOT IN ('the', 'of', 'and'))) AS n FROM n""")
 def tokenize_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(tx.tokens("text", {"the", "of", "and"})).cast("long").alias("n"))

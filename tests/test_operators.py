@@ -15,7 +15,7 @@ JOB = "ordinal long, job_id string, company string, title string, city string, d
 def test_names(spark):
     df = spark.createDataFrame([(c,) for c in ["北京 星辰科技有限公司（上海）", "有限公司", "上海电气", "云图智能", None, "深圳蓝海｜招聘"]], "c string")
     got = [r[0] for r in df.select(normalize.company("c", normalize.alias_map({"云图": ["云图智能"]}))).collect()]
-    assert got == ["星辰", "有限", "上海电气", "云图", "未知公司", "深圳蓝海"]
+    assert got == ["北京星辰", "有限", "上海电气", "云图", "未知公司", "深圳蓝海"]
     df = spark.createDataFrame([(c,) for c in ["急聘 ai 产品经理（双休）", "LLM产品经理", "BI分析师", "数据分析工程师", "", "NLP算法工程师"]], "t string")
     assert [r[0] for r in df.select(normalize.title("t")).collect()] == ["AI产品经理", "大模型产品经理", "数据分析师", "数据分析工程师", "未知职位", "大模型算法工程师"]
     rules = {"normalization": {}, "category_rules": {"产品类": ["产品经理"]}, "direction_rules": {"AI": ["ai"]}}
