@@ -541,9 +541,18 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return snapshot(spark, f"{root}/table").select("k", "event_id")
 
 
-@query("table_signature", "SELECT count(*) AS n FROM orders")
+@query("table_signature", "SELECT count(*) AS n, true AS same_in_other_order, false AS same_with_a_row_twice, false AS same_with_values_swapped FROM orders")
 def table_signature(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.signature(table(spark, sf, "orders"), ["o_orderkey", "o_custkey"]).select("n")
+    """The signature of orders against those of the same rows in another order, with a row twice for another, and with two columns swapped."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    keys = ["o_orderkey", "o_custkey"]
+    last = rows.agg(F.max(F.struct(*keys)).alias("s")).select("s.*")
+    first = rows.agg(F.min(F.struct(*keys)).alias("s")).select("s.*")
+    others = {"same_in_other_order": rows.orderBy(F.desc("o_orderkey")), "same_with_a_row_twice": rows.join(last, keys, "left_anti").union(first), "same_with_values_swapped": rows.select(F.col("o_custkey").alias("o_orderkey"), F.col("o_orderkey").alias("o_custkey"))}
+    out = stats.signature(rows, keys).select("n", F.struct("sum_hash", "sum_square").alias("own"))
+    for name, df in others.items():
+        out = out.join(stats.signature(df, keys).select(F.col("n"), F.struct("sum_hash", "sum_square").alias(name)), "n", "left")
+    return out.select("n", *[F.col("own").eqNullSafe(F.col(name)).alias(name) for name in others])
 
 
 @query("latest_capture", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")

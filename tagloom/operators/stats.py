@@ -78,8 +78,10 @@ def trait_pivot(rows: DataFrame, by: str, levels: list[str], job_id: str = "job_
 
 
 def signature(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n, sum_hash of all rows, whatever their order."""
-    return df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64(*columns), F.lit(1 << 31))).alias("sum_hash"))
+    """n, sum_hash, sum_square of all rows, whatever their order: whole 64-bit hashes added up, and their lower halves squared, so rows that repeat or change together show."""
+    h = F.xxhash64(*columns)
+    low = F.pmod(h, F.lit(1 << 31)).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("sum_hash"), F.sum((low * low).cast("decimal(38,0)")).alias("sum_square"))
 
 
 def column_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
