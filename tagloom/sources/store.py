@@ -16,8 +16,8 @@ from ..operators.upsert import replaced
 
 def processing_key(version: str, jobs: DataFrame, options: dict) -> str:
     """md5 of a version, the table's order-insensitive signature and the options."""
-    n, total = signature(jobs, jobs.columns).first()
-    return hashlib.md5(json.dumps([version, n, total, sorted(jobs.columns), options], sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
+    own = list(signature(jobs, jobs.columns).first())
+    return hashlib.md5(json.dumps([version, *own, sorted(jobs.columns), options], sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
