@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .functions.constants import SECTIONS
 from .operators import dedup, evidence, graph, kb, match, normalize, project, resume, stats, tags, upsert
-from .plans.lineage import ship
+from .operators import communities as community
+from .plans.lineage import saved, ship
 from .sources.pages import readable_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,11 +288,44 @@ def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.summary(*network(spark, sf))
 
 
-@query("communities", JOBS + ", r AS (SELECT company, role FROM jobs) SELECT DISTINCT 'c:' || company AS id, 'c:AUTOMOBILE' AS community FROM jobs")
+COMMUNITIES = JOBS.replace("WITH words", "WITH RECURSIVE words") + """, c AS (SELECT job_id AS id, tags FROM jobs ORDER BY job_id LIMIT 80),
+e AS (SELECT x.id AS src, y.id AS dst, len(list_intersect(x.tags, y.tags)) AS weight FROM c x JOIN c y ON x.id < y.id WHERE len(list_intersect(x.tags, y.tags)) > 0 AND len(list_intersect(x.tags, y.tags)) / (len(x.tags) + len(y.tags) - len(list_intersect(x.tags, y.tags))) >= 0.4),
+b AS (SELECT src AS a, dst AS b, weight AS w FROM e UNION ALL SELECT dst, src, weight FROM e),
+k AS (SELECT a AS id, sum(w)::HUGEINT AS k FROM b GROUP BY 1), m AS (SELECT sum(k)::HUGEINT AS s FROM k),
+r AS (SELECT 0 AS it, id, k, id AS c FROM k UNION ALL (
+ WITH o AS (SELECT c, sum(k) AS tot FROM r GROUP BY 1), l AS (SELECT x.c AS a, y.c AS b, sum(w) AS w FROM b JOIN r x ON x.id = b.a JOIN r y ON y.id = b.b WHERE x.c <> y.c GROUP BY 1, 2),
+ g AS (SELECT l.a, l.b, w * s - oa.tot * ob.tot AS worth FROM l JOIN o oa ON oa.c = l.a JOIN o ob ON ob.c = l.b CROSS JOIN m),
+ h AS (SELECT a, b FROM g WHERE worth > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY worth DESC, b) = 1), u AS (SELECT x.a AS c, x.b AS dest FROM h x JOIN h y ON x.a = y.b AND x.b = y.a WHERE x.a > x.b)
+ SELECT it + 1, id, k, coalesce(dest, r.c) FROM r LEFT JOIN u ON u.c = r.c WHERE EXISTS (SELECT 1 FROM u))),
+q AS (SELECT 0 AS it, id, k, c FROM r WHERE it = (SELECT max(it) FROM r) UNION ALL (
+ WITH o AS (SELECT c, sum(k) AS tot FROM q GROUP BY 1), l AS (SELECT b.a AS id, y.c AS dest, sum(w) AS w FROM b JOIN q y ON y.id = b.b GROUP BY 1, 2),
+ g AS (SELECT q.id, q.c, l.dest, (l.w - coalesce(i.w, 0)) * s - q.k * (od.tot - oc.tot + q.k) AS worth FROM q JOIN l ON l.id = q.id AND l.dest <> q.c LEFT JOIN l i ON i.id = q.id AND i.dest = q.c JOIN o od ON od.c = l.dest JOIN o oc ON oc.c = q.c CROSS JOIN m),
+ h AS (SELECT * FROM g WHERE worth > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY worth DESC, dest) = 1),
+ f AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY z ORDER BY worth DESC, id) AS turn FROM (SELECT id, worth, unnest([c, dest]) AS z FROM h)) WHERE turn = 1 GROUP BY 1 HAVING count(*) = 2)
+ SELECT it + 1, q.id, k, coalesce(h.dest, q.c) FROM q LEFT JOIN (SELECT h.id, dest FROM h JOIN f ON f.id = h.id) h ON h.id = q.id WHERE EXISTS (SELECT 1 FROM h))),
+p AS (SELECT id, min(id) OVER (PARTITION BY c) AS community FROM q WHERE it = (SELECT max(it) FROM q))"""
+
+
+def job_communities(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and communities of the first 80 jobs, by the tags that similar ones share."""
+    rows = saved(jobs(spark, sf))
+    edges = saved(graph.job_similarity(rows, "tags", "job_id", [F.asc("job_id")], threshold=0.4).select("src", "dst", F.size(F.split("shared", "、")).alias("weight")))
+    nodes = rows.select(F.col("job_id").alias("id")).orderBy("id").limit(80)
+    return nodes, edges, community.communities(nodes, edges)
+
+
+@query("communities", COMMUNITIES + " SELECT c.id, coalesce(community, c.id) AS community FROM c LEFT JOIN p ON p.id = c.id")
 def communities(spark: SparkSession, sf: str) -> DataFrame:
-    rows = jobs(spark, sf).select(F.concat(F.lit("c:"), "company").alias("src"), F.concat(F.lit("r:"), "role").alias("dst")).distinct().withColumn("weight", F.lit(1))
-    nodes = rows.select(F.col("src").alias("id")).union(rows.select("dst")).distinct()
-    return graph.communities(nodes, rows).filter("id like 'c:%'")
+    return job_communities(spark, sf)[2]
+
+
+@query("community_summary", COMMUNITIES + """, z AS (SELECT c.id, coalesce(community, c.id) AS community, row_number() OVER (PARTITION BY coalesce(community, c.id) ORDER BY c.id) AS turn FROM c LEFT JOIN p ON p.id = c.id),
+mo AS (SELECT sum(inside) / any_value(s) - sum(tot * tot) / (any_value(s)::DOUBLE * any_value(s)) AS modularity FROM (SELECT x.community, sum(w)::DOUBLE AS tot, sum(w) FILTER (x.community = y.community)::DOUBLE AS inside FROM b JOIN z x ON x.id = b.a JOIN z y ON y.id = b.b GROUP BY 1) CROSS JOIN m)
+SELECT community, count(*) AS size, string_agg(id::VARCHAR, '、' ORDER BY id) FILTER (turn <= 8) AS labels, round((SELECT modularity FROM mo), 9) AS modularity FROM z GROUP BY 1""")
+def community_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Each community's size and first names, and the modularity of all."""
+    _, edges, members = job_communities(spark, sf)
+    return community.summary(members).withColumn("modularity", F.round(F.lit(community.modularity(edges, members)), 9))
 
 
 @query("effort_priority", JOBS + ENDS + """, k AS (SELECT c.id, degree, weighted_degree, jobs / (SELECT count(*) FROM jobs) AS coverage FROM c JOIN s USING (id))
@@ -406,12 +440,12 @@ def exact_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact(docs, ["h", "lang"], detail="text")
 
 
-@query("exact_dedup", EX + " SELECT d.doc_id, coalesce('EXACT_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0'), '') AS duplicate_group_id, d.n > 1 AS is_duplicate, row_number() OVER (PARTITION BY d.h, d.lang ORDER BY d.doc_id) = 1 AS duplicate_keep FROM d LEFT JOIN g ON d.doc_id = g.doc_id")
+@query("exact_dedup", EX + " SELECT d.doc_id, coalesce('EXACT_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0'), '') AS duplicate_group_id, row_number() OVER (PARTITION BY d.h, d.lang ORDER BY d.doc_id) > 1 AS is_duplicate, row_number() OVER (PARTITION BY d.h, d.lang ORDER BY d.doc_id) = 1 AS duplicate_keep FROM d LEFT JOIN g ON d.doc_id = g.doc_id")
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(spark, sf).select("doc_id", "duplicate_group_id", "is_duplicate", "duplicate_keep")
 
 
-@query("dedup_summary", EX + " SELECT count(*) AS total, (SELECT count(DISTINCT id) FROM g) AS groups, count(*) FILTER (n > 1) AS duplicates, (SELECT count(DISTINCT (h, lang)) FROM d) AS kept FROM d")
+@query("dedup_summary", EX + " SELECT count(*) AS total, (SELECT count(DISTINCT id) FROM g) AS groups, count(*) - (SELECT count(DISTINCT (h, lang)) FROM d) AS duplicates, (SELECT count(DISTINCT (h, lang)) FROM d) AS kept FROM d")
 def dedup_summary(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.summary(exact_groups(spark, sf))
 
@@ -427,11 +461,27 @@ def keep_record(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.keep_one(rows, ["o_custkey"], captured="at", detail="o_orderpriority", order="o_orderkey").filter("duplicate_keep").select("o_custkey", "o_orderkey")
 
 
-@query("near_dedup")
+NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, trim(text) AS raw, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS t FROM documents),
+n AS (SELECT source, lang, count(*) AS n FROM d GROUP BY 1, 2 HAVING count(*) > 1),
+g AS (SELECT doc_id, source, lang, substr(t, i, k) AS gram, count(*) AS tf FROM (SELECT doc_id, source, lang, t, k, unnest(range(1, length(t) - k + 2)) AS i FROM d SEMI JOIN n USING (source, lang), range(2, 5) r(k)) GROUP BY ALL),
+f AS (SELECT source, lang, gram, count(*) AS df FROM g GROUP BY ALL),
+w AS (SELECT doc_id, source, lang, gram, df, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM g JOIN f USING (source, lang, gram) JOIN n USING (source, lang)),
+u AS (SELECT w.doc_id, source, lang, gram, w / norm AS w FROM w JOIN (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1) x ON x.doc_id = w.doc_id WHERE df > 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.source = b.source AND a.lang = b.lang AND a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.9),
+r AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p UNION SELECT r.x, q.y FROM r JOIN (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p) q ON r.y = q.x),
+c AS (SELECT x AS doc_id, least(x, min(y)) AS root FROM r GROUP BY x),
+top AS (SELECT root, max(s) AS top FROM p JOIN c ON c.doc_id = p.a GROUP BY 1),
+i AS (SELECT root, row_number() OVER (ORDER BY source, lang, root) AS id FROM (SELECT DISTINCT root FROM c) JOIN d ON d.doc_id = root),
+k AS (SELECT c.doc_id, id, top, row_number() OVER (PARTITION BY root ORDER BY length(raw) DESC, c.doc_id) = 1 AS keep FROM c JOIN i USING (root) JOIN top USING (root) JOIN d ON d.doc_id = c.doc_id)
+SELECT d.doc_id, CASE WHEN id IS NULL THEN '' ELSE 'SIM_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0') END AS duplicate_group_id, coalesce(NOT keep, false) AS is_duplicate, coalesce(keep, true) AS duplicate_keep, round(coalesce(top, 0), 5) AS similarity FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+@query("near_dedup", NEAR)
 def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Near-duplicates among the conversations' turns of one role and conversation; tested against brute force."""
-    rows = table(spark, sf, "conversations").withColumns({"ordinal": F.col("conv_id") * 1000 + F.col("turn"), "captured_at": F.lit(None).cast("string")})
-    return dedup.similar(rows, "text", ["conv_id", "role"]).select("ordinal", "duplicate_group_id", "duplicate_keep", "max_similarity_in_group")
+    """Near-duplicates among the documents of one source and language."""
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang", "text", F.lit(None).cast("string").alias("captured_at"))
+    found = dedup.similar(rows, "text", ["source", "lang"], order="doc_id")
+    return found.select("doc_id", "duplicate_group_id", "is_duplicate", "duplicate_keep", F.round("max_similarity_in_group", 5).alias("similarity"))
 
 
 CAP = "WITH ev AS (SELECT *, user_id || ':' || event_type AS k FROM events), base AS (SELECT * FROM ev WHERE event_id % 2 = 0), new AS (SELECT * FROM ev WHERE event_id % 2 = 1), "
@@ -488,7 +538,7 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return kb.search(store, list(q[0]) if q else [0.0], "vec_id").select("vec_id")
 
 
-@query("evidence_by_type", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items FROM r GROUP BY 1")
+@query("evidence_by_type", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items FROM r WHERE k <= 1000 GROUP BY 1")
 def evidence_by_type(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").cast("string").alias("item"))
     return kb.by_kind(rows, "label", "item", "vec_id").select("label", F.array_join("items", ",").alias("items"))

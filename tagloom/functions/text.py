@@ -183,7 +183,7 @@ def clean_html_text(c: Column | str, keep_lines: bool = True) -> Column:
 
 def digits(c: Column | str) -> Column:
     """Private-use digits of a salary text as plain ones."""
-    return F.translate(col(c), PRIVATE_DIGITS, "0123456789")
+    return F.translate(col(c), "".join(PRIVATE_DIGITS), "".join(PRIVATE_DIGITS.values()))
 
 
 def absolute_url(c: Column | str, host: str) -> Column:
@@ -230,21 +230,6 @@ def norm_list(c: Column, split: str | None = r"[，,；;、\n]+", strip_chars: s
     return F.slice(items, 1, max_items) if max_items else items
 
 
-def tag_list(c: Column | str) -> Column:
-    """Tags of a text cell: quoted tokens or JSON of a list, else cut at separators (at blanks only if there is no other, at / only below 160 characters).
-
-    Brackets, quotes and bullets at the ends go; nan, none, [] and {} are no tags; first-seen order, distinct.
-    """
-    s = safe(c)
-    edge = r"(?U)^[\s\[\](){}\"'“”‘’·•\-]+|[\s\[\](){}\"'“”‘’·•\-]+$"
-    clean = lambda a: F.array_distinct(F.filter(F.transform(a, lambda x: F.regexp_replace(x, edge, "")), lambda x: ~F.lower(x).isin("", "nan", "none", "null", "[]", "{}")))
-    quoted = F.regexp_extract_all(s, F.lit("'([^']*)'|\"([^\"]*)\""), F.lit(0))
-    marks = r"[，,、;；|\n\t]"
-    plain = F.when(s.rlike(marks), F.split(s, r"[，,、;；|\n\t]+")).when(s.contains("/") & (F.length(s) < 160), F.split(s, "/+")).otherwise(F.split(s, r"(?U)\s+"))
-    with_slash = F.when((F.length(s) < 160) & s.rlike(marks), F.split(s, r"[，,、;；|\n\t/]+")).otherwise(plain)
-    return clean(F.when(s.rlike(r"^[\[({].*['\"].*[\])}]$"), quoted).otherwise(with_slash))
-
-
 def array_tags(c: Column | str) -> Column:
     """An array cell's tags: stripped, blanks and nulls out, distinct; null is empty."""
     a = F.coalesce(col(c), F.array().cast("array<string>"))

@@ -64,7 +64,7 @@ def importance(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("size_score", F.bround(F.log1p("count") * 0.48 + F.log1p("weighted_degree") * 0.37 + F.col("centrality") * 4.5 * 0.15, 4))
 
 
-def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, community (its smallest member): connected components; a node without edges is its own."""
     ids = cut(nodes.select("id").distinct().withColumn("_k", F.xxhash64("id")))
     num = edges.join(ids.select(F.col("id").alias("src"), F.col("_k").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("_k").alias("b")), "dst")
@@ -92,7 +92,7 @@ def propagated(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFram
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes, edges, avg_degree, components, density."""
     n, e = nodes.count(), edges.count()
-    c = communities(nodes, edges).select("community").distinct().count()
+    c = connected(nodes, edges).select("community").distinct().count()
     return nodes.sparkSession.createDataFrame([(n, e, round(2 * e / n, 2) if n else 0.0, c, round(2 * e / (n * (n - 1)), 4) if n > 1 else 0.0)], "nodes long, edges long, avg_degree double, components long, density double")
 
 
@@ -160,8 +160,3 @@ def highlighted(nodes: DataFrame, edges: DataFrame, focus: list[str]) -> DataFra
     role = F.when(F.col("id").isin(focus), "focus").when(F.col("_near"), "neighbour").otherwise("dim")
     out = nodes.join(ids, "id", "left").withColumn("role", role).drop("_near")
     return out.withColumn("scale", F.when(F.col("role") == "focus", 1.8).when(F.col("role") == "neighbour", 1.25).otherwise(0.9))
-
-
-def community_summary(nodes: DataFrame, members: DataFrame, first: int = 8) -> DataFrame:
-    """community, size, labels: the members of each, the first few by name."""
-    return members.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_list("id")), 1, first), "、").alias("labels")).orderBy(F.desc("size"), "community")

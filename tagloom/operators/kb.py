@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import contains_any, cosine, safe
+from .stats import first_of
 from .upsert import replaced
 
 
@@ -84,9 +85,9 @@ def search(store: DataFrame, query: list[float], order: str, vector: str = "embe
     return store.withColumn("score", F.bround(cosine(F.col(vector).cast("array<double>"), q), 4)).orderBy(F.desc("score"), order).limit(top)
 
 
-def by_kind(found: DataFrame, kind: str, item: str, rank: str) -> DataFrame:
-    """Items listed by kind, in rank order."""
-    return found.groupBy(kind).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, item))), lambda x: x[item]).alias("items"))
+def by_kind(found: DataFrame, kind: str, item: str, rank: str, most: int = 1000) -> DataFrame:
+    """The first ``most`` items of each kind, in rank order."""
+    return first_of(found, kind, item, rank, most, "items")
 
 
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe, strip
-from . import graph, stats
+from . import communities, graph, stats
 
 DIMENSIONS = {"tech": "hard", "soft": "soft", "duty": "duty", "scene": "scene", "all": "all"}
 TYPES = ("cooccurrence", "job_similarity", "company_tag", "role_tag")
@@ -63,7 +63,7 @@ def insight(jobs: DataFrame, nodes: DataFrame, edges: DataFrame, role: str, tags
     roles = jobs.groupBy(F.coalesce(F.col(role).cast("string"), F.lit("unknown")).alias("role")).agg(F.count("*").alias("jobs"))
     roles = roles.withColumn("share", F.col("jobs") / max(total, 1)).orderBy(F.desc("jobs"), "role").limit(12)
     ranked = graph.effort_priority(graph.importance(nodes, edges)).orderBy(F.desc("priority_score"), "id")
-    members = graph.communities(nodes, edges)
+    members = communities.communities(nodes, edges)
     overview = jobs.agg(F.countDistinct(job_id).alias("jobs")).withColumns({"nodes": F.lit(nodes.count()), "edges": F.lit(edges.count())})
     return {
         "overview": overview,
@@ -71,7 +71,7 @@ def insight(jobs: DataFrame, nodes: DataFrame, edges: DataFrame, role: str, tags
         "tags": stats.tag_stats(jobs, tags, job_id).orderBy(F.desc("freq"), "tag").limit(20),
         "combinations": stats.pair_support(jobs, tags, 3, 20, total),
         "priority": ranked,
-        "communities": graph.community_summary(nodes, members),
+        "communities": communities.summary(members),
     }
 
 

@@ -56,10 +56,17 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a value
 
 
+def first_of(rows: DataFrame, group: str, value: str, order: str, n: int, name: str) -> DataFrame:
+    """group and an array of its first ``n`` values in order (then by value): cut down before the shuffle, so no longer list is ever held."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order, value))
+    kept = rows.select(group, F.col(order).alias("_at"), F.col(value).alias("_value"), rank.alias("_rank")).filter(F.col("_rank") <= n)
+    return kept.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_value"))), lambda x: x["_value"]).alias(name))
+
+
 def mapping_table(df: DataFrame, norm: str, raw: str, job_id: str, order: str, link: str | None = None, first: int = 5) -> DataFrame:
     """norm, raw_names, jobs, samples (first distinct raw names joined), first link; by jobs."""
     seen = df.groupBy(norm, raw).agg(F.min(order).alias("_at"))
-    names = seen.groupBy(norm).agg(F.count("*").alias("raw_names"), F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(raw).alias("_raw")))), lambda x: x["_raw"]), 1, first), "、").alias("samples"))
+    names = seen.groupBy(norm).agg(F.count("*").alias("raw_names")).join(first_of(seen, norm, raw, "_at", first, "_first"), norm).select(norm, "raw_names", F.array_join("_first", "、").alias("samples"))
     extra = [F.min_by(link, F.when(safe(link) != "", F.col(order))).alias("link")] if link else []
     return df.groupBy(norm).agg(F.countDistinct(job_id).alias("jobs"), *extra).join(names, norm).orderBy(F.desc("jobs"), norm)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DUTY_SPECS, HARD_SPECS, JOB_TYPE_SPECS, SCENE_SPECS, SECTIONS, SOFT_SPECS, TOOL_SPECS
-from ..functions.text import ASCII_WORD, array_tags, by_length, contains_any, count_word, distinct_folded, has_word, lookup, repaired, safe, section
+from ..functions.text import ASCII_WORD, array_tags, by_length, contains_any, count_word, distinct_folded, has_word, lookup, norm_list, repaired, safe, section
 
 TYPES = {"hard": "hard_tags", "soft": "soft_tags", "duty": "duty_tags", "scene": "scene_tags"}
 
@@ -111,11 +111,11 @@ def resolver(known: dict[str, str]) -> Callable[[Column], Column]:
 
 
 def fuse(jobs: DataFrame, sources: dict[str, list[str]], aliases: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """final_<type>_tags: the listed columns in order, aliases resolved, distinct; final_all_tags their union in order."""
-    aliases = aliases or {}
+    """final_<type>_tags: the listed columns (arrays, or texts cut at separators) in order, aliases resolved, distinct; final_all_tags their union in order."""
+    aliases, kinds = aliases or {}, dict(jobs.dtypes)
     made = {}
     for kind, columns in sources.items():
-        items = F.concat(F.array().cast("array<string>"), *[array_tags(c) for c in columns if c in jobs.columns])
+        items = F.concat(F.array().cast("array<string>"), *[array_tags(c) if kinds[c].startswith("array") else norm_list(c) for c in columns if c in kinds])
         known = {k.lower(): v for k, v in aliases.get(kind, {}).items()}
         made[f"final_{kind}_tags"] = F.array_distinct(F.transform(items, resolver(known)))
     out = jobs.withColumns(made)

@@ -9,10 +9,10 @@ from ..operators import dedup, graph, match, model_calls, network, normalize, pr
 
 #: Columns that feed each kind of final tags, in order.
 FINAL_SOURCES = {
-    "hard": ["hard_tags", "rule_must", "rule_tools", "rule_nice", "llm_must", "llm_nice", "llm_tools"],
-    "soft": ["soft_tags", "llm_soft"],
-    "duty": ["duty_tags", "rule_duties", "llm_content"],
-    "scene": ["scene_tags", "rule_industry", "llm_industry"],
+    "hard": ["hard_tags", "rule_must", "rule_nice", "rule_tools", "deep_hard", "deep_tools", "llm_must", "llm_nice", "llm_tools"],
+    "soft": ["soft_tags", "deep_soft"],
+    "duty": ["duty_tags", "rule_duties", "deep_duty", "llm_content", "llm_goal"],
+    "scene": ["scene_tags", "rule_industry", "deep_scene", "deep_type", "llm_industry", "llm_job_type"],
 }
 
 
@@ -47,7 +47,7 @@ def relations(jobs: DataFrame, dimension: str = "all", kind: str = "cooccurrence
 def recommend(jobs: DataFrame, text: str, top: int = 20) -> DataFrame:
     """The best postings for a résumé's text."""
     row = resume.fields(jobs.sparkSession.createDataFrame([(text,)], "text string"), "text").select(resume.profile().alias("p")).first()["p"]
-    profile = {"hard_skills": row["hard_skills"] or [], "soft_skills": row["soft_skills"] or [], "roles": row["roles"] or [], "degree": row["degree"], "level": row["level"], "cities": []}
+    profile = {"hard_skills": row["hard_skills"] or [], "soft_skills": row["soft_skills"] or [], "roles": row["target_roles"] or [], "degree": row["degree"], "level": row["seniority_level"], "cities": row["target_cities"] or []}
     return match.match(jobs, profile, ["final_hard_tags"], ["final_soft_tags"]).limit(top)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import dedup, evidence, graph, kb, match, model_calls, normalize, project, resume, stats, tags, upsert
+from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, normalize, project, resume, stats, tags, textjoin, upsert
 
 JOB = "ordinal long, job_id string, company string, title string, city string, detail string, captured_at string"
 
@@ -62,7 +62,7 @@ def test_keep_and_exact(spark):
     out = dedup.exact(jobs, ["company", "title"])
     assert {r["duplicate_group_id"] for r in out.collect()} == {"", "EXACT_0001", "EXACT_0002"}
     s = dedup.summary(out).first()
-    assert (s["total"], s["groups"], s["duplicates"], s["kept"]) == (5, 2, 4, 3)
+    assert (s["total"], s["groups"], s["duplicates"], s["kept"]) == (5, 2, 2, 3)
     assert dedup.summary(dedup.exact(jobs.limit(0), ["company"])).first()["total"] == 0
 
 
@@ -84,11 +84,11 @@ def test_similar_components(spark):
     rows = [(i, str(i), "c", "t", "x", t, None) for i, t in enumerate(texts)]
     out = {r["ordinal"]: r for r in dedup.similar(spark.createDataFrame(rows, JOB), "detail", ["company", "title"], 0.8).collect()}
     own = [i for i, t in enumerate(texts) if t]
-    sim = plain_similarity([texts[i] for i in own])
+    sim = plain_similarity(texts)
     label = {i: i for i in own}
     for _ in own:
-        for (a, i), (b, j) in itertools.combinations(enumerate(own), 2):
-            if sim(a, b) >= 0.8:
+        for i, j in itertools.combinations(own, 2):
+            if sim(i, j) >= 0.8:
                 label[i] = label[j] = min(label[i], label[j])
     groups = {}
     for i in own:
@@ -96,16 +96,43 @@ def test_similar_components(spark):
     want = {tuple(g) for g in groups.values() if len(g) > 1}
     got = {}
     for i, r in out.items():
-        if r["is_duplicate"]:
+        if r["duplicate_group_id"]:
             got.setdefault(r["duplicate_group_id"], []).append(i)
     assert {tuple(sorted(g)) for g in got.values()} == want and want
-    assert all(sum(out[i]["duplicate_keep"] for i in g) == 1 for g in want) and all(out[i]["duplicate_keep"] for i in out if not out[i]["is_duplicate"])
+    for g in want:
+        assert [out[i]["is_duplicate"] for i in g] == [not out[i]["duplicate_keep"] for i in g] and sum(out[i]["duplicate_keep"] for i in g) == 1
+        assert all(abs(out[i]["max_similarity_in_group"] - max(sim(a, b) for a, b in itertools.combinations(g, 2))) < 1e-9 for i in g)
+    assert all(r["duplicate_keep"] and not r["is_duplicate"] for r in out.values() if not r["duplicate_group_id"])
+
+
+def test_similar_pairs_over_shards(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(12)) for _ in range(6)]
+    texts = ["".join(c if rng.random() > 0.04 else "z" for c in b) for b in base for _ in range(12)]
+    monkeypatch.setattr(textjoin, "TILE", 3)
+    rows = spark.createDataFrame([(7, len(texts), i, 1, t) for i, t in enumerate(texts)], "block long, n long, rep long, m long, text string")
+    sim = plain_similarity(texts)
+    for threshold in (0.5, 0.8, 0.95):
+        want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if sim(i, j) >= threshold}
+        got = {(r["a"], r["b"]): r["similarity"] for r in textjoin.similar_pairs(rows, threshold, entries=500).collect()}
+        assert set(got) == want and all(abs(s - sim(*p)) < 1e-9 for p, s in got.items())
+    assert not textjoin.similar_pairs(rows.limit(0), 0.8).collect()
+
+
+def test_similar_takes_nulls_ties_and_copies(spark):
+    rows = [(i, str(i), "c" if i % 2 else None, "", "x", t, None) for i, t in enumerate(["same text here", "same text here", "Same  text here", "same text here", None, "", "a", "a"])]
+    jobs = spark.createDataFrame(rows, JOB).withColumns({"n": F.lit(1), "block": F.lit(2), "rep": F.lit(3), "root": F.lit(4), "digest": F.lit(5)})
+    out = dedup.similar(jobs, "detail", ["company", "title"])
+    assert out.columns[: len(jobs.columns)] == jobs.columns
+    got = {r["ordinal"]: (r["duplicate_group_id"], r["duplicate_keep"], r["max_similarity_in_group"]) for r in out.collect()}
+    assert got == {0: ("SIM_0001", False, 1.0), 2: ("SIM_0001", True, 1.0), 1: ("SIM_0002", True, 1.0), 3: ("SIM_0002", False, 1.0), **{i: ("", True, 0.0) for i in range(4, 8)}}
+    assert dedup.similar(jobs.limit(0), "detail", ["company", "title"]).count() == 0
 
 
 def test_graph(spark):
     nodes = spark.createDataFrame([(x, 1, 1, 0.5) for x in "abcdef"], "id string, count long, coverage_jobs long, coverage double")
     edges = spark.createDataFrame([("a", "b", 5), ("b", "c", 1), ("a", "c", 2), ("d", "e", 1)], "src string, dst string, weight long")
-    got = {r["id"]: r["community"] for r in graph.communities(nodes, edges).collect()}
+    got = {r["id"]: r["community"] for r in graph.connected(nodes, edges).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "f": "f"}
     assert {r["id"]: r["community"] for r in graph.propagated(nodes, edges).collect()}["f"] == "f"
     s = graph.summary(nodes, edges).first()

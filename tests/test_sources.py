@@ -70,7 +70,6 @@ def test_whole_pages_are_read(spark):
     html = "".join(f"<p>paragraph {i} that is long enough to stay</p>" for i in range(2000))
     text = spark.createDataFrame([(html,)], "html string").select(pages.readable_text("html")).first()[0]
     assert len(text) > 60_000 and text.endswith("paragraph 1999 that is long enough to stay")
-    assert pages.readable(html, 20_000) == text[:20_000]
 
 
 def test_tokenize_filter_keeps_every_document(spark, tmp_path):
