@@ -16,8 +16,8 @@ the workers is bounded whatever the sample holds.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ LONGEST = 5
 #: Languages that are told apart at most, those with most labelled documents.
 LANGUAGES = 256
 #: Distinct words, and characters, that a task counts before it sends them on; longer words are counted in parts.
-HELD, HELD_CHARS, PART = 50_000, 4_000_000, 1024
+HELD, HELD_CHARS, PART = 50_000, 40_000_000, 1024
 #: Characters of a text that are cut into words at a time.
 SLICE = 1 << 22
 #: Words looked up at a time, numbers kept of unseen words for later batches, and the longest such word.
@@ -52,22 +52,29 @@ def slices(text: str) -> Iterator[str]:
         at = end
 
 
-def grams(word: str, n: int) -> Iterator[str]:
-    padded = f" {word} "
-    return (padded[i : i + n] for i in range(len(padded) - n + 1))
-
-
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+class Rows(dict):
+    """Words to the numbers of their rows; an unseen word gets the next number when it is first looked up."""
+
+    def __init__(self, words: dict[str, int], unseen: Callable[[str], int]):
+        super().__init__(words)
+        self.unseen = unseen
+
+    def __missing__(self, word: str) -> int:
+        return self.unseen(word)
+
+
 class Model:
     """Log-frequencies of known words and n-grams, a row an entry and a column a language."""
 
     def __init__(self, languages: list[str], prior: np.ndarray, words: dict[str, int], parts: dict[str, int], table: np.ndarray):
         self.languages, self.prior, self.words, self.parts, self.table = languages, prior, words, parts, table
-        self.unseen: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = Rows(words, self.unseen)
+        self.kept: list[str] = []
+        self.fresh, self.pending = np.zeros((0, len(languages))), []
 
     def __getstate__(self):
         return self.languages, self.prior, self.words, self.parts, self.table
@@ -75,26 +82,40 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def backed_off(self, word: str) -> np.ndarray:
-        """The mean of the word's longest known n-grams; zeros if it has none or no letter."""
-        if has_letter(word):
-            for n in range(min(LONGEST, len(word) + 2), 0, -1):
-                known = Counter(filter(self.parts.__contains__, grams(word, n)))
+    def backed_off(self, word: str) -> list[int]:
+        """The rows of the word's longest known n-grams; none if it has none or no letter."""
+        parts, padded = self.parts, f" {word} "
+        if word.isalpha() or has_letter(word):
+            for n in range(min(LONGEST, len(padded)), 0, -1):
+                known = [parts[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in parts]
                 if known:
-                    weight = np.fromiter(known.values(), np.float64, len(known))
-                    return weight @ self.table[[self.parts[g] for g in known]] / weight.sum()
-        return np.zeros(len(self.languages))
+                    return known
+        return []
 
-    def row(self, word: str) -> int:
+    def unseen(self, word: str) -> int:
         """The number of an unseen word's row, after those of the table."""
-        at = self.unseen.get(word)
-        if at is None:
-            at = len(self.table) + len(self.rows)
-            self.rows.append(self.backed_off(word))
-            if len(word) <= LONG:
-                self.unseen[word] = at
+        at = len(self.table) + len(self.fresh) + len(self.pending)
+        self.pending.append(self.backed_off(word))
+        if len(word) <= LONG:
+            self.rows[word] = at
+            self.kept.append(word)
         return at
 
+    def settle(self) -> None:
+        """Give the words that are pending their rows: the means of their n-grams' rows."""
+        if self.pending:
+            size = np.array([len(p) for p in self.pending])
+            of = np.repeat(np.arange(len(size)), size)
+            at = np.fromiter((i for p in self.pending for i in p), np.int64, size.sum())
+            mean = [np.bincount(of, self.table[at, k], len(size)) / np.maximum(size, 1) for k in range(len(self.languages))]
+            self.fresh, self.pending = np.concatenate([self.fresh, np.stack(mean, axis=1)]), []
+
+    def forget(self) -> None:
+        """Let go of unseen words."""
+        for word in self.kept:
+            del self.rows[word]
+        self.kept, self.fresh = [], self.fresh[:0]
+
     def sums(self, texts: list[str]) -> np.ndarray:
         """For each text and language the sum over all words."""
         out = np.zeros((len(texts), len(self.languages)))
@@ -111,21 +132,20 @@ class Model:
 
     def add(self, out: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
         """Add the scores of words to the rows of their texts."""
-        known, found = self.words, [w for _, ws in held for w in ws]
+        found = [w for _, ws in held for w in ws]
         if not found:
             return
         of = np.repeat([i for i, _ in held], [len(ws) for _, ws in held])
-        at = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
-        for i in np.flatnonzero(at < 0).tolist():
-            at[i] = self.row(found[i])
+        at = np.fromiter(map(self.rows.__getitem__, found), np.int64, len(found))
+        self.settle()
         new = at >= len(self.table)
-        old, fresh = ~new, np.array(self.rows).reshape(-1, len(self.languages))
+        old, late = ~new, at[new] - len(self.table)
         for k in range(len(self.languages)):
             value = np.empty(len(at))
-            value[old], value[new] = self.table[at[old], k], fresh[at[new] - len(self.table), k]
+            value[old], value[new] = self.table[at[old], k], self.fresh[late, k]
             out[:, k] += np.bincount(of, value, len(out))
-        if len(self.rows) * len(self.languages) > CACHED:
-            self.rows, self.unseen = [], {}
+        if self.fresh.size > CACHED:
+            self.forget()
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language, or und for no letter, and its chance among the languages."""
@@ -138,35 +158,43 @@ class Model:
         return [self.languages[b] if ok else UND for b, ok in zip(best, some)], [round(float(c), 6) if ok else 0.0 for c, ok in zip(chance, some)]
 
 
-def tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """lang, entry, n of a task's texts: words, and n-grams behind their length."""
-    n: Counter = Counter()
-
-    def flushed() -> pd.DataFrame:
-        out: Counter = Counter()
-        for (lang, word), k in n.items():
-            if not has_letter(word):
-                continue
+def counted(words: Counter) -> tuple[Counter, Counter]:
+    """The words with a letter, and their n-grams, with their counts."""
+    own, parts = Counter(), Counter()
+    for word, k in words.items():
+        if word.isalpha() or has_letter(word):
             if len(word) <= LONG:
-                out[lang, f" {word}"] += k
-            for size in range(1, LONGEST + 1):
-                for gram in grams(word, size):
-                    out[lang, f"{size}{gram}"] += k
+                own[word] = k
+            padded = f" {word} "
+            for n in range(1, LONGEST + 1):
+                for i in range(len(padded) - n + 1):
+                    parts[padded[i : i + n]] += k
+    return own, parts
+
+
+def tallied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """lang, size, entry, n of a task's texts: words (size 0), and n-grams."""
+    n: dict[str, Counter] = defaultdict(Counter)
+    chars = 0
+
+    def flushed() -> Iterator[pd.DataFrame]:
+        for lang, words in n.items():
+            own, parts = counted(words)
+            yield pd.DataFrame({"lang": lang, "size": [0] * len(own) + [len(g) for g in parts], "entry": [*own, *parts], "n": [*own.values(), *parts.values()]}).astype({"size": np.int32, "entry": object, "n": np.int64})
         n.clear()
-        return pd.DataFrame({"lang": [x for x, _ in out], "entry": [x for _, x in out], "n": list(out.values())}, dtype=object).astype({"n": np.int64})
 
-    size = 0
     for frame in frames:
         for lang, text in zip(frame["lang"], frame["text"]):
             for part in slices(text):
-                for word in WORD.findall(part.lower()):
-                    for at in range(0, len(word), PART):
-                        n[lang, word[at : at + PART]] += 1
-                size += len(part)
-                if len(n) > HELD or size > HELD_CHARS and len(n) > HELD // 16:
-                    yield flushed()
-                    size = 0
-    yield flushed()
+                found = WORD.findall(part.lower())
+                if max(map(len, found), default=0) > PART:
+                    found = [w[at : at + PART] for w in found for at in range(0, len(w), PART)]
+                n[lang].update(found)
+                chars += len(part)
+                if sum(map(len, n.values())) > HELD or chars > HELD_CHARS:
+                    yield from flushed()
+                    chars = 0
+    yield from flushed()
 
 
 def sampled(labelled: DataFrame, sample_rows: int) -> DataFrame:
@@ -180,7 +208,7 @@ def sampled(labelled: DataFrame, sample_rows: int) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(spread)) < F.element_at(most, F.col("lang"))).filter("text is not null").select("lang", "text")
 
 
-def fitted(labelled: DataFrame, sample_rows: int = 4_000, entries: int = 6_400_000) -> Model:
+def fitted(labelled: DataFrame, sample_rows: int = 3_000, entries: int = 6_400_000) -> Model:
     """The model of documents with doc_id, text and a language.
 
     It has at most ``entries`` numbers: a row for each of the most frequent words and, as many
@@ -188,13 +216,13 @@ def fitted(labelled: DataFrame, sample_rows: int = 4_000, entries: int = 6_400_0
     """
     ship(labelled.sparkSession)
     own = sampled(labelled, sample_rows)
-    counted = cut(own.mapInPandas(tallied, "lang string, entry string, n long").groupBy("lang", "entry").agg(F.sum("n").alias("n")))
-    word = F.substring("entry", 1, 1) == " "
-    totals = {r["lang"]: (r["words"], r["grams"]) for r in counted.groupBy("lang").agg(F.sum(F.when(word, F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(F.substring("entry", 1, 1) == "1", F.col("n")).otherwise(0)).alias("grams")).collect()}  # LANGUAGES rows
+    counted = cut(own.mapInPandas(tallied, "lang string, size int, entry string, n long").groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")))
+    word = F.col("size") == 0
+    totals = {r["lang"]: (r["words"], r["grams"]) for r in counted.groupBy("lang").agg(F.sum(F.when(word, F.col("n")).otherwise(0)).alias("words"), F.sum(F.when(F.col("size") == 1, F.col("n")).otherwise(0)).alias("grams")).collect()}  # LANGUAGES rows
     languages = sorted(totals)
     if not languages:
         return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
-    wide = cut(counted.groupBy("entry").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]))
+    wide = cut(counted.groupBy("size", "entry").agg(F.sum("n").alias("total"), *[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(languages)]))
     room = max(1, entries // 2 // len(languages))
     rows = []
     for kind in (word, ~word):
@@ -207,20 +235,19 @@ def fitted(labelled: DataFrame, sample_rows: int = 4_000, entries: int = 6_400_0
             least = r["total"]
         rows.append(wide.filter(kind & (F.col("total") >= least)) if least else wide.filter("false"))
     found = rows[0].union(rows[1]).toPandas()
-    found = found.sort_values("entry", ignore_index=True)
-    is_word = found["entry"].str[0].eq(" ").to_numpy(bool)
+    is_word = found["size"].eq(0).to_numpy(bool)
     counts = found[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
     sizes = np.array([totals[x] for x in languages], np.float64)
     size = np.where(is_word[:, None], sizes[:, 0], sizes[:, 1])
     missing = np.log(0.1 / np.maximum(sizes.max(axis=0), 1))
     with np.errstate(divide="ignore"):
         table = np.where(counts > 0, np.log(counts) - np.log(size), np.where(is_word, missing[0], missing[1])[:, None]).astype(np.float32)
-    words = {e[1:]: i for i, (e, w) in enumerate(zip(found["entry"], is_word)) if w}
-    parts = {e[1:]: i for i, (e, w) in enumerate(zip(found["entry"], is_word)) if not w}
+    words = {e: i for i, (e, w) in enumerate(zip(found["entry"], is_word)) if w}
+    parts = {e: i for i, (e, w) in enumerate(zip(found["entry"], is_word)) if not w}
     return Model(languages, np.log((sizes[:, 1] + 1) / (sizes[:, 1] + 1).sum()), words, parts, table)
 
 
-def identify(docs: DataFrame, learn: str = "true", sample_rows: int = 4_000) -> DataFrame:
+def identify(docs: DataFrame, learn: str = "true", sample_rows: int = 3_000) -> DataFrame:
     """doc_id, lang_pred, score of every document; learns from documents with text, lang and a true ``learn``, an SQL expression.
 
     A null text, and one without a letter, is ``und`` with score 0; so is all without a labelled
