@@ -165,7 +165,7 @@ def frequent_grams(counted: DataFrame, keys: list[str], least: int) -> DataFrame
     return all_.filter(F.col("f") >= least).select("shard", *keys, "f", (F.col("shard") == F.col("_one")).alias("first"))
 
 
-def frequencies(docs: DataFrame, least: int, longest: int, block: int = 3_000_000) -> tuple[DataFrame, list[DataFrame]]:
+def frequencies(docs: DataFrame, least: int, longest: int, block: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
     """n of each lang, and for k = 1 ... longest the frequent n-grams: w1 ... wk, f; for k = 1 also lang and word."""
     ship(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -212,7 +212,7 @@ def scored(grams: list[DataFrame], k: int) -> DataFrame:
     return out.select(*keys, "a", (F.least(*cuts) if len(cuts) > 1 else cuts[0]).alias("low")).select(*keys, "a", "low.score", "low.l", "low.r")
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, longest: int = 3, covered: int = 50, block: int = 3_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, longest: int = 3, covered: int = 50, block: int = 2_000_000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of 2 to ``longest`` words.
 
     docs needs text and lang. A-Z are lower-cased; pieces end at . , ; : ! ? and line ends,
