@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.constants import SECTIONS
-from .operators import dedup, evidence, graph, kb, match, normalize, project, resume, stats, tags, upsert
+from .operators import dedup, evidence, graph, kb, match, normalize, project, stats, tags, upsert
 from .operators import communities as community
 from .plans.lineage import saved, ship
-from .sources.pages import readable_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -473,10 +472,15 @@ c AS (SELECT x AS doc_id, least(x, min(y)) AS root FROM r GROUP BY x),
 top AS (SELECT root, max(s) AS top FROM p JOIN c ON c.doc_id = p.a GROUP BY 1),
 i AS (SELECT root, row_number() OVER (ORDER BY source, lang, root) AS id FROM (SELECT DISTINCT root FROM c) JOIN d ON d.doc_id = root),
 k AS (SELECT c.doc_id, id, top, row_number() OVER (PARTITION BY root ORDER BY length(raw) DESC, c.doc_id) = 1 AS keep FROM c JOIN i USING (root) JOIN top USING (root) JOIN d ON d.doc_id = c.doc_id)
-SELECT d.doc_id, CASE WHEN id IS NULL THEN '' ELSE 'SIM_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0') END AS duplicate_group_id, coalesce(NOT keep, false) AS is_duplicate, coalesce(keep, true) AS duplicate_keep, round(coalesce(top, 0), 5) AS similarity FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+z AS (SELECT d.doc_id, CASE WHEN id IS NULL THEN '' ELSE 'SIM_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0') END AS duplicate_group_id, coalesce(NOT keep, false) AS is_duplicate, coalesce(keep, true) AS duplicate_keep, round(coalesce(top, 0), 5) AS similarity FROM d LEFT JOIN k ON k.doc_id = d.doc_id)"""
 
 
-@query("near_dedup", NEAR)
+def near_duplicates(select: str) -> str:
+    """SQL over z, the documents with their duplicate columns."""
+    return f"{NEAR} {select}"
+
+
+@query("near_dedup", near_duplicates("SELECT * FROM z"))
 def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicates among the documents of one source and language."""
     rows = table(spark, sf, "documents").select("doc_id", "source", "lang", "text", F.lit(None).cast("string").alias("captured_at"))
@@ -566,16 +570,6 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", tx.html_title("html").alias("title"))
 
 
-@query("html_text")
-def html_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", readable_text("html").alias("text"))
-
-
-@query("resume_fields")
-def resume_fields(spark: SparkSession, sf: str) -> DataFrame:
-    return resume.fields(table(spark, sf, "conversations"), "text").select("conv_id", "turn", resume.profile().alias("profile"))
-
-
 @query("stream_upsert", "SELECT user_id || ':' || event_type AS k, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The feed replayed as a stream and merged by key; the snapshot equals the batch result."""
@@ -614,3 +608,6 @@ def latest_capture(spark: SparkSession, sf: str) -> DataFrame:
 def share_window(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+from . import catalog_records  # noqa: E402, F401  registers its queries

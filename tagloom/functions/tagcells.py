@@ -56,7 +56,7 @@ def of_text(c: Column, depth: int) -> Column:
     plain = F.when(F.size(quoted) > 0, quoted).otherwise(cut_text(raw))
     if depth > 0:
         literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(raw, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false"), r"\bNone\b", "null")
-        parsed = of_variant(F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.when(~raw.contains('"'), literal))), depth - 1)
+        parsed = of_variant(F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.when(~raw.contains('"'), literal))), depth)
         plain = F.when((listed | braced) & (F.size(cleaned(parsed)) > 0), parsed).otherwise(plain)
     tokens = F.when(listed & (F.size(list_tokens) > 0), list_tokens).otherwise(plain)
     return F.when(F.lower(raw).isin(*NO_TAG), none_()).otherwise(tokens)

@@ -105,7 +105,7 @@ def asked(client: Client, fallback: Client | None, fields: list[Field]) -> Calla
             found = json.loads(answer[answer.index("{") : answer.rindex("}") + 1])
         except ValueError:
             return False
-        return isinstance(found, dict) and any(found.get(n) for n in names)
+        return isinstance(found, dict) and any(found.get(n) for n in names or found)
 
     def one(text: str) -> tuple[str, str]:
         if not text.strip():
@@ -149,15 +149,15 @@ def structured(jobs: DataFrame, prompt: Column, fields: list[Field], client: Cli
     cache = cache if cache is not None else spark.createDataFrame([], f"key string, {PAYLOAD}")
     has = F.size(F.coalesce(F.col(done), F.array().cast("array<string>"))) > 0 if done in jobs.columns and not overwrite else F.lit(False)
     ask = ~has & (F.coalesce(chosen, F.lit(False)) if chosen is not None else F.lit(True))
-    rows = jobs.withColumns({"_ask": ask, "_prompt": F.coalesce(prompt, F.lit(""))}).withColumn("_key", F.when(F.col("_ask"), cache_key(task, model, version, F.col("_prompt"))))
-    wanted = rows.filter("_ask").select(F.col("_key").alias("key"), F.col("_prompt").alias("prompt"))
+    rows = jobs.withColumns({"_structured_ask": ask, "_structured_prompt": F.coalesce(prompt, F.lit(""))}).withColumn("_structured_key", F.when(F.col("_structured_ask"), cache_key(task, model, version, F.col("_structured_prompt"))))
+    wanted = rows.filter("_structured_ask").select(F.col("_structured_key").alias("key"), F.col("_structured_prompt").alias("prompt"))
     new = payloads(wanted if overwrite else wanted.join(cache, "key", "left_anti"), asked(client, fallback, fields))
     whole = (cache.join(wanted.select("key").distinct(), "key", "left_anti") if overwrite else cache).unionByName(new)
-    met = rows.join(whole.select(F.col("key").alias("_key"), F.col("answer").alias("_answer"), F.col("error").alias("_error")), "_key", "left").withColumn("_v", parsed(F.col("_answer")))
+    met = rows.join(whole.select(F.col("key").alias("_structured_key"), F.col("answer").alias("_structured_answer"), F.col("error").alias("_structured_error")), "_structured_key", "left").withColumn("_structured_v", parsed(F.col("_structured_answer")))
     empty = lambda f: F.array().cast("array<string>") if f.items else F.lit(f.default)
     own = lambda c, otherwise: F.col(c) if c in jobs.columns else otherwise
-    made = {f.column: F.when(F.col("_ask"), coerced(F.col("_v"), f)).otherwise(own(f.column, empty(f))) for f in fields}
-    made[error] = F.when(F.col("_ask"), F.coalesce("_error", F.lit(""))).otherwise(own(error, F.lit("")))
+    made = {f.column: F.when(F.col("_structured_ask"), coerced(F.col("_structured_v"), f)).otherwise(own(f.column, empty(f))) for f in fields}
+    made[error] = F.when(F.col("_structured_ask"), F.coalesce("_structured_error", F.lit(""))).otherwise(own(error, F.lit("")))
     return met.withColumns(made).select(*[c for c in jobs.columns if c not in made], *made), whole
 
 

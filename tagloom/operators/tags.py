@@ -58,8 +58,10 @@ def apply_dictionary(jobs: DataFrame, dictionary: dict[str, object], text: Colum
 
 
 def labels(text: Column, specs: dict[str, list[str]]) -> Column:
-    """Labels, in order, any of whose patterns is contained, case ignored."""
-    return F.array_compact(F.array(*[F.when(contains_any(text, p), F.lit(k)) for k, p in specs.items()]))
+    """Labels, in order, any of whose patterns is contained, case ignored: one walk through a literal list, whatever its length."""
+    known = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*[F.lit(x.lower()) for x in p]).alias("patterns")) for k, p in specs.items()])
+    low = F.lower(text)
+    return F.transform(F.filter(known, lambda s: F.exists(s["patterns"], lambda p: F.contains(low, p))), lambda s: s["label"])
 
 
 def rule_profile(jobs: DataFrame, detail: str) -> DataFrame:

@@ -12,7 +12,6 @@ so each vector travels once a tile and not once a pair.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -36,44 +35,70 @@ WEIGHTS = {"rep": pa.int64(), "gram": pa.int64(), "w": pa.float64(), "cum": pa.f
 WEIGHTS_SQL = "rep long, gram long, w double, cum double, rest double, grams binary, ws binary"
 
 
-def grams(text: str, low: int, high: int) -> Counter:
-    """The character n-grams of a text and how often each occurs."""
-    return Counter(text[i : i + k] for k in range(low, high + 1) for i in range(len(text) - k + 1))
+class Shard:
+    """Texts under way: characters numbered as they appear, grams as numbers of ``bits`` a character, in numpy throughout."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high, self.bits = low, high, 63 // high
+        self.number, self.chars = np.zeros(0x110000, np.int64), [np.zeros(1, np.uint32)]
+        self.known, self.texts, self.size = 1, [], 0
+
+    def room(self) -> bool:
+        """Whether characters can still be numbered whatever comes in a text of half as many."""
+        return self.known < 1 << self.bits - 1
+
+    def add(self, block: int, n: int, rep: int, m: int, text: str) -> None:
+        points = np.frombuffer(text.replace("\0", "\ufffd").encode("utf-32-le", "surrogatepass"), np.uint32)
+        new = np.unique(points[self.number[points] == 0])
+        self.number[new] = np.arange(self.known, self.known + len(new))
+        self.chars.append(new)
+        self.known += len(new)
+        own = self.number[points]
+        codes = []
+        for k in range(self.low, min(self.high, len(own)) + 1):
+            code = np.zeros(len(own) - k + 1, np.int64)
+            for j in range(self.high):
+                code = code << self.bits | (own[j : j + len(code)] if j < k else 0)
+            codes.append(code)
+        grams, counts = np.unique(np.concatenate(codes), return_counts=True)
+        self.texts.append((block, n, rep, m, grams, counts.astype(np.int32)))
+        self.size += len(grams)
+
+    def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
+        """The distinct grams with the rows of the block that have them, then the texts."""
+        size = [len(t[4]) for t in self.texts]
+        codes, block = np.concatenate([t[4] for t in self.texts]), np.repeat([t[0] for t in self.texts], size)
+        order = np.lexsort((codes, block))
+        first = np.flatnonzero(np.append(True, (np.diff(codes[order]) != 0) | (np.diff(block[order]) != 0)))
+        local = np.empty(len(codes), np.int32)
+        local[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(codes)))).astype(np.int32)
+        df = np.add.reduceat(np.repeat([t[3] for t in self.texts], size)[order], first)
+        codes, block, char = codes[order[first]], block[order[first]], np.concatenate(self.chars)
+        for at in range(0, len(first), 50_000):
+            part = codes[at : at + 50_000]
+            points = np.stack([char[part >> self.bits * (self.high - 1 - j) & (1 << self.bits) - 1] for j in range(self.high)], axis=1)
+            names = np.ascontiguousarray(points.astype("<u4")).view(f"<U{self.high}")[:, 0].tolist()
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(block[at : at + n]), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(names, pa.string()), pa.array(df[at : at + n]), *[pa.nulls(n, f.type) for f in list(SHARDS)[5:]]], schema=SHARDS)
+        ends = np.cumsum(size)
+        for at in range(0, len(self.texts), 500):
+            part = self.texts[at : at + 500]
+            n, places = len(part), [local[e - len(t[4]) : e].tobytes() for t, e in zip(part, ends[at : at + 500])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([t[0] for t in part], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([t[2] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.int64()), pa.array(places, pa.binary()), pa.array([t[5].tobytes() for t in part], pa.binary())], schema=SHARDS)
 
 
 def sharded(batches: Iterator[pa.RecordBatch], low: int, high: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows of texts by their numbered grams, and of a shard's grams with the rows of the block that have them.
-
-    Batches have block, n (rows of the block), rep, m (rows that share the text) and text.
-    """
+    """Shards of texts: batches have block, n (rows of the block), rep, m (rows that share the text) and text."""
     task = TaskContext.get().partitionId() if TaskContext.get() else 0
-    turn = count()
-
-    def emitted(texts: list, numbers: dict, df: Counter) -> Iterator[pa.RecordBatch]:
-        shard = task << SHARD_BITS | next(turn)
-        keys = list(numbers)
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            size = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * size, pa.int64()), pa.array([b for b, _ in part], pa.int64()), pa.array([numbers[k] for k in part], pa.int32()), pa.array([g for _, g in part], pa.string()), pa.array([df[k] for k in part], pa.int64()), *[pa.nulls(size, f.type) for f in list(SHARDS)[5:]]], schema=SHARDS)
-        for block, rep, n, places, counts in texts:
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([rep]), pa.array([n]), pa.array([places.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], schema=SHARDS)
-
-    texts, numbers, df, size = [], {}, Counter(), 0
+    turn, own = count(), Shard(low, high)
     for batch in batches:
         for block, n, rep, m, text in zip(*[c.to_pylist() for c in batch.columns]):
-            own = grams(text, low, high)
-            places = np.empty(len(own), np.int32)
-            for i, g in enumerate(own):
-                places[i] = numbers.setdefault((block, g), len(numbers))
-                df[block, g] += m
-            texts.append((block, rep, n, places, np.fromiter(own.values(), np.int32, len(own))))
-            size += len(own)
-            if size >= most:
-                yield from emitted(texts, numbers, df)
-                texts, numbers, df, size = [], {}, Counter(), 0
-    if texts:
-        yield from emitted(texts, numbers, df)
+            own.add(block, n, rep, m, text)
+            if own.size >= most or not own.room():
+                yield from own.rows(task << SHARD_BITS | next(turn))
+                own = Shard(low, high)
+    if own.texts:
+        yield from own.rows(task << SHARD_BITS | next(turn))
 
 
 def weighted(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:

@@ -5,9 +5,10 @@ import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom import catalog
-from tagloom.sources import files, pages
+from tagloom.sources import artifacts, captured, files, pages
 from tagloom.streaming import capture
 
 SF = "/root/testdata/sf0.001"
@@ -34,12 +35,79 @@ def test_documents(spark, tmp_path):
     assert files.load_words(str(tmp_path / "none")) == set() and files.load_dictionary(str(tmp_path / "none")) == {}
 
 
-def test_pages(spark):
-    html = "<nav>skip this long navigation text</nav><p>A paragraph that is long enough.</p><p>short</p><script>var x = 'a long script text here'</script>"
-    assert pages.readable(html) == "A paragraph that is long enough." and pages.readable(None) == ""
-    page = '<div class="job-name">Dev</div><span class="salary">1K</span><div class="job-sec-text">Do <b>it</b></div>'
-    row = spark.createDataFrame([(page,), (None,)], "h string").select(pages.posting("h").alias("p")).collect()
-    assert row[0]["p"]["title"] == "Dev" and row[0]["p"]["detail"] == "Do\nit" and row[1]["p"]["title"] == ""
+def test_readable_text(spark):
+    pages_ = {
+        "<nav>skip this long navigation text</nav><p>A paragraph that is long enough.</p><p>short</p><script>var x = 'a long script text here'</script>": "A paragraph that is long enough.",
+        None: "", "": "", "no tags but long enough to stay": "no tags but long enough to stay",
+        "<!-- a comment that is long <p> enough -->one &amp; two &#233;&#x20AC; &lt;b&gt; end<br>x": "one & two é€ <b> end",
+        "<P>joined <b>texts</b>   of\n a block</P><h2>second block, long enough</h2>": "joined texts of a block\nsecond block, long enough",
+        "text before the end of it<script>never ends, long enough to stay": "text before the end of it",
+    }
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(pages_)], "i int, h string")
+    assert [r["t"] for r in df.orderBy("i").select(pages.readable_text("h").alias("t")).collect()] == list(pages_.values())
+    assert df.limit(0).select(pages.readable_text("h")).collect() == []
+
+
+def test_posting(spark):
+    page = """<div class="job-banner"><span class="name">Dev <b>Lead</b></span><span class="salary">\ue032\ue033K</span></div>
+    <div class="job-detail"><p class="name"></p><ul class="tag-list"><li>X<li>3 years<li>BA</ul><div class="location-address">Road 1</div>
+    <div class="job-sec-text">Do <b>it</b><i style="visibility: HIDDEN">no</i><script>var</script><span>kanzhun</span><br>boss well</div></div><div class="company-info"><a class="name">ACME</a></div>
+    <div class="job-card-wrapper active"><a href="//x.org/1">l</a></div>"""
+    df = spark.createDataFrame([(0, page, "u"), (1, None, None), (2, "<p>text</p>", "https://www.zhipin.com/a"), (3, '<div class="job-banner"><b class="boss-info-attr">Co · HR</b></div>', "https://www.zhipin.com/a")], "i int, h string, u string")
+    got = {r["i"]: r["p"].asDict() for r in df.select("i", pages.posting("h", "u").alias("p")).collect()}
+    blank = dict.fromkeys(got[1], "")
+    assert got[0] == blank | {"city": "X", "experience": "3 years", "degree": "BA", "address": "Road 1", "company": "ACME", "detail": "Do\nit\nwell", "detail_url": "https://x.org/1"}
+    assert got[1] == got[2] == blank | {"error": "no posting on the page"} and got[3] == blank | {"company": "Co", "detail_url": "https://www.zhipin.com/a"}
+    found = df.filter("i = 0").select(pages.posting(F.regexp_replace("h", '"job-detail"', '"other"')).alias("p")).first()["p"]
+    assert (found["title"], found["salary_raw"], found["salary"]) == ("Dev Lead", "\ue032\ue033K", "12K")
+
+
+def test_artifacts(spark, tmp_path):
+    store = artifacts.Artifacts(spark, str(tmp_path / "s"))
+    assert store.load("t") is None and store.records("t") == [] and store.list("t").count() == 0 and store.keep("t", 1) == 0
+    one = spark.createDataFrame([(1, [1.5, None]), (None, None)], "i int, v array<double>")
+    assert store.save("t", one, "s1", "first")["version"] == 1 and store.save("t", one.limit(0), "s2")["version"] == 2 and store.save("u", one)["version"] == 1
+    assert artifacts.same_rows(store.load("t", 1), one) and store.load("t").count() == 0 and store.load("t", signature="s1") is None and store.load("t", 9) is None
+    assert [(r["version"], r["rows"], r["note"]) for r in store.list("t").collect()] == [(2, 0, ""), (1, 2, "first")]
+    late = artifacts.Artifacts(spark, str(tmp_path / "s"))
+    late.records = lambda kind: []  # a writer that has not seen the others' versions
+    assert late.save("t", one)["version"] == 3
+    assert store.remembered("t", "s3", lambda: one).count() == 2 and store.remembered("t", "s3", lambda: 1 / 0).count() == 2 and store.records("t")[0]["version"] == 4
+    assert store.keep("t", 1) == 3 and [r["version"] for r in store.records("t")] == [4] and len(os.listdir(tmp_path / "s" / "t")) == 1
+    twice = one.union(one)
+    assert not artifacts.same_rows(one, twice) and artifacts.same_rows(twice, one.select("v", "i").union(one.select("v", "i"))) and not artifacts.same_rows(one, one.select("i"))
+    assert artifacts.reused(one, one, twice, lambda: 1 / 0) is twice and artifacts.reused(one, twice, twice, lambda: one) is one and artifacts.reused(one, None, None, lambda: one) is one
+    assert artifacts.table_signature(one) == artifacts.table_signature(one.orderBy("i")) != artifacts.table_signature(twice)
+    (tmp_path / "f.txt").write_text("a")
+    before = artifacts.file_signature(spark, str(tmp_path / "f.txt"))
+    (tmp_path / "f.txt").write_text("ab")
+    assert before and before != artifacts.file_signature(spark, str(tmp_path / "f.txt")) and artifacts.file_signature(spark, str(tmp_path / "none")) == ""
+
+
+def test_captured(spark, tmp_path):
+    empty = captured.load(spark, str(tmp_path / "none"))
+    assert empty.columns == captured.COLUMNS and empty.count() == 0
+    rows = spark.createDataFrame([("u1", "a", "x"), ("u1", "b", "y,\nz"), (None, "c", None)], "detail_url string, title string, detail string")
+    for _ in range(2):
+        captured.write(rows.coalesce(1), str(tmp_path / "c.csv"))
+    back = captured.load(spark, str(tmp_path / "c.csv"))
+    assert set(back.columns) == set(captured.COLUMNS) and {(r["detail_url"], r["title"], r["detail"]) for r in back.collect()} == {("u1", "b", "y,\nz"), ("", "c", "")}
+    assert os.path.exists(tmp_path / "c.csv") and not os.path.exists(tmp_path / "c.csv.old") and not os.path.exists(tmp_path / "c.csv.new")
+
+    store, asked = artifacts.Artifacts(spark, str(tmp_path / "s")), []
+
+    def enrich(df):
+        asked.append(df.count())
+        return df.withColumn("size", F.length("v"))
+
+    feed = lambda *rows: spark.createDataFrame(rows, "k string, n int, v string")
+    first = captured.refresh(store, "c", feed(("a", 1, "x"), ("a", 2, "xx"), ("b", 1, None), (None, 9, "q")), "k", "n", enrich)
+    assert first.counts == {"created": 2, "updated": 0, "unchanged": 0, "kept": 0} and {(r["k"], r["v"], r["size"]) for r in first.table.collect()} == {("a", "xx", 2), ("b", None, None)}
+    again = captured.refresh(store, "c", feed(("a", 5, "xx"), ("b", 1, None)), "k", "n", enrich)
+    assert again.counts["unchanged"] == 2 and again.version == 1 and asked == [2]
+    third = captured.refresh(store, "c", feed(("b", 1, ""), ("c", 1, "new")), "k", "n", enrich)
+    assert third.counts == {"created": 1, "updated": 1, "unchanged": 0, "kept": 1} and third.version == 2 and asked == [2, 2] and third.table.count() == 3
+    assert captured.refresh(artifacts.Artifacts(spark, str(tmp_path / "e")), "c", first.table.select("k", "n", "v").limit(0), "k", "n", lambda d: d).counts["created"] == 0
 
 
 def test_stream_in_batches(spark, tmp_path):

@@ -1,9 +1,12 @@
 """Text functions on inline rows, each quirk included."""
 
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from tagloom.functions import segment, tagcells
 from tagloom.functions import text as tx
 
 
@@ -47,7 +50,42 @@ def test_sections(spark):
 
 
 def test_tag_cells(spark):
-    assert one(spark, tx.tag_list, "['a b', 'c']", '["x","y"]', "Power BI", "a、b；c|d", "nan", "[]", None, "a/b", "a/b" * 60) == [["a b", "c"], ["x", "y"], ["Power", "BI"], ["a", "b", "c", "d"], [], [], [], ["a", "b"], ["a/b" * 60]]
+    cells = {
+        "['a b', 'c']": ["a b", "c"], '["x","y"]': ["x", "y"], "Power BI": ["Power", "BI"], "a、b；c|d": ["a", "b", "c", "d"], "nan": [], "[]": [], None: [], "": [], "a/b": ["a", "b"], "a/b" * 60: ["a/b" * 60],
+        "[1, 2, true, null, 1.5]": ["1", "2", "True", "1.5"], '{"k": ["x", "y z"], "j": {"m": "p, q"}, "n": 5}': ["p", "q", "x", "y z"], "{'a': 'b', 'c': ['d', 'e']}": ["b", "d", "e"], "['Docker' 'Python']": ["Docker", "Python"],
+        "single": ["single"], "(x, y)": ["x", "y"], " • a - ": ["a"], "x,x, X": ["x", "X"], "[[1,[2,3]],[4]]": ["1", "2", "3", "4"], "{broken": ["broken"], "数据 分析": ["数据", "分析"],
+    }
+    assert one(spark, tagcells.tag_list, *cells) == list(cells.values())
+    schema = "m map<string,array<string>>, a array<array<string>>, s struct<i:int,s:string>, b array<boolean>, t string, n int"
+    df = spark.createDataFrame([({"b": ["x"]}, [["p"], ["q", "p"], None], (1, "u, v"), [True, None], "['z']", 3), (None,) * 6], schema)
+    assert [list(r) for r in df.select(*[tagcells.tags_of(df, c).alias(c) for c in df.columns]).collect()] == [[["x"], ["p", "q"], ["u", "v"], ["True"], ["z"], []], [[]] * 6]
+    both = df.select(F.try_parse_json(F.lit('{"b": ["x", {"c": "y, z"}], "a": [1.50]}')).alias("v"))
+    assert both.select(tagcells.tags_of(both, "v")).first()[0] == ["1.5", "x", "y", "z"]
+    assert df.limit(0).select(tagcells.tags_of(df, "a")).collect() == []
+
+
+def test_segments(spark, tmp_path):
+    (tmp_path / "u.txt").write_text("机器学习 10\npower bi 10 n\n深度学习模型\n\n", encoding="utf-8")
+    assert segment.load_user_words(str(tmp_path / "u.txt")) == {"机器学习": 10, "power bi": 10, "深度学习模型": None} and segment.load_user_words(str(tmp_path / "none")) == {}
+    rng = random.Random(2)
+    words = {"".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(1, 4))): rng.randint(1, 50) for _ in range(30)}
+    known = segment.Dictionary(words)
+    total = sum(words.values())
+
+    def ways(run):
+        yield from ([run[:n], *rest] for n in range(1, len(run) + 1) if run[:n] in words or n == 1 for rest in (ways(run[n:]) if run[n:] else [[]]))
+
+    value = lambda cut: sum(math.log(words.get(w, 1) / total) for w in cut)
+    for _ in range(60):
+        run = "".join(rng.choice("甲乙丙丁戊") for _ in range(rng.randint(1, 9)))
+        assert abs(value(list(known.cut_run(run))) - max(map(value, ways(run)))) < 1e-9
+    own = {"机器学习": 10, "机器": 50, "学习": 50, "power bi": 10, "c++": 3, "深度学习模型": None, "模型": 40}
+    got = one(spark, lambda c: segment.segmented(spark, c, own, {"and"}, {"很"}, 1), "精通深度学习模型 and Power BI, C++", "x1学习", None, "  ", "机" * 3)
+    assert got == [["精", "通", "深度学习模型", "power bi", "c++"], ["x1", "学习"], [], [], ["机", "机", "机"]]
+    assert segment.Dictionary({}).cut("无词 ok") == ["无", "词", "ok"] and len(known.cut("甲" * 20_000)) > 0
+
+
+def test_arrays_of_tags(spark):
     df = spark.createDataFrame([(["Power BI", None, " ", "x", "x"],), (None,)], "a array<string>")
     assert [r[0] for r in df.select(tx.array_tags("a")).collect()] == [["Power BI", "x"], []]
     assert [r[0] for r in df.select(tx.norm_list("a", split=None, max_items=1)).collect()] == [["Power BI"], []]
