@@ -12,6 +12,7 @@ so each vector travels once a tile and not once a pair.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import count
 
@@ -27,12 +28,26 @@ from ..plans.lineage import saved, ship
 #: Bits of a gram's number in its shard, and of a shard's in its task; (text, gram) entries of a shard; vectors of a tile's side.
 GRAM_BITS, SHARD_BITS = 23, 15
 ENTRIES, TILE = 4_000_000, 256
-#: Cosines are sums of rounded products; bounds allow for that.
-SLACK = 1e-9
+#: Cosines are sums of rounded products, and what prefixes carry is single precision; bounds allow for that.
+SLACK = 2e-6
 SHARDS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("local", pa.int32()), ("gram", pa.string()), ("df", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("counts", pa.binary())])
 SHARDS_SQL = "shard long, block long, local int, gram string, df long, rep long, n long, places binary, counts binary"
-WEIGHTS = {"rep": pa.int64(), "gram": pa.int64(), "w": pa.float64(), "cum": pa.float64(), "rest": pa.float64(), "grams": pa.binary(), "ws": pa.binary()}
-WEIGHTS_SQL = "rep long, gram long, w double, cum double, rest double, grams binary, ws binary"
+PREFIX = {"rep": pa.int64(), "gram": pa.int64(), "w": pa.float32(), "cum": pa.float32(), "rest": pa.float32()}
+VECTORS = {"rep": pa.int64(), "grams": pa.binary(), "ws": pa.binary()}
+SQL = {pa.int64(): "long", pa.float32(): "float", pa.float64(): "double", pa.binary(): "binary"}
+
+
+def sql_of(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {SQL[t]}" for c, t in columns.items())
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers by their steps, compressed."""
+    return zlib.compress(np.diff(numbers, prepend=numbers.dtype.type(0)).tobytes(), 1)
+
+
+def unsqueezed(data: pa.BinaryScalar) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data.as_buffer()), np.int32))
 
 
 class Shard:
@@ -83,8 +98,8 @@ class Shard:
         ends = np.cumsum(size)
         for at in range(0, len(self.texts), 500):
             part = self.texts[at : at + 500]
-            n, places = len(part), [local[e - len(t[4]) : e].tobytes() for t, e in zip(part, ends[at : at + 500])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([t[0] for t in part], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([t[2] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.int64()), pa.array(places, pa.binary()), pa.array([t[5].tobytes() for t in part], pa.binary())], schema=SHARDS)
+            n, places = len(part), [squeezed(local[e - len(t[4]) : e]) for t, e in zip(part, ends[at : at + 500])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([t[0] for t in part], pa.int64()), pa.array([int(local[e - 1]) for e in ends[at : at + 500]], pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array([t[2] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.int64()), pa.array(places, pa.binary()), pa.array([squeezed(t[5]) for t in part], pa.binary())], schema=SHARDS)
 
 
 def sharded(batches: Iterator[pa.RecordBatch], low: int, high: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -101,39 +116,48 @@ def sharded(batches: Iterator[pa.RecordBatch], low: int, high: int, most: int) -
         yield from own.rows(task << SHARD_BITS | next(turn))
 
 
-def weighted(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For a shard's texts and its shared grams (local, id, df): prefix rows (gram, w, cum, rest) and vector rows (grams, ws)."""
+def weights(texts: pa.Table, shared: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """rep, gram ids (-1 for a gram that no other text has), document frequencies and weights of a shard's texts; shared has local, id, df."""
+    if not texts.num_rows:
+        return
+    local, ids, dfs = (shared[c].to_numpy() for c in ("local", "id", "df")) if shared.num_rows else [np.zeros(0, np.int64)] * 3
+    size = int(max(texts["most"].to_numpy().max(), local.max(initial=0))) + 1
+    gram, df = np.full(size, -1, np.int64), np.ones(size, np.int64)
+    gram[local], df[local] = ids, dfs
+    for rep, n, at, tf in zip(texts["rep"].to_pylist(), texts["n"].to_pylist(), texts["places"], texts["counts"]):
+        places = unsqueezed(at)
+        w = unsqueezed(tf) * (np.log((1 + n) / (1 + df[places])) + 1)
+        yield rep, gram[places], df[places], w / np.sqrt(w @ w)
+
+
+def prefixes(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rarest grams of each text, up to where the rest is shorter than the threshold: gram, w, cum (the length squared so far), rest (of what follows)."""
 
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in WEIGHTS}
-        if texts.num_rows:
-            local, ids, dfs = (shared[c].to_numpy() for c in ("local", "id", "df")) if shared.num_rows else [np.zeros(0, np.int64)] * 3
-            parts = [np.frombuffer(x.as_buffer(), np.int32) for x in texts["places"]]
-            size = max([int(p.max(initial=0)) for p in parts] + [int(local.max(initial=0))]) + 1
-            gram, df = np.full(size, -1, np.int64), np.ones(size, np.int64)
-            gram[local], df[local] = ids, dfs
-            for rep, n, places, tf in zip(texts["rep"].to_pylist(), texts["n"].to_pylist(), parts, texts["counts"]):
-                w = np.frombuffer(tf.as_buffer(), np.int32) * (np.log((1 + n) / (1 + df[places])) + 1)
-                w = w / np.sqrt(w @ w)
-                order = np.lexsort((gram[places], df[places]))
-                cum = np.cumsum(w[order] ** 2)
-                end = min(int(np.searchsorted(cum, 1 - (threshold - SLACK) ** 2, side="right")) + 1, len(w))
-                rest = float(np.sqrt(max(0.0, 1 - cum[end - 1])))
-                kept = np.flatnonzero(gram[places[order[:end]]] >= 0)
-                out["rep"] += [rep] * (len(kept) + 1)
-                out["gram"] += [*gram[places[order[kept]]].tolist(), None]
-                out["w"] += [*w[order[kept]].tolist(), None]
-                out["cum"] += [*cum[kept].tolist(), None]
-                out["rest"] += [rest] * (len(kept) + 1)
-                some = np.flatnonzero(gram[places] >= 0)
-                some = some[np.argsort(gram[places[some]])]
-                out["grams"] += [None] * len(kept) + [gram[places[some]].tobytes()]
-                out["ws"] += [None] * len(kept) + [w[some].tobytes()]
-        return pa.table({c: pa.array(v, WEIGHTS[c]) for c, v in out.items()})
+        out = {c: [np.zeros(0, t.to_pandas_dtype())] for c, t in PREFIX.items()}
+        for rep, gram, df, w in weights(texts, shared):
+            order = np.lexsort((gram, df))
+            cum = np.cumsum(w[order] ** 2)
+            end = min(int(np.searchsorted(cum, 1 - (threshold - SLACK) ** 2, side="right")) + 1, len(w))
+            kept = np.flatnonzero(gram[order[:end]] >= 0)
+            for c, values in (("rep", np.full(len(kept), rep)), ("gram", gram[order[kept]]), ("w", w[order[kept]]), ("cum", cum[kept]), ("rest", np.full(len(kept), np.sqrt(max(0.0, 1 - cum[end - 1]))))):
+                out[c].append(values)
+        return pa.table({c: pa.array(np.concatenate(v), PREFIX[c], safe=False) for c, v in out.items()})
 
     return run
 
 
+def vectors(texts: pa.Table, shared: pa.Table) -> pa.Table:
+    """Whole vectors, without the grams that no other text has."""
+    out: dict[str, list] = {c: [] for c in VECTORS}
+    for rep, gram, _, w in weights(texts, shared):
+        some = np.flatnonzero(gram >= 0)
+        some = some[np.argsort(gram[some])]
+        for c, value in (("rep", rep), ("grams", gram[some].tobytes()), ("ws", w[some].tobytes())):
+            out[c].append(value)
+    return pa.table({c: pa.array(v, VECTORS[c]) for c, v in out.items()})
+
+
 def compared(threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """a, b, similarity of a tile's candidates at the threshold or more, from its vectors."""
 
@@ -165,9 +189,9 @@ def similar_pairs(texts: DataFrame, threshold: float, low: int = 2, high: int =
     code = F.shiftleft("shard", GRAM_BITS).bitwiseOR(F.col("local").cast("long"))
     same = Window.partitionBy("block", "gram")
     known = stored.filter("gram is not null").select("shard", "local", F.sum("df").over(same).alias("df"), F.min(code).over(same).alias("id")).filter("df > 1")
-    by_text = stored.filter("rep is not null").select("shard", "rep", "n", "places", "counts")
-    weights = saved(by_text.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(weighted(threshold), WEIGHTS_SQL))
-    prefix = weights.filter("gram is not null").select("gram", "rep", "w", "cum", "rest")
+    known = saved(known)
+    by_text = stored.filter("rep is not null").select("shard", "rep", "n", "places", "counts", F.col("local").alias("most"))
+    prefix = saved(by_text.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(prefixes(threshold), sql_of(PREFIX)))
     left, right = (prefix.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "w", "cum", "rest")]) for s in "ab")
     met = left.join(right, "gram").filter("rep_a < rep_b").groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     bounds = met.agg(F.sum(F.col("w_a") * F.col("w_b")).alias("dot"), F.max("cum_a").alias("cum_a"), F.max("cum_b").alias("cum_b"), F.first("rest_a").alias("rest_a"), F.first("rest_b").alias("rest_b"))
@@ -180,6 +204,7 @@ def similar_pairs(texts: DataFrame, threshold: float, low: int = 2, high: int =
     placed = saved(sized)
     end = lambda c: placed.select(F.col("node").alias(c), F.col("tile").alias(f"tile_{c}"), "root")
     pairs = candidates.join(end("a"), "a").join(end("b").drop("root"), "b").select("root", F.least("tile_a", "tile_b").alias("i"), F.greatest("tile_a", "tile_b").alias("j"), "a", "b")
-    vectors = weights.filter("grams is not null").select(F.col("rep").alias("node"), "grams", "ws").join(placed, "node")
-    vectors = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.col("root").alias("of"), F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), F.col("node").alias("rep"), "grams", "ws")
-    return pairs.groupBy("root", "i", "j").cogroup(vectors.groupBy("of", "x", "y")).applyInArrow(compared(threshold), "a long, b long, similarity double")
+    wanted = by_text.join(placed.select(F.col("node").alias("rep")), "rep", "left_semi").select(by_text.columns)
+    found = wanted.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(vectors, sql_of(VECTORS)).withColumnRenamed("rep", "node").join(placed, "node")
+    held = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(F.col("root").alias("of"), F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), F.col("node").alias("rep"), "grams", "ws")
+    return pairs.groupBy("root", "i", "j").cogroup(held.groupBy("of", "x", "y")).applyInArrow(compared(threshold), "a long, b long, similarity double")

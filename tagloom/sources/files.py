@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import re
-import zipfile
 from pathlib import Path
 
 import pandas as pd
@@ -84,32 +81,3 @@ def load_dictionary(path: str) -> dict:
     except (OSError, ValueError):
         return {}
     return found if isinstance(found, dict) else {}
-
-
-def decoded(name: str, data: bytes) -> str:
-    """A document's text by its name: plain text and Markdown in the first fitting encoding, the paragraphs of a docx, the plain strings of a pdf."""
-    ext = Path(name).suffix.lower()
-    if ext == ".docx":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            xml = z.read("word/document.xml").decode("utf-8", "ignore")
-        parts = re.split(r"</w:p>", xml)
-        return "\n".join(t for p in parts if (t := "".join(re.findall(r"<w:t[^>]*>([^<]*)</w:t>", p))))
-    if ext == ".pdf":
-        return "\n\n".join(x.decode("latin-1") for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", data))
-    for encoding in ("utf-8-sig", "utf-8", "gbk", "gb18030"):
-        try:
-            return data.decode(encoding)
-        except UnicodeDecodeError:
-            pass
-    return data.decode("utf-8", "ignore")
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, modified, text of files, decoded on the workers."""
-
-    @F.pandas_udf("string")
-    def text(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([decoded(p, bytes(c)) for p, c in zip(paths, contents)], dtype=object)
-
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), text("path", "content").alias("text"))

@@ -2,13 +2,14 @@
 
 import os
 import zipfile
+import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom import catalog
-from tagloom.sources import artifacts, captured, files, pages
+from tagloom.sources import artifacts, captured, documents, files, pages
 from tagloom.streaming import capture
 
 SF = "/root/testdata/sf0.001"
@@ -26,12 +27,48 @@ def test_csv_encodings(spark, tmp_path):
     assert files.read(spark, str(tmp_path / "j.json")).count() == 2
 
 
+def pdf_of(streams, extra=()):
+    """A PDF whose pages hold these content streams, in reverse order in the file."""
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[" + b" ".join(b"%d 0 R" % (10 + i) for i in range(len(streams))) + b"]/Count %d>>" % len(streams)}
+    for i, (data, packed) in enumerate(streams):
+        body = zlib.compress(data) if packed else data
+        objects[10 + i] = b"<</Type/Page/Parent 2 0 R/Contents %d 0 R/Resources<</Font<</F1 5 0 R>>>>>>" % (20 + i)
+        objects[20 + i] = b"<</Length %d%s>>\nstream\n%s\nendstream" % (len(body), b"/Filter/FlateDecode" if packed else b"", body)
+    objects |= dict(extra)
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % (n, objects[n]) for n in sorted(objects, reverse=True))
+
+
 def test_documents(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("中文".encode("gbk"))
-    with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
-        z.writestr("word/document.xml", "<w:p><w:t>one</w:t><w:t> two</w:t></w:p><w:p><w:t>three</w:t></w:p>")
-    got = {os.path.basename(r["path"]): r["text"] for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": "中文", "b.docx": "one two\nthree"}
+    (tmp_path / "b.MD").write_bytes("\ufeffone\r\n\r\none\rtwo  three".encode())
+    p = lambda *texts: "<w:p>" + "".join(f"<w:r><w:t>{t}</w:t></w:r>" for t in texts) + "</w:p>"
+    doc = lambda tag, inner: f'<w:{tag} xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">{inner}</w:{tag}>'
+    table = "<w:tbl><w:tr><w:tc>" + p("x") + p("y") + "</w:tc><w:tc>" + p("z &amp; w") + "</w:tc></w:tr></w:tbl>"
+    for name, body in (("long", table + p("one", " two") + p("a paragraph with more than forty characters in it")), ("short", p("one") + table)):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/document.xml", doc("document", f"<w:body>{body}</w:body>"))
+            z.writestr("word/header1.xml", doc("hdr", p("head")))
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    cmap = zlib.compress(b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <4E2D> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange")
+    fonts = [(5, b"<</Type/Font/ToUnicode 6 0 R>>"), (6, b"<</Filter/FlateDecode>>stream\n" + cmap + b"\nendstream")]
+    first = b"BT /F1 12 Tf 10 700 Td <000100020003> Tj 0 -14 Td [<0004> -500 <0002>] TJ ET"
+    second = rb"BT 1 0 0 1 5 5 Tm (Plain \(text\) \101\\) Tj 1 0 0 1 5 3 Tm (next) Tj T* (la\
+st) ' ET"
+    (tmp_path / "d.pdf").write_bytes(pdf_of([(first, True), (second, False)], fonts))
+    held = b"30 0 31 30 " + b"<</Type/Catalog/Pages 31 0 R>> " + b"<</Type/Pages/Kids[32 0 R]>>"
+    held = b"30 0 31 31 " + held[11:]
+    packed = zlib.compress(held)
+    stream = b"<</Type/ObjStm/N 2/First 11/Filter/FlateDecode>>stream\n" + packed + b"\nendstream"
+    page = b"7 0 obj\n" + stream + b"\nendobj\n32 0 obj\n<</Type/Page/Contents 33 0 R>>\nendobj\n33 0 obj\n<<>>stream\n(in a stream) Tj\nendstream\nendobj"
+    (tmp_path / "e.pdf").write_bytes(b"%PDF-1.5\n" + page)
+    (tmp_path / "f.pdf").write_bytes(b"junk")
+    (tmp_path / "empty").write_bytes(b" \n")
+    rows = documents.read_documents(spark, str(tmp_path)).collect()
+    got = {r["file_name"]: r["text"] for r in rows}
+    assert got == {"a.txt": "中文", "b.MD": "one\ntwo three", "long.docx": "one two\na paragraph with more than forty characters in it\nx y | z & w", "short.docx": "one\nx\ny\nz & w\nhead", "bad.docx": "", "d.pdf": "中ab\nc a\nPlain (text) A\\\nnext\nlast", "e.pdf": "in a stream", "f.pdf": "", "empty": ""}
+    assert {r["file_name"]: (r["suffix"], r["extractor"], r["error"] != "") for r in rows if r["text"] == ""} == {"bad.docx": ("docx", "docx", True), "f.pdf": ("pdf", "pdf", True), "empty": ("", "bytes", True)}
+    assert all(r["char_count"] == len(r["text"]) and r["raw_size"] == os.path.getsize(tmp_path / r["file_name"]) for r in rows)
+    assert documents.resume_input(spark, " a\r\na ").first()[:3] == ("text_input", "a", 1) and documents.resume_input(spark).first()["error"] and documents.resume_input(spark, "", str(tmp_path / "a.txt")).first()[:2] == ("upload", "中文")
     assert files.load_words(str(tmp_path / "none")) == set() and files.load_dictionary(str(tmp_path / "none")) == {}
 
 
