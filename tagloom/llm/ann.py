@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .vectors import TURN, best, met, own_places, packed, unpack, valid
+from .vectors import TURN, best, met, once_each, own_places, packed, unpack, valid
 
 #: Queries whose buckets are looked up at a time.
 STEP = 64
@@ -168,15 +168,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, per_shard: int = 16_
     Both tables have vec_id and embedding. Every row is indexed; at most ``sample_rows`` of
     them, those with the smallest hashes, fit the distance scale. Distances are exact, in
     double. A query's own row is no candidate; other rows with its vec_id are, and are queries
-    of their own if they have another vector (rows equal in both are asked once, and are
-    candidates as often as they occur). Ties go to the smaller vec_id. A query that met fewer than k rows
+    of their own (rows equal in both are searched once, and answered and candidates as often as
+    they occur). Ties go to the smaller vec_id. A query that met fewer than k rows
     in a shard's buckets meets all rows of the shard, so only a table with fewer rows gives
     fewer. Vectors that are null, empty, zero or hold null or non-finite components take no
     part, nor do rows without vec_id. Vectors of other lengths only meet their like. Empty
     tables give no rows.
     """
     ship(vectors.sparkSession)
-    rows, asked = cut(valid(vectors, k, zeros=False)), cut(valid(queries, k, zeros=False).filter("copy = 0"))
+    rows, asked = cut(valid(vectors, k, zeros=False)), cut(once_each(valid(queries, k, zeros=False)))
     n, m = rows.count(), asked.count()
     taken = rows.filter("copy = 0").orderBy(F.xxhash64(F.lit(3), "vec_id", "v")).limit(sample_rows).collect()
     size = len(taken[0]["v"]) if taken else 1
@@ -185,9 +185,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, per_shard: int = 16_
     parts, turns = max(1, -(-n // per_shard)), max(1, -(-m // (per_block * TURN)))
 
     def run(shard, block) -> pd.DataFrame:
-        (x_ids, copies, x), (q_ids, _, q) = unpack(shard), unpack(block)
+        (x_ids, copies, x), (q_ids, times, q) = unpack(shard), unpack(block)
         found = search(q, own_places(q_ids, q, x_ids, copies, x), x, x_ids, k, s)
         sizes, key = [len(i) for i, _ in found], (int(block.q_block) << 32) + np.arange(len(q_ids))
-        return pd.DataFrame({"query_id": np.repeat(q_ids, sizes), "q_key": np.repeat(key, sizes), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([d for _, d in found])})
+        return pd.DataFrame({"query_id": np.repeat(q_ids, sizes), "q_key": np.repeat(key, sizes), "times": np.repeat(times, sizes), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([d for _, d in found])})
 
-    return best(met(shards, blocks, parts, turns, run, "query_id long, q_key long, vec_id long, score double"), k, F.asc("score"))
+    return best(met(shards, blocks, parts, turns, run, "query_id long, q_key long, times int, vec_id long, score double"), k, F.asc("score"))

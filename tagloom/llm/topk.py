@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .vectors import TURN, best, merged, met, own_places, packed, unpack, valid
+from .vectors import TURN, best, merged, met, once_each, own_places, packed, unpack, valid
 
 NONE = -np.iinfo(np.int64).max  # can be negated
 
@@ -97,29 +97,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0,
 
     Both tables have vec_id and embedding; components become floor(scale * component) as
     double, and scores are exact. A query's own row is no candidate; other rows with its
-    vec_id are, and are queries of their own if they have another vector (rows equal in both are
-    asked once, and are candidates as often as they occur). Ties go to the smaller vec_id; with fewer
-    candidates all are returned. Vectors that are null, empty or hold null or non-finite
+    vec_id are, and are queries of their own (rows equal in both are searched once, and answered
+    and candidates as often as they occur). Ties go to the smaller vec_id; with fewer candidates
+    all are returned. Vectors that are null, empty or hold null or non-finite
     components take no part, nor do rows without vec_id. Vectors of other lengths only meet
     their like. Empty tables give no rows.
     """
     ship(vectors.sparkSession)
     whole = lambda df: valid(df, k, lambda x: F.floor(x * scale).cast("double"))
-    rows, asked = cut(whole(vectors)), cut(whole(queries).filter("copy = 0"))
+    rows, asked = cut(whole(vectors)), cut(once_each(whole(queries)))
     n, m = rows.count(), asked.count()
     shards, blocks = cut(packed(rows, per_shard, n, 1)), cut(packed(asked, per_block, m, 2))
     parts, turns = max(1, -(-n // per_shard)), max(1, -(-m // (per_block * TURN)))
 
     def found(blocks: DataFrame, which: Column) -> DataFrame:
         def run(shard, block) -> pd.DataFrame:
-            (x_ids, copies, x), (q_ids, _, q) = unpack(shard), unpack(block)
+            (x_ids, copies, x), (q_ids, times, q) = unpack(shard), unpack(block)
             floor = np.frombuffer(block.floor, "<f8") if hasattr(block, "floor") else np.full(len(q), -np.inf)
             ids, scores = search(q, own_places(q_ids, q, x_ids, copies, x), x, x_ids, k, floor)
             keep = (scores != NONE).ravel()
             key = (int(block.q_block) << 32) + np.arange(len(q_ids))
-            return pd.DataFrame({"query_id": np.repeat(q_ids, k)[keep], "q_key": np.repeat(key, k)[keep], "vec_id": ids.ravel()[keep], "score": scores.ravel()[keep], "q_block": block.q_block, "dim": block.dim})
+            return pd.DataFrame({"query_id": np.repeat(q_ids, k)[keep], "q_key": np.repeat(key, k)[keep], "times": np.repeat(times, k)[keep], "vec_id": ids.ravel()[keep], "score": scores.ravel()[keep], "q_block": block.q_block, "dim": block.dim})
 
-        return met(shards, blocks, parts, turns, run, "query_id long, q_key long, vec_id long, score long, q_block int, dim int", which)
+        return met(shards, blocks, parts, turns, run, "query_id long, q_key long, times int, vec_id long, score long, q_block int, dim int", which)
 
     columns = blocks.columns
 
@@ -138,4 +138,4 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = 256.0,
     tops = first.select(F.col("q_block").alias("block"), "dim", "q_key", "score")
     floored = blocks.groupBy("block", "dim").cogroup(tops.groupBy("block", "dim")).applyInPandas(floors, "block int, dim int, ids binary, copies binary, data binary, floor binary")
     others = found(cut(floored), ~home)
-    return best(first.union(others).select("query_id", "q_key", "vec_id", "score"), k, F.desc("score"))
+    return best(first.union(others).select("query_id", "q_key", "times", "vec_id", "score"), k, F.desc("score"))

@@ -14,11 +14,12 @@ TURN = 16
 
 
 def valid(vectors: DataFrame, k: int, change: Callable[[Column], Column] | None = None, zeros: bool = True) -> DataFrame:
-    """vec_id, v (array<double>), copy of vectors without null or non-finite components.
+    """vec_id, v (array<double>), copy, times of vectors without null or non-finite components.
 
     Null vec_ids and empty vectors go, and with ``zeros`` False all-zero vectors. ``change`` is
     applied to each component. Rows that repeat both are counted before they are shuffled, and
-    numbered by copy from 0 to ``k``: more of them cannot matter to k results.
+    numbered by copy from 0 to ``k``: more of them cannot matter to k results. times is how
+    many there are.
     """
     v = F.col("embedding").cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(v) > 0)
@@ -28,7 +29,12 @@ def valid(vectors: DataFrame, k: int, change: Callable[[Column], Column] | None
     if change:
         rows = rows.select("vec_id", F.transform("v", change).alias("v"))
     counted = rows.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
-    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("copy"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("copy"), F.col("n").cast("int").alias("times"))
+
+
+def once_each(queries: DataFrame) -> DataFrame:
+    """Each distinct query once, with its times in place of its copy."""
+    return queries.filter("copy = 0").select("vec_id", "v", F.col("times").alias("copy"))
 
 
 def packed(rows: DataFrame, per_block: int, count: int, seed: int) -> DataFrame:
@@ -86,9 +92,9 @@ def met(shards: DataFrame, blocks: DataFrame, parts: int, turns: int, search: Ca
 
 
 def best(found: DataFrame, k: int, order: Column) -> DataFrame:
-    """query_id, rank, vec_id, score: the first k of each query (q_key), ties to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the first k of each query (q_key), ties to the smaller vec_id, as many times as its row occurs."""
     w = Window.partitionBy("q_key").orderBy(order, "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
 
 
 def merged(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new_scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
