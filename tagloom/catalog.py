@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.constants import SECTIONS
+from .functions.constants import COVERAGE_ADVICE, DIAGNOSED, FRESH_NEGATIVE, FRESH_POSITIVE, SECTIONS
 from .operators import dedup, evidence, graph, kb, match, normalize, project, stats, tags, upsert
 from .operators import communities as community
+from .operators.network import inspect_columns
 from .plans.lineage import saved, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,9 +358,28 @@ def column_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return stats.column_coverage(jobs(spark, sf), ["tags", "absent"])
 
 
-@query("tag_diagnosis", JOBS + """ SELECT 'tags' AS column_name, CASE WHEN count(*) FILTER (len(tags) > 0) / count(*) >= 0.7 THEN 'high' ELSE 'medium' END AS advice FROM jobs UNION ALL SELECT 'absent', 'low'""")
+DIAGNOSIS = JOBS + ", f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{s}', '{d}', '{c}')" for i, (s, d, c) in enumerate(DIAGNOSED)) + """) v(i, source, dimension, column_name)),
+k AS (SELECT source, dimension, column_name, count(*) FILTER (len(tags) > 0 AND job_id % (i + 1) = 0) AS rows_with_tags, count(*) AS total_rows FROM f CROSS JOIN jobs GROUP BY ALL)
+SELECT *, rows_with_tags / total_rows AS coverage, round(avg(rows_with_tags / total_rows) OVER (PARTITION BY source), 9) AS average, """ + f"CASE WHEN rows_with_tags / total_rows < 0.3 THEN '{COVERAGE_ADVICE[0]}' WHEN rows_with_tags / total_rows < 0.7 THEN '{COVERAGE_ADVICE[1]}' ELSE '{COVERAGE_ADVICE[2]}' END AS advice FROM k"
+
+
+@query("tag_diagnosis", DIAGNOSIS)
 def tag_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.diagnosis(jobs(spark, sf), ["tags", "absent"]).select("column_name", "advice")
+    """All fields of the diagnosis, each filled in fewer of the jobs than the one before."""
+    rows = jobs(spark, sf).withColumns({c: F.when(F.col("job_id") % (i + 1) == 0, F.col("tags")) for i, (_, _, c) in enumerate(DIAGNOSED)})
+    return stats.diagnosis(rows).withColumn("average", F.round("average", 9))
+
+
+@query("tag_columns", """WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_name, p_type FROM part), c AS (SELECT 'skill_text' AS column_name, CASE WHEN p_partkey % 3 > 0 THEN w END AS t, p_partkey % 3 > 0 AS filled FROM p
+UNION ALL SELECT 'must_list', CASE WHEN p_partkey % 2 = 0 THEN w END, p_partkey % 2 = 0 FROM p UNION ALL SELECT 'detail', list_distinct([p_type]), true FROM p UNION ALL SELECT 'nice', NULL, false FROM p),
+u AS (SELECT column_name, count(DISTINCT tag) AS distinct_tags, count(*) AS tags FROM (SELECT DISTINCT column_name, r, tag FROM (SELECT column_name, row_number() OVER () AS r, t FROM c), unnest(t) x(tag)) GROUP BY 1)
+SELECT c.column_name, count(*) FILTER (filled) AS filled_rows, count(*) FILTER (len(t) > 0) AS rows_with_tags, count(*) FILTER (filled) / count(*) AS coverage, coalesce(any_value(distinct_tags), 0) AS distinct_tags, coalesce(any_value(tags), 0) AS tags,
+CASE WHEN count(*) FILTER (len(t) > 0) > 0 THEN 'a candidate for the network''s tags' ELSE 'empty in this selection' END AS advice FROM c LEFT JOIN u ON u.column_name = c.column_name GROUP BY 1""")
+def tag_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """What the columns of parts with a tag's name hold: texts, arrays, a text source, nothing."""
+    words = F.split("p_name", " ")
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.array_join(words, "；")).alias("skill_text"), F.when(F.col("p_partkey") % 2 == 0, words).alias("must_list"), F.col("p_type").alias("detail"), F.lit(None).cast("string").alias("nice"), F.lit("x").alias("other"))
+    return inspect_columns(rows).drop("sample")
 
 
 DIM = """WITH p AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), u AS (SELECT k, 'name' AS dim, a AS tag FROM p UNION ALL SELECT k, 'name', b FROM p UNION ALL SELECT k, 'second', b FROM p)"""
@@ -399,11 +419,37 @@ def opportunity(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.opportunity(table(spark, sf, "documents"), "lang", "source", evidence.fresh_score(F.col("text")), "doc_id").select("role", "jobs", "companies", "priority")
 
 
-@query("fresh_jobs", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 80 WHEN 1 THEN 8 WHEN 2 THEN 42 ELSE 50 END::INTEGER AS fresh_score, CASE o_orderkey % 4 WHEN 0 THEN '高' ELSE '低' END AS fresh_level FROM orders ORDER BY 2 DESC, 1 LIMIT 30""")
+#: Words of the documents and the signals that stand in their place.
+SIGNALS = {"with": "应届", "that": "实习", "from": "3年以上", "this": "资深", "und": "校招", "pour": "1-2年", "para": "培养"}
+
+
+def in_sql(words: list[str]) -> str:
+    return f"len(list_filter([{', '.join(repr(w.lower()) for w in words)}], lambda w: contains(lower(t), w)))"
+
+
+FRESH = "documents".join(["WITH d AS (SELECT doc_id, " + "replace(" * len(SIGNALS) + "coalesce(text, '')" + "".join(f", '{k}', '{v}')" for k, v in SIGNALS.items()) + " AS t FROM ", "),"]) + f"""
+s AS (SELECT doc_id, greatest(0, least(100, 50 + least(12 * {in_sql(FRESH_POSITIVE)}, 42) - least(14 * {in_sql(FRESH_NEGATIVE)}, 50) - CASE WHEN regexp_matches(t, '[1一]-?[2二]年') THEN 8 ELSE 0 END
+ - CASE WHEN regexp_matches(t, '[3三]-?[5五]年|[3三]年以上|[5五]年以上') THEN 28 ELSE 0 END + CASE WHEN contains(t, '应届') OR contains(t, '经验不限') THEN 18 ELSE 0 END)) AS v FROM d)
+SELECT doc_id, v::INTEGER AS fresh_score, CASE WHEN v >= 75 THEN '高' WHEN v >= 55 THEN '中' ELSE '低' END AS fresh_level FROM s"""
+
+
+def signalled(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with some words as signals of a posting."""
+    text = F.coalesce("text", F.lit(""))
+    for word, signal in SIGNALS.items():
+        text = F.replace(text, F.lit(word), F.lit(signal))
+    return table(spark, sf, "documents").select("doc_id", text.alias("t"))
+
+
+@query("fresh_scores", FRESH)
+def fresh_scores(spark: SparkSession, sf: str) -> DataFrame:
+    score = evidence.fresh_score(F.col("t"))
+    return signalled(spark, sf).select("doc_id", score.alias("fresh_score"), evidence.fresh_level(score).alias("fresh_level"))
+
+
+@query("fresh_jobs", FRESH + " ORDER BY 2 DESC, 1 LIMIT 30")
 def fresh_jobs(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    text = F.when(k % 4 == 0, "接受应届").when(k % 4 == 1, "要求3年以上").when(k % 4 == 2, "1-2年").otherwise("")
-    return evidence.fresh_jobs(table(spark, sf, "orders").withColumn("t", text), F.col("t"), "o_orderkey").select("o_orderkey", "fresh_score", "fresh_level")
+    return evidence.fresh_jobs(signalled(spark, sf), F.col("t"), "doc_id").select("doc_id", "fresh_score", "fresh_level")
 
 
 @query("evidence_examples", """WITH d AS (SELECT doc_id, text, regexp_extract(lower(text), '^(.*?)(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])', 0, 's') AS m FROM documents WHERE regexp_matches(lower(text), '(^|[^A-Za-z0-9_])that($|[^A-Za-z0-9_])'))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tagcells
+from ..functions.constants import COLUMN_ADVICE, TAG_COLUMN_WORDS, TAG_TEXT_COLUMNS
 from ..functions.text import safe, strip
 from . import communities, graph, stats
 
@@ -92,14 +94,25 @@ def advice(found: dict[str, DataFrame]) -> dict[str, object]:
     }
 
 
-def inspect_columns(jobs: DataFrame, words: tuple[str, ...] = ("tag", "skill", "rule", "llm", "must", "nice")) -> DataFrame:
-    """column_name, rows_with_tags, distinct_tags, tags, sample of array columns whose name tells of tags, in one pass over exploded pairs."""
-    columns = [c for c, t in jobs.dtypes if t == "array<string>" and any(w in c.lower() for w in words)]
-    if not columns:
-        return jobs.sparkSession.createDataFrame([], "column_name string, rows_with_tags long, distinct_tags long, tags long, sample string")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(c, F.array().cast("array<string>")).alias("t")) for c in columns])
-    rows = jobs.select(F.inline(pairs))
-    size = rows.groupBy("column_name").agg(F.count_if(F.size("t") > 0).alias("rows_with_tags"), F.sum(F.size("t")).alias("tags"), F.array_join(F.slice(F.min(F.when(F.size("t") > 0, F.col("t"))), 1, 8), "、").alias("sample"))
-    distinct = rows.select("column_name", F.explode("t").alias("tag")).groupBy("column_name").agg(F.countDistinct("tag").alias("distinct_tags"))
+def inspect_columns(jobs: DataFrame, text_sources: bool = True) -> DataFrame:
+    """column_name, filled_rows, rows_with_tags, coverage, distinct_tags, tags, sample, advice of the columns whose name tells of tags, and of known text columns.
+
+    A cell of any type is parsed as tags (see tagcells); a filled one is not blank and not nan,
+    none, [] or {}. All columns are measured in one pass, distinct tags in another; nothing but
+    a row a column comes together. Columns of equal measure go by name.
+    """
+    named = [c for c in jobs.columns if any(w in c.lower() for w in TAG_COLUMN_WORDS) or text_sources and c in TAG_TEXT_COLUMNS]
+    if not named:
+        return jobs.sparkSession.createDataFrame([], "column_name string, filled_rows long, rows_with_tags long, coverage double, distinct_tags long, tags long, sample string, advice string")
+    kinds = dict(jobs.dtypes)
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("v"))) if kinds[c].startswith(("array", "map", "struct", "variant")) else safe(c)
+    blank = ["", "nan", "none", "[]", "{}", "{\"v\":[]}", "{\"v\":{}}"]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), (~F.lower(F.coalesce(text(c), F.lit(""))).isin(blank) & F.col(c).isNotNull()).alias("filled"), tagcells.tags_of(jobs, c).alias("t"), F.substring(F.coalesce(text(c), F.lit("")), 1, 120).alias("raw")) for c in named])
+    rows = jobs.select(F.inline(cells))
+    sample = F.min(F.when(F.size("t") > 0, F.array_join(F.slice("t", 1, 8), "、")).when(F.col("filled"), F.col("raw")))
+    size = rows.groupBy("column_name").agg(F.count_if("filled").alias("filled_rows"), F.count_if(F.size("t") > 0).alias("rows_with_tags"), F.count("*").alias("_n"), F.sum(F.size("t")).alias("tags"), sample.alias("sample"))
+    distinct = rows.select("column_name", F.explode("t").alias("tag")).distinct().groupBy("column_name").agg(F.count("*").alias("distinct_tags"))
     out = size.join(distinct, "column_name", "left").na.fill({"distinct_tags": 0, "sample": ""})
-    return out.select("column_name", "rows_with_tags", "distinct_tags", "tags", "sample").orderBy(F.desc("rows_with_tags"), F.desc("distinct_tags"), "column_name")
+    advice = F.when(F.col("rows_with_tags") > 0, COLUMN_ADVICE[0]).when((F.col("filled_rows") > 0) & F.col("column_name").isin(TAG_TEXT_COLUMNS), COLUMN_ADVICE[1]).when(F.col("filled_rows") > 0, COLUMN_ADVICE[2]).otherwise(COLUMN_ADVICE[3])
+    made = out.select("column_name", "filled_rows", "rows_with_tags", (F.col("filled_rows") / F.greatest("_n", F.lit(1))).alias("coverage"), "distinct_tags", "tags", "sample", advice.alias("advice"))
+    return made.orderBy(F.desc("rows_with_tags"), F.desc("distinct_tags"), F.desc("filled_rows"), "column_name")

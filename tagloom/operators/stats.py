@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import COVERAGE_ADVICE, COVERAGE_BANDS, DIAGNOSED
 from ..functions.text import safe
 
 
@@ -99,10 +100,22 @@ def column_coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("column_name", "rows_with_tags", "total_rows", (F.col("rows_with_tags") / F.greatest("total_rows", F.lit(1))).alias("coverage"), F.coalesce("tags", F.lit(0)).alias("tags"))
 
 
-def diagnosis(df: DataFrame, columns: list[str], low: float = 0.3, high: float = 0.7) -> DataFrame:
-    """Coverage with a band: low, medium or high."""
+def diagnosis(df: DataFrame, fields: list[tuple[str, str, str]] = DIAGNOSED) -> DataFrame:
+    """source, dimension, column_name, rows_with_tags, total_rows, coverage, advice of the fields that df has, in one pass; average is the mean coverage of the source's fields.
+
+    A row has tags if its array is not empty; null arrays, and columns that hold no arrays, have none.
+    """
+    kinds = dict(df.dtypes)
+    have = [(i, *f) for i, f in enumerate(fields) if f[2] in kinds]
+    if not have:
+        return df.sparkSession.createDataFrame([], "source string, dimension string, column_name string, rows_with_tags long, total_rows long, coverage double, average double, advice string")
+    filled = lambda c: F.count_if(F.size(c) > 0) if kinds[c].startswith("array") else F.lit(0).cast("long")
+    own = F.array(*[F.struct(F.lit(i).alias("_turn"), F.lit(s).alias("source"), F.lit(d).alias("dimension"), F.lit(c).alias("column_name"), F.col(f"_{i}").alias("rows_with_tags")) for i, s, d, c in have])
+    rows = df.agg(F.count("*").alias("total_rows"), *[filled(c).alias(f"_{i}") for i, _, _, c in have]).select("total_rows", F.inline(own))
     c = F.col("coverage")
-    return column_coverage(df, columns).withColumn("advice", F.when(c < low, "low").when(c < high, "medium").otherwise("high"))
+    advice = F.when(c < COVERAGE_BANDS[0], COVERAGE_ADVICE[0]).when(c < COVERAGE_BANDS[1], COVERAGE_ADVICE[1]).otherwise(COVERAGE_ADVICE[2])
+    out = rows.withColumn("coverage", F.col("rows_with_tags") / F.greatest("total_rows", F.lit(1))).withColumn("average", F.avg("coverage").over(Window.partitionBy("source")))  # a row a field
+    return out.orderBy("_turn").select("source", "dimension", "column_name", "rows_with_tags", "total_rows", "coverage", "average", advice.alias("advice"))
 
 
 def best_tag_column(df: DataFrame, candidates: list[str]) -> str | None:
