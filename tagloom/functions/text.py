@@ -42,6 +42,11 @@ def brackets(c: Column | str) -> Column:
     return F.translate(col(c), "（）", "()")
 
 
+def bound(value: Column, make) -> Column:
+    """make(value), with value worked out once a row: inside a lambda an expression is worked out for every element."""
+    return F.transform(F.array(value), make)[0]
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

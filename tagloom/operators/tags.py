@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import DUTY_SPECS, HARD_SPECS, JOB_TYPE_SPECS, SCENE_SPECS, SECTIONS, SOFT_SPECS, TOOL_SPECS
-from ..functions.text import ASCII_WORD, array_tags, by_length, contains_any, count_word, distinct_folded, has_word, lookup, norm_list, repaired, safe, section
+from ..functions.text import ASCII_WORD, array_tags, bound, by_length, contains_any, count_word, distinct_folded, has_word, lookup, norm_list, repaired, safe, section
 
 TYPES = {"hard": "hard_tags", "soft": "soft_tags", "duty": "duty_tags", "scene": "scene_tags"}
 
@@ -60,8 +60,7 @@ def apply_dictionary(jobs: DataFrame, dictionary: dict[str, object], text: Colum
 def labels(text: Column, specs: dict[str, list[str]]) -> Column:
     """Labels, in order, any of whose patterns is contained, case ignored: one walk through a literal list, whatever its length."""
     known = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*[F.lit(x.lower()) for x in p]).alias("patterns")) for k, p in specs.items()])
-    low = F.lower(text)
-    return F.transform(F.filter(known, lambda s: F.exists(s["patterns"], lambda p: F.contains(low, p))), lambda s: s["label"])
+    return bound(F.lower(text), lambda low: F.transform(F.filter(known, lambda s: F.exists(s["patterns"], lambda p: F.contains(low, p))), lambda s: s["label"]))
 
 
 def rule_profile(jobs: DataFrame, detail: str) -> DataFrame:
