@@ -271,10 +271,10 @@ def role_tag_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bipartite(jobs(spark, sf), "role", "tags", "role", 3, 10, tagged_only=True)[1]
 
 
-@query("node_importance", JOBS + ENDS + " SELECT c.id, degree, weighted_degree, degree / (SELECT count(*) - 1 FROM c) AS centrality FROM c JOIN s USING (id)")
+@query("node_importance", JOBS + ENDS + " SELECT c.id, degree, weighted_degree, degree / (SELECT count(*) - 1 FROM c) AS centrality, round(ln(1 + n) * 0.48 + ln(1 + weighted_degree) * 0.37 + degree / (SELECT count(*) - 1 FROM c) * 4.5 * 0.15, 4) AS size_score FROM c JOIN s USING (id)")
 def node_importance(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = network(spark, sf)
-    return graph.importance(nodes, edges).select("id", "degree", "weighted_degree", "centrality")
+    return graph.importance(nodes, edges).select("id", "degree", "weighted_degree", "centrality", "size_score")
 
 
 @query("top_nodes", JOBS + ENDS + " SELECT id, weighted_degree FROM s ORDER BY weighted_degree DESC, id LIMIT 5")
@@ -329,9 +329,9 @@ def community_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("effort_priority", JOBS + ENDS + """, k AS (SELECT c.id, degree, weighted_degree, jobs / (SELECT count(*) FROM jobs) AS coverage FROM c JOIN s USING (id))
-SELECT id, CASE WHEN v >= 18 THEN '必修核心' WHEN v >= 10 THEN '方向强化' WHEN v >= 6 THEN '加分项' ELSE '观察项' END AS priority FROM (SELECT id, 0.55 * weighted_degree + 0.25 * degree + 20 * coverage AS v FROM k)""")
+SELECT id, round(v, 3) AS priority_score, CASE WHEN v >= 18 THEN '必修核心' WHEN v >= 10 THEN '方向强化' WHEN v >= 6 THEN '加分项' ELSE '观察项' END AS priority FROM (SELECT id, 0.55 * weighted_degree + 0.25 * degree + 20 * coverage AS v FROM k)""")
 def effort_priority(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.effort_priority(graph.importance(*network(spark, sf))).select("id", "priority")
+    return graph.effort_priority(graph.importance(*network(spark, sf))).select("id", "priority_score", "priority")
 
 
 @query("ego_subgraph", JOBS + EDGES + """, f AS (SELECT min(id) AS x FROM c), i AS (SELECT x AS id FROM f UNION SELECT dst FROM e, f WHERE src = x UNION SELECT src FROM e, f WHERE dst = x)
@@ -405,18 +405,16 @@ EV = "WITH w AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}')" for w in WORDS[:
 d AS (SELECT doc_id, text, source, lang, tag FROM documents, w WHERE regexp_matches(lower(text), '(^|[^A-Za-z0-9_])' || tag || '($|[^A-Za-z0-9_])'))"""
 
 
-@query("evidence_table", EV + """ SELECT tag, count(*) AS freq, count(DISTINCT doc_id) AS jobs, count(DISTINCT source) AS companies, count(DISTINCT lang) AS roles, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM documents) AS coverage,
-count(DISTINCT source) / (SELECT count(DISTINCT source) FROM documents) AS company_coverage, 1.0::DOUBLE AS evidence_rate FROM d GROUP BY 1""")
+@query("evidence_table", EV + """, m AS (SELECT tag, count(*) AS freq, count(DISTINCT doc_id) AS jobs, count(DISTINCT source) AS companies, count(DISTINCT lang) AS roles, count(DISTINCT doc_id) / (SELECT count(DISTINCT doc_id) FROM documents) AS coverage,
+count(DISTINCT source) / (SELECT count(DISTINCT source) FROM documents) AS company_coverage, count(DISTINCT lang) / (SELECT count(DISTINCT lang) FROM documents) AS role_coverage,
+count(*) FILTER (regexp_matches(lower(split_part(text, chr(10), 1)), '(^|[^A-Za-z0-9_])' || tag || '($|[^A-Za-z0-9_])')) / count(DISTINCT doc_id) AS title_rate, count(DISTINCT doc_id) / count(DISTINCT doc_id) AS evidence_rate FROM d GROUP BY 1),
+v AS (SELECT *, 32 * coverage + 18 * company_coverage + 12 * role_coverage + 5 * title_rate + 3 * evidence_rate AS w FROM m)
+SELECT * EXCLUDE w, 0.0::DOUBLE AS req_rate, round(w, 1) AS importance, CASE WHEN w >= 72 THEN '高' WHEN w >= 45 THEN '中' ELSE '低' END AS confidence, CASE WHEN round(w, 1) >= 55 THEN '重点强化' ELSE '观察项' END AS priority FROM v""")
 def evidence_table(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("tags", tags.found(F.col("text"), WORDS[:6])).withColumn("title", F.lit(""))
+    """Measures of six words, with each document's first line as its title."""
+    docs = table(spark, sf, "documents").withColumn("tags", tags.found(F.col("text"), WORDS[:6])).withColumn("title", F.split_part("text", F.lit("\n"), F.lit(1)))
     out = evidence.tag_evidence(docs, "tags", "text", "title", "source", "lang", "doc_id")
-    return out.select("tag", "freq", "jobs", "companies", "roles", "coverage", "company_coverage", "evidence_rate")
-
-
-@query("opportunity", """WITH d AS (SELECT lang, count(DISTINCT doc_id) AS jobs, count(DISTINCT source) AS companies FROM documents GROUP BY 1)
-SELECT lang AS role, jobs, companies, CASE WHEN least(jobs, 30) * 1.2 + least(companies, 20) * 1.3 + 27.5 >= 65 THEN '高' WHEN least(jobs, 30) * 1.2 + least(companies, 20) * 1.3 + 27.5 >= 45 THEN '中' ELSE '低' END AS priority FROM d""")
-def opportunity(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.opportunity(table(spark, sf, "documents"), "lang", "source", evidence.fresh_score(F.col("text")), "doc_id").select("role", "jobs", "companies", "priority")
+    return out.select("tag", "freq", "jobs", "companies", "roles", "coverage", "company_coverage", "role_coverage", "title_rate", "evidence_rate", "req_rate", "importance", "confidence", "priority")
 
 
 #: Words of the documents and the signals that stand in their place.
@@ -447,6 +445,13 @@ def fresh_scores(spark: SparkSession, sf: str) -> DataFrame:
     return signalled(spark, sf).select("doc_id", score.alias("fresh_score"), evidence.fresh_level(score).alias("fresh_level"))
 
 
+@query("opportunity", FRESH.replace("SELECT doc_id, v::INTEGER AS fresh_score", ", g AS (SELECT lang AS role, count(*) AS jobs, count(DISTINCT source) AS companies, avg(v) AS f FROM s JOIN documents USING (doc_id) WHERE lang IS NOT NULL GROUP BY 1), o AS (SELECT *, least(jobs, 30) * 1.2 + least(companies, 20) * 1.3 + f * 0.55 AS score FROM g) SELECT role, jobs, companies, round(f, 6) AS fresh_avg, round(score, 6) AS score, CASE WHEN score >= 65 THEN '高' WHEN score >= 45 THEN '中' ELSE '低' END AS priority FROM o -- "))
+def opportunity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signalled(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
+    out = evidence.opportunity(rows, "lang", "source", evidence.fresh_score(F.col("t")), "doc_id")
+    return out.select("role", "jobs", "companies", F.round("fresh_avg", 6).alias("fresh_avg"), F.round("score", 6).alias("score"), "priority")
+
+
 @query("fresh_jobs", FRESH + " ORDER BY 2 DESC, 1 LIMIT 30")
 def fresh_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.fresh_jobs(signalled(spark, sf), F.col("t"), "doc_id").select("doc_id", "fresh_score", "fresh_level")
@@ -461,18 +466,20 @@ def evidence_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("job_match", JOBS + """, h AS (SELECT job_id, company, role, city, tags, len(list_filter(tags, lambda x: x IN ('red', 'bolt', 'ring'))) AS m FROM jobs)
 SELECT job_id, CASE WHEN len(tags) = 0 THEN 30 ELSE (30 * m) // len(tags) END::INTEGER AS match_hard, 10::INTEGER AS match_soft, CASE WHEN role LIKE '1-%' THEN 14 ELSE 6 END::INTEGER AS match_direction, 8::INTEGER AS match_degree, 10::INTEGER AS match_experience,
-CASE WHEN city = 'NATION_3' OR contains(city, 'NATION_3') OR contains('NATION_3', city) THEN 5 ELSE 1 END::INTEGER AS match_city, 6::INTEGER AS match_fresh FROM h""")
+CASE WHEN city = 'NATION_3' OR contains(city, 'NATION_3') OR contains('NATION_3', city) THEN 5 ELSE 1 END::INTEGER AS match_city, 6::INTEGER AS match_fresh,
+array_to_string(list_sort(list_filter(tags, lambda x: x IN ('red', 'bolt', 'ring'))), '|') AS matched, array_to_string(list_sort(list_filter(tags, lambda x: x NOT IN ('red', 'bolt', 'ring')))[1:10], '|') AS missing,
+(match_hard + match_soft + match_direction + match_degree + match_experience + match_city + match_fresh)::INTEGER AS match_total FROM h""")
 def job_match(spark: SparkSession, sf: str) -> DataFrame:
     rows = jobs(spark, sf).withColumns({"title_norm": F.lit(""), "category": F.lit(""), "direction": F.col("role"), "ordinal": F.col("job_id")})
     out = match.match(rows, {"hard_skills": ["red", "bolt", "ring"], "roles": ["1-URGENT"], "cities": ["NATION_3"]}, ["tags"], [])
-    return out.select("job_id", "match_hard", "match_soft", "match_direction", "match_degree", "match_experience", "match_city", "match_fresh")
+    return out.select("job_id", "match_hard", "match_soft", "match_direction", "match_degree", "match_experience", "match_city", "match_fresh", F.array_join(F.array_sort("matched_skills"), "|").alias("matched"), F.array_join(F.array_sort("missing_skills"), "|").alias("missing"), "match_total")
 
 
-@query("missing_skills", JOBS + """, h AS (SELECT job_id, role, city, list_filter(tags, lambda x: x NOT IN ('red', 'bolt', 'ring')) AS missing, tags FROM jobs),
+@query("missing_skills", JOBS + """, h AS (SELECT job_id, role, city, list_filter(tags, lambda x: x NOT IN ('red', 'bolt', 'ring')) AS missing, tags FROM jobs WHERE len(tags) >= 4),
 s AS (SELECT *, CASE WHEN len(tags) = 0 THEN 30 ELSE (30 * (len(tags) - len(missing))) // len(tags) END + CASE WHEN role LIKE '1-%' THEN 14 ELSE 6 END AS score FROM h ORDER BY score DESC, job_id LIMIT 20), m AS (SELECT unnest(list_slice(missing, 1, 10)) AS skill FROM s)
 SELECT skill, count(*) AS n FROM m GROUP BY 1 ORDER BY n DESC, skill LIMIT 10""")
 def missing_skills(spark: SparkSession, sf: str) -> DataFrame:
-    rows = jobs(spark, sf).withColumns({"title_norm": F.lit(""), "category": F.lit(""), "direction": F.col("role"), "ordinal": F.col("job_id")}).drop("city")
+    rows = jobs(spark, sf).withColumns({"title_norm": F.lit(""), "category": F.lit(""), "direction": F.col("role"), "ordinal": F.col("job_id")}).drop("city").filter("size(tags) >= 4")
     ranked = match.match(rows, {"hard_skills": ["red", "bolt", "ring"], "roles": ["1-URGENT"]}, ["tags"], [])
     return match.missing_counts(ranked, [F.desc("match_total"), F.asc("job_id")])
 
@@ -581,11 +588,11 @@ def row_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("vector_topk", """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], v) AS c FROM embeddings, q)
-SELECT vec_id FROM s ORDER BY round(c, 4) DESC, vec_id LIMIT 5""")
+SELECT vec_id, round(c, 4) AS score FROM s ORDER BY round(c, 4) DESC, vec_id LIMIT 5""")
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     store = table(spark, sf, "embeddings")
     q = store.filter("vec_id = 0").select("embedding").first()
-    return kb.search(store, list(q[0]) if q else [0.0], "vec_id").select("vec_id")
+    return kb.search(store, list(q[0]) if q else [0.0], "vec_id").select("vec_id", "score")
 
 
 @query("evidence_by_type", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items FROM r WHERE k <= 1000 GROUP BY 1")
