@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .functions.constants import COVERAGE_ADVICE, DIAGNOSED, FRESH_NEGATIVE, FRESH_POSITIVE, SECTIONS
+from .functions.constants import COVERAGE_ADVICE, DIAGNOSED, DUTY_SPECS, FRESH_NEGATIVE, FRESH_POSITIVE, HARD_SPECS, JOB_TYPE_SPECS, SCENE_SPECS, SECTIONS, SOFT_SPECS, TOOL_SPECS
 from .operators import dedup, evidence, graph, kb, match, normalize, project, stats, tags, upsert
 from .operators import communities as community
 from .operators.network import inspect_columns
@@ -201,15 +201,39 @@ def title_norm(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", normalize.title(raw).alias("title"))
 
 
-@query("rule_sections", """WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS k FROM orders)
-SELECT o_orderkey, CASE k WHEN 0 THEN '负责' || o_orderkey || '号智能客服落地' WHEN 1 THEN '' ELSE '节点管理' END AS duties, CASE k WHEN 0 THEN '熟悉Python' ELSE '' END AS wants,
-CASE k WHEN 0 THEN '智能客服落地' WHEN 1 THEN '' ELSE '节点管理' END AS rule_duties, CASE k WHEN 0 THEN 'Python' WHEN 1 THEN '' ELSE '节点管理' END AS rule_must FROM d""")
+#: Words of the documents and the markers and skills that stand in their place.
+MARKERS = {"with": "岗位职责：", "that": "任职要求：", "from": "加分项：", "this": "Python", "und": "智能客服", "pour": "节点管理", "para": "沟通", "der": "我们提供", "des": "飞书", "have": "数据分析"}
+
+
+def section_sql(name: str) -> str:
+    starts, stops = SECTIONS[name]
+    first = "list_min(list_filter([" + ", ".join(f"{{'place': instr(t, '{m}'), 'turn': {i}, 'size': {len(m)}}}" for i, m in enumerate(starts)) + "], lambda x: x.place > 0))"
+    end = "list_min(list_filter([" + ", ".join(f"instr(substr(t, f.place + f.size), '{m}')" for m in stops) + "], lambda x: x > 0))"
+    return f"(SELECT CASE WHEN f IS NULL THEN '' ELSE regexp_replace(substr(t, f.place + f.size, coalesce({end} - 1, length(t))), '^[ ：:;；]+|[ ：:;；]+$', '', 'g') END FROM (SELECT {first} AS f))"
+
+
+def labels_sql(text: str, specs: dict[str, list[str]]) -> str:
+    return "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({text}), '{p.lower()}')" for p in ps) + f" THEN '{k}' END" for k, ps in specs.items()) + "], lambda x: x IS NOT NULL)"
+
+
+RULES = "WITH d AS (SELECT doc_id, trim(regexp_replace(" + "replace(" * len(MARKERS) + "coalesce(text, '')" + "".join(f", '{k}', '{v}')" for k, v in MARKERS.items()) + ", '\\s+', ' ', 'g')) AS t FROM documents), " + f"""
+s AS (SELECT doc_id, t, {section_sql('responsibilities')} AS duties, {section_sql('requirements')} AS wants, {section_sql('bonus')} AS bonus, {section_sql('offer')} AS offer, {section_sql('highlights')} AS highlights FROM d),
+x AS (SELECT *, CASE WHEN duties <> '' THEN duties ELSE t END AS du, CASE WHEN wants <> '' THEN wants ELSE t END AS wa, array_to_string(list_filter([bonus, offer, highlights], lambda x: x <> ''), ' ') AS mo FROM s),
+l AS (SELECT doc_id, duties, wants, {labels_sql('t', HARD_SPECS)} AS hard, {labels_sql('wa', SOFT_SPECS)} AS soft, {labels_sql('du', DUTY_SPECS)} AS rule_duties, {labels_sql('wa', HARD_SPECS | SOFT_SPECS)} AS req, list_concat({labels_sql('mo', HARD_SPECS)}, {labels_sql('mo', DUTY_SPECS)}, {labels_sql('mo', SCENE_SPECS)}) AS b,
+{labels_sql('t', SCENE_SPECS)} AS ind, {labels_sql('t', JOB_TYPE_SPECS)} AS kind, {labels_sql('wa', HARD_SPECS)} AS must, {labels_sql('mo', HARD_SPECS)} AS nice, {labels_sql('t', TOOL_SPECS)} AS tools FROM x)
+SELECT doc_id, duties, wants, """ + ", ".join(f"array_to_string({c}, ',') AS {n}" for c, n in (("hard", "rule_hard"), ("soft", "rule_soft"), ("rule_duties", "rule_duties"), ("req", "rule_requirements"), ("list_filter(b, lambda x, i: list_position(b, x) = i)", "rule_bonus"), ("ind", "rule_industry"), ("kind", "rule_job_type"), ("must", "rule_must"), ("nice", "rule_nice"), ("tools", "rule_tools"))) + ", substr(array_to_string((CASE WHEN len(rule_duties) > 0 THEN rule_duties ELSE ind END)[1:3], '、'), 1, 25) AS rule_goal FROM l"
+
+
+@query("rule_sections", RULES)
 def rule_sections(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    detail = F.when(k % 3 == 0, F.concat(F.lit("岗位职责：负责"), k.cast("string"), F.lit("号智能客服落地；任职要求: 熟悉Python 加分项：飞书"))).when(k % 3 == 1, "无").otherwise("工作内容　节点管理")
-    rows = tags.rule_profile(table(spark, sf, "orders").select("o_orderkey", detail.alias("detail")), "detail")
+    """Sections and all rule fields of the documents, some of whose words stand for markers and skills."""
+    text = F.coalesce("text", F.lit(""))
+    for word, mark in MARKERS.items():
+        text = F.replace(text, F.lit(word), F.lit(mark))
+    rows = tags.rule_profile(table(spark, sf, "documents").select("doc_id", text.alias("detail")), "detail")
     source = tx.repaired("detail")
-    return rows.select("o_orderkey", tx.section(source, *SECTIONS["responsibilities"]).alias("duties"), tx.section(source, *SECTIONS["requirements"]).alias("wants"), F.array_join("_rule_duties", ",").alias("rule_duties"), F.array_join("_rule_must", ",").alias("rule_must"))
+    fields = ("hard", "soft", "duties", "requirements", "bonus", "industry", "job_type", "must", "nice", "tools")
+    return rows.select("doc_id", tx.section(source, *SECTIONS["responsibilities"]).alias("duties"), tx.section(source, *SECTIONS["requirements"]).alias("wants"), *[F.array_join(f"_rule_{c}", ",").alias(f"rule_{c}") for c in fields], F.col("_rule_goal").alias("rule_goal"))
 
 
 @query("tag_fusion", JOBS + """, f AS (SELECT job_id, list_transform(tags || [company], lambda x: CASE WHEN x = 'red' THEN 'crimson' ELSE x END) AS a FROM jobs)

@@ -159,19 +159,18 @@ def repaired(c: Column | str) -> Column:
 
 def section(c: Column, starts: list[str], stops: list[str]) -> Column:
     """What stands after the earliest start marker (of equals the first named) and before the next stop marker."""
-    none = F.lit(1 << 30)
-    place = [F.when(F.instr(c, F.lit(m)) > 0, F.instr(c, F.lit(m))).otherwise(none) for m in starts]
-    first = F.least(*place) if len(place) > 1 else place[0]
-    begin = reduce(lambda out, pm: F.when(pm[0] == first, pm[0] + len(pm[1])).otherwise(out), reversed(list(zip(place, starts))), none)
-    ends = [located(c, m, begin) for m in stops]
-    end = F.least(*ends, F.length(c) + 1)
-    return F.when(first < none, F.regexp_replace(F.substring(c, begin, F.greatest(end - begin, F.lit(0))), "^[ ：:;；]+|[ ：:;；]+$", "")).otherwise(F.lit(""))
-
-
-def located(c: Column, marker: str, begin: Column) -> Column:
-    """The marker's place from ``begin`` on; very large without one."""
-    at = F.call_function("locate", F.lit(marker), c, begin)
-    return F.when(at > 0, at).otherwise(F.lit(1 << 30))
+    begins = F.array(*[F.struct(F.lit(m).alias("mark"), F.lit(i).alias("turn"), F.lit(len(m)).alias("size")) for i, m in enumerate(starts)])
+    ends = F.array(*[F.lit(m) for m in stops])
+
+    def inside(t: Column, begin: Column) -> Column:
+        end = F.array_min(F.filter(F.transform(ends, lambda m: F.call_function("locate", m, t, begin)), lambda at: at > 0))
+        return F.regexp_replace(F.substring(t, begin, F.coalesce(end, F.length(t) + 1) - begin), "^[ ：:;；]+|[ ：:;；]+$", "")
+
+    def found(t: Column) -> Column:
+        first = F.array_min(F.filter(F.transform(begins, lambda b: F.struct(F.instr(t, b["mark"]).alias("at"), b["turn"].alias("turn"), b["size"].alias("size"))), lambda x: x["at"] > 0))
+        return bound(first, lambda f: F.when(f.isNull(), F.lit("")).otherwise(bound(f["at"] + f["size"], lambda begin: inside(t, begin))))
+
+    return bound(c, found)
 
 
 def clean_html_text(c: Column | str, keep_lines: bool = True) -> Column:
