@@ -619,6 +619,33 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return kb.search(store, list(q[0]) if q else [0.0], "vec_id").select("vec_id", "score")
 
 
+@query("job_evidence", """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1), s AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v), 4) AS c FROM embeddings, q),
+b AS (SELECT *, row_number() OVER (ORDER BY c DESC, vec_id) AS k FROM s QUALIFY k <= 6) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY k) AS items FROM b GROUP BY 1""")
+def job_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The vectors nearest to a posting's query, by label; the client answers with the second vector."""
+    store = table(spark, sf, "embeddings").withColumn("item", F.col("vec_id").cast("string"))
+    asked = store.filter("vec_id = 1").select("embedding").first()
+    job = table(spark, sf, "documents").orderBy("doc_id").limit(1).withColumn("skills", F.array("lang"))
+    columns = {"title": "source", "company": "source", "city": "lang", "experience": "lang", "degree": "lang", "skills": "skills", "wants": "skills"}
+    _, _, grouped = kb.evidence_for_job(job, store, lambda texts: [list(asked[0]) if asked else [0.0] for _ in texts], columns, order="vec_id", kind="label", item="item")
+    return grouped.select("label", F.array_join("items", ",").alias("items"))
+
+
+@query("drawn_graph", JOBS + ENDS + """, z AS (SELECT min(id) AS x FROM c), r AS (SELECT CASE WHEN src = x THEN dst ELSE src END AS y FROM e, z WHERE src = x OR dst = x) SELECT 'node' AS kind, c.id AS name, round(least(56, 10 + ln(1 + n) * 9.5 + ln(1 + weighted_degree) * 1.6), 6) AS measure, 'level 1' AS note FROM c JOIN s USING (id)
+UNION ALL SELECT 'edge', src || ' ' || dst, CASE WHEN src = x OR dst = x THEN greatest(4, w * 1.8) WHEN src IN (SELECT y FROM r) AND dst IN (SELECT y FROM r) THEN greatest(2, w * 1.1) ELSE w END,
+CASE WHEN src = x OR dst = x THEN 'focus' WHEN src IN (SELECT y FROM r) AND dst IN (SELECT y FROM r) THEN 'neighbour' ELSE 'dim' END FROM (SELECT *, greatest(1, least(greatest(weight, 1), 8) * 0.75) AS w FROM e), z
+UNION ALL SELECT 'neighbour', CASE WHEN src = x THEN dst ELSE src END, weight, 'together' FROM e, z WHERE src = x OR dst = x""")
+def drawn_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes and levels of nodes, widths of edges around the first node, and its neighbours' table."""
+    nodes, edges = network(spark, sf)
+    first = nodes.agg(F.min("id")).first()[0]
+    sized = graph.drawn(graph.importance(nodes.withColumn("node_type", F.lit("tag")), edges))
+    out = sized.select(F.lit("node").alias("kind"), F.col("id").alias("name"), F.round("visual_size", 6).alias("measure"), F.concat(F.lit("level "), F.col("level").cast("string")).alias("note"))
+    wide = graph.highlighted_edges(edges, [first]).select(F.lit("edge"), F.concat_ws(" ", "src", "dst"), "width", "role")
+    near = graph.neighbour_table(nodes.withColumn("label", F.col("id")), edges.withColumn("relation", F.lit("together")), first).select(F.lit("neighbour"), "label", F.col("weight").cast("double"), "relation")
+    return out.union(wide).union(near)
+
+
 @query("evidence_by_type", "WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings) SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS items FROM r WHERE k <= 1000 GROUP BY 1")
 def evidence_by_type(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("label", "vec_id", F.col("vec_id").cast("string").alias("item"))

@@ -160,3 +160,52 @@ def highlighted(nodes: DataFrame, edges: DataFrame, focus: list[str]) -> DataFra
     role = F.when(F.col("id").isin(focus), "focus").when(F.col("_near"), "neighbour").otherwise("dim")
     out = nodes.join(ids, "id", "left").withColumn("role", role).drop("_near")
     return out.withColumn("scale", F.when(F.col("role") == "focus", 1.8).when(F.col("role") == "neighbour", 1.25).otherwise(0.9))
+
+
+#: What an edge's width becomes in a highlighted graph, by what is in focus: (least, factor) for edges in focus, near it and others.
+WIDTHS = {"node": ((4.0, 1.8), (2.0, 1.1), (1.0, 0.75)), "edge": ((5.0, 2.0), (2.5, 1.15), (1.0, 0.75))}
+#: A drawn node's size by its type: base, weight of ln(1 + signal), of ln(1 + weighted degree), of the size score; the greatest size; the upper level's types.
+SIZES = {"tag": (10.0, 9.5, 1.6, 0.0), "skill": (10.0, 9.5, 1.6, 0.0), "responsibility": (10.0, 9.5, 1.6, 0.0), "role": (14.0, 7.2, 1.8, 0.0), "job_type": (14.0, 7.2, 1.8, 0.0), "company": (14.0, 7.2, 1.8, 0.0), "job": (12.0, 4.0, 2.0, 0.0)}
+OTHER_SIZE, MOST_SIZE = (10.0, 6.2, 2.2, 2.0), 56.0
+TOP_LEVEL = ["role", "job_type", "company", "job"]
+
+
+def highlighted_edges(edges: DataFrame, focus: list[str]) -> DataFrame:
+    """edges with role (focus, neighbour or dim) and width.
+
+    Around one node its edges are in focus and those among its neighbours are near; for two
+    nodes the edge between them is in focus and their others are near. All widths are first
+    drawn in as the rest is, then raised.
+    """
+    a, b = F.col("src").isin(focus), F.col("dst").isin(focus)
+    if len(focus) > 1:
+        out = edges.withColumn("role", F.when(a & b, "focus").when(a | b, "neighbour").otherwise("dim"))
+    else:
+        ids = edges.filter(a | b).select(F.when(a, F.col("dst")).otherwise(F.col("src")).alias("_id")).distinct()
+        near = lambda c: ids.select(F.col("_id").alias(c), F.lit(True).alias(f"_near_{c}"))
+        both = edges.join(near("src"), "src", "left").join(near("dst"), "dst", "left")
+        out = both.withColumn("role", F.when(a | b, "focus").when(F.col("_near_src") & F.col("_near_dst"), "neighbour").otherwise("dim")).select(*edges.columns, "role")
+    own = F.coalesce(F.col("width"), F.lit(1.0)) if "width" in edges.columns else F.greatest(F.lit(1.0), F.least(F.col("weight").cast("double"), F.lit(8.0)))
+    first, near, rest = WIDTHS["edge" if len(focus) > 1 else "node"]
+    base = F.greatest(F.lit(rest[0]), own * rest[1])
+    return out.withColumn("width", F.when(F.col("role") == "focus", F.greatest(F.lit(first[0]), base * first[1])).when(F.col("role") == "neighbour", F.greatest(F.lit(near[0]), base * near[1])).otherwise(base))
+
+
+def neighbour_table(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """label, weight, relation of a node's neighbours, heaviest first, then by name."""
+    relation = F.col("relation") if "relation" in edges.columns else F.lit("")
+    near = edges.filter((F.col("src") == node) | (F.col("dst") == node)).select(F.when(F.col("src") == node, F.col("dst")).otherwise(F.col("src")).alias("id"), "weight", F.coalesce(relation, F.lit("")).alias("relation"))
+    label = nodes.select("id", (F.col("label") if "label" in nodes.columns else F.lit(None).cast("string")).alias("label"))
+    return near.join(label, "id", "left").select(F.coalesce("label", "id").alias("label"), "weight", "relation", "id").orderBy(F.desc("weight"), "id").drop("id")
+
+
+def drawn(nodes: DataFrame) -> DataFrame:
+    """nodes with visual_size and level: what a drawing of them needs."""
+    have = lambda c, other: F.coalesce(*[F.col(x).cast("double") for x in (c, other) if x in nodes.columns], F.lit(0.0))
+    count, jobs, degree, score = have("count", "coverage_jobs"), have("coverage_jobs", "count"), have("weighted_degree", "weighted_degree"), have("size_score", "size_score")
+    kind = F.col("node_type") if "node_type" in nodes.columns else F.lit("")
+    of = lambda p, signal: p[0] + F.log1p(F.greatest(signal, F.lit(0.0))) * p[1] + F.log1p(F.greatest(degree, F.lit(0.0))) * p[2] + score * p[3]
+    size = of(OTHER_SIZE, F.greatest(count, jobs))
+    for name, p in SIZES.items():
+        size = F.when(kind == name, of(p, count if name == "job" else F.greatest(count, jobs))).otherwise(size)
+    return nodes.withColumns({"visual_size": F.least(F.lit(MOST_SIZE), size), "level": F.when(kind.isin(TOP_LEVEL), 0).otherwise(1)})

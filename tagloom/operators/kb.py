@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,25 @@ def by_kind(found: DataFrame, kind: str, item: str, rank: str, most: int = 1000)
     return first_of(found, kind, item, rank, most, "items")
 
 
+def evidence(store: DataFrame, query: list[float], order: str, kind: str = "chunk_type", item: str = "chunk_text", vector: str = "embedding", top: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The chunks nearest to a query vector, best first, and their items by kind."""
+    best = search(store, query, order, vector, top)
+    ranked = best.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("score"), order)))  # top rows
+    return best, first_of(ranked, kind, item, "_place", top, "items")
+
+
+def evidence_for_job(job: DataFrame, store: DataFrame, embed, columns: dict[str, str], **options) -> tuple[str, DataFrame, DataFrame]:
+    """The retrieval query of a posting (the one row of job), the chunks nearest to it and their items by kind.
+
+    ``columns`` names the posting's title, company, city, experience, degree, skills and wants;
+    ``embed`` turns texts into vectors. A blank query finds nothing.
+    """
+    row = job.select(job_query(**columns).alias("q")).first()
+    text = row["q"] if row else ""
+    best, grouped = evidence(store, list(map(float, embed([text])[0])) if text else [0.0], **options)
+    return text, (best if text else best.limit(0)), (grouped if text else grouped.limit(0))
+
+
 def upsert_vectors(store: DataFrame, new: DataFrame) -> DataFrame:
     """The store with new chunks in place of old ones; new rows without a vector are left out."""
     return replaced(store, new.filter(F.size(F.coalesce("embedding", F.array())) > 0), ["chunk_id"])

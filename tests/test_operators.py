@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, normalize, project, resume, stats, structured, tags, textjoin, upsert
+from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, network, normalize, project, resume, stats, structured, tags, textjoin, upsert
 
 JOB = "ordinal long, job_id string, company string, title string, city string, detail string, captured_at string"
 
@@ -315,3 +315,37 @@ def test_model_cache(spark):
 
     again, _ = model_calls.enriched(jobs, spark.createDataFrame(cache.collect(), cache.schema), prompt, model_calls.SKILLS, fail, "skills")
     assert again.count() == 3
+
+
+def test_drawn_graphs(spark):
+    nodes = spark.createDataFrame([("a", "A", "role", 3, 9.0), ("b", None, "tag", None, 1.0), ("c", "C", "x", 0, None)], "id string, label string, node_type string, count long, weighted_degree double")
+    edges = spark.createDataFrame([("a", "b", 2, "r"), ("a", "c", 2, None), ("b", "c", 9, "s"), ("d", "e", 1, "t")], "src string, dst string, weight long, relation string")
+    assert [tuple(r) for r in graph.neighbour_table(nodes, edges, "a").collect()] == [("b", 2, "r"), ("C", 2, "")] and graph.neighbour_table(nodes, edges, "zz").count() == 0
+    got = {r["src"] + r["dst"]: (r["role"], round(r["width"], 6)) for r in graph.highlighted_edges(edges, ["a"]).collect()}
+    assert got == {"ab": ("focus", 4.0), "ac": ("focus", 4.0), "bc": ("neighbour", 6.6), "de": ("dim", 1.0)}
+    got = {r["src"] + r["dst"]: (r["role"], round(r["width"], 6)) for r in graph.highlighted_edges(edges, ["a", "b"]).collect()}
+    assert got == {"ab": ("focus", 5.0), "ac": ("neighbour", 2.5), "bc": ("neighbour", 6.9), "de": ("dim", 1.0)}
+    size = {r["id"]: (round(r["visual_size"], 4), r["level"]) for r in graph.drawn(nodes).collect()}
+    assert size == {"a": (round(14 + math.log1p(3) * 7.2 + math.log1p(9) * 1.8, 4), 0), "b": (round(10 + math.log1p(1) * 1.6, 4), 1), "c": (10.0, 1)}
+
+
+def test_diagnosis_and_columns(spark):
+    rows = spark.createDataFrame([(["x"], [], "a、b", None, "t"), (None, ["y"], "nan", None, "t"), (["z"], None, "b", None, "")], "hard_tags array<string>, final_hard_tags array<string>, skill string, must string, detail string")
+    got = {r["column_name"]: (r["rows_with_tags"], r["total_rows"], round(r["coverage"], 3), round(r["average"], 3)) for r in stats.diagnosis(rows).collect()}
+    assert got == {"hard_tags": (2, 3, 0.667, 0.667), "final_hard_tags": (1, 3, 0.333, 0.333)}
+    assert stats.diagnosis(rows.select("skill")).count() == 0 and stats.diagnosis(rows.limit(0)).agg(F.sum("rows_with_tags")).first()[0] == 0
+    got = [(r["column_name"], r["filled_rows"], r["rows_with_tags"], r["distinct_tags"], r["tags"], r["sample"]) for r in network.inspect_columns(rows).collect()]
+    assert got == [("skill", 2, 2, 2, 3, "a、b"), ("hard_tags", 2, 2, 2, 2, "x"), ("detail", 2, 2, 1, 2, "t"), ("final_hard_tags", 1, 1, 1, 1, "y"), ("must", 0, 0, 0, 0, "")]
+    assert network.inspect_columns(rows, text_sources=False).count() == 4 and network.inspect_columns(rows.limit(0)).agg(F.sum("filled_rows")).first()[0] in (0, None)
+
+
+def test_evidence_for_a_job(spark):
+    store = spark.createDataFrame([(1, "p", "one", [1.0, 0.0]), (2, "q", "two", [0.9, 0.1]), (3, "p", "three", [0.0, 1.0]), (4, None, "four", None)], "id int, chunk_type string, chunk_text string, embedding array<double>")
+    job = spark.createDataFrame([("Dev", "ACME", None, ["go", "go", "sql"])], "title string, company string, city string, skills array<string>")
+    columns = {"title": "title", "company": "company", "city": "city", "experience": "city", "degree": "city", "skills": "skills", "wants": "skills"}
+    text, best, grouped = kb.evidence_for_job(job, store, lambda texts: [[1.0, 0.0]], columns, order="id", top=3)
+    assert text == "Dev；ACME；go、sql；go、sql" and [r["id"] for r in best.collect()] == [1, 2, 3] and {r["chunk_type"]: r["items"] for r in grouped.collect()} == {"p": ["one", "three"], "q": ["two"]}
+    blank = job.select(*[F.lit(None).cast(t).alias(c) for c, t in job.dtypes])
+    assert kb.evidence_for_job(blank, store, lambda texts: 1 / 0, columns, order="id")[1].count() == 0
+    half = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    assert stats.first_of(half, "k", "id", "id", 3, "v").filter("k = 'hot'").first()["v"] == [0, 2, 4] and "collect_list" in stats.first_of(half, "k", "id", "id", 3, "v")._jdf.queryExecution().toString()
