@@ -245,10 +245,28 @@ def by_length(c: Column) -> Column:
     return F.array_sort(c, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(F.lower(a) < F.lower(b), -1).when(F.lower(a) > F.lower(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
 
 
-def loose_json(c: Column | str, schema: str) -> Column:
-    """A struct from a model's answer: what stands between the outermost braces, trailing commas and curly quotes mended; null if it does not parse."""
-    body = F.regexp_extract(F.translate(F.coalesce(col(c), F.lit("")), "“”", '""'), r"(?s)\{.*\}", 0)
-    return F.from_json(F.regexp_replace(body, r",\s*([}\]])", "$1"), schema)
+def mended_json(body: Column) -> Column:
+    """JSON text with trailing commas out and curly quotes straight."""
+    return F.regexp_replace(F.translate(body, "“”", '""'), r",\s*([}\]])", "$1")
+
+
+def without_fence(c: Column | str) -> Column:
+    """A model's answer without the code fence around it."""
+    return strip(F.regexp_replace(strip(F.regexp_replace(safe(c), "(?i)^```(?:json)?", "")), "```$", ""))
+
+
+def loose_json(c: Column | str, schema: str, otherwise: str | None = None) -> Column:
+    """A struct from a model's answer: what stands between the outermost braces, mended only if it does not parse as it is.
+
+    If nothing parses, null; or, with ``otherwise``, a struct with the whole answer in that field. A blank answer is null.
+    """
+    body = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)\{.*\}", 0)
+    sound = lambda x: F.try_parse_json(F.nullif(x, F.lit(""))).isNotNull()
+    out = F.when(sound(body), F.from_json(body, schema)).when(sound(mended_json(body)), F.from_json(mended_json(body), schema))
+    if otherwise is None:
+        return out
+    whole = without_fence(c)
+    return F.when(out.isNotNull(), out).when(whole != "", F.from_json(F.to_json(F.struct(whole.alias(otherwise))), schema))
 
 
 def latex(c: Column | str) -> Column:

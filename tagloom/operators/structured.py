@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_folded, safe, strip
+from ..functions.text import distinct_folded, mended_json, safe, strip, without_fence
 from ..plans.lineage import ship
 from .model_calls import cache_key
 
@@ -71,10 +71,12 @@ ITEM_EDGES = r"(?U)^[\s\-•\[\]【】()（）\"']+|[\s\-•\[\]【】()（）\"
 SPLIT = "[，,；;、\n]+"
 
 
-def parsed(answer: Column) -> Column:
-    """An answer as a variant: code fences off, else what stands between the outermost braces; null if neither parses."""
-    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(F.coalesce(answer, F.lit(""))), "(?i)^```(?:json)?", "")), "```$", ""))
-    return F.coalesce(F.try_parse_json(F.nullif(bare, F.lit(""))), F.try_parse_json(F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))))
+def parsed(answer: Column, mend: bool = False) -> Column:
+    """An answer as a variant: code fences off, else what stands between the outermost braces, with ``mend`` also mended; null if none parses."""
+    bare = without_fence(answer)
+    body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    tries = [bare, body, *([mended_json(body)] if mend else [])]
+    return F.coalesce(*[F.try_parse_json(F.nullif(t, F.lit(""))) for t in tries])
 
 
 def listed(items: Column, field: Field) -> Column:

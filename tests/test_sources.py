@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import catalog
-from tagloom.sources import artifacts, captured, documents, files, pages
+from tagloom.sources import artifacts, captured, documents, files, pages, settings
 from tagloom.streaming import capture
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +121,20 @@ def test_artifacts(spark, tmp_path):
     assert before and before != artifacts.file_signature(spark, str(tmp_path / "f.txt")) and artifacts.file_signature(spark, str(tmp_path / "none")) == ""
 
 
+def test_settings(spark, tmp_path, monkeypatch):
+    store = artifacts.Artifacts(spark, str(tmp_path / "s"))
+    assert settings.load(store) == settings.defaults() and len(settings.defaults()) == 36
+    kept = settings.save(store, {"jd_struct_provider": "remote", "jd_struct_remote_base_url": "http://x", "jd_struct_remote_api_key": "k", "limit": 5})
+    assert settings.load(store) == kept and "jd_struct_remote_api_key" not in kept and kept["limit"] == 5 and kept["jd_skill_provider"] == "local"
+    monkeypatch.setenv("JD_STRUCT_API_KEY", "secret")
+    c = settings.of_task(kept, "jd_structuring")
+    assert (c.task, c.provider, c.model, c.url, c.secret) == ("jd_struct", "remote", "gpt-5.4", "http://x", "secret")
+    c = settings.of_task(kept, "candidate_embedding")
+    assert (c.model, c.url, c.secret, c.remote_enabled) == ("qwen3-embedding:8b", "http://localhost:11434/api/embeddings", "", False) and settings.of_task(kept, "odd").model == ""
+    store.save("settings", spark.createDataFrame([("jd_skill_provider", "{bad"), ("jd_skill_local_model", None)], "key string, value string"))
+    assert settings.load(store) == settings.defaults()
+
+
 def test_captured(spark, tmp_path):
     empty = captured.load(spark, str(tmp_path / "none"))
     assert empty.columns == captured.COLUMNS and empty.count() == 0

@@ -100,7 +100,9 @@ def test_tokens(spark):
 
 def test_json_and_latex(spark):
     got = one(spark, lambda c: tx.loose_json(c, "a array<string>, b int"), 'so ```{"a": ["x",], "b": 2,}``` end', "no", None)
-    assert got[0]["a"] == ["x"] and got[0]["b"] == 2 and (got[1] is None or got[1]["a"] is None)
+    assert got[0]["a"] == ["x"] and got[0]["b"] == 2 and got[1:] == [None, None]
+    got = one(spark, lambda c: tx.loose_json(c, "summary string, b int", "summary"), '{"summary": "say “x,]” twice", "b": 1}', "{“b”: 3,}", "```json\nplain words\n```", "  ", None, '{"b": 4} and {')
+    assert [tuple(r) if r else None for r in got] == [("say “x,]” twice", 1), (None, 3), ("plain words", None), None, None, (None, 4)]
     assert one(spark, tx.latex, "50% & a_b \\") == [r"50\% \& a\_b \textbackslash\{\}"]
 
 
