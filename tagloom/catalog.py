@@ -216,7 +216,7 @@ def labels_sql(text: str, specs: dict[str, list[str]]) -> str:
     return "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({text}), '{p.lower()}')" for p in ps) + f" THEN '{k}' END" for k, ps in specs.items()) + "], lambda x: x IS NOT NULL)"
 
 
-RULES = "WITH d AS (SELECT doc_id, trim(regexp_replace(" + "replace(" * len(MARKERS) + "coalesce(text, '')" + "".join(f", '{k}', '{v}')" for k, v in MARKERS.items()) + ", '\\s+', ' ', 'g')) AS t FROM documents), " + f"""
+RULE_SQL = "WITH d AS (SELECT doc_id, trim(regexp_replace(" + "replace(" * len(MARKERS) + "coalesce(text, '')" + "".join(f", '{k}', '{v}')" for k, v in MARKERS.items()) + ", '\\s+', ' ', 'g')) AS t FROM documents), " + f"""
 s AS (SELECT doc_id, t, {section_sql('responsibilities')} AS duties, {section_sql('requirements')} AS wants, {section_sql('bonus')} AS bonus, {section_sql('offer')} AS offer, {section_sql('highlights')} AS highlights FROM d),
 x AS (SELECT *, CASE WHEN duties <> '' THEN duties ELSE t END AS du, CASE WHEN wants <> '' THEN wants ELSE t END AS wa, array_to_string(list_filter([bonus, offer, highlights], lambda x: x <> ''), ' ') AS mo FROM s),
 l AS (SELECT doc_id, duties, wants, {labels_sql('t', HARD_SPECS)} AS hard, {labels_sql('wa', SOFT_SPECS)} AS soft, {labels_sql('du', DUTY_SPECS)} AS rule_duties, {labels_sql('wa', HARD_SPECS | SOFT_SPECS)} AS req, list_concat({labels_sql('mo', HARD_SPECS)}, {labels_sql('mo', DUTY_SPECS)}, {labels_sql('mo', SCENE_SPECS)}) AS b,
@@ -224,7 +224,7 @@ l AS (SELECT doc_id, duties, wants, {labels_sql('t', HARD_SPECS)} AS hard, {labe
 SELECT doc_id, duties, wants, """ + ", ".join(f"array_to_string({c}, ',') AS {n}" for c, n in (("hard", "rule_hard"), ("soft", "rule_soft"), ("rule_duties", "rule_duties"), ("req", "rule_requirements"), ("list_filter(b, lambda x, i: list_position(b, x) = i)", "rule_bonus"), ("ind", "rule_industry"), ("kind", "rule_job_type"), ("must", "rule_must"), ("nice", "rule_nice"), ("tools", "rule_tools"))) + ", substr(array_to_string((CASE WHEN len(rule_duties) > 0 THEN rule_duties ELSE ind END)[1:3], '、'), 1, 25) AS rule_goal FROM l"
 
 
-@query("rule_sections", RULES)
+@query("rule_sections", RULE_SQL)
 def rule_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections and all rule fields of the documents, some of whose words stand for markers and skills."""
     text = F.coalesce("text", F.lit(""))
