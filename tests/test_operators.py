@@ -349,3 +349,17 @@ def test_evidence_for_a_job(spark):
     assert kb.evidence_for_job(blank, store, lambda texts: 1 / 0, columns, order="id")[1].count() == 0
     half = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     assert stats.first_of(half, "k", "id", "id", 3, "v").filter("k = 'hot'").first()["v"] == [0, 2, 4] and "collect_list" in stats.first_of(half, "k", "id", "id", 3, "v")._jdf.queryExecution().toString()
+
+
+def test_orders(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.sample(["go", "sql", "c", "r"], rng.randint(0, 4)), rng.choice(["应届", "3-5年", ""]), rng.choice(["上海", "北京"])) for i in range(60)]
+    jobs = spark.createDataFrame(rows, "ordinal long, tags array<string>, experience string, city string").repartition(4)
+    got = match.match(jobs, {"hard_skills": ["go", "sql"], "cities": ["上海"]}, ["tags"], []).collect()
+    assert [r["ordinal"] for r in got] == [r["ordinal"] for r in sorted(got, key=lambda r: (-r["match_total"], -r["match_fresh"], r["ordinal"]))] and len({r["match_total"] for r in got}) > 3
+    assert all(r["match_total"] == sum(r[c] for c in r.asDict() if c.startswith("match_") and c not in ("match_total", "match_level", "match_reason")) for r in got)
+    counts = stats.value_counts(jobs, "city").collect()
+    assert [tuple(r) for r in counts] == sorted(((c, sum(r[3] == c for r in rows)) for c in ("上海", "北京")), key=lambda x: (-x[1], x[0]))
+    pairs = stats.pair_support(jobs, "tags", 1, 20).collect()
+    want = sorted((-sum({a, b} <= set(r[1]) for r in rows), a, b) for a, b in itertools.combinations(sorted(["go", "sql", "c", "r"]), 2))
+    assert [(-r["support"], r["a"], r["b"]) for r in pairs] == [w for w in want if w[0]]
