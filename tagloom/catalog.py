@@ -548,7 +548,7 @@ r AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p UNION SELECT r.x, q.
 c AS (SELECT x AS doc_id, least(x, min(y)) AS root FROM r GROUP BY x),
 top AS (SELECT root, max(s) AS top FROM p JOIN c ON c.doc_id = p.a GROUP BY 1),
 i AS (SELECT root, row_number() OVER (ORDER BY source, lang, root) AS id FROM (SELECT DISTINCT root FROM c) JOIN d ON d.doc_id = root),
-k AS (SELECT c.doc_id, id, top, row_number() OVER (PARTITION BY root ORDER BY length(raw) DESC, c.doc_id) = 1 AS keep FROM c JOIN i USING (root) JOIN top USING (root) JOIN d ON d.doc_id = c.doc_id)
+k AS (SELECT c.doc_id, id, top, row_number() OVER (PARTITION BY root ORDER BY length(raw) DESC, c.doc_id) = 1 AS keep FROM c JOIN i USING (root) JOIN top USING (root) JOIN d ON d.doc_id = c.doc_id),
 z AS (SELECT d.doc_id, CASE WHEN id IS NULL THEN '' ELSE 'SIM_' || lpad(id::VARCHAR, greatest(4, length(id::VARCHAR))::INTEGER, '0') END AS duplicate_group_id, coalesce(NOT keep, false) AS is_duplicate, coalesce(keep, true) AS duplicate_keep, round(coalesce(top, 0), 5) AS similarity FROM d LEFT JOIN k ON k.doc_id = d.doc_id)"""
 
 
