@@ -196,3 +196,11 @@ def test_tokenize_filter_keeps_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["n"] for r in catalog.QUERIES["tokenize_filter"](spark, str(tmp_path)).collect()}
     assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
+def test_all_sql_can_be_planned():
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    for name, sql in catalog.ORACLES.items():
+        assert con.execute(f"EXPLAIN {sql}").fetchall(), name
