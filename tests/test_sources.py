@@ -204,6 +204,23 @@ def test_tokenize_filter_keeps_every_document(spark, tmp_path):
     assert got == {1: 3, 2: 2, 3: 2, 4: 0, 5: 0}
 
 
+def test_missing_skills_counts_jobs_of_few_tags(spark, tmp_path):
+    """Compared with the query's SQL, too."""
+    tables = {
+        "part": ([(1, "bolt blue"), (2, "red")], "p_partkey long, p_name string"),
+        "lineitem": ([(10, 1), (11, 1), (11, 2)], "l_orderkey long, l_partkey long"),
+        "orders": ([(10, 5, "1-URGENT"), (11, 5, "5-LOW"), (12, 6, "5-LOW")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "customer": ([(5, 0, "A")], "c_custkey long, c_nationkey long, c_mktsegment string"),
+        "nation": ([(0, "N")], "n_nationkey long, n_name string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["missing_skills"](spark, str(tmp_path)).collect()]
+    assert got == con.execute(catalog.ORACLES["missing_skills"]).fetchall() == [("blue", 2)]
+
+
 def test_all_sql_can_be_planned():
     con = duckdb.connect()
     for f in os.listdir(SF):
