@@ -17,7 +17,7 @@ from .functions.constants import COVERAGE_ADVICE, DIAGNOSED, DUTY_SPECS, FRESH_N
 from .operators import dedup, evidence, graph, kb, match, normalize, project, stats, tags, upsert
 from .operators import communities as community
 from .operators.network import inspect_columns
-from .plans.lineage import saved, ship
+from .plans.lineage import saved, ship, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -191,14 +191,14 @@ def title_category(spark: SparkSession, sf: str) -> DataFrame:
 def company_name_norm(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     raw = F.when(k % 4 == 0, F.concat("s_name", F.lit("（北京分公司）"))).when(k % 4 == 1, F.concat(F.lit("北京 星辰"), k.cast("string"), F.lit("科技有限公司｜招聘"))).when(k % 4 == 2, "云图智能 集团").otherwise(" ")
-    return table(spark, sf, "supplier").select("s_suppkey", normalize.company(raw, normalize.alias_map({"云图": ["云图智能集团"]})).alias("company"))
+    return spread(table(spark, sf, "supplier").select("s_suppkey", "s_name")).select("s_suppkey", normalize.company(raw, normalize.alias_map({"云图": ["云图智能集团"]})).alias("company"))
 
 
 @query("title_norm", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'AI产品经理' WHEN 1 THEN '大模型产品经理' WHEN 2 THEN '数据分析师' WHEN 3 THEN '未知职位' ELSE replace(p_name, ' ', '') END AS title FROM part""")
 def title_norm(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     raw = F.when(k % 5 == 0, "急聘ai/产品经理（双休）").when(k % 5 == 1, "LLM 产品经理-校招").when(k % 5 == 2, "高薪 BI 分析师").when(k % 5 == 3, "　").otherwise(F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", normalize.title(raw).alias("title"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name")).select("p_partkey", normalize.title(raw).alias("title"))
 
 
 #: Words of the documents and the markers and skills that stand in their place.

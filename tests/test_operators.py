@@ -25,6 +25,12 @@ def test_names(spark):
     assert (out["company_norm"], out["category"], out["direction"]) == ("x", "产品类", "通用方向")
 
 
+def test_names_are_worked_out_once_a_row(spark):
+    df = spark.range(1).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("c"))
+    for name, mark in ((normalize.title, "诚聘"), (normalize.company, "【.*?】")):
+        assert 1 <= df.select(name("c"))._jdf.queryExecution().optimizedPlan().toString().count(mark) <= 2  # a lambda is printed twice
+
+
 def test_dictionary_and_rules(spark):
     df = spark.createDataFrame([("use SQL and C++ 数据分析",), ("mysql",), (None,)], "d string")
     words = tags.leaf_words({"a": ["SQL", "C++"], "b": {"c": ["数据分析", "SQL"]}})
