@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tagloom.functions import segment, tagcells
@@ -114,3 +115,11 @@ def test_cosine(spark):
 
 def test_boundary_pattern():
     assert re.search(tx.boundary("a.b"), "x a.b y") and not re.search(tx.boundary("a.b"), "x aab y")
+
+
+def test_segmented_texts_go_on_in_pieces(spark):
+    texts = pd.Series(["x" * n for n in (4, 7, 1, 2, 30, 1)])
+    assert [list(p.index) for p in segment.pieces(texts, 10)] == [[0], [1, 2, 3], [4], [5]]
+    rows = [(i, "ab cd " * (200_000 if i == 3 else i)) for i in range(6)]
+    got = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", F.size(segment.segmented(spark, "t", {})).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: 400_000 if i == 3 else 2 * i for i, _ in rows}
