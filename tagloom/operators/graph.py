@@ -6,28 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from ..plans.lineage import cut
-from .stats import exploded, pairs_of
+from ..plans.lineage import cut, saved
+from .stats import pairs_of
 
 
-def tag_nodes(jobs: DataFrame, tags: str, job_id: str, top: int) -> DataFrame:
-    """id, count, coverage_jobs, coverage (of all rows) of the most frequent tags."""
-    total = jobs.count()
-    counts = exploded(jobs, tags, job_id).groupBy(F.col("tag").alias("id")).agg(F.count("*").alias("count"), F.countDistinct(job_id).alias("coverage_jobs"))
-    return counts.orderBy(F.desc("count"), "id").limit(top).withColumn("coverage", F.col("coverage_jobs") / max(total, 1))
+def tag_sets(jobs: DataFrame, tags: str, job_id: str) -> tuple[DataFrame, DataFrame]:
+    """tags (the distinct non-blank ones in order), n, ids (rows, and those with a job_id), and job_id, tags of the ids that rows share."""
+    own = F.array_sort(F.array_distinct(F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda x: (x != "") & x.isNotNull())))
+    rows = saved(jobs.select(F.col(job_id).alias("job_id"), own.alias("tags")))
+    sets = saved(rows.groupBy("tags").agg(F.count("*").alias("n"), F.count("job_id").alias("ids")))
+    again = rows.filter("job_id is not null").groupBy("job_id").agg(F.count("*").alias("rows")).filter("rows > 1")
+    return sets, saved(rows.join(again.select("job_id"), "job_id"))
+
+
+def tag_nodes(sets: DataFrame, shared: DataFrame, top: int) -> DataFrame:
+    """id, count, coverage_jobs, coverage (of all rows) of the most frequent tags; distinct ids are counted by their rows, less those that rows of one id have more."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    counts = sets.select(F.explode("tags").alias("id"), "n", "ids").groupBy("id").agg(F.sum("n").alias("count"), F.sum("ids").alias("ids"))
+    more = shared.select(F.explode("tags").alias("id"), "job_id").groupBy("id").agg((F.count("*") - F.countDistinct("job_id")).alias("more"))
+    nodes = counts.orderBy(F.desc("count"), "id").limit(top).join(more, "id", "left")
+    return nodes.select("id", "count", (F.col("ids") - F.coalesce("more", F.lit(0))).alias("coverage_jobs")).withColumn("coverage", F.col("coverage_jobs") / max(total, 1)).orderBy(F.desc("count"), "id")
 
 
 def cooccurrence(jobs: DataFrame, tags: str, job_id: str = "job_id", top: int = 50, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Tags that share jobs: nodes as in ``tag_nodes``, edges src, dst, weight. Tags without edges stay nodes.
 
-    Rows are cut down to the kept tags before pairs are made.
+    Jobs are worked out once and summed up by their tags; sets are cut down to the kept tags
+    before pairs are made, and the edges, at most ``top`` squared, are worked out once too.
     """
-    nodes = cut(tag_nodes(jobs, tags, job_id, top))
+    sets, shared = tag_sets(jobs, tags, job_id)
+    nodes = cut(tag_nodes(sets, shared, top))
     kept = F.array(*[F.lit(r["id"]) for r in nodes.select("id").collect()])  # at most top
     if not nodes.take(1):
         return nodes, jobs.sparkSession.createDataFrame([], "src string, dst string, weight long")
-    pairs = jobs.select(F.inline(pairs_of(F.array_intersect(tags, kept)))).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight"))
-    return nodes, pairs.filter(F.col("weight") >= least)
+    pairs = sets.select("n", F.inline(pairs_of(F.array_intersect("tags", kept)))).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("n").alias("weight"))
+    return nodes, cut(pairs.filter(F.col("weight") >= least))
 
 
 def job_similarity(jobs: DataFrame, tags: str, job_id: str, order: list, top: int = 80, threshold: float = 0.25) -> DataFrame:

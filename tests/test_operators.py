@@ -159,6 +159,24 @@ def test_graph(spark):
     assert graph.importance(one, edges.limit(0)).first()["centrality"] == 1.0
 
 
+def test_cooccurrence_works_out_jobs_once(spark):
+    """With ids that are shared or lack, and blank and repeated tags."""
+    rows = [(1, ["a", "b", "a", ""]), (1, ["b", "c"]), (2, ["a", "b"]), (None, ["a", "c", None]), (None, ["a", "c"]), (3, None), (4, [])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    jobs = spark.createDataFrame(rows, "job_id long, tags array<string>").coalesce(1).mapInArrow(passed, "job_id long, tags array<string>")
+    nodes, edges = graph.cooccurrence(jobs, "tags", top=3)
+    got = {r["id"]: (r["count"], r["coverage_jobs"], round(r["coverage"], 9)) for r in nodes.collect()}
+    assert got == {"a": (4, 2, round(2 / 7, 9)), "b": (3, 2, round(2 / 7, 9)), "c": (3, 1, round(1 / 7, 9))}
+    assert {tuple(r) for r in edges.collect()} == {("a", "b", 2), ("a", "c", 2)}
+    assert seen.value == len(rows)
+
+
 def test_match(spark):
     jobs = spark.createDataFrame([(1, ["SQL", "Java"], "AI产品", "", "本科", "3年以上", "北京"), (2, [], "x", "", "", "", ""), (3, ["R"], "x", "", "博士", "应届", "上海")], "ordinal long, skills array<string>, title_norm string, category string, degree string, experience string, city string")
     out = {r["ordinal"]: r for r in match.match(jobs, {"hard_skills": ["sql", "PowerBI"], "roles": ["产品"], "degree": "硕士", "cities": ["北京"]}, ["skills"], []).collect()}
