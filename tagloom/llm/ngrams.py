@@ -2,13 +2,16 @@
 
 A text's symbols are the bytes of its words joined by single blanks, then an end symbol; all
 256 byte values are symbols. Counts, continuation counts and the smoothing's joins are
-sharded by n-gram. The finished model keeps every n-gram that was counted: its size is
-bounded by the texts that it is fitted on, which the caller bounds.
+sharded by n-gram. No n-gram that was counted is dropped. ``model`` brings them all to the
+driver, for small texts; ``resolved`` has no size that it must stay under: what blocks of texts
+ask for and what the model holds meet in shards by the two symbols before the last. All longer
+contexts and suffixes of an n-gram have these too, so a shard needs nothing of the others,
+and shorter n-grams are at most 65,536 pairs and 256 symbols, which all shards get.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
-from .lm import distinct, spread
+from .common import saved, ship
+from .lm import distinct, grown, shrunk, spread
 
 #: A byte that no word holds: the end symbol, and what stands before a text.
 END = 10
 #: Symbols scored at a time.
 CHUNK = 1 << 19
+#: Symbols whose n-grams are counted at a time.
+PART = 1_000_000
+#: Longest context whose n-grams all shards get, and a multiplier that spreads pairs of symbols over shards.
+SHORT, SPREAD = 1, 2654435761
 
 
 def symbols(text: str, fold: bool = True) -> np.ndarray:
@@ -56,6 +63,13 @@ def grams(texts: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys(flat, order - 1, len(flat), order)[real[order - 1 :]], return_counts=True)
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of n-grams that stand in several parts."""
+    keys_, n = (np.concatenate(x) for x in zip(*parts))
+    order, begins, each = distinct(keys_)
+    return each, np.add.reduceat(n[order], begins) if len(n) else n
+
+
 def counted(docs: DataFrame, order: int, fold: bool = True) -> DataFrame:
     """gram, n over all texts of docs (column text; null: empty), summed up in tasks first."""
     ship(docs.sparkSession)
@@ -71,7 +85,7 @@ def counted(docs: DataFrame, order: int, fold: bool = True) -> DataFrame:
             for t in frame["text"]:
                 held.append(symbols(t if isinstance(t, str) else "", fold))
                 size += len(held[-1])
-                if size > 1_000_000:
+                if size > PART:
                     yield out()
                     held, size = [], 0
         yield out()
@@ -90,6 +104,14 @@ class Model:
     contexts: list[np.ndarray]
     fails: list[np.ndarray]
 
+    @classmethod
+    def of(cls, order: int, fold: bool, kinds: np.ndarray, known: np.ndarray, values: np.ndarray) -> "Model":
+        """From rows of n-grams (kind 2 k for contexts of k symbols) and contexts (2 k + 1)."""
+        by = np.lexsort((known, kinds))
+        ends = np.searchsorted(kinds[by], np.arange(2 * order + 1))
+        parts = [(known[by[a:b]], values[by[a:b]]) for a, b in zip(ends, ends[1:])]
+        return cls(order, fold, *([x[i] for x in parts[kind::2]] for kind in (0, 1) for i in (0, 1)))
+
     def resolve(self, wanted: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each n-gram."""
         out, open_ = np.zeros(len(wanted)), np.arange(len(wanted))
@@ -135,7 +157,7 @@ def smoothed(counts: DataFrame, order: int) -> Iterator[tuple[DataFrame, DataFra
     """
     levels = [counts.select("gram", F.col("n").alias("c"))]
     for k in range(order - 2, -1, -1):
-        levels.append(cut(levels[-1].groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.count("*").alias("c"))))
+        levels.append(saved(levels[-1].groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("gram")).agg(F.count("*").alias("c"))))
     lower = None
     for k, level in enumerate(levels[::-1]):
         seen = dict(level.filter("c <= 4").groupBy("c").count().collect())
@@ -147,7 +169,7 @@ def smoothed(counts: DataFrame, order: int) -> Iterator[tuple[DataFrame, DataFra
         contexts = level.groupBy("context").agg(F.sum("c").alias("tot"), F.sum("d").alias("taken")).select("context", "tot", (F.col("taken") / F.col("tot")).alias("fail"))
         own = level.join(contexts, "context").withColumn("low", F.col("gram").bitwiseAND((1 << 8 * k) - 1))
         own = own.withColumn("q", F.lit(1 / 256)) if lower is None else own.join(lower.toDF("low", "q"), "low")
-        lower = cut(own.select("gram", ((F.col("c") - F.col("d")) / F.col("tot") + F.col("fail") * F.col("q")).alias("p")))
+        lower = saved(own.select("gram", ((F.col("c") - F.col("d")) / F.col("tot") + F.col("fail") * F.col("q")).alias("p")))
         yield lower, contexts.select("context", "fail")
 
 
@@ -163,3 +185,107 @@ def model(counts: DataFrame, order: int, fold: bool = True) -> Model:
             names.append(own[by])
             values.append(held.column(value).to_numpy()[by])
     return out
+
+
+def shard_of(pair: np.ndarray | F.Column, shards: int) -> np.ndarray | F.Column:
+    """The shard of the two symbols before the last, a number up to 65,535."""
+    return (pair * SPREAD % (1 << 32) / (1 << 16)).cast("long") % shards if isinstance(pair, F.Column) else pair * SPREAD % (1 << 32) // (1 << 16) % shards
+
+
+def packed(block: int, each: np.ndarray, shards: int, n: np.ndarray | None = None) -> pd.DataFrame:
+    """A block's sorted distinct n-grams, and their counts, a row a shard."""
+    order, ends = by_shard(each, shards)
+    some = np.flatnonzero(np.diff(ends))
+    parts = [order[ends[s] : ends[s + 1]] for s in some]
+    out = {"shard": some, "block": block, "keys": [shrunk(np.diff(each[x], prepend=0)) for x in parts]}
+    return pd.DataFrame(out if n is None else out | {"n": [shrunk(n[x]) for x in parts]})
+
+
+def by_shard(each: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts n-grams by shard, and where in it each shard ends."""
+    own = shard_of(each >> 8 & 0xFFFF, shards)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(shards + 1))
+
+
+def unpacked(keys: pd.Series) -> list[np.ndarray]:
+    return [np.cumsum(grown(k).astype(np.int64)) for k in keys]
+
+
+def learned(texts: Iterable[str], order: int, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a block's texts, and their counts."""
+    held, size, parts = [], 0, []
+    for t in texts:
+        held.append(symbols(t, fold))
+        size += len(held[-1])
+        if size > PART:
+            parts.append(grams(held, order))
+            held, size = [], 0
+    return summed([*parts, grams(held, order)])
+
+
+def totals(packs: DataFrame) -> DataFrame:
+    """gram, n from what blocks sent to the shards (``packed`` with counts)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("gram", "n"), summed([(k, grown(n).astype(np.int64)) for k, n in zip(unpacked(frame["keys"]), frame["n"])]))))
+
+    return packs.groupBy("shard").applyInPandas(run, "gram long, n long")
+
+
+@dataclass
+class Asked:
+    """What a block of texts asks for: sorted distinct n-grams, and how its places go back to them."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    size: int
+    chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    each: np.ndarray
+    order: int
+
+    @classmethod
+    def of(cls, texts: Iterable[str], order: int, fold: bool) -> "Asked":
+        flat, starts = joined([symbols(t, fold) for t in texts], order)
+        ends, chunks = np.r_[starts[1:] - (order - 1), len(flat)], []
+        for a in range(order - 1, len(flat), CHUNK):
+            by, begins, each = distinct(keys(flat, a, min(a + CHUNK, len(flat)), order))
+            chunks.append((by.astype(np.int32), begins.astype(np.int32), each))
+        return cls(starts, ends, len(flat), chunks, np.unique(np.concatenate([c[2] for c in chunks])), order)
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each text of values of the distinct n-grams."""
+        out = np.zeros(len(self.starts))
+        for a, (by, begins, each) in zip(range(self.order - 1, self.size, CHUNK), self.chunks):
+            sums = np.r_[0, np.cumsum(spread(by, begins, values[np.searchsorted(self.each, each)]))]
+            b = a + len(by)
+            out += sums[np.clip(self.ends, a, b) - a] - sums[np.clip(self.starts, a, b) - a]
+        return out
+
+
+def resolved(asked: DataFrame, counts: DataFrame, order: int, shards: int) -> DataFrame:
+    """block, shard, values: log10 probabilities (single precision, packed) of what blocks ask for (``packed``), in that order, from counts (gram, n)."""
+    short, held = [], None
+    for k, (arcs, contexts) in enumerate(smoothed(counts, order)):
+        for kind, df, key, value in ((2 * k, arcs, "gram", "p"), (2 * k + 1, contexts, "context", "fail")):
+            pair = (F.shiftright(key, 8) if key == "gram" else F.col(key)).bitwiseAND(0xFFFF)
+            rows = df.select(shard_of(pair, shards).alias("shard"), F.lit(kind).alias("kind"), F.col(key).alias("known"), F.log10(value).cast("float").alias("value"))
+            if k <= SHORT:
+                short.append(rows.drop("shard").toPandas())  # at most 65,536 pairs of symbols
+            else:
+                held = rows if held is None else held.union(rows)
+    few = pd.concat(short)
+    if held is None:
+        held = asked.sparkSession.createDataFrame([], "shard long, kind int, known long, value float")
+
+    def answer(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame({"block": [], "shard": [], "values": []})
+        rows = pd.concat([few, known[few.columns]])
+        own = Model.of(order, False, *(rows[c].to_numpy() for c in ("kind", "known", "value")))
+        wanted = unpacked(frame["keys"])
+        by, begins, each = distinct(np.concatenate(wanted))
+        parts = np.split(spread(by, begins, own.resolve(each).astype(np.float32)), np.cumsum([len(w) for w in wanted])[:-1])
+        return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "values": [shrunk(p.view(np.uint32)) for p in parts]})
+
+    return asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(answer, "block long, shard long, values binary")

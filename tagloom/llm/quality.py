@@ -1,10 +1,10 @@
 """Quality classifier: perplexity under a modified Kneser-Ney model of trusted text.
 
-The model (see ngrams) is fitted on trusted documents, at most ``sample_rows`` of them and
-``sample_bytes`` of text, those whose ids have the smallest hashes; counts, continuation
-counts and the joins of the smoothing are sharded by n-gram. It has at most ``order`` times
-``sample_bytes`` n-grams and goes to the workers whole; every document is scored once, by the
-distinct n-grams of its batch. Every language has two quantiles of log-perplexity over all
+The model (see ngrams) is fitted on all trusted documents, equal texts once, and no n-gram is
+left out; counts, continuation counts and the joins of the smoothing are sharded by n-gram.
+Documents are stored in blocks, in a table bucketed by block, so their texts are not shuffled.
+A block sends its distinct n-grams to the shards and gets their log-probabilities back; no
+worker and no driver holds the model. Every language has two quantiles of log-perplexity over all
 of its documents. A document is rejected beyond the upper quantile plus ``fence`` times the
 spread between the two, and never below the ``trusted_quantile`` of its language's trusted
 documents. A short text's perplexity scatters more, so the threshold is raised by a factor
@@ -13,51 +13,117 @@ exp(``allowance`` / sqrt(symbols)).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import cut, free, saved, ship
-from .ngrams import Model, counted, model
+from .common import bucketed, cut, dropped, free, saved, ship
+from .lm import grown
+from .ngrams import Asked, by_shard, learned, packed, resolved, totals
 
 #: Thresholds of more languages than this are joined without broadcast.
 LANGUAGES = 10_000
-#: Texts scored at a time.
-BATCH = 200
+#: Bytes of text of a block, at least and at most, and for which there is a shard.
+LEAST, MOST, SHARD = 1 << 20, 10 << 20, 1 << 24
 
 
-def trusted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """The documents of at most ``sample_rows`` ids that are labelled good and never bad."""
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    chosen = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    return docs.join(F.broadcast(chosen), "doc_id", "left_semi")  # at most sample_rows ids
+PACKED = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, order: int = 6, sample_rows: int = 20_000, sample_bytes: int = 16_000_000) -> Model:
-    """The model of the trusted documents, case kept; equal texts count once."""
-    own = trusted(docs.select("doc_id", "text"), labels, sample_rows).groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(F.first("text").alias("text"))
-    size = own.select("key", F.octet_length("text").alias("size"))  # at most sample_rows rows
-    within = size.withColumn("sum", F.sum("size").over(Window.orderBy("key"))).filter(F.col("sum") <= sample_bytes).select("key")
-    return model(cut(counted(own.join(F.broadcast(within), "key", "left_semi"), order, fold=False)), order, fold=False)
+def trusted(labels: DataFrame) -> DataFrame:
+    """doc_id of all that are labelled good and never bad."""
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
 
 
-def with_perplexity(docs: DataFrame, given: Broadcast[Model], name: str) -> DataFrame:
-    """docs with a struct column: symbols and perplexity of each text; a null text is empty."""
-    ship(docs.sparkSession)
+def blocked(docs: DataFrame, size: int) -> DataFrame:
+    """block, ids, keys (digests of the texts), rows (all columns, packed): docs in the order they are read, in blocks of about ``size`` bytes of text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, turn, held, keys, n = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                for b in held:
+                    stream.write_batch(b)
+            ids = pa.concat_arrays([b.column("doc_id") for b in held])
+            ends = pa.array([0, len(ids)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (ids, pa.array(keys, pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | turn], pa.int64()), *lists, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "ids", "keys", "rows"])
+
+        for batch in batches:
+            at = 0
+            for i, t in enumerate(batch.column("text")):
+                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                keys.append(hashlib.md5(data).digest())
+                n += len(data) + 1
+                if n >= size:
+                    held.append(batch.slice(at, i + 1 - at))
+                    yield out()
+                    turn, held, keys, n, at = turn + 1, [], [], 0, i + 1
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, f"block long, ids array<{kind}>, keys array<binary>, rows binary")
 
-    @F.pandas_udf("symbols long, perplexity double")
-    def measured(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [t if isinstance(t, str) else "" for t in part]
-            found = [given.value.score(texts[at : at + BATCH]) for at in range(0, max(len(texts), 1), BATCH)]
-            value, size = (np.concatenate(x) for x in zip(*found))
-            yield pd.DataFrame({"symbols": size, "perplexity": 10 ** (-value / size)})
 
-    return docs.withColumn(name, measured(F.coalesce("text", F.lit(""))))
+def unpacked(rows: pa.Table) -> pa.Table:
+    """The documents of a block."""
+    return pa.ipc.open_stream(rows["rows"][0].as_buffer()).read_all()
+
+
+def texts_of(docs: pa.Table) -> Iterator[str]:
+    return (t.as_py() or "" for t in docs["text"])
+
+
+def with_perplexity(docs: DataFrame, labels: DataFrame, name: str, order: int) -> DataFrame:
+    """docs, stored, with a struct column: symbols and perplexity of each text; a null text is empty."""
+    ship(docs.sparkSession)
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
+    size = min(max(LEAST, total // (4 * docs.sparkSession.sparkContext.defaultParallelism)), MOST)
+    shards = max(16, total // SHARD)
+    blocks, stored = bucketed(blocked(docs, size), "block", max(1, total // size))
+    try:
+        light = blocks.select("block", F.posexplode(F.arrays_zip("ids", "keys")).alias("place", "own")).select("block", "place", F.col("own.ids").alias("doc_id"), F.col("own.keys").alias("key"))
+        first = light.join(trusted(labels), "doc_id").groupBy("key").agg(F.min(F.struct("block", "place")).alias("first")).select("first.*")
+        chosen = first.groupBy("block").agg(F.collect_list("place").alias("places"))
+        rows = blocks.select("block", "rows")
+
+        def learning(one: pa.Table, places: pa.Table) -> pa.Table:
+            some = unpacked(one).take(places["places"][0].values) if one.num_rows and places.num_rows else pa.table({"text": []})
+            each, n = learned(texts_of(some), order, False)
+            return pa.Table.from_pandas(packed(one["block"][0].as_py() if one.num_rows else 0, each, shards, n), schema=PACKED, preserve_index=False)
+
+        def asking(one: pa.Table) -> pa.Table:
+            return pa.Table.from_pandas(packed(one["block"][0].as_py(), Asked.of(texts_of(unpacked(one)), order, False).each, shards), preserve_index=False)
+
+        def measured(one: pa.Table, answers: pa.Table) -> pa.Table:
+            own = unpacked(one)
+            asked = Asked.of(texts_of(own), order, False)
+            by, _ = by_shard(asked.each, shards)
+            answers = answers.sort_by("shard")
+            values = np.empty(len(by), np.float32)
+            values[by] = np.concatenate([grown(v.as_py()).astype(np.uint32).view(np.float32) for v in answers["values"]])
+            symbols = asked.ends - asked.starts
+            new = pa.StructArray.from_arrays([pa.array(symbols, pa.int64()), pa.array(10 ** (-asked.totals(values.astype(float)) / symbols), pa.float64())], ["symbols", "perplexity"])
+            return own.append_column(name, new)
+
+        taught = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(learning, "shard long, block long, keys binary, n binary")
+        counts = saved(totals(taught))
+        answers = resolved(rows.groupBy("block").applyInArrow(asking, "shard long, block long, keys binary"), counts, order, shards)
+        schema = StructType([*docs.schema.fields, StructField(name, StructType([StructField("symbols", LongType()), StructField("perplexity", DoubleType())]))])
+        return saved(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(measured, schema))
+    finally:
+        dropped(stored, docs.sparkSession)
 
 
 def thresholds(scored: DataFrame, good: DataFrame, low: float, high: float, fence: float, trusted_quantile: float) -> DataFrame:
@@ -69,7 +135,7 @@ def thresholds(scored: DataFrame, good: DataFrame, low: float, high: float, fenc
     return both.select("lang", F.exp(F.greatest(F.col("q")[1] + fence * (F.col("q")[1] - F.col("q")[0]), F.col("t"))).alias("threshold"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = 6, sample_rows: int = 20_000, low: float = 0.25, high: float = 0.75, fence: float = 1.5, trusted_quantile: float = 0.97, allowance: float = 1.0, keep: list[str] | None = None) -> tuple[DataFrame, str]:
+def classify(docs: DataFrame, labels: DataFrame, order: int = 6, low: float = 0.25, high: float = 0.75, fence: float = 1.5, trusted_quantile: float = 0.97, allowance: float = 1.0, keep: list[str] | None = None) -> tuple[DataFrame, str]:
     """docs (or its columns ``keep``) with a struct column: symbols, perplexity, threshold, keep; and that column's name.
 
     docs needs doc_id, text and lang; its other columns stay as they are, whatever their
@@ -80,11 +146,9 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 6, sample_rows: in
     An empty table gives no rows. The result is stored once, so no text is scored twice.
     """
     columns, name = docs.columns if keep is None else keep, free(docs, "_quality")
-    given = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, order, sample_rows))  # bounded by the sample
-    scored = saved(with_perplexity(docs, given, name).select(*dict.fromkeys([*columns, "doc_id", "lang"]), name))
-    given.destroy()
+    scored = with_perplexity(docs.select(*dict.fromkeys([*columns, "doc_id", "lang", "text"])), labels, name, order)
     light = scored.select("doc_id", "lang", F.col(name)["perplexity"].alias("perplexity"))
-    limits = cut(thresholds(light, trusted(light, labels, sample_rows), low, high, fence, trusted_quantile))
+    limits = cut(thresholds(light, light.join(trusted(labels), "doc_id"), low, high, fence, trusted_quantile))
     lang, limit = free(scored, "_lang"), free(scored, "_limit")
     limits = limits.toDF(lang, limit)
     if limits.count() <= LANGUAGES:

@@ -97,3 +97,30 @@ def test_classifier(spark):
     assert quality.classify(docs.limit(0), labels)[0].count() == 0
     none, name = quality.classify(docs, labels.limit(0))
     assert none.filter(f"{name}.keep").count() == len(rows)
+
+
+@pytest.mark.parametrize("order", [2, 4])
+def test_all_trusted_text_is_learned(spark, monkeypatch, order):
+    """Whatever their number, every distinct trusted text counts once, and blocks and shards do not matter."""
+    monkeypatch.setattr(quality, "LEAST", 300)
+    monkeypatch.setattr(quality, "MOST", 300)
+    rows = [(i, t and t.lower(), "xx") for i, t in enumerate(TEXTS)] + [(None, "кот", "xx"), (70, "zz é " * 200, None), (71, "the cat sat", "xx"), (71, "the cat sat", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(71, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    good = {t or "" for i, t, _ in rows if i is not None and (i < 20 or i == 71) and i != 3}
+    plain = Plain(sorted(good), order)
+    judged, name = quality.classify(docs, labels, order)
+    got = {(r["doc_id"], r["text"] or ""): r[name] for r in judged.collect()}
+    assert len(got) == len(rows) - 1 and judged.count() == len(rows)
+    for (_, t), own in got.items():
+        assert own["symbols"] == len(ngrams.symbols(t, False))
+        assert np.log10(own["perplexity"]) * own["symbols"] == pytest.approx(-plain.score(t), rel=1e-4)
+
+
+def test_no_sample_of_trusted_text(spark):
+    """A model of more trusted documents than the former limit of 20,000 knows what only the last of them holds."""
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "md5(cast(id AS string)) AS text", "'xx' AS lang")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    judged, name = quality.classify(docs, labels, 6)
+    # hex digits that were learned are mostly the only ones after their five; unknown ones are one of sixteen
+    assert judged.agg({f"{name}.perplexity": "max"}).first()[0] < 8
