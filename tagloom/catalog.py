@@ -230,10 +230,9 @@ def rule_sections(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     for word, mark in MARKERS.items():
         text = F.replace(text, F.lit(word), F.lit(mark))
-    rows = tags.rule_profile(table(spark, sf, "documents").select("doc_id", text.alias("detail")), "detail")
-    source = tx.repaired("detail")
+    rows = tags.rule_profile(table(spark, sf, "documents").select("doc_id", text.alias("detail")), "detail", ("responsibilities", "requirements"))
     fields = ("hard", "soft", "duties", "requirements", "bonus", "industry", "job_type", "must", "nice", "tools")
-    return rows.select("doc_id", tx.section(source, *SECTIONS["responsibilities"]).alias("duties"), tx.section(source, *SECTIONS["requirements"]).alias("wants"), *[F.array_join(f"_rule_{c}", ",").alias(f"rule_{c}") for c in fields], F.col("_rule_goal").alias("rule_goal"))
+    return rows.select("doc_id", F.col("_at_responsibilities").alias("duties"), F.col("_at_requirements").alias("wants"), *[F.array_join(f"_rule_{c}", ",").alias(f"rule_{c}") for c in fields], F.col("_rule_goal").alias("rule_goal"))
 
 
 @query("tag_fusion", JOBS + """, f AS (SELECT job_id, list_transform(tags || [company], lambda x: CASE WHEN x = 'red' THEN 'crimson' ELSE x END) AS a FROM jobs)

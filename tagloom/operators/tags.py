@@ -57,39 +57,49 @@ def apply_dictionary(jobs: DataFrame, dictionary: dict[str, object], text: Colum
     return out.withColumn("all_tags", by_length(F.array_distinct(F.concat(*[F.col(TYPES.get(k, k)) for k in dictionary]))))
 
 
-def labels(text: Column, specs: dict[str, list[str]]) -> Column:
-    """Labels, in order, any of whose patterns is contained, case ignored: one walk through a literal list, whatever its length."""
+def held(text: Column, patterns: Column) -> Column:
+    """The patterns, in lower case, that are contained, case ignored."""
+    return bound(F.lower(text), lambda low: F.filter(patterns, lambda p: F.contains(low, p)))
+
+
+def labels_of(hits: Column, specs: dict[str, list[str]]) -> Column:
+    """Labels, in order, any of whose patterns is among hits: one walk through a literal list, whatever its length."""
     known = F.array(*[F.struct(F.lit(k).alias("label"), F.array(*[F.lit(x.lower()) for x in p]).alias("patterns")) for k, p in specs.items()])
-    return bound(F.lower(text), lambda low: F.transform(F.filter(known, lambda s: F.exists(s["patterns"], lambda p: F.contains(low, p))), lambda s: s["label"]))
+    return F.transform(F.filter(known, lambda s: F.arrays_overlap(s["patterns"], hits)), lambda s: s["label"])
 
 
-def rule_profile(jobs: DataFrame, detail: str) -> DataFrame:
-    """jobs with the rule columns of a posting's text, each after an underscore.
+def rule_profile(jobs: DataFrame, detail: str, sections: tuple[str, ...] = ()) -> DataFrame:
+    """jobs with the rule columns of a posting's text, each after an underscore, and the named sections as _at_<name>.
 
-    The mended text and its sections are columns of their own first, so that no expression
-    holds them more than once.
+    The mended text, its sections and the patterns found are columns of their own first, so that
+    no expression holds them more than once. The whole text is searched once for each pattern; a
+    section is part of it, so only what the text holds is looked for there, and patterns with
+    blanks, which may stand across joined sections.
     """
+    specs = (HARD_SPECS, SOFT_SPECS, DUTY_SPECS, SCENE_SPECS, JOB_TYPE_SPECS, TOOL_SPECS)
+    every = list(dict.fromkeys(p.lower() for s in specs for ps in s.values() for p in ps))
     out = jobs.withColumn("_source", repaired(detail))
-    out = out.withColumns({f"_at_{k}": section(F.col("_source"), *marks) for k, marks in SECTIONS.items()})
-    or_all = lambda k: F.when(F.col(f"_at_{k}") != "", F.col(f"_at_{k}")).otherwise(F.col("_source"))
+    out = out.withColumns({f"_at_{k}": section(F.col("_source"), *marks) for k, marks in SECTIONS.items()} | {"_hits": held(F.col("_source"), F.array(*[F.lit(p) for p in every]))})
     more = F.array_join(F.filter(F.array("_at_bonus", "_at_offer", "_at_highlights"), lambda x: x != ""), " ")
-    out = out.withColumns({"_duty_text": or_all("responsibilities"), "_want_text": or_all("requirements"), "_more_text": more})
-    source, duty, want, more = (F.col(c) for c in ("_source", "_duty_text", "_want_text", "_more_text"))
+    spaced = F.array(*[F.lit(p) for p in every if " " in p]).cast("array<string>")
+    own = lambda k: F.when(F.col(f"_at_{k}") != "", held(F.col(f"_at_{k}"), F.col("_hits"))).otherwise(F.col("_hits"))
+    out = out.withColumns({"_duty_hits": own("responsibilities"), "_want_hits": own("requirements"), "_more_hits": held(more, F.array_union("_hits", spaced))})
+    source, duty, want, more = (F.col(c) for c in ("_hits", "_duty_hits", "_want_hits", "_more_hits"))
     out = out.withColumns({
-        "_rule_hard": labels(source, HARD_SPECS),
-        "_rule_soft": labels(want, SOFT_SPECS),
-        "_rule_duties": labels(duty, DUTY_SPECS),
-        "_rule_requirements": labels(want, HARD_SPECS | SOFT_SPECS),
-        "_rule_bonus": F.array_distinct(F.concat(labels(more, HARD_SPECS), labels(more, DUTY_SPECS), labels(more, SCENE_SPECS))),
-        "_rule_industry": labels(source, SCENE_SPECS),
-        "_rule_job_type": labels(source, JOB_TYPE_SPECS),
-        "_rule_must": labels(want, HARD_SPECS),
-        "_rule_nice": labels(more, HARD_SPECS),
-        "_rule_tools": labels(source, TOOL_SPECS),
+        "_rule_hard": labels_of(source, HARD_SPECS),
+        "_rule_soft": labels_of(want, SOFT_SPECS),
+        "_rule_duties": labels_of(duty, DUTY_SPECS),
+        "_rule_requirements": labels_of(want, HARD_SPECS | SOFT_SPECS),
+        "_rule_bonus": F.array_distinct(F.concat(labels_of(more, HARD_SPECS), labels_of(more, DUTY_SPECS), labels_of(more, SCENE_SPECS))),
+        "_rule_industry": labels_of(source, SCENE_SPECS),
+        "_rule_job_type": labels_of(source, JOB_TYPE_SPECS),
+        "_rule_must": labels_of(want, HARD_SPECS),
+        "_rule_nice": labels_of(more, HARD_SPECS),
+        "_rule_tools": labels_of(source, TOOL_SPECS),
     })
     goal = F.when(F.size("_rule_duties") > 0, F.col("_rule_duties")).otherwise(F.col("_rule_industry"))
     out = out.withColumn("_rule_goal", F.substring(F.array_join(F.slice(goal, 1, 3), "、"), 1, 25))
-    return out.drop("_source", "_duty_text", "_want_text", "_more_text", *[f"_at_{k}" for k in SECTIONS])
+    return out.drop("_source", "_hits", "_duty_hits", "_want_hits", "_more_hits", *[f"_at_{k}" for k in SECTIONS if k not in sections])
 
 
 def apply_rules(jobs: DataFrame, detail: str, overwrite: bool = False, cap: int = 30) -> DataFrame:

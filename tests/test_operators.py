@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import repaired as tx_repaired
+from tagloom.functions.text import section as tx_section
 from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, network, normalize, project, resume, stats, structured, tags, textjoin, upsert
 
 JOB = "ordinal long, job_id string, company string, title string, city string, detail string, captured_at string"
@@ -387,3 +389,22 @@ def test_orders(spark):
     pairs = stats.pair_support(jobs, "tags", 1, 20).collect()
     want = sorted((-sum({a, b} <= set(r[1]) for r in rows), a, b) for a, b in itertools.combinations(sorted(["go", "sql", "c", "r"]), 2))
     assert [(-r["support"], r["a"], r["b"]) for r in pairs] == [w for w in want if w[0]]
+
+
+def test_rule_patterns_are_searched_once_a_text(spark):
+    """Sections are searched only for what the whole text holds, with the labels that each would have of its own."""
+    texts = ["智能客服 fastGPT 岗位职责：节点管理，PYTHON 任职要求：学习 python 加分项：飞书 智能客服 我们提供：门店", "agent 企业微信", "", None, "任职要求：实战 岗位职责：客户引流 对接企业微信"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    out = tags.rule_profile(rows, "t", ("requirements",))
+    assert {c for c in out.columns if not c.startswith("_rule_")} == {"i", "t", "_at_requirements"}
+    assert out._jdf.queryExecution().analyzed().toString().count("contains(") <= 4
+    sections = tags.SECTIONS
+    parts = rows.select("i", tx_repaired("t").alias("s")).select("i", "s", *[tx_section(F.col("s"), *m).alias(k) for k, m in sections.items()])
+    parts = {r["i"]: r for r in parts.collect()}
+    held = lambda t, specs: [k for k, ps in specs.items() if any(p.lower() in t.lower() for p in ps)]
+    for r in out.collect():
+        p = parts[r["i"]]
+        want, duty, more = p["requirements"] or p["s"], p["responsibilities"] or p["s"], " ".join(x for x in (p["bonus"], p["offer"], p["highlights"]) if x)
+        assert r["_rule_hard"] == held(p["s"], tags.HARD_SPECS) and r["_rule_tools"] == held(p["s"], tags.TOOL_SPECS)
+        assert r["_rule_must"] == held(want, tags.HARD_SPECS) and r["_rule_soft"] == held(want, tags.SOFT_SPECS)
+        assert r["_rule_duties"] == held(duty, tags.DUTY_SPECS) and r["_rule_nice"] == held(more, tags.HARD_SPECS)
