@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import repaired as tx_repaired
 from tagloom.functions.text import section as tx_section
-from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, network, normalize, project, resume, stats, structured, tags, textjoin, upsert
+from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, network, normalize, project, resume, stats, structured, tags, textgroups, textjoin, upsert
 
 JOB = "ordinal long, job_id string, company string, title string, city string, detail string, captured_at string"
 
@@ -129,6 +129,34 @@ def test_similar_pairs_over_shards(spark, monkeypatch):
     assert not textjoin.similar_pairs(rows.limit(0), 0.8).collect()
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.9])
+def test_similar_groups_over_tiles(spark, monkeypatch, threshold):
+    """One block in many tiles beside a small one: groups and their greatest similarity as of all pairs, and no row for each pair."""
+    rng = np.random.default_rng(5)
+    base = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(12)) for _ in range(6)] + ["\U0001f600\U0001f601 und \U0001f602" * 4]
+    texts = ["".join(c if rng.random() > rate else "z" for c in b) for b in base for rate in [0.01, 0.04] * 6] + ["x", "yz"]
+    rows = spark.createDataFrame([(k, len(texts), 1000 * k + i, 1, t) for k, n in ((0, len(texts)), (8, 9)) for i, t in enumerate(texts[:n])], "block long, n long, rep long, m long, text string")
+    monkeypatch.setattr(textgroups, "TEXTS", 10)
+    got = textgroups.similar_groups(rows, threshold).collect()
+    sim, label = plain_similarity(texts), list(range(len(texts)))
+    links = {p: sim(*p) for p in itertools.combinations(range(len(texts)), 2) if sim(*p) >= threshold}
+    for low, other in [(label, links), (mine := list(range(len(texts))), [(r["a"], r["b"]) for r in got if r["a"] < 1000])]:
+        for a, b in other:
+            low[:] = [min(low[a], low[b]) if x in (low[a], low[b]) else x for x in low]
+    assert mine == label and len(set(label)) < len(texts) - 3
+    for root in {label[a] for a, _ in links}:
+        assert max(r["similarity"] for r in got if r["a"] < 1000 and label[r["a"]] == root) == pytest.approx(max(s for (a, _), s in links.items() if label[a] == root), abs=1e-9)
+    assert any(r["a"] >= 8000 for r in got) and not any((r["a"] >= 8000) != (r["b"] >= 8000) for r in got)
+    assert not textgroups.similar_groups(rows.limit(0), 0.8).collect()
+
+
+def test_alike_texts_make_no_row_for_each_pair(spark):
+    """What a block of texts that are all alike sends on grows with the texts, not with their pairs."""
+    texts = ["the same advertisement again and again, " * 20 + f"number {i:03}" for i in range(300)]
+    jobs = spark.createDataFrame([(0, 300, i, 1, t) for i, t in enumerate(texts)], "block long, n long, rep long, m long, text string")
+    assert 299 <= dedup.similar_groups(jobs, 0.8).count() <= 600
+
+
 def test_similar_takes_nulls_ties_and_copies(spark):
     rows = [(i, str(i), "c" if i % 2 else None, "", "x", t, None) for i, t in enumerate(["same text here", "same text here", "Same  text here", "same text here", None, "", "a", "a"])]
     jobs = spark.createDataFrame(rows, JOB).withColumns({"n": F.lit(1), "block": F.lit(2), "rep": F.lit(3), "root": F.lit(4), "digest": F.lit(5)})
