@@ -50,7 +50,7 @@ def blocked(docs: DataFrame, size: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
                 for b in held:
                     stream.write_batch(b)
             ids = pa.concat_arrays([b.column("doc_id") for b in held])
@@ -85,8 +85,8 @@ def texts_of(docs: pa.Table) -> Iterator[str]:
     return (t.as_py() or "" for t in docs["text"])
 
 
-def with_perplexity(docs: DataFrame, labels: DataFrame, name: str, order: int) -> DataFrame:
-    """docs, stored, with a struct column: symbols and perplexity of each text; a null text is empty."""
+def with_perplexity(docs: DataFrame, labels: DataFrame, name: str, order: int, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of docs, stored, with a struct column: symbols and perplexity of each text; a null text is empty."""
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
     size = min(max(LEAST, total // (4 * docs.sparkSession.sparkContext.defaultParallelism)), MOST)
@@ -115,12 +115,12 @@ def with_perplexity(docs: DataFrame, labels: DataFrame, name: str, order: int) -
             values[by] = np.concatenate([grown(v.as_py()).astype(np.uint32).view(np.float32) for v in answers["values"]])
             symbols = asked.ends - asked.starts
             new = pa.StructArray.from_arrays([pa.array(symbols, pa.int64()), pa.array(10 ** (-asked.totals(values.astype(float)) / symbols), pa.float64())], ["symbols", "perplexity"])
-            return own.append_column(name, new)
+            return own.select(keep).append_column(name, new)
 
         taught = rows.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(learning, "shard long, block long, keys binary, n binary")
         counts = saved(totals(taught))
         answers = resolved(rows.groupBy("block").applyInArrow(asking, "shard long, block long, keys binary"), counts, order, shards)
-        schema = StructType([*docs.schema.fields, StructField(name, StructType([StructField("symbols", LongType()), StructField("perplexity", DoubleType())]))])
+        schema = StructType([*docs.select(keep).schema.fields, StructField(name, StructType([StructField("symbols", LongType()), StructField("perplexity", DoubleType())]))])
         return saved(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(measured, schema))
     finally:
         dropped(stored, docs.sparkSession)
@@ -146,7 +146,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = 6, low: float = 0.
     An empty table gives no rows. The result is stored once, so no text is scored twice.
     """
     columns, name = docs.columns if keep is None else keep, free(docs, "_quality")
-    scored = with_perplexity(docs.select(*dict.fromkeys([*columns, "doc_id", "lang", "text"])), labels, name, order)
+    needed = list(dict.fromkeys([*columns, "doc_id", "lang"]))  # texts are stored again only for a caller that wants them back
+    scored = with_perplexity(docs.select(*dict.fromkeys([*needed, "text"])), labels, name, order, needed)
     light = scored.select("doc_id", "lang", F.col(name)["perplexity"].alias("perplexity"))
     limits = cut(thresholds(light, light.join(trusted(labels), "doc_id"), low, high, fence, trusted_quantile))
     lang, limit = free(scored, "_lang"), free(scored, "_limit")
