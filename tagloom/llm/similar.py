@@ -4,13 +4,15 @@ The Gray-order index of SimHash fingerprints (see simhash) finds most copies: ea
 one that it links to at 3 or fewer bits. But a pair of similarity 0.8 differs in some ten of 64
 bits, far beyond what an index by parts can search, so bands of minima retrieve the rest: a
 text's signature is 40 bands of 5. Two texts of similarity J share a band with chance J^5, so at
-J = 0.8 they share 13 of 40 in the mean, and fewer than 3 with chance 3e-5, above it far less. What is
+J = 0.8 they share 13 of 40 in the mean, and none with chance 1e-7, above it far less. What is
 retrieved is a link only if the shingles, compared themselves, are similar enough; sets whose
 sizes alone rule that out are not compared. First each
 text meets its neighbours in the index and, of each of its buckets, the text that shares most
-buckets, as a group's common origin does; what that connects is one group, and of the other pairs of a bucket only those across groups are compared after that, so
-many variants of a text are not compared all with all. Candidates are joined, not gathered:
-no bucket is one task's, and none is capped.
+buckets, as a group's common origin does; what that connects is one group. The texts of buckets that
+hold several groups then meet by their shingles, rarest first: of two sets that are similar enough the
+smaller has a shared one among its first ninth, the larger among its first fifth. Variants that share bands
+but not enough shingles have rarer ones of their own there, so they are no rows, however many they are. This
+finds every link between those texts. Candidates are joined, not gathered: no bucket is one task's, and none is capped.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
@@ -27,8 +29,6 @@ from . import simhash
 from .common import cut, saved, ship
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
-#: Bands that a pair across groups must share to be compared: at J = 0.8 it shares 13 of 40, and under 3 with chance 3e-5.
-SHARED = 3
 RNG = np.random.default_rng(29)
 ODD = (RNG.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 ADD = RNG.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
@@ -66,6 +66,29 @@ def text_key(text: str | Column = "text") -> Column:
     return F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of different roots that may be similar enough, each once: no other pair is. sets has key, root and shingles (distinct hashes).
+
+    In one order of all shingles, rarest first, the first that two sets share is at place i of the
+    smaller set (n) and place j of the larger one (m); all they share comes no earlier, so what they
+    must share, similarity / (1 + similarity) * (n + m) or more, is n - i and m - j at most.
+    """
+    rows = sets.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("df > 1")
+    held = rows.join(common, "shingle")
+    own = Window.partitionBy("key")
+    # those that no other set has come before
+    placed = held.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
+    least = lambda c, of: F.col("n") - F.col("at") >= c * F.col(of) - 1e-6
+    first = saved(placed.filter(least(similarity, "n") & (F.col("low") < F.col("high"))).select("key", "root", "n", "at", "shingle"))
+    short = first.filter(least(2 * similarity / (1 + similarity), "n")).toDF("a", "x", "n", "i", "shingle")
+    long = first.toDF("b", "y", "m", "j", "shingle")
+    must = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    met = short.join(long, "shingle").filter((F.col("x") != F.col("y")) & smaller & (F.col("n") - F.col("i") >= must) & (F.col("m") - F.col("j") >= must))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """key (of a text, as in ``text_key``), root: distinct texts that links of ``similarity`` or more connect share a root."""
     spark = ship(docs.sparkSession)
@@ -110,8 +133,16 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = components(found)
     rooted = rows.select("band", "key", "size").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    rooted = saved(rooted.join(mixed, "band").select("band", "key", "size", "root"))
-    left, right = rooted.toDF("band", "a", "m", "x"), rooted.toDF("band", "b", "n", "y")
-    across = left.join(right, "band").filter("x < y").filter(may_be).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
-    reached = components(found.union(links(across)))
+    apart = saved(rooted.join(mixed, "band").select("key", "root").distinct())
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for frame in frames:
+            each = [np.unique(np.array([xxh64_intdigest(s) for s in shingles(t)], np.uint64)).view(np.int64) for t in frame["text"]]
+            yield pd.DataFrame({"key": frame["key"], "root": frame["root"], "shingles": each})
+
+    open_ = texts.join(apart, "key").groupBy("key").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    sets = saved(open_.mapInPandas(hashed, "key string, root string, shingles array<long>"))
+    reached = components(found.union(links(prefix_pairs(sets, similarity))))
     return prints.select("key").join(reached.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))

@@ -53,3 +53,26 @@ def test_rows_are_decided_on_by_text(spark):
     got = corpus_pipeline.one_of_each(spark, docs, "").collect()
     want = [(None, a), (None, b), (3, c + " more"), (5, d)]
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((i or 0, t) for i, t in want)
+
+
+def test_prefix_pairs_hold_all_links_and_few_others(spark):
+    """Sets that share most of an origin, but not enough with each other, are no pairs; every link across roots is."""
+    rng = np.random.default_rng(4)
+    sets, fresh = [], iter(range(10_000, 1_000_000))
+    for k in range(60):  # of 200, each has its own places changed: similarities around 0.6
+        own = np.arange(200)
+        own[rng.choice(200, 50, replace=False)] = [next(fresh) for _ in range(50)]
+        sets.append(own)
+    for k in range(40):  # on both sides of 0.8, of different sizes
+        own = np.arange(1000 + 100 * (k // 8), 1100 + 100 * (k // 8))
+        at = rng.choice(100, rng.integers(1, 12), replace=False)
+        own[at] = [next(fresh) for _ in at]
+        sets.append(np.unique(own)[: int(rng.integers(80, 100))])
+    keys = [f"k{i:03}" for i in range(len(sets))]
+    root = lambda i: keys[i - i % 2] if i % 3 else keys[i]
+    rows = spark.createDataFrame([(keys[i], root(i), [int(x) for x in s]) for i, s in enumerate(sets)], "key string, root string, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in similar.prefix_pairs(rows, 0.8).collect()}
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if root(i) != root(j)]
+    want = {(keys[i], keys[j]) for i, j in pairs if similar.jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
+    assert want and want <= got
+    assert not any(a < "k060" for a, _ in got) and len(got) < 5 * len(want)
