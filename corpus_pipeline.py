@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import mixing, packing, quality, similar
-from tagloom.llm.common import cut, free, shared_dir, ship, table
+from tagloom.llm.common import cut, free, saved, shared_dir, ship, table
 from tagloom.llm.queries import domains_of
+from tagloom.plans.sieve import sieved
 
 
 def clean_only(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +33,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     equal rows count once.
     """
     grouped = cut(similar.groups(ship(spark) and docs))
-    light = docs.select(similar.text_key().alias("key"), "doc_id").join(grouped.hint("shuffle_hash"), "key")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.count("*").alias("rows")
+    light = saved(docs.groupBy(similar.text_key().alias("key")).agg(*rows).join(grouped.hint("shuffle_hash"), "key"))
+    least = light.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("least"), F.sum("rows").alias("rows"))
+    least = saved(least)
+    # a row that is all of its group stays, and is not shuffled
+    several = saved(light.join(least.filter("rows > 1"), "root", "left_semi").select("key"))
+    open_, alone = sieved(docs, similar.text_key(), several)
     own_id, own_key, row = (free(docs, c) for c in ("_kept", "_key", "_row"))
-    kept = light.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias(own_id), F.col("least.key").alias(own_key))
+    kept = least.select(F.col("least.doc_id").alias(own_id), F.col("least.key").alias(own_key))
     same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (similar.text_key() == F.col(own_key))
-    own = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    own = open_.join(kept.hint("shuffle_hash"), same, "left_semi")
     # summed up before the shuffle, however many rows are the same
     one = own.groupBy("doc_id", similar.text_key().alias(own_key)).agg(F.min(F.struct(*docs.columns)).alias(row))
-    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return one.select(*[F.col(row)[c].alias(c) for c in docs.columns]).union(alone)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

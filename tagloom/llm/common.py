@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import bucketed, cut, dropped, saved, shared_dir, ship
+from ..plans.lineage import bucketed, cut, discarded, dropped, saved, shared_dir, ship
 
-__all__ = ["bucketed", "cut", "dropped", "free", "saved", "shared_dir", "ship", "table", "whole_ids"]
+__all__ = ["bucketed", "cut", "discarded", "dropped", "free", "saved", "shared_dir", "ship", "table", "whole_ids"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

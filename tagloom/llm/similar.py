@@ -13,6 +13,7 @@ hold several groups then meet by their shingles, rarest first: of two sets that
 smaller has a shared one among its first ninth, the larger among its first fifth. Variants that share bands
 but not enough shingles have rarer ones of their own there, so they are no rows, however many they are. This
 finds every link between those texts. Candidates are joined, not gathered: no bucket is one task's, and none is capped.
+Texts are named by numbers in these joins, and only those that a step compares are shuffled: the rest stay where they are read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
+from ..plans.sieve import sieved
 from . import simhash
-from .common import cut, saved, ship
+from .common import cut, discarded, saved, ship
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 RNG = np.random.default_rng(29)
@@ -69,18 +71,19 @@ def text_key(text: str | Column = "text") -> Column:
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs a, b of different roots that may be similar enough, each once: no other pair is. sets has key, root and shingles (distinct hashes).
 
-    In one order of all shingles, rarest first, the first that two sets share is at place i of the
-    smaller set (n) and place j of the larger one (m); all they share comes no earlier, so what they
-    must share, similarity / (1 + similarity) * (n + m) or more, is n - i and m - j at most.
+    In one order of all shingles, those of one root first and then rarest first, the first that two
+    sets share is at place i of the smaller set (n) and place j of the larger one (m); all they share
+    comes no earlier, so what they must share, similarity / (1 + similarity) * (n + m) or more, is
+    n - i and m - j at most.
     """
     rows = sets.select("key", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("df > 1")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle", "df")
     held = rows.join(common, "shingle")
     own = Window.partitionBy("key")
-    # those that no other set has come before
+    # those that no set of another root has come before
     placed = held.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")) - 1)
     least = lambda c, of: F.col("n") - F.col("at") >= c * F.col(of) - 1e-6
-    first = saved(placed.filter(least(similarity, "n") & (F.col("low") < F.col("high"))).select("key", "root", "n", "at", "shingle"))
+    first = saved(placed.filter(least(similarity, "n")).select("key", "root", "n", "at", "shingle"))
     short = first.filter(least(2 * similarity / (1 + similarity), "n")).toDF("a", "x", "n", "i", "shingle")
     long = first.toDF("b", "y", "m", "j", "shingle")
     must = similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6
@@ -100,17 +103,27 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             each = [(len(own), bands(own)) for own in map(shingles, frame["text"])]  # one text's shingles at a time
             yield pd.DataFrame({"key": frame["key"], "fp": fps, "size": [n for n, _ in each], "bands": [b for _, b in each]})
 
-    prints = saved(texts.mapInPandas(signed, "key string, fp long, size long, bands array<long>").groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")]))
-    fps = cut(prints.groupBy("fp").agg(F.min(F.struct("key", "size")).alias("least")))
-    same = prints.join(fps, "fp").select(F.col("least.key").alias("a"), F.col("key").alias("b"), F.col("least.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
-    near = cut(simhash.links(fps.select("fp")).toDF("x", "y"))
-    near = near.join(fps.toDF("x", "s"), "x").join(fps.toDF("y", "t"), "y").select(F.least("s.key", "t.key").alias("a"), F.greatest("s.key", "t.key").alias("b"), F.col("s.size").alias("m"), F.col("t.size").alias("n"))
-    rows = prints.select("key", "size", F.explode("bands").alias("band"))
+    own: list[str] = []
+    prints = texts.mapInPandas(signed, "key string, fp long, size long, bands array<long>").groupBy("key").agg(*[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    prints = saved(prints.withColumn("id", F.monotonically_increasing_id()), own)
+    names = saved(prints.select("id", "key", "fp", "size"))
+    rows = prints.select("id", "size", F.explode("bands").alias("band"))
     full = rows.groupBy("band").agg(F.count("*").alias("count")).filter("count > 1")
     rows = saved(rows.join(full, "band"))
+    discarded(spark, own)
+    fps = cut(names.groupBy("fp").agg(F.min(F.struct("id", "size")).alias("least")))
+    same = names.join(fps, "fp").select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.col("least.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
+    near = cut(simhash.links(fps.select("fp")).toDF("x", "y"))
+    near = near.join(fps.toDF("x", "s"), "x").join(fps.toDF("y", "t"), "y").select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b"), F.col("s.size").alias("m"), F.col("t.size").alias("n"))
     # a text that shares most buckets is the likeliest that others were changed from
-    shared = rows.groupBy("key").agg(F.sum("count").alias("shared"))
-    middle = rows.join(shared, "key").groupBy("band").agg(F.max(F.struct("shared", "key", "size")).alias("middle"))
+    shared = rows.groupBy("id").agg(F.sum("count").alias("shared"))
+    middle = rows.join(shared, "id").groupBy("band").agg(F.max(F.struct("shared", "id", "size")).alias("middle"))
+
+    def with_text(wanted: DataFrame) -> DataFrame:
+        """wanted (texts' ids among its columns) with key and text."""
+        wanted = saved(wanted.join(names.select("id", "key"), "id"))
+        # copies are one before the shuffle
+        return sieved(texts, F.col("key"), wanted)[0].groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
 
     def checked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -122,27 +135,29 @@ def groups(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     def links(pairs: DataFrame) -> DataFrame:
         """Those of distinct pairs (a, b) that are similar enough."""
-        pairs = saved(pairs)
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        held = saved(texts.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
-        both = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("t")), "b")
-        return cut(both.mapInPandas(checked, "a string, b string"))
-
-    star = rows.join(middle, "band").select(F.col("middle.key").alias("a"), F.col("key").alias("b"), F.col("middle.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
+        own: list[str] = []
+        pairs = saved(pairs, own)
+        held = saved(with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).select("id", "text"), own)
+        both = pairs.join(held.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(held.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
+        out = cut(both.mapInPandas(checked, "a long, b long"))
+        discarded(spark, own)
+        return out
+
+    star = rows.join(middle, "band").select(F.col("middle.id").alias("a"), F.col("id").alias("b"), F.col("middle.size").alias("m"), F.col("size").alias("n")).filter("a <> b")
     found = links(star.union(same).union(near).filter(may_be).select("a", "b").distinct())
     first = components(found)
-    rooted = rows.select("band", "key", "size").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = rows.select("band", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
-    apart = saved(rooted.join(mixed, "band").select("key", "root").distinct())
+    apart = rooted.join(mixed, "band").select("id", "root").distinct()
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
         for frame in frames:
             each = [np.unique(np.array([xxh64_intdigest(s) for s in shingles(t)], np.uint64)).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"key": frame["key"], "root": frame["root"], "shingles": each})
+            yield pd.DataFrame({"key": frame["id"], "root": frame["root"], "shingles": each})
 
-    open_ = texts.join(apart, "key").groupBy("key").agg(F.first("root").alias("root"), F.first("text").alias("text"))
-    sets = saved(open_.mapInPandas(hashed, "key string, root string, shingles array<long>"))
+    sets = saved(with_text(apart).select("id", "root", "text").mapInPandas(hashed, "key long, root long, shingles array<long>"), own := [])
     reached = components(found.union(links(prefix_pairs(sets, similarity))))
-    return prints.select("key").join(reached.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    discarded(spark, own)
+    return names.select("id", "key").join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", F.coalesce("root", "id").alias("root"))

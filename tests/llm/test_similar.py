@@ -1,9 +1,11 @@
 """Near-duplicates of five-word shingles against the exact similarity of all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tagloom.llm import similar
+from tagloom.plans.sieve import sieved
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -76,3 +78,34 @@ def test_prefix_pairs_hold_all_links_and_few_others(spark):
     want = {(keys[i], keys[j]) for i, j in pairs if similar.jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8}
     assert want and want <= got
     assert not any(a < "k060" for a, _ in got) and len(got) < 5 * len(want)
+
+
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """Only texts that are compared, and rows of groups of several, go through a shuffle."""
+    rng = np.random.default_rng(6)
+    own = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 2000)) for _ in range(200)]
+    own += [own[0], own[1] + " more"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(own)], SCHEMA)
+    before = shuffled(spark)
+    got = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(200)) and all(r["text"] == own[r["doc_id"]] for r in got)
+    assert 0 < shuffled(spark) - before < 0.5 * sum(map(len, own))
+
+
+def test_sieve_loses_no_wanted_row(spark):
+    rows = spark.range(100_000).selectExpr("cast(id as string) as k", "id as _part", "id as _bits")
+    wanted = rows.filter("_part % 20 = 3 or _part < 64").selectExpr("k as key")
+    may, others = (x.collect() for x in sieved(rows, F.col("k"), wanted))
+    keys = {r["key"] for r in wanted.collect()}
+    assert keys <= {r["k"] for r in may} and len(may) < len(keys) + 100_000 / 12
+    assert sorted(int(r["k"]) for r in may + others) == list(range(100_000)) and all(int(r["k"]) == r["_bits"] for r in may + others)
+    none, all_ = sieved(rows, F.col("k"), wanted.limit(0))
+    assert none.count() == 0 and all_.count() == 100_000
