@@ -26,6 +26,8 @@ from .common import cut, ship, whole_ids
 from ..plans.components import components
 
 ALL = (1 << 64) - 1
+#: Entries of the index that a task searches at once, in the mean.
+LOT = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -83,6 +85,13 @@ def gray_rank(column: str) -> F.Column:
     return out
 
 
+def gray_ranks(fps: np.ndarray) -> np.ndarray:
+    """gray_rank of an array."""
+    for k in (1, 2, 4, 8, 16, 32):
+        fps = fps ^ fps >> np.uint64(k)
+    return fps
+
+
 def index_pairs(fps: np.ndarray, bits: int, leaf: int = 16, fan: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i < j) of all links among fingerprints that come in Gray order."""
     levels = []  # from the leaves up: start of each node's items, shared mask, pattern
@@ -163,20 +172,10 @@ def links(fps: DataFrame, bits: int = 3, largest: int = 2048) -> DataFrame:
         raise ValueError("four parts find links of at most 3 bits")
     ship(fps.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for frame in frames:
-            rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            part, key = rest["part"].to_numpy(), rest["key"].to_numpy()
-            changes = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]))
-            if len(changes) and len(rest) >= 50_000:
-                yield edges(rest.iloc[: changes[-1] + 1])
-                rest = rest.iloc[changes[-1] + 1 :]
-        if rest is not None and len(rest):
-            yield edges(rest)
-
     def edges(whole: pd.DataFrame) -> pd.DataFrame:
         part, key, fp = (whole[c].to_numpy() for c in ("part", "key", "fp"))
+        order = np.lexsort((gray_ranks(fp.view(np.uint64)), key, part))
+        part, key, fp = part[order], key[order], fp[order]
         group = np.cumsum(np.r_[0, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
         x, y = search(fp.view(np.uint64), group, bits)
         known, code = np.unique(np.concatenate([fp[x], fp[y]]), return_inverse=True)
@@ -193,10 +192,11 @@ def links(fps: DataFrame, bits: int = 3, largest: int = 2048) -> DataFrame:
         counts = cut(rows.groupBy("part", "key").count().filter("count > 1"))
         rows = rows.join(counts, ["part", "key"])
         # in the last level 12 bits at most are open, so a node is small whatever it holds
-        fit = (rows if level == 6 else rows.filter(F.col("count") <= largest)).select("part", "key", "fp", gray_rank("fp").alias("rank"))
-        n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        fit = fit.repartition(n, "part", "key").sortWithinPartitions("part", "key", F.shiftrightunsigned("rank", 1), "rank")
-        found.append(cut(fit.select("part", "key", "fp").mapInPandas(run, "a long, b long")))
+        fit = rows if level == 6 else rows.filter(F.col("count") <= largest)
+        # whole nodes by grouping: adaptive execution may drop a repartition by the keys of the join before it, and then change that join
+        lots = int(counts.agg(F.sum("count")).first()[0] or 0) // LOT + 1
+        fit = fit.select(F.pmod(F.xxhash64("part", "key"), F.lit(lots)).alias("lot"), "part", "key", "fp")
+        found.append(cut(fit.groupBy("lot").applyInPandas(edges, "a long, b long")))
         if level == 6 or counts.filter(F.col("count") > largest).isEmpty():
             break
         rows = cut(rows.filter(F.col("count") > largest).select("part", "fp"))

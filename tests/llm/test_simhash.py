@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm import simhash
 from tagloom.plans.components import components
+from tagloom.plans.lineage import cut
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, part int"
 
@@ -114,3 +115,13 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 1 for i in [1, *range(50, 80)]}
     assert components(spark.createDataFrame([], "a long, b long").filter(F.lit(True))).count() == 0
+
+
+def test_top_nodes_stay_whole(spark):
+    """Pairs whose ends lie in different partitions, in tables whose join with the counts is broadcast only at run time, are found."""
+    rng = np.random.default_rng(3)
+    one = np.unique(rng.integers(0, 1 << 62, 20_000))
+    two = one ^ 1 << rng.integers(0, 62, len(one)) ^ 1 << rng.integers(0, 62, len(one))
+    rows = cut(spark.createDataFrame([(int(f),) for f in rng.permutation(np.concatenate([one, two]))], "fp long").repartition(8))
+    got = {r["node"]: r["root"] for r in components(simhash.links(rows)).collect()}
+    assert all(got.get(a, a) == got.get(b, b) for a, b in zip(one.tolist(), two.tolist()))
