@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.text import repaired as tx_repaired
 from tagloom.functions.text import section as tx_section
 from tagloom.operators import communities, dedup, evidence, graph, kb, match, model_calls, network, normalize, project, resume, stats, structured, tags, textgroups, textjoin, upsert
+from tagloom.plans.lineage import saved
 
 JOB = "ordinal long, job_id string, company string, title string, city string, detail string, captured_at string"
 
@@ -157,6 +158,50 @@ def test_alike_texts_make_no_row_for_each_pair(spark):
     assert 299 <= dedup.similar_groups(jobs, 0.8).count() <= 600
 
 
+def sent(spark, run):
+    """Bytes of all shuffles of what run does."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+    last = max(stages(), default=-1)
+    run()
+    return sum(n for at, n in stages().items() if at > last)
+
+
+def test_tiles_are_not_shuffled_for_their_pairs(spark, monkeypatch):
+    """What a block of many tiles shuffles is its texts, not its pairs of tiles."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdef"), 2000)) for _ in range(300)]
+    rows = saved(spark.createDataFrame([(0, 300, i, 1, t) for i, t in enumerate(texts)], "block long, n long, rep long, m long, text string"))
+    monkeypatch.setattr(textgroups, "TEXTS", 10)
+    assert 0 < sent(spark, lambda: textgroups.similar_groups(rows, 0.9).collect()) < 2 * sum(map(len, texts))
+
+
+def test_groups_with_copies_are_linked_and_have_similarity_one(spark, monkeypatch):
+    """Large groups of several tiles are joined by one link; texts that only one text of the other tile is like still join."""
+    rng = np.random.default_rng(8)
+    base = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(12)) for _ in range(3)]
+    texts = ["".join(c if rng.random() > rate else "z" for c in b) for b in base for rate in [0.01, 0.03, 0.06] * 9]
+    texts += [texts[0]] * 3 + [texts[40]] * 2
+    rows = [(i, str(i), "c", "t", "x", t, None) for i, t in enumerate(texts)]
+    monkeypatch.setattr(textgroups, "TEXTS", 9)
+    out = {r["ordinal"]: r for r in dedup.similar(spark.createDataFrame(rows, JOB), "detail", ["company", "title"], 0.8).collect()}
+    sim, label = plain_similarity(texts), list(range(len(texts)))
+    links = [p for p in itertools.combinations(range(len(texts)), 2) if sim(*p) >= 0.8]
+    for a, b in links:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    groups = {root: out[root]["duplicate_group_id"] for root in set(label)}
+    assert len({g for g in groups.values() if g}) == len([g for g in groups.values() if g]) > 1
+    for i, root in enumerate(label):
+        assert out[i]["duplicate_group_id"] == groups[root] and bool(groups[root]) == (label.count(root) > 1)
+        if label.count(root) > 1:
+            assert out[i]["max_similarity_in_group"] == pytest.approx(max(sim(*p) for p in links if label[p[0]] == root), abs=1e-9)
+
+
 def test_similar_takes_nulls_ties_and_copies(spark):
     rows = [(i, str(i), "c" if i % 2 else None, "", "x", t, None) for i, t in enumerate(["same text here", "same text here", "Same  text here", "same text here", None, "", "a", "a"])]
     jobs = spark.createDataFrame(rows, JOB).withColumns({"n": F.lit(1), "block": F.lit(2), "rep": F.lit(3), "root": F.lit(4), "digest": F.lit(5)})
