@@ -181,6 +181,19 @@ def test_tiles_are_not_shuffled_for_their_pairs(spark, monkeypatch):
     assert 0 < sent(spark, lambda: textgroups.similar_groups(rows, 0.9).collect()) < 2 * sum(map(len, texts))
 
 
+def test_texts_are_not_shuffled_to_find_copies(spark):
+    """Near-duplicates shuffle each text at most once: into its tile."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), 2000)) for _ in range(200)]
+    texts += texts[:10]
+    rows = [(i, str(i), "c", "t", "x", t, None) for i, t in enumerate(texts)]
+    jobs = saved(spark.createDataFrame(rows, JOB).repartition(8))
+    found = {}
+    size = sent(spark, lambda: found.update({r["ordinal"]: r["duplicate_group_id"] for r in dedup.similar(jobs, "detail", ["company", "title"]).select("ordinal", "duplicate_group_id").collect()}))
+    assert 0 < size < 1.2 * sum(map(len, texts))
+    assert all(bool(found[i]) == (i < 10 or i >= 200) for i in range(210))
+
+
 def test_groups_with_copies_are_linked_and_have_similarity_one(spark, monkeypatch):
     """Large groups of several tiles are joined by one link; texts that only one text of the other tile is like still join."""
     rng = np.random.default_rng(8)
